@@ -84,9 +84,13 @@ def chunked(texts: pa.Array, limit: int = 1 << 20):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every maximal run of bytes that are not white space; runs never cross rows."""
-    ink = ~SPACE[data]
+#: Bytes outside letters, digits and non-ASCII characters.
+NOT_ALNUM = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of bytes that are not blank (white space); runs never cross rows."""
+    ink = ~blank[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(ink)
