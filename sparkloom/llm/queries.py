@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, packing, quality, simhash, toxicity
+from . import bytebpe, packing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the registered query; a real job passes its own secret.
+PII_KEY = b"sparkloom registered query"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+    return made.select("doc_id", "text", F.size("pii").alias("n_replaced"), "pii")
+
+
 def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,5 +48,5 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity_ftrl, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op10_quality_pu)}
+QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op4_toxicity_ftrl, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op10_quality_pu)}
 ORACLE_SQL: dict[str, str] = {}
