@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, packing, pii, quality, simhash, toxicity
+from . import bytebpe, imatch, packing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 #: Key of the registered query; a real job passes its own secret.
 PII_KEY = b"sparkloom registered query"
 
@@ -48,5 +52,5 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op4_toxicity_ftrl, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op10_quality_pu)}
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op4_toxicity_ftrl, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op10_quality_pu)}
 ORACLE_SQL: dict[str, str] = {}
