@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, exactdedup, imatch, packing, pii, ppm, quality, simhash, toxicity
+from . import bytebpe, exactdedup, hilbertsearch, imatch, packing, pii, ppm, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text", F.size("pii").alias("n_replaced"), "pii")
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbertsearch.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,5 +64,5 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu)}
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu)}
 ORACLE_SQL: dict[str, str] = {}
