@@ -160,3 +160,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     scored = found.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs whose score is at least the threshold, all columns as they are. See quality_scores()."""
+    model = train(stored(features(docs, id_col, text_col), "quality"), labels, label_col, sample=sample)
+    sent = docs.sparkSession.sparkContext.broadcast((model.edges, model.weights, model.offset))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
+        for batch in batches:
+            good = [own.scores(text_features(data, offsets)) >= threshold for _, _, data, offsets in chunked(batch.column(place), 3 << 20)]
+            yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
+
+    return docs.mapInArrow(run, docs.schema)

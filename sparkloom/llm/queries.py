@@ -11,7 +11,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -43,12 +43,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.text_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    pieces = packing.text_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return packing.pack(pieces)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytebpe.tokenize(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), digests=True)
+    return bytebpe.tokenize(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), digests=True)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,15 +46,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty, repeated rows stay."""
+    """(doc_id, th, fp) of every row, th a hash of the text; a null text counts as empty, repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = (fingerprint(t.as_py(), words) for t in batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(values, pa.int64())], names=["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def masks(radius: int = 2, bits: int = 64) -> list[int]:
@@ -112,17 +113,32 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return small.union(wide).distinct()
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows, (fp, first, root) of the distinct ones)."""
+    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = connected(stored(links(distinct.select("fp"), radius), "simhash-links"))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, stored(placed, "simhash-roots")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null ids last, ties by a hash of the text)."""
+    rows, placed = _placed(docs, id_col, text_col, radius, words)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    kept = rows.join(placed.select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
+    marked = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
+    found = marked.join(kept, marked[id_col].cast("long").eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_th"]), "left_semi")
+    return found.dropDuplicates([id_col, "_own"]).drop("_own")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row: SimHash, covering tables, components; component_id is the smallest doc_id.
 
     Null texts are empty (fingerprint 0); a null doc_id stays and never is the smallest, except that a component of
     null ids only has a null component_id. Repeated rows are returned as often as they come. Other columns are ignored.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected(stored(links(distinct.select("fp"), radius), "simhash-links"))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stored(placed, "simhash-roots")
+    rows, placed = _placed(docs, id_col, text_col, radius, words)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
