@@ -26,7 +26,7 @@ from .suffixes import sort_suffixes
 
 LENGTH, GRAM = 100, 32
 #: Spans of one gram that one task sorts; grams with more are split by window.
-HOT = 20_000
+HOT = 2_000
 
 _ANCHORS = "kind int, h long, c long, doc long, th long, pack long"
 _FOUND = "kind int, h long, doc long, th long, pack long"
