@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import filled, squeezed, weighted
+from .text import filled, lookup, squeezed, weighted
 from .urls import resolve_link
 
 PAGE = (
@@ -17,7 +17,7 @@ PAGE = (
     "links array<struct<href: string, text: string, rel: string>>, images array<struct<src: string, alt: string>>, paragraphs array<string>, "
     "times array<string>, authors array<string>, items array<struct<title: string, href: string, text: string>>, "
     "tables array<struct<id: string, rows: array<array<string>>, head: boolean>>, "
-    "blocks array<struct<tag: string, text: string, p: int, h: int, lists: int, linked: int>>, error string"
+    "blocks array<struct<tag: string, text: string, p: int, h: int, lists: int, tables: int, links: int>>, error string"
 )
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p section table td th tr ul".split())
@@ -69,8 +69,6 @@ class _Parts(HTMLParser):
             for k, parts, d in self.open:
                 if k == "item" and d["href"] is None:
                     d["href"], d["title"] = data["href"], d["title"] or text
-                elif k == "block":
-                    d["linked"] += len(text)
         elif kind == "author":
             out["authors"].append(text)
         elif kind == "time":
@@ -80,16 +78,19 @@ class _Parts(HTMLParser):
         elif kind == "cell" and self.table and self.table[-1]["rows"]:
             self.table[-1]["rows"][-1].append(text)
         elif kind == "block":
-            out["blocks"].append({"tag": data["tag"], "text": text, "p": data["p"], "h": data["h"], "lists": data["lists"], "linked": data["linked"]})
+            out["blocks"].append({"tag": data["tag"], "text": text, "p": data["p"], "h": data["h"], "lists": data["lists"], "tables": data["tables"], "links": data["links"]})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
         words = f"{a.get('class', '')} {a.get('id', '')}".lower()
         self._mark(tag)
-        for w in set(words.split()):
+        for w in set(a.get("class", "").lower().split()):
             self._mark("." + w)
-        if a.get("itemprop"):
-            self._mark("@" + a["itemprop"])
+        for sign, name in (("#", "id"), ("@", "itemprop"), ("=", "role")):
+            if a.get(name):
+                self._mark(sign + a[name])
+        if "data-stat" in a:
+            self._mark("data-stat")
         if tag == "html" and a.get("lang"):
             self.out["lang"] = a["lang"]
         if tag == "meta" and (name := a.get("name") or a.get("property")):
@@ -111,8 +112,10 @@ class _Parts(HTMLParser):
         for kind, _, data in self.open:
             if kind == "block":
                 data["p"] += tag == "p"
-                data["h"] += tag in ("h1", "h2", "h3", "h4")
+                data["h"] += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
                 data["lists"] += tag in ("ul", "ol")
+                data["tables"] += tag == "table"
+                data["links"] += tag == "a"
         if tag in _VOID:
             return
         if tag == "p":
@@ -124,7 +127,7 @@ class _Parts(HTMLParser):
         elif tag == "time":
             self._begin("time", at=a.get("datetime", ""))
         if tag in ("article", "main", "section") or tag == "div" and any(w in words for w in ("content", "article", "post", "entry")):
-            self._begin("block", tag=tag, p=0, h=0, lists=0, linked=0)
+            self._begin("block", tag=tag, p=0, h=0, lists=0, tables=0, links=0)
             a["_block"] = "1"
         if any(w in words for w in ("author", "byline")) or a.get("itemprop") == "author":
             self._begin("author")
@@ -223,11 +226,11 @@ def html_title(c: Column) -> Column:
     return squeezed(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-#: Kinds of pages by URL, marks that speak for them, and marks all of which make them sure.
+#: Kinds of pages by URL, selectors that speak for them, and elements all of which make them surer.
 KINDS = (
-    ("news", r"(?i)/(news|article|story|blog|press)", ("article", ".article", ".article-body", ".byline", ".author", "time", "@articleBody"), ("article", "h1")),
-    ("sports", r"(?i)/(players?|teams?|stats|roster)", (".stats_table", ".player-info", "@name", ".roster", ".player"), ("table", ".stats_table")),
-    ("directory", r"(?i)/(directory|suppliers?|companies|listings?)", (".listing", ".supplier", ".company", ".directory", ".card"), ("table", ".directory")),
+    ("news", r"(?i)/news/|/article/|/story/|/blog/|/post/|insurancejournal\.com|reuters\.com|bloomberg\.com", ("article", "=article", ".article-content", "#article-content", "@articleBody", ".story-body", ".post-content"), ("h1", "p")),
+    ("sports", r"(?i)pro.*reference\.com|espn\.com/player|/stats/|/player/|/athlete/", ("#info", ".stats_table", "#all_stats", ".player-header", "data-stat"), ("table",)),
+    ("directory", r"(?i)/directory/|/listing/|/filter/|/search/|/results/|/page/[0-9]+", (".listing-item", ".result-card", ".directory-entry", ".search-result", "=listitem"), ("a",)),
 )
 
 
@@ -342,12 +345,55 @@ def extract_player_bio(parsed: DataFrame) -> DataFrame:
     )
 
 
+#: Words of sports pages, statistics in text, and what finding a block by its tag is worth.
+SPORTS_WORDS = (
+    "stats|statistics|season|career|games|player|team|league|championship|playoff|record|performance|draft|yards|touchdown|sack|interception|fumble|quarterback|running back|wide receiver|defensive|offensive|nfl|passing|rushing|"
+    "receiving|tackles|completion|points|rebounds|assists|steals|blocks|field goal|three pointer|free throw|minutes|nba|shooting"
+)
+STATISTICS = (r"(?i)\d+\s*(?:yards|points|touchdowns|sacks|tackles|assists|rebounds)", r"(?i)\d{4}\s*season", r"(?i)(?:career|season|playoff)\s*stats")
+SOURCES = {"article": 200, "main": 150, "section": 50, "div": 10}
+
+
+def keyword_score(c: Column) -> Column:
+    """5 for each sports word, 300 at most."""
+    return F.least(F.lit(300), 5 * F.regexp_count(F.lower(c), F.lit(rf"\b({SPORTS_WORDS})\b")))
+
+
+def sports_validation(c: Column) -> Column:
+    """struct<score, valid, failed>: six rules on a text, valid from three, names of those that failed."""
+    t = F.coalesce(c, F.lit(""))
+    rules = {
+        "hasPlayerName": t.rlike(r"^[A-Z][a-z]+\s+[A-Z][a-z]+"), "hasStats": t.rlike(STATISTICS[0]), "hasSeasons": t.rlike("20[0-9]{2}|19[0-9]{2}"), "hasBiography": t.rlike("(?i)born|height|weight|college"),
+        "hasSportsKeywords": keyword_score(t) > 20, "hasNumericalData": t.rlike("[0-9]"),
+    }
+    failed = F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules.items()]))
+    return F.struct((6 - F.size(failed)).alias("score"), ((6 - F.size(failed)) >= 3).alias("valid"), failed.alias("failed"))
+
+
+def structured_quality(df: DataFrame) -> DataFrame:
+    """df (name, position, height, weight, birth_date, college, draft, career, seasons, playoffs, achievements) with quality 0 to 100."""
+    has = lambda c: filled(F.col(c).cast("string"))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return df.withColumn("quality", weighted(
+        (has("name"), 20), (has("position"), 15), (has("height") & has("weight"), 10), (has("birth_date"), 10), (has("college"), 10), (has("draft"), 15), (some("career"), 10), (some("seasons"), 10), (some("playoffs"), 5),
+        (some("achievements"), 5),
+    ))
+
+
 def main_content_score(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, method, score, text): the best block of 200 characters or more by paragraphs, headings, lists, length and link share."""
+    """(page_id, url, method, score, text): the best block of 200 characters or more.
+
+    30 a paragraph, 80 a heading, 20 a list, half a point a character, 2 a word up to 1000, less for more than a link in
+    ten words; bonuses for its tag, sports words, tables (100 each up to 500) and statistics (20 each up to 200 a kind).
+    """
     b = parsed.select("page_id", "url", F.explode("blocks").alias("b")).select("page_id", "url", "b.*").filter(F.length("text") >= 200)
     words = F.size(F.split("text", r"\s+"))
-    score = 30.0 * F.col("p") + 80.0 * F.col("h") + 20.0 * F.col("lists") + 0.5 * F.length("text") + F.least(2 * words, F.lit(1000)) - 500.0 * F.col("linked") / F.length("text")
-    scored = b.withColumn("score", F.round(score, 4))
+    dense = F.greatest(F.col("links") / (words + 1) - 0.1, F.lit(0.0)) * 500.0
+    base = F.greatest(F.lit(0.0), 30.0 * F.col("p") + 80.0 * F.col("h") + 20.0 * F.col("lists") + 0.5 * F.length("text") + F.least(2 * words, F.lit(1000)) - dense)
+    bonus = lookup({k: str(v) for k, v in SOURCES.items()}, F.col("tag")).cast("double") + keyword_score(F.col("text")) + F.least(100 * F.col("tables"), F.lit(500))
+    for pattern in STATISTICS:
+        bonus = bonus + F.least(20 * F.regexp_count("text", F.lit(pattern)), F.lit(200))
+    scored = b.withColumn("score", F.round(base + bonus, 4))
     return scored.groupBy("page_id", "url").agg(F.max_by(F.struct(F.col("tag").alias("method"), "score", "text"), F.struct("score", "text")).alias("r")).select("page_id", "url", "r.*")
 
 

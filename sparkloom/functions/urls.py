@@ -164,7 +164,7 @@ def _label_name(h: Column) -> Column:
 
 #: Link parameters of aggregators, in the order in which they are tried.
 LINK_PARAMS = ("url", "u", "target", "redirect", "targetUrl", "website")
-AGGREGATORS = ("sourcescrub.com",)
+AGGREGATORS = ("app.sourcescrub.com", "sourcescrub.com", "google.com", "bing.com", "linkedin.com", "www.linkedin.com", "dnb.com", "zoominfo.com", "crunchbase.com")
 
 
 def canonical_website(c: Column, aggregators: Sequence[str] = AGGREGATORS) -> Column:
@@ -177,5 +177,5 @@ def canonical_website(c: Column, aggregators: Sequence[str] = AGGREGATORS) -> Co
         found = F.coalesce(*[F.nullif(F.try_url_decode(F.regexp_extract(u, f"[?&]{p}=([^&#]*)", 1)), F.lit("")) for p in LINK_PARAMS])
         return let(found, lambda x: F.when(x.rlike("(?i)^https?://"), x).otherwise(F.concat(F.lit("https://"), x)))
 
-    inside = lambda u: let(unwrapped(u), lambda x: F.when(~in_domains(host(x), aggregators), origin(x)))
-    return let(t, lambda u: F.when(in_domains(host(u), aggregators), inside(u)).otherwise(origin(u)))
+    inside = lambda u: let(unwrapped(u), lambda x: F.when(~host(x).isin(*aggregators), origin(x)))
+    return let(t, lambda u: F.when(host(u).isin(*aggregators), inside(u)).otherwise(origin(u)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import companies as C, urls as U
-from ..functions.text import clean_phone, clean_website, filled, trimmed, weighted
+from ..functions.text import clean_phone, clean_website, filled, trimmed
 from .mapping import anything, column_by_synonyms, pick_columns
 
 
@@ -19,14 +19,22 @@ def dedupe_companies(df: DataFrame, by: Sequence[str] = ("url",), name: str = "n
 
 
 def directory_score(companies: DataFrame, meta: DataFrame) -> DataFrame:
-    """(url, n, complete, empty, score, valid) per page: companies (url, name, contact, website), meta (url, title, description)."""
-    full = filled(F.col("contact")) & filled(F.col("website"))
-    counts = companies.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.count_if(full).alias("complete"), F.count_if(~filled(F.col("contact")) & ~filled(F.col("website"))).alias("empty"), F.count_if(filled(F.col("name"))).alias("named"))
-    out = meta.join(counts, "url", "left").fillna(0, ["n", "complete", "empty", "named"])
-    title, about = filled(F.col("title")), filled(F.col("description"))
-    score = F.least(10 * F.col("n"), F.lit(100)) + 20 * F.col("complete") + F.when(title, 10).otherwise(0) + F.when(about, 10).otherwise(0) - 5 * F.col("empty")
-    rules = weighted((F.col("n") > 0, 1), (F.col("n") >= 3, 1), (F.col("named") == F.col("n"), 1), (F.col("complete") > 0, 1), (title, 1), (F.col("empty") < F.col("n"), 1))
-    return out.select("url", "n", "complete", "empty", F.greatest(F.lit(0), F.least(F.lit(200), score)).alias("score"), (rules >= 4).alias("valid"))
+    """(url, n, complete, empty, score, valid) per page: companies (url, name, contact, website), meta (url, title, description).
+
+    Complete rows have all three, empty ones no name; valid pages keep four of six rules: some company, name, contact,
+    site, capitalized name, absolute site.
+    """
+    name, contact, site = (F.coalesce(c, F.lit("")) for c in ("name", "contact", "website"))
+    counts = companies.groupBy("url").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((name != "") & (contact != "") & (site != "")).alias("complete"), F.count_if(name == "").alias("empty"),
+        (
+            F.lit(1) + F.bool_or(F.length(name) > 2).cast("int") + F.bool_or(F.length(contact) > 5).cast("int") + F.bool_or(F.length(site) > 5).cast("int")
+            + F.bool_or(name.rlike("^[A-Z]")).cast("int") + F.bool_or(site.rlike("https?://")).cast("int")
+        ).alias("rules"),
+    )
+    out = meta.join(counts, "url", "left").fillna(0, ["n", "complete", "empty", "rules"])
+    score = F.least(10 * F.col("n"), F.lit(100)) + 20 * F.col("complete") + F.when(filled(F.col("title")), 10).otherwise(0) + F.when(filled(F.col("description")), 10).otherwise(0) - 5 * F.col("empty")
+    return out.select("url", "n", "complete", "empty", F.greatest(F.lit(0), F.least(F.lit(200), score)).alias("score"), (F.col("rules") >= 4).alias("valid"))
 
 
 #: Other names of a sheet's columns.

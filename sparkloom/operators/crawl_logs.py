@@ -204,7 +204,7 @@ def retry_type(code: Column, status: Column, message: Column) -> Column:
     )
 
 
-def retry_schedule(failures: DataFrame, most_ms: int = 300_000) -> DataFrame:
+def retry_schedule(failures: DataFrame, most_ms: int = 60_000) -> DataFrame:
     """failures (code, status, message, attempt from 1) with error_type, strategy, can_retry and delay_ms, without jitter."""
     table = failures.sparkSession.createDataFrame(STRATEGIES, "error_type string, max_retries int, factor double, first_ms long, strategy string")
     rows = failures.withColumn("error_type", retry_type(F.col("code"), F.col("status"), F.col("message"))).join(F.broadcast(table), "error_type")

@@ -12,7 +12,7 @@ from ..functions.text import apply_transforms, header_similarity, trimmed
 
 def _scores(headers: DataFrame, defs: DataFrame) -> DataFrame:
     """(header, pos, target, score): best similarity of each header and target field; both tables are small configuration."""
-    names = defs.select("target_field", F.explode("source_headers").alias("name")).union(defs.select("target_field", F.col("target_field")))
+    names = defs.select("target_field", F.explode("source_headers").alias("name"))
     pairs = headers.join(F.broadcast(names), header_similarity(F.col("header"), F.col("name")) > 0)
     return pairs.groupBy("header", "pos", "target_field").agg(F.max(header_similarity(F.col("header"), F.col("name"))).alias("score"))
 
@@ -84,38 +84,42 @@ def column_shape(sheet: DataFrame, rows: int = 200) -> DataFrame:
     names = sheet.columns
     head = sheet.limit(rows).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
     cells = head.select(F.explode(F.array(*[F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").alias("v")) for c in names])).alias("x")).select("x.header", trimmed(F.col("x.v")).alias("v"))
-    url = F.col("v").rlike(r"(?i)^(https?://|www\.)|^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}(/|$)")
-    para = (F.length("v") >= 80) & F.col("v").contains(" ")
-    cells = cells.withColumn("is_url", F.coalesce(url, F.lit(False))).withColumn("host", F.when(url, F.regexp_replace(U.host(F.when(F.col("v").rlike("(?i)^https?://"), F.col("v")).otherwise(F.concat(F.lit("https://"), F.col("v")))), r"^www\.", "")))
+    url = F.col("v").rlike(r"(?i)^(https?://)?([a-z0-9-]+\.)+[a-z]{2,}(/.*)?$")
+    para = (F.length("v") >= 40) & F.col("v").rlike(r"\s")
+    cells = cells.withColumn("is_url", F.coalesce(url, F.lit(False))).withColumn("host", F.when(url, U.host(F.when(F.col("v").contains("://"), F.col("v")).otherwise(F.concat(F.lit("https://"), F.col("v"))))))
     full = F.count_if(F.col("v").isNotNull() & (F.col("v") != ""))
     shape = cells.groupBy("header").agg(full.alias("n"), F.coalesce(F.try_divide(F.count_if("is_url") * 1.0, full), F.lit(0.0)).alias("url_share"), F.coalesce(F.try_divide(F.count_if(F.coalesce(para, F.lit(False))) * 1.0, full), F.lit(0.0)).alias("paragraph_share"))
     hosts = cells.filter("host is not null").groupBy("header", "host").count().groupBy("header").agg(F.max_by("host", F.struct("count", "host")).alias("top_host"))
     return shape.join(hosts, "header", "left")
 
 
-#: Header patterns of each field and their scores, and the bonus kind of the field.
+#: Header patterns of each field; every one that fits counts 2.
 FIELD_PATTERNS = {
-    "company": ((r"(?i)^company\s*name$", 10), (r"(?i)company", 6), (r"(?i)^name$", 5), (r"(?i)organi[sz]ation", 4)),
-    "website": ((r"(?i)^website$", 10), (r"(?i)web\s*site|domain|homepage", 6), (r"(?i)url", 3)),
-    "description": ((r"(?i)^description$", 10), (r"(?i)description|about|overview", 6), (r"(?i)summary", 4)),
+    "company": (r"^(company|legal)\s*name$", r"^company$", r"^name$", r"^firm$", r"^organization$", r"^org$", r"^account\s*name$"),
+    "website": (r"^web\s*site$", r"^website$", r"^url$", r"homepage", r"domain", r"company\s*site", r"\bsite\b"),
+    "description": (r"^description$", r"profile|overview|about|summary"),
+    "specialties": (r"specialt(y|ies)", r"capabilit", r"competenc", r"expertise", r"service\s*lines?", r"focus\s*areas?"),
+    "products": (r"^products?$", r"solutions?|offerings?|equipment|sku"),
+    "end_markets": (r"end\s*markets?", r"markets?\s*served", r"verticals|segments"),
+    "industries": (r"^industry$", r"industries$", r"sector", r"naics|sic|category|categories"),
 }
 
 
 def pick_columns(sheet: DataFrame, patterns: dict = FIELD_PATTERNS, aggregators: tuple[str, ...] = U.AGGREGATORS) -> dict[str, str | None]:
-    """The best column for each field: pattern score plus 6 x URL share (websites, -3 for aggregators) or 4 x paragraph share (descriptions)."""
-    shapes = {r.header: r for r in column_shape(sheet).collect()}
+    """The best column for each field, of equals the first: pattern score plus 6 x URL share (websites, less 3 for aggregators) or 4 x paragraph share (texts)."""
     import re
 
+    shapes = {r.header: r for r in column_shape(sheet).collect()}
     out: dict[str, str | None] = {}
     for field, rules in patterns.items():
-        best, found = 0.0, None
+        best, found = 0, None
         for header in sheet.columns:
             shape = shapes[header]
-            score = next((float(s) for p, s in rules if re.search(p, header)), 0.0)
+            score = 2 * sum(bool(re.search(p, header.strip(), re.I)) for p in rules)
             if field == "website":
-                score += 6 * shape.url_share - (3 if any((shape.top_host or "").endswith(a) for a in aggregators) else 0)
-            elif field == "description":
-                score += 4 * shape.paragraph_share
+                score += int(6 * shape.url_share + 0.5) - (3 if shape.top_host in aggregators else 0)
+            elif field in ("description", "specialties", "products"):
+                score += int(4 * shape.paragraph_share + 0.5)
             if score > best:
                 best, found = score, header
         out[field] = found

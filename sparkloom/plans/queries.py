@@ -233,7 +233,7 @@ def htm6_extract_headings(spark, sf_dir):
 
 @query()
 def htm12_main_content(spark, sf_dir):
-    return H.main_content_score(H.parse_pages(table(spark, sf_dir, "pages"))).select("page_id", "method", "score")
+    return H.main_content_score(H.parse_pages(table(spark, sf_dir, "pages"))).select("page_id", "method", "score", "text")
 
 
 # ---- scalar functions over customer, supplier, part
@@ -495,7 +495,7 @@ def win8_progress(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT event_id, event_id % 4 AS k, 1 + event_id % 5 AS a FROM events WHERE event_type = 'error') SELECT event_id, CASE k WHEN 0 THEN 'RATE_LIMITED' WHEN 1 THEN 'HTTP_404' WHEN 2 THEN 'TIMEOUT' ELSE 'DEFAULT' END AS error_type,
-  CASE k WHEN 0 THEN least(5000 * 2 ** (a - 1), 300000) WHEN 1 THEN 0 WHEN 2 THEN 2000 * a ELSE 2000 * 2 ** (a - 1) END::BIGINT AS delay_ms, a <= CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 2 END AS can_retry FROM f""")
+  CASE k WHEN 0 THEN least(5000 * 2 ** (a - 1), 60000) WHEN 1 THEN 0 WHEN 2 THEN 2000 * a ELSE 2000 * 2 ** (a - 1) END::BIGINT AS delay_ms, a <= CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 2 END AS can_retry FROM f""")
 def str7_retry_schedule(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'error'")
     rows = e.select("event_id", F.expr("CASE event_id % 4 WHEN 0 THEN 'RATE_LIMITED' WHEN 2 THEN 'ETIMEDOUT' END").alias("code"), F.expr("CASE event_id % 4 WHEN 1 THEN 404 END").alias("status"), F.lit(None).cast("string").alias("message"), (1 + F.col("event_id") % 5).alias("attempt"))
@@ -620,10 +620,10 @@ def agg10_dedupe_companies(spark, sf_dir):
     return OC.dedupe_companies(rows, ())
 
 
-@query("""WITH c AS (SELECT p_brand AS url, count(*) AS n, count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 2 = 0) AS complete, count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 2 <> 0) AS empty FROM part GROUP BY 1) SELECT url, n, complete, empty, greatest(0, least(200, least(10 * n, 100) + 20 * complete + 10 - 5 * empty))::BIGINT AS score FROM c""")
+@query("""WITH c AS (SELECT p_brand AS url, count(*) AS n, count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND p_partkey % 5 <> 0) AS complete, count(*) FILTER (p_partkey % 5 = 0) AS empty FROM part GROUP BY 1) SELECT url, n, complete, empty, greatest(0, least(200, least(10 * n, 100) + 20 * complete + 10 - 5 * empty))::BIGINT AS score FROM c""")
 def agg9_directory_score(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_brand").alias("url"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "x").alias("contact"), F.when(F.col("p_partkey") % 2 == 0, "y").alias("website"))
+    rows = p.select(F.col("p_brand").alias("url"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, "x").alias("contact"), F.when(F.col("p_partkey") % 2 == 0, "y").alias("website"))
     meta = p.select(F.col("p_brand").alias("url")).distinct().select("url", F.lit("t").alias("title"), F.lit("").alias("description"))
     return OC.directory_score(rows, meta).select("url", "n", "complete", "empty", F.col("score").cast("long").alias("score"))
 

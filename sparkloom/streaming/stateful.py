@@ -55,7 +55,7 @@ class _Window:
 
 
 #: Rates of a host unless its profile says otherwise.
-PROFILE = {"min_rps": 0.1, "max_rps": 2.0, "start_rps": 0.5, "backoff": 0.5, "recovery": 1.1, "cooldown_ms": 60_000, "recovery_after": 10}
+PROFILE = {"start_rps": 5.0, "max_rps": 10.0, "min_rps": 0.5, "backoff": 0.6, "recovery": 1.1, "recovery_after": 15, "cooldown_ms": 30_000}
 
 
 class _Rate:

@@ -82,6 +82,18 @@ def test_pick_columns_prefers_websites(spark):
     assert (rows.name, rows.state) == ("Acme", "TX")
 
 
+def test_page_scores(spark):
+    text = "Pat Doe had 300 yards in 9 games of the 2001 season; career stats show 20 touchdowns. Born in Ohio."
+    r = spark.createDataFrame([(text,), (None,)], "t string").select(H.sports_validation(F.col("t")).alias("v")).collect()
+    assert (r[0].v.score, r[0].v.valid, r[0].v.failed) == (6, True, []) and (r[1].v.score, r[1].v.valid) == (0, False)
+    row = spark.createDataFrame([("A", "QB", "6-2", None, "x", "", "r1", {"a": "b"}, ["s"], None, [])], "name string, position string, height string, weight string, birth_date string, college string, draft string, career map<string, string>, seasons array<string>, playoffs map<string, string>, achievements array<string>")
+    assert H.structured_quality(row).first().quality == 20 + 15 + 10 + 15 + 10 + 10
+    block = "word " * 60
+    pages = spark.createDataFrame([(1, "u", f"<body><article><h1>T</h1><p>{block}</p></article><div class='content'><p>short</p></div></body>")], "page_id long, url string, html string")
+    best = H.main_content_score(H.parse_pages(pages)).first()
+    assert best.method == "article" and best.score == 30 + 80 + 0.5 * len(best.text) + 2 * 61 + 200
+
+
 PAGE = """<html lang="en"><head><title>List</title><meta name="author" content="Jo"></head><body><h1>Makers</h1><p>Intro <b>text<p>Page 2 of 7
 <table class="directory"><tr><th>Company</th><th>Contact</th><th>Website</th></tr><tr><td>Acme &amp; Co</td><td>(212) 555-0100</td><td>www.acme.com</td></tr><tr><td>acme co</td><td></td></tr><tr><td>Beta</td><td>x</td></tr></table>
 <a href="/next" rel="next">Next</a> <a href="#x">skip</a> <a href="https://o.org/">o</a><a href="/next">again</a><script>var a="<p>no</p>";</script></body>"""
@@ -90,9 +102,9 @@ STATS = """<html><body><h1 itemprop="name">Pat Doe</h1><div class="player-info">
 
 
 def test_html(spark):
-    pages = spark.createDataFrame([(1, "https://x.com/suppliers/a/b", PAGE), (2, "https://x.com/players/D/x.htm", STATS), (3, "https://x.com/", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "https://x.com/suppliers/a/b", PAGE), (2, "https://x.com/player/D/x.htm", STATS), (3, "https://x.com/", None)], "page_id long, url string, html string")
     parsed = H.parse_pages(pages).cache()
-    assert {r.page_id: r.type for r in H.content_type(parsed).collect()} == {1: "directory", 2: "sports", 3: "generic"}
+    assert {r.page_id: r.type for r in H.content_type(parsed).collect()} == {1: "news", 2: "sports", 3: "generic"}
     companies = H.extract_companies(parsed.filter("page_id = 1"))
     assert [(r.name, r.contact, r.website) for r in companies.orderBy("pos").collect()] == [("Acme & Co", "(212) 555-0100", "www.acme.com"), ("acme co", "", None), ("Beta", "x", None)]
     kept = OC.supplier_directory(companies)
@@ -137,7 +149,7 @@ def test_window_limit_and_rate_equal_a_plain_replay(spark):
     rows = [(f"h{i % 3}", (base + pd.Timedelta(milliseconds=137 * i * (1 + i % 7))).to_pydatetime(), [200, 200, 429, 503, 200][i * i % 5], "2" if i % 4 == 0 else None, i) for i in range(400)]
     df = spark.createDataFrame(rows, "host string, ts timestamp, status int, retry_after string, i int").repartition(5)
     got = {r.i: (r.allowed, r.remaining, r.retry_after_s) for r in S.fixed_window_limit(df, "host", 5, 10_000, ("i",)).collect()}
-    rates = {r.i: (round(r.rps, 9), r.paused_until, r.reason) for r in S.adaptive_rate(df, order=("i",)).collect()}
+    rates = {r.i: (round(r.rps, 9), r.paused_until, r.reason) for r in S.adaptive_rate(df, dict(min_rps=0.1, max_rps=2.0, start_rps=0.5, backoff=0.5, recovery=1.1, cooldown_ms=60_000, recovery_after=10), order=("i",)).collect()}
     assert len(got) == len(rates) == 400
     opened, state = {}, {}
     for host, ts, status, after, i in sorted(rows, key=lambda r: (r[0], r[1], r[4])):
