@@ -1,9 +1,9 @@
 """Document fingerprints by I-Match with randomised lexicons, in DataFrame and SQL functions only.
 
 The lexicon is the terms whose document frequency lies in a band of the inverse document frequency. A text's distinct
-lexicon terms are sorted; each of SUBSETS random sub-lexicons hashes those of them that it holds. Sub-lexicons keep
-one term in 2, 4, ... 256, so that texts of any length have some that hold a few of their terms, and likeness (the
-share of sub-lexicons that agree) falls with the share of terms that differ.
+lexicon terms are sorted; each of SUBSETS random sub-lexicons hashes those of them that it holds. The first keeps all
+terms, the others one term in 16 to 256, so that texts of any length have some that hold one or two of their terms, and
+likeness (the share of sub-lexicons that agree) falls with the share of terms that differ.
 
 The lexicon's size is bounded by the band, not by the corpus: with T distinct terms in a document on average, at most
 T / LEAST terms are in that share of documents. It is sent with the plan as 64-bit term hashes.
@@ -17,7 +17,13 @@ from .common import partitions
 
 #: Share of documents that a lexicon term must be in at least, and may be in at most.
 LEAST, MOST = 0.004, 0.1
-SUBSETS, RATES = 32, 8
+SUBSETS = 32
+
+
+def rates() -> list[int]:
+    """One term in how many each sub-lexicon keeps: the first all, the others 16 to 256."""
+    return [1] + [16 << k % 5 for k in range(SUBSETS - 1)]
+
 
 _TERMS = r"array_distinct(filter(split(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), t -> t != ''))"
 
@@ -42,7 +48,7 @@ def fingerprint(text: str, words: list[int]) -> Column:
     """
     held = f"filter({{all}}, t -> xxhash64(t) IN ({','.join(f'{w}L' if w != -(1 << 63) else 'bigint(-9223372036854775808)' for w in words)}))" if words else "filter({all}, t -> false)"
     chosen = f"transform(array({terms(text)}), a -> transform(array({held.format(all='a')}), b -> sort_array(if(size(b) > 0, b, a)))[0])[0]"
-    part = f"filter(s, t -> pmod(xxhash64(t, k), shiftleft(2L, k % {RATES})) = 0)"
+    part = f"filter(s, t -> pmod(xxhash64(t, k), array({','.join(map(str, rates()))})[k]) = 0)"
     hashed = f"transform(sequence(0, {SUBSETS - 1}), k -> transform(array({part}), p -> if(size(p) = 0, 0L, xxhash64(p) & 4294967295L))[0])"
     whole = f"transform(sequence(0, {SUBSETS - 1}), k -> xxhash64({text}, k) & 4294967295L)"
     return F.expr(f"transform(array({chosen}), s -> if(size(s) > 0, {hashed}, {whole}))[0]")
@@ -60,8 +66,8 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when {used} > 0 then {same} / cast({used} as double) when {a} = {b} then 1.0D else 0.0D end")
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (doc_id, text, ...) and for each of `columns` next_<column>: that of the row with the next doc_id, after the last the first.
+def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """rows (doc_id, text), the derived columns, and next_text, next_<derived>: those of the row with the next doc_id, after the last the first.
 
     Rows are dealt to ranges of doc_id bounded by quantiles, each range also gets the first row of the range after it,
     and a window inside ranges looks one row ahead: each text moves once. Null ids come first, ties go by text.
@@ -74,14 +80,14 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     dealt = rows.withColumn("_range", F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c <= _at))") if cuts and cuts[0] > -(1 << 63) else F.lit(0))
     firsts = sorted((r._range, r._at) for r in dealt.groupBy("_range").agg(F.min("_at").alias("_at")).collect())
     if not firsts:
-        return rows.drop("_at").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return rows.drop("_at").withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in ("text", *derived)])
     heads = spark.createDataFrame([(firsts[i - 1][0], firsts[i][1]) for i in range(len(firsts))], "_to int, _at long")
     halo = dealt.join(F.broadcast(heads), "_at").withColumn("_range", F.col("_to")).drop("_to")
     one = halo.groupBy("_range").agg(F.min("text").alias("text")).withColumnRenamed("text", "_least")
     halo = halo.join(F.broadcast(one), "_range").filter("text = _least").drop("_least").dropDuplicates(["_range"])
-    both = dealt.withColumn("_halo", F.lit(0)).unionByName(halo.withColumn("_halo", F.lit(1)))
+    both = dealt.withColumn("_halo", F.lit(0)).unionByName(halo.withColumn("_halo", F.lit(1))).withColumns(derived)
     ahead = "partition by _range order by _halo, _at, text"
-    out = both.select("*", *[F.expr(f"lead({c}) over ({ahead})").alias(f"next_{c}") for c in columns])
+    out = both.select("*", *[F.expr(f"lead({c}) over ({ahead})").alias(f"next_{c}") for c in ("text", *derived)])
     return out.filter("_halo = 0").drop("_halo", "_range", "_at")
 
 
@@ -101,7 +107,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = lexicon(rows)
-    paired = with_next(rows.withColumn("fp", fingerprint("text", words)), ["text", "fp"])
+    paired = with_next(rows, {"fp": fingerprint("text", words)})
     half = "cast(floor(length(text) / 2) as int)"
     paired = paired.withColumn("edited", F.expr(f"concat(left(text, length(text) - {half}), left(next_text, {half}))"))
     made = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("edited", words).alias("edited_fp"))

@@ -33,7 +33,7 @@ def plain(text, words):
         if not chosen:
             out.append(h64(text, k) & 0xFFFFFFFF)
             continue
-        part = [t for t in chosen if h64(t, k) % (2 << (k % imatch.RATES)) == 0]
+        part = [t for t in chosen if h64(t, k) % imatch.rates()[k] == 0]
         out.append(h64(*part) & 0xFFFFFFFF if part else 0)
     return "".join(f"{v:08x}" for v in out)
 
