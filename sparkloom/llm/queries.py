@@ -65,4 +65,14 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu)}
-ORACLE_SQL: dict[str, str] = {}
+#: Every byte and every 100-byte string as rows: fine for a small table.
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+  b AS (SELECT doc_id, n, i, substr(h, 2 * i - 1, 2) AS x, CASE WHEN i + 99 <= n THEN md5(substr(h, 2 * i - 1, 200)) END AS w FROM d, unnest(range(1, n + 1)) AS t(i)),
+  s AS (SELECT *, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM b),
+  c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM s),
+  e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),
+  g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY 1)
+  SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _REPEATS}
