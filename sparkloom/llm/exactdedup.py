@@ -282,7 +282,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     requests = found.filter(F.col("kind") == REQUEST)
     spans = stored(_spans(texts, requests, length), "repeats-spans")
     sizes = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > HOT).select("h")
+    hot = stored(sizes.filter(F.col("n") > HOT).select("h"), "repeats-hot")  # a table of its own: Spark can split the joins' hot keys
     few = _sorted_ranges(spans.join(hot, "h", "left_anti").select(spans.columns), length)
     many = _split_ranges(spans.join(hot, "h", "left_semi").select(spans.columns), length)
     part = stored(few.union(many), "repeats-sorted")
