@@ -17,5 +17,11 @@ def training_labels(labels: DataFrame, label_col: str, modulus: int, remainder:
 
 
 def bounded(df: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `rows` rows, those with the least hash of their id: the same ones at every partitioning."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(11)), id_col).limit(rows)
+    """About `rows` rows at most: all, or those whose id's hash is in the least rows / count share.
+
+    The same rows at every partitioning, and no task or driver ever holds more than the sample itself.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.xxhash64(F.col(id_col), F.lit(11)).bitwiseAND((1 << 63) - 1) < int(rows / n * (1 << 63)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER_NP, NOT_ALNUM, chunked, mix, prefix_sums, slice_hashes, stored, word_bounds
 from .learning import bounded, held_out, training_labels
 
-#: Rows at most of either sample that the model is fitted on.
+#: Rows, about, of either sample that the model is fitted on at most.
 SAMPLE = 10_000
 BINS = 12
 
@@ -130,10 +130,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` trusted positives and as many unlabelled rows of features(); labels of held-out ids are never read."""
+    """Fits on about `sample` trusted positives at most and as many unlabelled rows of features(); labels of held-out ids are never read."""
     known = training_labels(labels, label_col, modulus, remainder)
     share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    positive = bounded(found.join(known.filter("label = 1"), "doc_id").select("doc_id", "x"), sample)
+    positive = found.join(bounded(known.filter("label = 1"), sample), "doc_id").select("doc_id", "x")
     unlabelled = bounded(found.filter("doc_id is not null"), sample)
 
     def matrix(df: DataFrame) -> np.ndarray:

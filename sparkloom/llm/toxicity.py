@@ -20,7 +20,7 @@ from .learning import bounded, held_out, training_labels
 
 #: Bytes of the word beginnings that count as features of their own, so that inflected forms share what is learnt.
 BEGINNINGS = (4, 5, 6, 7)
-#: Hashed feature space, rows at most that the model is fitted on, and shards that learn side by side.
+#: Hashed feature space, labelled rows, about, that the model is fitted on at most, and shards that learn side by side.
 SIZE, SAMPLE, SHARDS = 1 << 20, 24_000, 4
 
 
@@ -82,7 +82,7 @@ def fit_rows(features: np.ndarray, rows: np.ndarray, labels: np.ndarray, epochs:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, remainder: int = 2, sample: int = SAMPLE, shards: int = SHARDS) -> np.ndarray:
-    """Weights fitted on at most `sample` labelled rows; docs has doc_id and text. Labels of held-out ids are never read."""
+    """Weights fitted on about `sample` labelled rows at most; docs has doc_id and text. Labels of held-out ids are never read."""
     known = bounded(training_labels(labels, label_col, modulus, remainder), sample)
     rows = docs.join(known, "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("shard"))
 
