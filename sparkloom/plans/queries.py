@@ -165,10 +165,10 @@ def url15_summary(spark, sf_dir):
 
 @query(f"""WITH p AS ({_PARTS} FROM (SELECT page_id, {_ODD} AS u FROM pages)), c AS (SELECT page_id, CASE WHEN {_CATEGORY} = 'valid' AND hst = 'localhost' THEN 'private_host' ELSE {_CATEGORY} END AS category, {_NORM} AS nrm FROM p),
   n AS (SELECT page_id, category, CASE WHEN category = 'valid' THEN nrm END AS normalized FROM c), f AS (SELECT normalized, min(page_id) AS first_idx FROM n WHERE normalized IS NOT NULL GROUP BY 1)
-  SELECT page_id AS idx, category, n.normalized, first_idx, CASE WHEN n.normalized IS NULL THEN 'invalid' WHEN first_idx = page_id THEN 'valid' ELSE 'duplicate' END AS status FROM n LEFT JOIN f ON n.normalized = f.normalized""")
+  SELECT page_id AS idx, category, n.normalized, coalesce(first_idx, -1) AS first_idx, CASE WHEN n.normalized IS NULL THEN 'invalid' WHEN first_idx = page_id THEN 'valid' ELSE 'duplicate' END AS status FROM n LEFT JOIN f ON n.normalized = f.normalized""")
 def job1_url_intake(spark, sf_dir):
     rows = odd_urls(spark, sf_dir).withColumnRenamed("page_id", "idx")
-    return OU.url_intake(rows).select("idx", "category", "normalized", "first_idx", "status")
+    return OU.url_intake(rows).select("idx", "category", "normalized", F.coalesce("first_idx", F.lit(-1).cast("long")).alias("first_idx"), "status")
 
 
 @query(f"""WITH p AS ({_PARTS} FROM ({_TWINS})), n AS (SELECT DISTINCT hst AS host, {_NORM} AS normalized FROM p) SELECT host, count(*) AS unique_pages FROM n GROUP BY 1""")
@@ -314,9 +314,9 @@ def scl12_deal_values(spark, sf_dir):
     return deal_docs(spark, sf_dir).select("doc_id", N.deal_value(t).alias("deal_value"), N.transaction_type(t).alias("transaction_type"), N.ma_related(t).alias("related"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN make_date(2024, 3, (1 + doc_id % 28)::INT) END AS newest FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN strftime(make_date(2024, 3, (1 + doc_id % 28)::INT), '%Y-%m-%d') END AS newest FROM documents")
 def scl14_extract_dates(spark, sf_dir):
-    return deal_docs(spark, sf_dir).select("doc_id", F.try_element_at(N.extract_dates(F.col("text")), F.lit(1))["parsed"].alias("newest"))
+    return deal_docs(spark, sf_dir).select("doc_id", F.try_element_at(N.extract_dates(F.col("text")), F.lit(1))["parsed"].cast("string").alias("newest"))
 
 
 @query()
@@ -354,10 +354,10 @@ def clause_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_CLAUSE).alias("text"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN (12 + doc_id % 36)::INT END AS months, CASE doc_id % 6 WHEN 0 THEN greatest(0, least(40, 12 + doc_id % 36 - 24)) WHEN 1 THEN 20 WHEN 2 THEN 25 WHEN 3 THEN 20 WHEN 4 THEN 20 ELSE 0 END::INT AS burden FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 12 + doc_id % 36 ELSE -1 END::INT AS months, CASE doc_id % 6 WHEN 0 THEN greatest(0, least(40, 12 + doc_id % 36 - 24)) WHEN 1 THEN 20 WHEN 2 THEN 25 WHEN 3 THEN 20 WHEN 4 THEN 20 ELSE 0 END::INT AS burden FROM documents""")
 def scl23_term_and_burden(spark, sf_dir):
     t = F.col("text")
-    return clause_docs(spark, sf_dir).select("doc_id", K.term_months(t).alias("months"), K.burden_score(t).alias("burden"))
+    return clause_docs(spark, sf_dir).select("doc_id", F.coalesce(K.term_months(t), F.lit(-1)).alias("months"), K.burden_score(t).alias("burden"))
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(CASE doc_id % 6 WHEN 0 THEN CASE WHEN 12 + doc_id % 36 > 24 THEN ['Term:replace'] ELSE [] END WHEN 1 THEN ['Term:insert', 'Legal modifiers:replace'] WHEN 2 THEN ['Confidential Information Carve-Out:replace'] WHEN 3 THEN ['Affiliate Language:replace', 'State of Jurisdiction:replace'] ELSE [] END) AS x FROM documents)
@@ -417,10 +417,10 @@ def agg2_error_categories(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT *, {_CAT} AS category, 'host' || event_id % 3 AS code FROM ({_RESULT}) WHERE NOT success), x AS (SELECT *, row_number() OVER (PARTITION BY category, code ORDER BY ts, url) AS k FROM r)
-  SELECT category, code, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, string_agg(url, ' ' ORDER BY k) FILTER (k <= 5) AS examples FROM x GROUP BY 1, 2""")
+  SELECT category, code, count(*) AS n, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, string_agg(url, ' ' ORDER BY k) FILTER (k <= 5) AS examples FROM x GROUP BY 1, 2""")
 def agg3_error_patterns(spark, sf_dir):
     rows = results(spark, sf_dir).filter("not success").withColumn("category", L.error_category(F.col("error"))).withColumn("code", F.concat(F.lit("host"), F.col("event_id") % 3))
-    return L.error_patterns(rows).select("category", "code", "n", "first_seen", "last_seen", F.array_join("example_urls", " ").alias("examples"))
+    return L.error_patterns(rows).select("category", "code", "n", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("first_seen", "last_seen")], F.array_join("example_urls", " ").alias("examples"))
 
 
 @query(f"WITH r AS ({_RESULT}), c AS (SELECT {_CAT} AS category, count(*) AS n FROM r WHERE NOT success GROUP BY 1) SELECT CASE category WHEN 'server_error' THEN 'server' ELSE category END AS type, CASE category WHEN 'timeout' THEN 'high' ELSE 'medium' END AS severity, n FROM c WHERE category = 'timeout' AND n > 3 OR category = 'server_error' AND n > 2")
@@ -648,3 +648,83 @@ def jon4_auto_map_headers(spark, sf_dir):
 @query()
 def agg13_column_shape(spark, sf_dir):
     return M.column_shape(sheet(spark, sf_dir))
+
+
+# ---- further operators
+
+@query("""SELECT o_orderkey, year(o_orderdate)::INT AS season, (o_orderkey % 17)::DOUBLE AS games FROM orders WHERE o_orderkey % 10 <> 0 AND year(o_orderdate) BETWEEN 1993 AND 1997 AND o_orderkey % 17 >= 3 AND substr(o_orderpriority, 1, 1) IN ('1', '2')""")
+def flt1_eligible_seasons(spark, sf_dir):
+    season = F.when(F.col("o_orderkey") % 10 == 0, "Career").otherwise(F.year("o_orderdate").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", season.alias("season_text"), (F.col("o_orderkey") % 17).cast("string").alias("games_text"), F.substring("o_orderpriority", 1, 1).alias("position"))
+    return P.eligible_seasons(rows, 1993, 1997, 3, ("1", "2")).select("o_orderkey", "season", "games")
+
+
+@query("""SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 100 >= 70""")
+def flt2_ma_detected(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") != "error").alias("success"), (F.col("event_id") % 100).alias("confidence"))
+    return L.ma_detected(rows, 70).select("event_id")
+
+
+@query("""WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'dup' WHEN c_custkey % 51 = 0 THEN 'Bad Id' ELSE 'id_' || c_custkey END AS player_id FROM customer), d AS (SELECT player_id FROM p GROUP BY 1 HAVING count(*) > 1)
+  SELECT 'pattern' AS "check", player_id AS key, count(*) AS n FROM p WHERE NOT regexp_matches(player_id, '^[a-z0-9_]+$') GROUP BY 2 UNION ALL SELECT 'unique', player_id, 1 FROM d UNION ALL SELECT 'range', year(o_orderdate)::VARCHAR, count(*) FROM orders WHERE year(o_orderdate) < 1997 GROUP BY 2
+  UNION ALL SELECT 'reference', x, 1 FROM (SELECT DISTINCT 'id_' || o_custkey AS x FROM orders) WHERE x NOT IN (SELECT player_id FROM p)""")
+def agg18_dataset_checks(spark, sf_dir):
+    ids = F.expr("CASE WHEN c_custkey % 50 = 0 THEN 'dup' WHEN c_custkey % 51 = 0 THEN 'Bad Id' ELSE concat('id_', c_custkey) END")
+    players = table(spark, sf_dir, "customer").select(ids.alias("player_id"), F.col("c_name").alias("full_name"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("id_"), "o_custkey").alias("player_id"), F.year("o_orderdate").alias("season"))
+    return P.dataset_checks({"players": players, "seasons": rows}).groupBy("check", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH m AS (SELECT DISTINCT p_type AS t FROM part WHERE p_type <> 'ECONOMY') SELECT 'unknown_target' AS "check", t AS field FROM m WHERE t NOT IN ('STANDARD', 'ECONOMY', 'MISSING') UNION ALL SELECT 'duplicate_target', p_type FROM part WHERE p_type <> 'ECONOMY' GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'missing_required', f FROM (SELECT unnest(['ECONOMY', 'MISSING']) AS f)""")
+def jon9_validate_mapping(spark, sf_dir):
+    mapping = table(spark, sf_dir, "part").filter("p_type != 'ECONOMY'").select(F.col("p_name").alias("header"), F.col("p_type").alias("target_field"))
+    defs = spark.createDataFrame([("STANDARD", False), ("ECONOMY", True), ("MISSING", True)], "target_field string, required boolean")
+    return M.validate_mapping(mapping, defs)
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'Pro Bowl' END, CASE WHEN o_orderkey % 3 = 0 THEN '1st Team All-Pro' END, CASE WHEN o_orderkey % 5 = 0 THEN 'MVP' END], lambda x: x IS NOT NULL), '|') AS awards FROM orders""")
+def scl5_parse_awards(spark, sf_dir):
+    text = F.concat_ws(", ", F.when(F.col("o_orderkey") % 5 == 0, "AP MVP-2"), F.when(F.col("o_orderkey") % 3 == 0, "All-Pro"), F.when(F.col("o_orderkey") % 2 == 0, "PRO BOWL"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(P.parse_awards(text), "|").alias("awards"))
+
+
+@query("""WITH h AS (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM customer) SELECT c_custkey, ['provides', 'delivers', 'offers', 'supplies'][abs(h) % 4 + 1] AS verb FROM h""")
+def scl20_hash_pick(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", C.hash_pick(C.SERVICE, F.col("c_name")).alias("verb"))
+
+
+@query("""SELECT s_suppkey, '(' || (200 + s_suppkey % 700) || ') 555-0100' AS phone, CASE WHEN s_suppkey % 2 = 0 THEN 'https://' ELSE 'http://' END || 's' || s_suppkey || '.com' AS website FROM supplier""")
+def scl22_clean_contacts(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    phone = F.concat(F.lit("tel: ("), 200 + F.col("s_suppkey") % 700, F.lit(") 555-0100 ext"))
+    site = F.concat(F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise("http://"), F.lit("s"), "s_suppkey", F.lit(".com"))
+    return s.select("s_suppkey", T.clean_phone(phone).alias("phone"), T.clean_website(site).alias("website"))
+
+
+@query("""SELECT p_partkey, round(0.3 + CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.2 ELSE 0 END, 4)::DOUBLE AS confidence FROM part""")
+def scl28_record_confidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "x").alias("contact"), F.when(F.col("p_partkey") % 3 == 0, "y").otherwise("").alias("website"))
+    return T.record_confidence(rows, "company").select("p_partkey", "confidence")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal ELSE 'b' || c_acctbal END AS a, '''=' || c_name AS b FROM customer""")
+def snk2_sanitize_formulas(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    rows = c.select("c_custkey", F.when(F.col("c_acctbal") < 0, F.col("c_acctbal").cast("string")).otherwise(F.concat(F.lit("b"), "c_acctbal")).alias("a"), F.concat(F.lit("="), "c_name").alias("b"))
+    from ..sources.io import sanitize_formulas
+
+    return sanitize_formulas(rows)
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS "start", user_id AS job_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, min(value) AS min_ms, max(value) AS max_ms FROM events GROUP BY 1, 2""")
+def str2_request_counters(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select("ts", F.col("user_id").alias("job_id"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("response_time_ms"))
+    return S.stream_request_counters(rows, window="1 hour").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "job_id", "total", "failed", "min_ms", "max_ms")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+  SELECT user_id::VARCHAR AS session_id, count(*) AS processed, count(*) FILTER (event_type = 'error') AS failed, max(event_id) AS last_index FROM s GROUP BY user_id, k""")
+def str6_session_progress(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("ts", F.col("user_id").cast("string").alias("sessionId"), (F.col("event_type") != "error").alias("success"), F.col("event_id").alias("idx"))
+    return S.stream_session_progress(rows, "30 minutes").select(F.col("sessionId").alias("session_id"), "processed", "failed", "last_index")
