@@ -119,6 +119,10 @@ def blocked_host(c: Column, deny: Sequence[str] = ()) -> Column:
     """Whether a host must not be fetched: empty, local names, private or special addresses, numbers as hosts, denied suffixes."""
     h = F.lower(trimmed(F.coalesce(c, F.lit(""))))
     h = F.regexp_replace(F.regexp_replace(F.regexp_replace(h, r"^\[|\]$", ""), r"\.+$", ""), "%.*$", "")
+    return let(h, lambda x: _blocked(x, deny))
+
+
+def _blocked(h: Column, deny: Sequence[str]) -> Column:
     names = h.isin("localhost", "ip6-localhost") | h.rlike(r"\.(localhost|local|internal|intranet|home\.arpa)$")
     number = h.rlike("^([0-9]+|0x[0-9a-f]+)$")
     v4 = h.rlike(_IPV4) & _private_octets(h)
