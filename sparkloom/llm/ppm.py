@@ -5,15 +5,16 @@ the symbol predicts it, each longer one adds its escape (method C: q / (n + q) f
 longer contexts know is excluded from the counts of shorter ones. Texts are scored as their lower-cased words joined by
 one space, then an end symbol. A unigram model over the same words with add-one smoothing is the base score.
 
-Every training row counts. The trie sent to the tasks is bounded: of the corpus's contexts at most NODES symbols at the
-deepest level are kept, the most frequent ones (shorter contexts are their sums); rarer ones are reached by escapes.
-Word counts stay a table: the TOP most frequent are sent along, all others are joined.
+Every training row and every symbol in context counts. The counts stay a table, dealt out by the last two symbols of the
+context, so that each bucket of it holds whole tries of all longer contexts; the counts in contexts of at most one symbol,
+SIZE * SIZE at most, are sent to the tasks. Groups of texts ask the buckets for the code lengths of their distinct symbols.
+Word counts stay a table too: the TOP most frequent are sent along, all others are joined.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER_NP, chunked, prefix_sums, slice_hashes, stored, word_bounds
 from .learning import held_out
 
-ORDER, NODES, TOP = 5, 4_000_000, 200_000
+ORDER, TOP = 5, 200_000
+#: Bytes of text that ask together, and buckets of the counts.
+GROUP, BUCKETS = 16 << 20, 509
 #: Symbols are the bytes and the end, which also stands before a text's first byte in contexts.
 END, SIZE = 256, 257
 END_TOKEN = 0x454E44
@@ -105,14 +108,19 @@ def count(rows: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Arrays of a fixed PPM model; grams are (context, symbol) keys of the deepest level with their counts."""
+    """Arrays of a fixed PPM model; grams are (context, symbol) keys of the deepest level with their counts.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    With `low`, the (key, count) of the whole corpus in contexts of one symbol, grams are those of some buckets only.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
         order = np.argsort(grams)
         keys, n = grams[order].astype(np.int64), counts[order].astype(np.float64)
         self.keys, self.count, self.node, self.total, self.kinds = [], [], [], [], []
         for level in range(ORDER, -1, -1):  # level: bytes of context
-            if level < ORDER:
+            if level == 1 and low is not None:
+                keys, n = low
+            elif level < ORDER:
                 keys, n = _sum_by_key(keys % SIZE ** (level + 1), n)
             node, first = np.unique(keys // SIZE, return_index=True)
             self.keys.insert(0, keys)
@@ -156,15 +164,86 @@ class Trie:
         return out
 
 
-_built: dict[str, Trie] = {}
+def packed(values: np.ndarray) -> bytes:
+    """8-byte numbers as bytes, all first bytes before all second ones: sorted keys compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(blob: pa.Scalar, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob.as_buffer(), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
 
+def alike(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """(lo, hi) of the runs of rows that agree in all (integer) columns."""
+    change = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        change |= np.diff(c.to_numpy(zero_copy_only=False)) != 0
+    if len(columns[0]):
+        yield from pairwise([0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])])
+
+
+def asking(rows: DataFrame) -> DataFrame:
+    """rows (_row, doc_id, text) with a group each (part 1), and the groups' distinct symbols as a blob a bucket (part 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, group = [], 0, None
 
-def built(name: str, grams: np.ndarray, counts: np.ndarray) -> Trie:
-    """The model of that name, made once in a Python worker; the worker keeps the last one only."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = Trie(grams, counts)
-    return _built[name]
+        def made(part: int, n: int, **given: pa.Array) -> pa.RecordBatch:
+            given |= {"grp": pa.array(np.full(n, group)), "part": pa.array(np.full(n, part, np.int32))}
+            return pa.record_batch([given.get(f.name, pa.nulls(n, f.type)) for f in types], schema=types)
+
+        def flush() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(parts))
+            bucket = keys // SIZE % SIZE**2 % BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            keys, (found, first) = keys[order], np.unique(bucket[order], return_index=True)
+            blobs = [packed(keys[lo:hi]) for lo, hi in pairwise([*first.tolist(), len(keys)])]
+            return made(0, len(found), bucket=pa.array(found.astype(np.int32)), blob=pa.array(blobs, pa.binary()))
+
+        for batch in batches:
+            for lo, hi, data, offsets in chunked(batch.column(2), 2 << 20):
+                if group is None:
+                    group = batch.column(0)[lo].as_py()
+                data, _, _, bounds = tokens(data, offsets)
+                parts.append(np.unique(canonical(data, offsets, bounds)[0]))
+                held += len(data)
+                yield made(1, hi - lo, **{name: batch.column(i).slice(lo, hi - lo) for i, name in enumerate(("_row", "doc_id", "text"))})
+                if held > GROUP:
+                    yield flush()
+                    parts, held, group = [], 0, None
+        if parts:
+            yield flush()
+
+    types = pa.schema([("grp", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("_row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+    return rows.mapInArrow(run, "grp long, part int, bucket int, blob binary, _row long, doc_id long, text string")
+
+
+def answered(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """(grp, blob, logs): the symbols of each (grp, bucket, blob) and their log10 probabilities after the counts (key, n)."""
+    short = F.col("key") % SIZE**2
+    table = grams.groupBy(short.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # at most SIZE * SIZE rows
+    low = asked.sparkSession.sparkContext.broadcast((np.asarray(table["key"], dtype=np.int64), np.asarray(table["n"], dtype=np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, trie = None, [], None
+        for batch in batches:
+            for lo, hi in alike(batch.column(0), batch.column(1).is_null().cast(pa.int8())):
+                _, grp, key, n, blob = batch.slice(lo, hi - lo).columns
+                if batch.column(0)[lo].as_py() != bucket:
+                    bucket, held, trie = batch.column(0)[lo].as_py(), [], None
+                if grp.null_count:  # counts come first
+                    held.append((key.to_numpy(), n.to_numpy()))
+                    continue
+                if trie is None:
+                    keys, counts = zip(*held) if held else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+                    trie, held = Trie(np.concatenate(keys), np.concatenate(counts), low.value), []
+                logs = [packed(trie.log10(unpacked(x, np.int64))) for x in blob]
+                yield pa.record_batch([grp, blob, pa.array(logs, pa.binary())], names=["grp", "blob", "logs"])
+
+    bucket = F.expr(f"cast((key div {SIZE}) % {SIZE**2} % {BUCKETS} as int)").alias("bucket")
+    counts = grams.select(bucket, F.lit(None).cast("long").alias("grp"), "key", "n", F.lit(None).cast("binary").alias("blob"))
+    both = counts.union(asked.select("bucket", "grp", F.lit(None).cast("long"), F.lit(None).cast("long"), "blob"))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "grp").mapInArrow(run, "grp long, blob binary, logs binary")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -191,35 +270,51 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         return np.asarray(table["key"], dtype=np.int64), np.asarray(table["n"], dtype=np.int64)
 
     keys, counts = largest(words, TOP)
-    order, name = np.argsort(keys), uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((keys[order], np.log10(counts[order] + 1.0), *largest(counted.filter("kind = 1"), NODES)))
+    order = np.argsort(keys)
+    sent = spark.sparkContext.broadcast((keys[order], np.log10(counts[order] + 1.0)))
+    asked = stored(asking(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")), "ppm-asked")
+    prices = answered(asked.filter("part = 0"), counted.filter("kind = 1").select("key", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, logs, grams, n = sent.value
-        trie = built(name, grams, n)
+        top, logs = sent.value
+        group, held, keys, prices = None, [], None, None
         for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column(2), 2 << 20):
-                data, hashes, row, bounds = tokens(data, offsets)
-                texts = hi - lo
-                at, known = Trie._find(top, hashes)
-                base = np.bincount(row[known], logs[at[known]], texts) if len(top) else np.zeros(texts)
-                seen = np.bincount(row[known], minlength=texts)
-                tail_h, tail_row = hashes[~known], row[~known]
-                order = np.lexsort((tail_h, tail_row))
-                tail_h, tail_row = tail_h[order], tail_row[order]
-                fresh = np.ones(len(tail_h), bool)
-                fresh[1:] = (tail_h[1:] != tail_h[:-1]) | (tail_row[1:] != tail_row[:-1])
-                times = np.diff(np.append(np.flatnonzero(fresh), len(tail_h))).astype(np.int32)
-                lists = pa.array(np.searchsorted(tail_row[fresh], np.arange(texts + 1)).astype(np.int32))
-                symbols, owner = canonical(data, offsets, bounds)
-                distinct_symbols, inverse = np.unique(symbols, return_inverse=True)
-                score = np.bincount(owner, trie.log10(distinct_symbols)[inverse], texts)
-                arrays = [batch.column(0).slice(lo, texts), batch.column(1).slice(lo, texts), pa.array(np.bincount(row, minlength=texts).astype(np.int64) + 1), pa.array(seen.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))]
-                arrays += [pa.ListArray.from_arrays(lists, pa.array(tail_h[fresh])), pa.ListArray.from_arrays(lists, pa.array(times))]
-                yield pa.record_batch(arrays, names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times"])
+            for first, last in alike(batch.column(0), batch.column(1)):
+                grp, part, blobs, found, row_ids, ids, texts = batch.slice(first, last - first).columns
+                if grp[0].as_py() != group:
+                    group, held, keys = grp[0].as_py(), [], None
+                if part[0].as_py() == 0:  # prices come first
+                    held += [(unpacked(k, np.int64), unpacked(p, np.float64)) for k, p in zip(blobs, found)]
+                    continue
+                if keys is None:
+                    keys, prices = (np.concatenate(x) for x in zip(*held))
+                    by_key, held = np.argsort(keys), []
+                    keys, prices = keys[by_key], prices[by_key]
+                for lo, hi, data, offsets in chunked(texts, 2 << 20):
+                    data, hashes, row, bounds = tokens(data, offsets)
+                    n = hi - lo
+                    at, known = Trie._find(top, hashes)
+                    base = np.bincount(row[known], logs[at[known]], n) if len(top) else np.zeros(n)
+                    seen = np.bincount(row[known], minlength=n)
+                    tail_h, tail_row = hashes[~known], row[~known]
+                    order = np.lexsort((tail_h, tail_row))
+                    tail_h, tail_row = tail_h[order], tail_row[order]
+                    fresh = np.ones(len(tail_h), bool)
+                    fresh[1:] = (tail_h[1:] != tail_h[:-1]) | (tail_row[1:] != tail_row[:-1])
+                    times = np.diff(np.append(np.flatnonzero(fresh), len(tail_h))).astype(np.int32)
+                    lists = pa.array(np.searchsorted(tail_row[fresh], np.arange(n + 1)).astype(np.int32))
+                    symbols, owner = canonical(data, offsets, bounds)
+                    distinct_symbols, inverse = np.unique(symbols, return_inverse=True)
+                    score = np.bincount(owner, prices[np.searchsorted(keys, distinct_symbols)][inverse], n)
+                    arrays = [row_ids.slice(lo, n), ids.slice(lo, n), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(seen.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))]
+                    arrays += [pa.ListArray.from_arrays(lists, pa.array(tail_h[fresh])), pa.ListArray.from_arrays(lists, pa.array(times))]
+                    yield pa.record_batch(arrays, names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times"])
 
     schema = "_row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<int>"
-    made = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text").mapInArrow(run, schema), "ppm-scores")
+    none = [F.lit(None).cast(t) for t in ("long", "long", "string")]
+    texts = asked.filter("part = 1").select("grp", "part", "blob", F.lit(None).cast("binary").alias("logs"), "_row", "doc_id", "text")
+    both = texts.union(prices.select("grp", F.lit(0), "blob", "logs", *none)).repartition("grp").sortWithinPartitions("grp", "part")
+    made = stored(both.mapInArrow(run, schema), "ppm-scores")
     tail = made.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("key"), F.col("t.times").alias("times"))
     rest = tail.join(words.select("key", "n"), "key").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     out = made.drop("tail", "times").join(rest, "_row", "left")

@@ -99,3 +99,15 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 1), (2, 1), (2, 1), (6, 60001), (8, 3), (9, 2)]
     assert all(r.score < 0 and r.base_score < 0 for r in got)
     assert ppm.scores(docs.limit(0)).count() == 0
+
+
+def test_rare_contexts_all_count(spark, sf_dir, monkeypatch):
+    """Every symbol in context counts however many there are, and however texts and counts are dealt out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    rows = [r for r in docs.select("doc_id", "text").collect() if len(r.text) < 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Plain([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2])
+    want = {r.doc_id: model.text(r.text) for r in rows}
+    for name, value in {"NODES": 1000, "GROUP": 5000, "BUCKETS": 3}.items():  # NODES was the number of symbols kept
+        monkeypatch.setattr(ppm, name, value, raising=False)
+    assert {r.doc_id: r.score for r in ppm.scores(docs).collect()} == pytest.approx(want, rel=1e-9)
