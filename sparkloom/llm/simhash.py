@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import LOWER, stored, unsigned
 from .components import connected
 
-#: Distinct fingerprints in a bucket up to which they are compared in one task; larger buckets go by flipped bits.
+#: Distinct fingerprints in a bucket up to which they are compared in one task; larger buckets go by flipped bits or blocks.
 BUCKET = 400
 
 
@@ -83,7 +83,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
     fps has one row per distinct `fp`. Buckets of up to BUCKET fingerprints are compared in their task and give a star
     for each group. In larger buckets two fingerprints are within 2 bits iff they share a value one flip (or none)
-    from both, so each is dealt out under its 65 such values and linked to the smallest there: no bucket is capped.
+    from both, so each is dealt out under its 65 such values and linked to the smallest there. For other radii larger
+    buckets are dealt into blocks of about BUCKET, and each two blocks are compared in a task. No bucket is capped.
     """
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))]))
     keyed = fps.select("fp", table.alias("k")).select("fp", "k.t", "k.key")
@@ -101,9 +102,15 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
                 dst.append(roots[other])
             yield pd.DataFrame({"src": np.concatenate([*src, np.zeros(0, np.int64)]), "dst": np.concatenate([*dst, np.zeros(0, np.int64)])})
 
-    small = shared.filter(F.col("n") <= BUCKET).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInPandas(star, "src long, dst long")
+    def stars(members: DataFrame, *group: str) -> DataFrame:
+        return members.groupBy(*group).agg(F.collect_list("fp").alias("fps")).select("fps").mapInPandas(star, "src long, dst long")
+
+    small = stars(shared.filter(F.col("n") <= BUCKET), "t", "key")
     if radius != 2:
-        wide = shared.limit(0).select(F.col("fp").alias("src"), F.col("fp").alias("dst"))
+        blocks = F.ceil(F.col("n") / BUCKET)
+        own = shared.filter(F.col("n") > BUCKET).withColumn("own", F.pmod(F.xxhash64("fp"), blocks))
+        pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        wide = stars(pairs.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")), "t", "key", "a", "b")
     else:
         flips = [F.lit(0).cast("long")] + [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
         hot = shared.filter(F.col("n") > BUCKET).select("fp").distinct()

@@ -58,6 +58,16 @@ def test_large_buckets_give_the_same_links(spark, bucket, monkeypatch):
     assert {v: roots.get(v, v) for v in values} == want
 
 
+@pytest.mark.parametrize("radius", [1, 3, 4])
+def test_large_buckets_give_the_same_links_at_other_radii(spark, radius, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    values = [0, 1, 3, 7, 15, 0xF0, 0xF0F0, (1 << 63) - 1, -1, -2, 1 << 40, (1 << 40) | 3, *((1 << 30) + 37 * i for i in range(20))]
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    near = [(a, b) for a, b in itertools.combinations(values, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= radius]
+    want = {r.node: r.root for r in connected(spark.createDataFrame(near, "src long, dst long")).collect()}
+    assert {r.node: r.root for r in connected(simhash.links(fps, radius)).collect()} == want
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (3, " \t\n", "z"), (4, "one", "a"), (5, "ONE", "b"), (None, "a b c d", "c"), (7, " ", "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
