@@ -351,7 +351,8 @@ _CLAUSE = """CASE doc_id % 6 WHEN 0 THEN 'The term of this deal is ' || (12 + do
 
 
 def clause_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_CLAUSE).alias("text"))
+    """Each document's whole text after a clause, a paragraph of its own."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(_CLAUSE), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 12 + doc_id % 36 ELSE -1 END::INT AS months, CASE doc_id % 6 WHEN 0 THEN greatest(0, least(40, 12 + doc_id % 36 - 24)) WHEN 1 THEN 20 WHEN 2 THEN 25 WHEN 3 THEN 20 WHEN 4 THEN 20 ELSE 0 END::INT AS burden FROM documents""")

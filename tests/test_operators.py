@@ -242,3 +242,16 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
     one, seven = (sorted(map(str, OU.url_intake(pages.repartition(n)).collect())) for n in (1, 7))
     assert one == seven
     assert U.normalize_url is not None
+
+
+def test_contract_queries_read_the_whole_texts(spark, tmp_path):
+    from sparkloom.plans import queries as Q
+
+    rows = [(5, "Plain words.\n\nBoth parties keep it.\n\nThe term is 60 months, perpetual."), (11, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in Q.scl23_term_and_burden(spark, tmp_path).collect()) == [(5, 60, 46), (11, -1, 0)]
+    assert [tuple(r) for r in Q.job9_contract_review(spark, tmp_path).collect()] == [(5, "Term", "replace")]
+    texts = {r.doc_id: r.text for r in Q.job10_apply_suggestions(spark, tmp_path).collect()}
+    assert texts == {5: "Nothing here.\n\nPlain words.\n\nBoth parties keep it.\n\nThe term is 24 months, perpetual.", 11: "Nothing here."}
+    assert {r.doc_id: r.score for r in Q.job11_playbook_review(spark, tmp_path).collect()} == {5: 12, 11: 12}
+    assert [tuple(r) for r in Q.agg16_checklist_coverage(spark, tmp_path).collect()] == [(5, True)]
