@@ -79,10 +79,11 @@ def report_columns(df: DataFrame, defs: list[dict]) -> list[str]:
     return sorted((c for c in known if counts[c]), key=lambda c: (c not in need, c))
 
 
-def column_shape(sheet: DataFrame, rows: int = 200) -> DataFrame:
-    """(header, n, url_share, paragraph_share, top_host) of each column's first `rows` rows (a sample by design)."""
+def column_shape(sheet: DataFrame, rows: int | None = None) -> DataFrame:
+    """(header, n, url_share, paragraph_share, top_host) of each column; with `rows`, of as many first rows ordered by all columns."""
     names = sheet.columns
-    head = sheet.limit(rows).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+    first = sheet if rows is None else sheet.orderBy(*[F.col(f"`{c}`") for c in names]).limit(rows)
+    head = first.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
     cells = head.select(F.explode(F.array(*[F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").alias("v")) for c in names])).alias("x")).select("x.header", trimmed(F.col("x.v")).alias("v"))
     url = F.col("v").rlike(r"(?i)^(https?://)?([a-z0-9-]+\.)+[a-z]{2,}(/.*)?$")
     para = (F.length("v") >= 40) & F.col("v").rlike(r"\s")

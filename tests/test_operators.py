@@ -255,3 +255,10 @@ def test_contract_queries_read_the_whole_texts(spark, tmp_path):
     assert texts == {5: "Nothing here.\n\nPlain words.\n\nBoth parties keep it.\n\nThe term is 24 months, perpetual.", 11: "Nothing here."}
     assert {r.doc_id: r.score for r in Q.job11_playbook_review(spark, tmp_path).collect()} == {5: 12, 11: 12}
     assert [tuple(r) for r in Q.agg16_checklist_coverage(spark, tmp_path).collect()] == [(5, True)]
+
+
+def test_column_shape_counts_all_rows(spark):
+    sheet = spark.range(1000).select(F.when(F.col("id") < 250, "plain").otherwise("https://a.example.com/x").alias("Link"))
+    row = M.column_shape(sheet).first()
+    assert (row.n, float(row.url_share), row.top_host) == (1000, 0.75, "a.example.com")
+    assert M.column_shape(sheet, 200).first().n == 200
