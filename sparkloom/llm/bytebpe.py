@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunked
+from .common import chunked, mapped
 from .slices import SliceCache
 
 LETTER, NUMBER, OTHER, SPACE, JOINED, ALONE, SHORT, LONG = range(8)
@@ -174,7 +174,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        self.cache = SliceCache(lambda slices: [merge(s, self.ranks) for s in slices], limit=800_000)
+        self.cache = SliceCache(lambda slices: [merge(s, self.ranks) for s in slices])
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -212,7 +212,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(path)
         for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column(1), 3 << 20):
+            for lo, hi, data, offsets in chunked(batch.column(1)):
                 ids, at = codec.encode(data, offsets)
                 counts = pa.array(np.diff(at))
                 if digests:
@@ -233,7 +233,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), counts, *more], names=["doc_id", "n_tokens", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def detokenize(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -245,4 +245,4 @@ def detokenize(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: st
             made = [None if ids is None else codec.decode(np.array(ids, dtype=np.int64)).tobytes() for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "decoded"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), ids_col).mapInArrow(run, "doc_id long, decoded binary")
+    return mapped(tokens.select(F.col(id_col).cast("long").alias("doc_id"), ids_col), run, "doc_id long, decoded binary")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ LOWER_NP = np.frombuffer(LOWER, dtype=np.uint8)
 _rng = np.random.default_rng(20240607)
 #: One random odd-ish 64-bit value for each byte, and the base of the polynomial hashes.
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Random odd multipliers of the bytes of a slice by their place in it (taken modulo 4096).
+PLACE_CODE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -27,10 +31,12 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it may be unset, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
     if not found:
-        found = spark.conf.get("sparkloom.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-loom-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
         spark.conf.set("sparkloom.shared.dir", found)
     return found.rstrip("/")
 
@@ -39,10 +45,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors, computes Python work once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that was freed back to the system. Python workers serve one stage after the other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow whose tasks leave no freed memory behind in their worker."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,7 +131,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n + 1:
-        size = max(1 << 21, 2 * n)
+        size = max((1 << 20) + 4096, n + 1)
         for name, base in (("up", BASE), ("down", BASE_INV)):
             run = np.full(size, base, dtype=np.uint64)
             run[0] = 1

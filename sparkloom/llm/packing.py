@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, chunked, stored, word_bounds
+from .common import LOWER_NP, chunked, mapped, stored, word_bounds
 from .slices import SliceCache
 
 #: Pieces in a group, on average.
@@ -37,7 +37,7 @@ def word_cache(path: str) -> SliceCache:
     def encode(words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
 
-    return SliceCache(encode, limit=800_000)
+    return SliceCache(encode)
 
 
 #: ASCII bytes by kind: 1 letters and digits, 2 other printable ones but the apostrophe, 0 all else.
@@ -77,7 +77,7 @@ def text_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
         cache = word_cache(path)
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in chunked(batch.column(1), 3 << 20):
+            for lo, hi, data, offsets in chunked(batch.column(1)):
                 data, start, end, row = units(data, offsets)
                 ids, size = cache.ids(data, start, end)
                 at = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(row, np.arange(hi - lo + 1))]
@@ -92,7 +92,7 @@ def text_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:

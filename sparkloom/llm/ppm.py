@@ -8,7 +8,7 @@ one space, then an end symbol. A unigram model over the same words with add-one
 Every training row and every symbol in context counts. The counts stay a table, dealt out by the last two symbols of the
 context, so that each bucket of it holds whole tries of all longer contexts; the counts in contexts of at most one symbol,
 SIZE * SIZE at most, are sent to the tasks. Groups of texts ask the buckets for the code lengths of their distinct symbols.
-Word counts stay a table too: the TOP most frequent are sent along, all others are joined.
+Word counts, by the words' bytes, stay a table too: the TOP most frequent are sent along, all others are joined.
 """
 
 from __future__ import annotations
@@ -20,16 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, chunked, prefix_sums, slice_hashes, stored, word_bounds
+from .common import LOWER_NP, chunked, mapped, stored, word_bounds
 from .learning import held_out
+from .slices import distinct_slices
 
-ORDER, TOP = 5, 200_000
-#: Bytes of text that ask together, and buckets of the counts.
-GROUP, BUCKETS = 16 << 20, 509
+#: Frequent words that are sent along, and their greatest length in bytes.
+ORDER, TOP, TOP_BYTES = 5, 100_000, 64
+#: Bytes of text that ask together, buckets of the counts at least, and counts in a bucket, about, where there are more.
+GROUP, BUCKETS, BUCKET_ROWS = 16 << 20, 509, 200_000
 #: Symbols are the bytes and the end, which also stands before a text's first byte in contexts.
 END, SIZE = 256, 257
-END_TOKEN = 0x454E44
-_FLUSH = 3_000_000
+#: The token that ends a text; words are never empty.
+END_TOKEN = b""
+_FLUSH = 2_000_000
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +65,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, n
     return key[pads], np.repeat(np.arange(n), size + 1)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """(lower-cased bytes, 64-bit token hashes, rows, word bounds)."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """(lower-cased bytes, word bounds)."""
     data = LOWER_NP[data]
-    bounds = word_bounds(data, offsets)
-    return data, slice_hashes(prefix_sums(data), bounds[0], bounds[1]).view(np.int64), bounds[2], bounds
+    return data, word_bounds(data, offsets)
 
 
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,36 +77,37 @@ def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """(kind, key, n): how often each token (kind 0, key its hash) and each symbol in context (kind 1) occurs in rows (text)."""
+    """(word, key, n): how often each token (word, its bytes) and each symbol in context (word null, key) occurs in rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {0: [], 1: []}
-        held, texts = 0, 0
+        words: dict[bytes, int] = {}
+        symbols: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, found in parts.items():
-                if found:
-                    keys, n = _sum_by_key(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
-                    yield pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
-                    found.clear()
+            if symbols:
+                keys, n = _sum_by_key(np.concatenate([k for k, _ in symbols]), np.concatenate([c for _, c in symbols]))
+                yield pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=["word", "key", "n"])
+                symbols.clear()
+            if words:
+                yield pa.record_batch([pa.array(words.keys(), pa.binary()), pa.array(np.zeros(len(words), np.int64)), pa.array(words.values(), pa.int64())], names=["word", "key", "n"])
+                words.clear()
 
         for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column(0), 2 << 20):
-                texts += hi - lo
-                data, hashes, _, bounds = tokens(data, offsets)
-                for kind, keys in ((0, hashes), (1, canonical(data, offsets, bounds)[0])):
-                    found = np.unique(keys, return_counts=True)
-                    parts[kind].append(found)
-                    held += len(found[0])
+            for lo, hi, data, offsets in chunked(batch.column(0)):
+                data, bounds = tokens(data, offsets)
+                found, inverse = distinct_slices(data, bounds[0], bounds[1])
+                for word, n in zip(found, np.bincount(inverse, minlength=len(found)).tolist()):
+                    words[word] = words.get(word, 0) + n
+                words[END_TOKEN] = words.get(END_TOKEN, 0) + hi - lo
+                symbols.append(np.unique(canonical(data, offsets, bounds)[0], return_counts=True))
+                held += len(symbols[-1][0]) + 4 * len(found) + sum(map(len, found)) // 16
                 if held > _FLUSH:
                     yield from flush()
                     held = 0
-        if texts:
-            parts[0].append((np.array([END_TOKEN]), np.array([texts])))
         yield from flush()
 
-    found = rows.select("text").mapInArrow(run, "kind int, key long, n long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return mapped(rows.select("text"), run, "word binary, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
 class Trie:
@@ -182,7 +185,7 @@ def alike(*columns: pa.Array) -> Iterator[tuple[int, int]]:
         yield from pairwise([0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])])
 
 
-def asking(rows: DataFrame) -> DataFrame:
+def asking(rows: DataFrame, buckets: int) -> DataFrame:
     """rows (_row, doc_id, text) with a group each (part 1), and the groups' distinct symbols as a blob a bucket (part 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,17 +197,17 @@ def asking(rows: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             keys = np.unique(np.concatenate(parts))
-            bucket = keys // SIZE % SIZE**2 % BUCKETS
+            bucket = keys // SIZE % SIZE**2 % buckets
             order = np.argsort(bucket, kind="stable")
             keys, (found, first) = keys[order], np.unique(bucket[order], return_index=True)
             blobs = [packed(keys[lo:hi]) for lo, hi in pairwise([*first.tolist(), len(keys)])]
             return made(0, len(found), bucket=pa.array(found.astype(np.int32)), blob=pa.array(blobs, pa.binary()))
 
         for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column(2), 2 << 20):
+            for lo, hi, data, offsets in chunked(batch.column(2)):
                 if group is None:
                     group = batch.column(0)[lo].as_py()
-                data, _, _, bounds = tokens(data, offsets)
+                data, bounds = tokens(data, offsets)
                 parts.append(np.unique(canonical(data, offsets, bounds)[0]))
                 held += len(data)
                 yield made(1, hi - lo, **{name: batch.column(i).slice(lo, hi - lo) for i, name in enumerate(("_row", "doc_id", "text"))})
@@ -215,10 +218,10 @@ def asking(rows: DataFrame) -> DataFrame:
             yield flush()
 
     types = pa.schema([("grp", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("_row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
-    return rows.mapInArrow(run, "grp long, part int, bucket int, blob binary, _row long, doc_id long, text string")
+    return mapped(rows, run, "grp long, part int, bucket int, blob binary, _row long, doc_id long, text string")
 
 
-def answered(asked: DataFrame, grams: DataFrame) -> DataFrame:
+def answered(asked: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
     """(grp, blob, logs): the symbols of each (grp, bucket, blob) and their log10 probabilities after the counts (key, n)."""
     short = F.col("key") % SIZE**2
     table = grams.groupBy(short.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # at most SIZE * SIZE rows
@@ -240,10 +243,10 @@ def answered(asked: DataFrame, grams: DataFrame) -> DataFrame:
                 logs = [packed(trie.log10(unpacked(x, np.int64))) for x in blob]
                 yield pa.record_batch([grp, blob, pa.array(logs, pa.binary())], names=["grp", "blob", "logs"])
 
-    bucket = F.expr(f"cast((key div {SIZE}) % {SIZE**2} % {BUCKETS} as int)").alias("bucket")
+    bucket = F.expr(f"cast((key div {SIZE}) % {SIZE**2} % {buckets} as int)").alias("bucket")
     counts = grams.select(bucket, F.lit(None).cast("long").alias("grp"), "key", "n", F.lit(None).cast("binary").alias("blob"))
     both = counts.union(asked.select("bucket", "grp", F.lit(None).cast("long"), F.lit(None).cast("long"), "blob"))
-    return both.repartition("bucket").sortWithinPartitions("bucket", "grp").mapInArrow(run, "grp long, blob binary, logs binary")
+    return mapped(both.repartition("bucket").sortWithinPartitions("bucket", "grp"), run, "grp long, blob binary, logs binary")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -256,27 +259,26 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = stored(count(rows.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))), "ppm-counts")
-    words = counted.filter("kind = 0")
-    ends = F.coalesce(F.max(F.when(F.col("key") == END_TOKEN, F.col("n"))), F.lit(0))
+    words, symbols = counted.filter("word is not null").drop("key"), counted.filter("word is null").select("key", "n")
+    ends = F.coalesce(F.max(F.when(F.col("word") == F.lit(END_TOKEN), F.col("n"))), F.lit(0))
     total, distinct, end_n = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), ends).first()
+    buckets = int(min(SIZE**2, max(BUCKETS, symbols.count() // BUCKET_ROWS)))
 
-    def largest(df: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, counts) of the most frequent keys: those above the count that about `limit` keys exceed."""
+    def largest(df: DataFrame, limit: int) -> dict[bytes, float]:
+        """log10(n + 1) of the most frequent words: those above the count that about `limit` words exceed."""
         size = df.count()
         if size > limit:
             least = df.agg(F.percentile_approx("n", 1 - limit / size, 50_000)).first()[0]
             df = df.filter(F.col("n") > least)
-        table = df.select("key", "n").toArrow()
-        return np.asarray(table["key"], dtype=np.int64), np.asarray(table["n"], dtype=np.int64)
+        table = df.select("word", "n").toArrow()
+        return dict(zip(table["word"].to_pylist(), np.log10(np.asarray(table["n"], dtype=np.int64) + 1.0).tolist()))
 
-    keys, counts = largest(words, TOP)
-    order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], np.log10(counts[order] + 1.0)))
-    asked = stored(asking(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")), "ppm-asked")
-    prices = answered(asked.filter("part = 0"), counted.filter("kind = 1").select("key", "n"))
+    sent = spark.sparkContext.broadcast(largest(words.filter(F.octet_length("word").between(1, TOP_BYTES)), TOP))
+    asked = stored(asking(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), buckets), "ppm-asked")
+    prices = answered(asked.filter("part = 0"), symbols, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, logs = sent.value
+        top, unknown = sent.value, float("nan")
         group, held, keys, prices = None, [], None, None
         for batch in batches:
             for first, last in alike(batch.column(0), batch.column(1)):
@@ -290,33 +292,31 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                     keys, prices = (np.concatenate(x) for x in zip(*held))
                     by_key, held = np.argsort(keys), []
                     keys, prices = keys[by_key], prices[by_key]
-                for lo, hi, data, offsets in chunked(texts, 2 << 20):
-                    data, hashes, row, bounds = tokens(data, offsets)
-                    n = hi - lo
-                    at, known = Trie._find(top, hashes)
-                    base = np.bincount(row[known], logs[at[known]], n) if len(top) else np.zeros(n)
+                for lo, hi, data, offsets in chunked(texts):
+                    data, bounds = tokens(data, offsets)
+                    row, n = bounds[2], hi - lo
+                    found, inverse = distinct_slices(data, bounds[0], bounds[1])
+                    logs = np.fromiter((top.get(w, unknown) for w in found), np.float64, len(found))
+                    known = ~np.isnan(logs)[inverse]
+                    base = np.bincount(row[known], logs[inverse[known]], n)
                     seen = np.bincount(row[known], minlength=n)
-                    tail_h, tail_row = hashes[~known], row[~known]
-                    order = np.lexsort((tail_h, tail_row))
-                    tail_h, tail_row = tail_h[order], tail_row[order]
-                    fresh = np.ones(len(tail_h), bool)
-                    fresh[1:] = (tail_h[1:] != tail_h[:-1]) | (tail_row[1:] != tail_row[:-1])
-                    times = np.diff(np.append(np.flatnonzero(fresh), len(tail_h))).astype(np.int32)
-                    lists = pa.array(np.searchsorted(tail_row[fresh], np.arange(n + 1)).astype(np.int32))
+                    tail, times = np.unique(row[~known] * max(len(found), 1) + inverse[~known], return_counts=True)
+                    lists = pa.array(np.searchsorted(tail, np.arange(n + 1) * max(len(found), 1)).astype(np.int32))
+                    rare = pa.array(found, pa.binary()).take(pa.array(tail % max(len(found), 1)))
                     symbols, owner = canonical(data, offsets, bounds)
                     distinct_symbols, inverse = np.unique(symbols, return_inverse=True)
                     score = np.bincount(owner, prices[np.searchsorted(keys, distinct_symbols)][inverse], n)
                     arrays = [row_ids.slice(lo, n), ids.slice(lo, n), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(seen.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))]
-                    arrays += [pa.ListArray.from_arrays(lists, pa.array(tail_h[fresh])), pa.ListArray.from_arrays(lists, pa.array(times))]
+                    arrays += [pa.ListArray.from_arrays(lists, rare), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
                     yield pa.record_batch(arrays, names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times"])
 
-    schema = "_row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<int>"
+    schema = "_row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<int>"
     none = [F.lit(None).cast(t) for t in ("long", "long", "string")]
     texts = asked.filter("part = 1").select("grp", "part", "blob", F.lit(None).cast("binary").alias("logs"), "_row", "doc_id", "text")
     both = texts.union(prices.select("grp", F.lit(0), "blob", "logs", *none)).repartition("grp").sortWithinPartitions("grp", "part")
-    made = stored(both.mapInArrow(run, schema), "ppm-scores")
-    tail = made.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("key"), F.col("t.times").alias("times"))
-    rest = tail.join(words.select("key", "n"), "key").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    made = stored(mapped(both, run, schema), "ppm-scores")
+    tail = made.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
+    rest = tail.join(words, "word").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     out = made.drop("tail", "times").join(rest, "_row", "left")
     known_end = 1 if end_n else 0
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) + float(np.log10(end_n + 1)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))

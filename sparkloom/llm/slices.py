@@ -1,4 +1,4 @@
-"""Token ids of many byte slices at once: distinct slices are encoded once and kept, the rest is array gathering."""
+"""Many byte slices at once: which of them are alike, and their token ids, encoded once for each distinct slice and kept."""
 
 from __future__ import annotations
 
@@ -6,23 +6,62 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import prefix_sums, slice_hashes
+from .common import BYTE_CODE, PLACE_CODE, mix
+
+
+def _sums(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each (non-empty) slice, equal for equal bytes; unequal slices may share one."""
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    terms = BYTE_CODE[data[place + np.repeat(start, size)]]
+    terms *= PLACE_CODE[place & (len(PLACE_CODE) - 1)]
+    return mix(np.add.reduceat(terms, ends - size) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether every slice of `size` bytes at a equals the one at b."""
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    return bool((data[place + np.repeat(a, size)] == data[place + np.repeat(b, size)]).all())
+
+
+def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = 1 << 20) -> tuple[list[bytes], np.ndarray]:
+    """(the distinct slices, the number of each slice among them), by their bytes; slices must not be empty.
+
+    Hashes only sort them: slices of one hash are compared byte by byte, and where two differ, all are told apart by a
+    dictionary of their bytes. Slices longer than `limit` bytes go to the dictionary at once.
+    """
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+    size = end - start
+    if size.max() <= limit:
+        _, first, inverse = np.unique(_sums(data, start, size), return_index=True, return_inverse=True)
+        if (size == size[first][inverse]).all() and _same(data, start, start[first][inverse], size):
+            raw = data.tobytes()
+            return [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())], inverse
+    raw, numbers = data.tobytes(), {}
+    inverse = np.fromiter((numbers.setdefault(raw[s:e], len(numbers)) for s, e in zip(start.tolist(), end.tolist())), np.int64, len(start))
+    return list(numbers), inverse
 
 
 class SliceCache:
-    """Keeps the ids of distinct slices (by 64-bit hash) in one flat array; starts anew beyond `limit` slices."""
+    """Keeps the ids of distinct slices, by their bytes, in one flat array; starts anew beyond `limit` bytes of memory, about."""
+
+    #: Bytes that a slice takes besides its own bytes and ids: object headers, its entry, its place.
+    EACH = 180
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 48 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.place: dict[bytes, int] = {}
+        self.held = 0
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _add(self, keys: list[int], slices: list[bytes]) -> None:
-        for key, ids in zip(keys, self.encode(slices)):
+    def _add(self, slices: list[bytes]) -> None:
+        for key, ids in zip(slices, self.encode(slices)):
             n, k = len(ids), len(self.place)
             if self.used + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.uint32)])
@@ -31,23 +70,18 @@ class SliceCache:
             self.flat[self.used : self.used + n] = ids
             self.start[k], self.size[k] = self.used, n
             self.used += n
+            self.held += len(key) + 4 * n + self.EACH
             self.place[key] = k
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all slices in turn, number of ids of each slice)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.place) > self.limit:
+        if self.held > self.limit:
             self.clear()
-        keys, first, inverse = np.unique(slice_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
-        keys, get = keys.tolist(), self.place.get
-        where = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(where < 0)
-        if len(new):
-            raw, known = data.tobytes(), len(self.place)
-            self._add([keys[i] for i in new], [raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            where[new] = np.arange(known, known + len(new))
-        where = where[inverse]
+        slices, inverse = distinct_slices(data, start, end)
+        self._add([s for s in slices if s not in self.place])
+        where = np.fromiter(map(self.place.__getitem__, slices), np.int64, len(slices))[inverse]
         size = self.size[where]
         ends = np.cumsum(size)
         pick = np.arange(ends[-1]) + np.repeat(self.start[where] - (ends - size), size)

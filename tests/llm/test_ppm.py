@@ -88,7 +88,7 @@ def test_probabilities_sum_to_one():
 
 def ppm_keys(text):
     data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
-    low, _, _, bounds = ppm.tokens(data, offsets)
+    low, bounds = ppm.tokens(data, offsets)
     return ppm.canonical(low, offsets, bounds)[0]
 
 
