@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunked, mix, prefix_sums, slice_hashes, stored, text_bytes
+from .common import chunked, mapped, mix, prefix_sums, slice_hashes, stored, text_bytes
 from .suffixes import sort_suffixes
 
 LENGTH, GRAM = 100, 32
@@ -135,7 +135,7 @@ def _classes(rows: DataFrame, length: int) -> DataFrame:
             h, _, doc, th, pack = last[0]
             yield _batch([np.array([x]) for x in (np.int32(REQUEST), h, doc, th, pack)], names)
 
-    return rows.repartition("h").sortWithinPartitions("kind", "h", "c", "doc", "th", "pack").mapInArrow(run, _FOUND)
+    return mapped(rows.repartition("h").sortWithinPartitions("kind", "h", "c", "doc", "th", "pack"), run, _FOUND)
 
 
 def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _spans(texts: DataFrame, requests: DataFrame, length: int) -> DataFrame:
         if out:
             yield make()
 
-    return _with_texts(texts.select("doc", "th", "raw"), requests).mapInArrow(run, "h long, doc long, th long, pack long, span binary")
+    return mapped(_with_texts(texts.select("doc", "th", "raw"), requests), run, "h long, doc long, th long, pack long, span binary")
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -248,7 +248,7 @@ def _sorted_ranges(spans: DataFrame, length: int) -> DataFrame:
             for part in pa.Table.from_batches(held).combine_chunks().to_batches():
                 yield solve(part)
 
-    return spans.repartition("h").sortWithinPartitions("h", "doc", "th", "pack").mapInArrow(run, _FOUND)
+    return mapped(spans.repartition("h").sortWithinPartitions("h", "doc", "th", "pack"), run, _FOUND)
 
 
 def _split_ranges(spans: DataFrame, length: int) -> DataFrame:
@@ -264,7 +264,7 @@ def _split_ranges(spans: DataFrame, length: int) -> DataFrame:
                 doc, th = batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 yield _anchor_rows(h.view(np.int64), c.view(np.int64), doc[row], th[row], _pack(own, 0, 0), length)
 
-    return _classes(spans.mapInArrow(run, _ANCHORS), length).filter(F.col("kind") == RANGE)
+    return _classes(mapped(spans, run, _ANCHORS), length).filter(F.col("kind") == RANGE)
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -278,7 +278,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 start = first - offsets[row]
                 yield _anchor_rows(h, c, doc[lo + row], th[lo + row], _pack(start, last - first, anchor - first), length)
 
-    found = stored(_classes(texts.select("doc", "th", "raw").mapInArrow(mark, _ANCHORS), length), "repeats-anchors")
+    found = stored(_classes(mapped(texts.select("doc", "th", "raw"), mark, _ANCHORS), length), "repeats-anchors")
     requests = found.filter(F.col("kind") == REQUEST)
     spans = stored(_spans(texts, requests, length), "repeats-spans")
     sizes = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -337,7 +337,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     texts = _prepared(docs, id_col, text_col, []).drop("rest")
     ranges = repeated_ranges(texts, length)
-    made = _with_texts(texts, ranges).mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    made = mapped(_with_texts(texts, ranges), cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return made.withColumn("doc", F.when(F.col("doc") != -(1 << 63), F.col("doc"))).withColumnRenamed("doc", "doc_id")
 
 
@@ -376,5 +376,5 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     texts = _prepared(docs, id_col, text_col, rest)
     ranges = repeated_ranges(texts.drop("rest"), length)
     kind = texts.schema["rest"].dataType.simpleString()
-    made = _with_texts(texts, ranges).mapInArrow(cut, f"text string, rest {kind}")
+    made = mapped(_with_texts(texts, ranges), cut, f"text string, rest {kind}")
     return made.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])

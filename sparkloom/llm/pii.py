@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunked
+from .common import chunked, mapped
 
 ROUNDS = 8
 _SEP = r"[ .\-|!*&%#$]{1,6}"
@@ -102,7 +102,7 @@ class Pseudonyms:
 
     def __init__(self, key: bytes, back: bool = False):
         self.feistel, self.back = Feistel(key), back
-        self.of = lru_cache(maxsize=100_000)(self._of)
+        self.of = lru_cache(maxsize=20_000)(self._of)
 
     def digits(self, text: str, kind: str, good: Callable[[str], bool] | None = None) -> str:
         n = len(text)
@@ -215,7 +215,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         names = Pseudonyms(key, back)
         for batch in batches:
             texts, changed, spans = batch.column(place), {}, {}
-            for lo, hi, data, offsets in chunked(texts, 4 << 20):
+            for lo, hi, data, offsets in chunked(texts):
                 hits = np.concatenate([[0], np.cumsum(_TRIGGER[data])])
                 for i in np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]]).tolist():
                     made, found = names.replace(texts[lo + i].as_py())
@@ -230,5 +230,6 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             arrays.append(pa.array([spans.get(i, []) for i in range(batch.num_rows)], pa.list_(kind)))
             yield pa.record_batch(arrays, names=[*columns, "pii"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(columns).schema)
-    return docs.select(columns).withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema.replace(f"`{text_col}` {docs.schema[text_col].dataType.simpleString()}", f"`{text_col}` string") + ", pii array<struct<kind: string, start: int, length: int>>")
+    rows = docs.select(columns).withColumn(text_col, F.col(text_col).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return mapped(rows, run, schema + ", pii array<struct<kind: string, start: int, length: int>>")

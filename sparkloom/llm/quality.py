@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, NOT_ALNUM, chunked, mix, prefix_sums, slice_hashes, stored, word_bounds
+from .common import LOWER_NP, NOT_ALNUM, chunked, mapped, mix, prefix_sums, slice_hashes, stored, word_bounds
 from .learning import bounded, held_out, training_labels
 
 #: Rows, about, of either sample that the model is fitted on at most.
@@ -121,12 +121,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column(1), 3 << 20):
+            for lo, hi, data, offsets in chunked(batch.column(1)):
                 x = text_features(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "x"])
 
-    return rows.mapInArrow(run, "doc_id long, x array<float>")
+    return mapped(rows, run, "doc_id long, x array<float>")
 
 
 def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> Model:
@@ -158,7 +158,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
             yield pa.record_batch([batch.column(0), pa.array(own.scores(x).astype(np.float64))], names=["doc_id", "score"])
 
-    scored = found.mapInArrow(run, "doc_id long, score double")
+    scored = mapped(found, run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -171,7 +171,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            good = [own.scores(text_features(data, offsets)) >= threshold for _, _, data, offsets in chunked(batch.column(place), 3 << 20)]
+            good = [own.scores(text_features(data, offsets)) >= threshold for _, _, data, offsets in chunked(batch.column(place))]
             yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

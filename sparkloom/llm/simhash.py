@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, stored, unsigned
+from .common import LOWER, mapped, stored, unsigned
 from .components import connected
 
 #: Distinct fingerprints in a bucket up to which they are compared in one task; larger buckets go by flipped bits or blocks.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp long")
+    return mapped(rows, run, "doc_id long, th long, fp long")
 
 
 def masks(radius: int = 2, bits: int = 64) -> list[int]:

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, NOT_ALNUM, chunked, mix, prefix_sums, slice_hashes, stored, text_bytes, word_bounds
+from .common import LOWER_NP, NOT_ALNUM, chunked, mapped, mix, prefix_sums, slice_hashes, stored, text_bytes, word_bounds
 from .learning import bounded, held_out, training_labels
 
 #: Bytes of the word beginnings that count as features of their own, so that inflected forms share what is learnt.
@@ -132,5 +132,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             made = [score_texts(own, data, offsets) for _, _, data, offsets in chunked(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate([*made, np.zeros(0)]))], names=["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = mapped(rows, run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
