@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,15 @@ def chunked(texts: pa.Array, limit: int = 1 << 20):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
+def alike(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """(lo, hi) of the runs of rows that agree in all (integer) columns."""
+    change = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        change |= np.diff(c.to_numpy(zero_copy_only=False)) != 0
+    if len(columns[0]):
+        yield from pairwise([0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])])
+
+
 #: Bytes outside letters, digits and non-ASCII characters.
 NOT_ALNUM = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, chunked, mapped, stored, word_bounds
+from .common import LOWER_NP, alike, chunked, mapped, stored, word_bounds
 from .learning import held_out
 from .slices import distinct_slices
 
@@ -176,15 +176,6 @@ def unpacked(blob: pa.Scalar, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob.as_buffer(), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def alike(*columns: pa.Array) -> Iterator[tuple[int, int]]:
-    """(lo, hi) of the runs of rows that agree in all (integer) columns."""
-    change = np.zeros(max(len(columns[0]) - 1, 0), bool)
-    for c in columns:
-        change |= np.diff(c.to_numpy(zero_copy_only=False)) != 0
-    if len(columns[0]):
-        yield from pairwise([0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])])
-
-
 def asking(rows: DataFrame, buckets: int) -> DataFrame:
     """rows (_row, doc_id, text) with a group each (part 1), and the groups' distinct symbols as a blob a bucket (part 0)."""
 

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from sparkloom.llm import hilbertsearch
 
@@ -31,26 +32,44 @@ def results(df):
     return {q: [(v, s) for _, v, s in sorted(x)] for q, x in out.items()}
 
 
-def test_recall_on_the_table(spark, monkeypatch):
-    monkeypatch.setattr(hilbertsearch, "BLOCK", 128)
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall(got, want):
+    return np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_on_the_table(spark, scale):
+    df = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()], 20, 20)
     got = results(hilbertsearch.nearest(df))
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
-    hits = [len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]
-    assert np.mean(hits) >= 0.9
+    assert recall(got, want) >= 0.9
     true = {(q, v): s for q, x in want.items() for v, s in x}
     assert all(abs(true[q, v] - s) < 1e-12 for q, x in got.items() for v, s in x if (q, v) in true)
 
 
-def test_one_block_is_exact_with_copies_and_norms(spark):
+def test_slices_and_the_curves_that_go_first_change_nothing(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = results(hilbertsearch.nearest(df))
+    monkeypatch.setattr(hilbertsearch, "SLICE", 3)
+    monkeypatch.setattr(hilbertsearch, "FIRST", 1)
+    assert results(hilbertsearch.nearest(df)) == want
+
+
+def test_a_sample_places_the_ends_as_well(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], 20, 20)
+    monkeypatch.setattr(hilbertsearch, "SAMPLE", 1000)
+    assert recall(results(hilbertsearch.nearest(df)), want) >= 0.9
+
+
+def test_copies_norms_and_odd_rows(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(120, 6)) * rng.uniform(0.2, 3, (120, 1))
     x[10:70] = x[5]
     rows = [(int(i), [float(v) for v in np.float32(e)]) for i, e in enumerate(x)]
-    bad = [(200, None), (220, [0.0] * 6), (240, [float("nan")] + [1.0] * 5), (260, [None] + [1.0] * 5), (280, [float("inf")] * 6), (None, [1.0] * 6), (300, [1.0])]
-    df = spark.createDataFrame([(i, e, 0) for i, e in rows + bad], "vec_id long, embedding array<float>, rank int")
-    got, want = results(hilbertsearch.nearest(df)), brute(rows, 20, 20)
+    bad = [(200, None), (220, [0.0] * 6), (240, [float("nan")] + [1.0] * 5), (260, [None] + [1.0] * 5), (280, [float("inf")] * 6), (None, [1.0] * 6), (320, [])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in [*rows, *bad, (300, [1.0])]], "vec_id long, embedding array<float>, rank int")
+    got, want = results(hilbertsearch.nearest(df)), brute([*rows, (300, [1.0] + [0.0] * 5)], 20, 20)  # a short vector is followed by zeros
     assert got.keys() == want.keys()
     for q in want:
         assert [v for v, _ in got[q]] == [v for v, _ in want[q]]
