@@ -3,7 +3,8 @@
 What a pattern finds is validated (check digits, calendar, octets, area codes), read as a number of a known domain,
 permuted there by a keyed Feistel network with cycle walking, and written back in its own format. The permutation
 depends on key, kind and domain only, so equal values keep equal pseudonyms across documents, different values never
-meet, and the holder of the key can invert it. Separators, letter case and lengths stay.
+meet, and the holder of the key can invert it. Separators, letter case and lengths stay. Numbers that no check confirms
+(sixteen digits without a card's check digit, say) stay as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PATTERN = re.compile(
     | (?<![\w.]) (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}) (?!\.?\w)
     | (?<![\w.\-/]) (?P<date>[0-9]{4}[\-/][0-9]{2}[\-/][0-9]{2}|[0-9]{2}[./\-][0-9]{2}[./\-][0-9]{4}) (?![\w\-/])
     | (?<![\w+]) (?P<phone>(?:\+[0-9]{1,3}%(sep)s)?\([0-9]{2,4}\)%(sep)s[0-9]{3,4}%(sep)s?[0-9]{3,4} | \+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4} | [0-9]{3}([ .\-])[0-9]{3}\8[0-9]{4}) (?![\w])
-    | (?<![\w.]) (?P<number>[0-9](?:[ \-]?[0-9]){8,18}) (?![\w])
+    | (?<![\w.]) (?P<number>[0-9]{3}[ \-][0-9]{2}[ \-][0-9]{4} | [0-9]{13,19} | [0-9]{4}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})? | [0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}) (?![\w])
     """.replace("%(sep)s", _SEP.replace(" ", r"\ ").replace("#", r"\#")),
     re.VERBOSE,
 )
@@ -182,21 +183,32 @@ class Pseudonyms:
         if 13 <= len(flat) <= 19 and luhn(flat):
             payload = self.digits(flat[:-1], "card")
             return "card", refill(found, payload + luhn_digit(payload))
-        if len(parts) == 1 or parts[:-1] == [4] * (len(parts) - 1) and len(flat) >= 13:
-            return "account", refill(found, self.digits(flat, "account", (lambda d: not luhn(d)) if 13 <= len(flat) <= 19 else None))
         return None
 
+    def _valid_part(self, kind: str, found: str) -> tuple[int, tuple[str, str] | None]:
+        """(length, (kind, pseudonym)) of the longest beginning, up to a group's end, that is valid; else (first group's length, None)."""
+        ends = [m.start() for m in re.finditer("[ -]", found)] if kind in ("number", "iban") else []
+        for end in [len(found), *reversed(ends)]:
+            made = self.of(kind, found[:end])
+            if made is not None:
+                return end, made
+        return (ends or [len(found)])[0], None
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
-        """(text with pseudonyms, [(kind, start, length)] in code points of the result)."""
+        """(text with pseudonyms, [(kind, start, length)] in code points of the result).
+
+        Of a number or IBAN with more groups behind it the longest valid beginning counts.
+        """
         out, found, at, size = [], [], 0, 0
-        for m in PATTERN.finditer(text):
-            made = self.of(m.lastgroup, m.group(m.lastgroup)) if m.lastgroup else None
-            if made is None:
-                continue
-            start, end = m.span(m.lastgroup)
-            out += [text[at:start], made[1]]
-            found.append((made[0], size + start - at, len(made[1])))
-            size, at = size + start - at + len(made[1]), end
+        m = PATTERN.search(text)
+        while m:
+            start = m.start(m.lastgroup)
+            length, made = self._valid_part(m.lastgroup, m.group(m.lastgroup))
+            if made is not None:
+                out += [text[at:start], made[1]]
+                found.append((made[0], size + start - at, len(made[1])))
+                size, at = size + start - at + len(made[1]), start + length
+            m = PATTERN.search(text, max(start + length, m.start() + 1))  # an invalid match may hold a valid one further on
         out.append(text[at:])
         return "".join(out), found
 
