@@ -16,6 +16,15 @@ def training_labels(labels: DataFrame, label_col: str, modulus: int, remainder:
     return known.filter(~held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text and the columns of ids) of the docs (doc_id, text) whose doc_id is in ids, which must be of bounded size and distinct.
+
+    Of an id that comes with several texts the one of least hash counts, so that a hot id is one row.
+    """
+    more = [c for c in ids.columns if c != "doc_id"]
+    return docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *[F.first(c).alias(c) for c in more])
+
+
 def bounded(df: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
     """About `rows` rows at most: all, or those whose id's hash is in the least rows / count share.
 

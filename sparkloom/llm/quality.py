@@ -1,8 +1,10 @@
 """Text quality by positive-unlabelled learning.
 
 Trusted positives and a sample of unlabelled web text fit a logistic model on shape statistics of texts by the
-non-negative unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)); the class prior is
-the share of positives among the labelled training rows.
+non-negative unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The class prior is
+estimated from the same two samples (no trusted negative is used): a first model is fitted on half of both, and over the
+thresholds on the other half's scores the share of unlabelled rows above is divided by that of positives above; where
+the scores part the classes, the least such ratio is the share of positives among the unlabelled rows.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, NOT_ALNUM, chunked, mapped, mix, prefix_sums, slice_hashes, stored, word_bounds
-from .learning import bounded, held_out, training_labels
+from .common import LOWER_NP, NOT_ALNUM, chunked, mapped, mix, prefix_sums, slice_hashes, word_bounds
+from .learning import bounded, held_out, one_text, training_labels
 
 #: Rows, about, of either sample that the model is fitted on at most.
 SAMPLE = 10_000
@@ -115,9 +117,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return model
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, x array<float>) and the columns in `keep`, for every row; null texts are empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from scores of both: the ratio of the shares above the best threshold.
+
+    The threshold is where the ratio's upper confidence bound is least.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
+    above_p = 1 - np.arange(len(positive)) / len(positive)
+    above_u = 1 - np.searchsorted(unlabelled, positive) / len(unlabelled)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def fit_samples(positive: np.ndarray, positive_ids: np.ndarray, unlabelled: np.ndarray, unlabelled_ids: np.ndarray) -> Model:
+    """A model of both samples with the class prior estimated from them; halves go by id, as a row may be in both samples."""
+    p, u = (mix(ids.astype(np.uint64)) & np.uint64(1) == 0 for ids in (positive_ids, unlabelled_ids))
+    first = fit(positive[p], unlabelled[u], 0.5, steps=200)
+    return fit(positive, unlabelled, estimated_prior(first.scores(positive[~p]), first.scores(unlabelled[~u])))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, x array<float>) of every row of docs (doc_id, text); null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,52 +149,64 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "x"])
 
-    return mapped(rows, run, "doc_id long, x array<float>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, x array<float>")
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> Model:
+    """Fits on about `sample` trusted positives at most and as many unlabelled rows of docs (doc_id, text), one text an id.
+
+    Labels of held-out ids and labels other than 1 are never read.
+    """
+    known = training_labels(labels, label_col, modulus, remainder).filter("label = 1")
+    positive = one_text(docs, bounded(known, sample).select("doc_id"))
+    unlabelled = bounded(docs.filter("doc_id is not null"), sample).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def matrix(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = features(df).toArrow()
+        x, ids = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES), table["doc_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return x[order], ids[order]
 
+    return fit_samples(*matrix(positive), *matrix(unlabelled))
 
-def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> Model:
-    """Fits on about `sample` trusted positives at most and as many unlabelled rows of features(); labels of held-out ids are never read."""
-    known = training_labels(labels, label_col, modulus, remainder)
-    share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    positive = found.join(bounded(known.filter("label = 1"), sample), "doc_id").select("doc_id", "x")
-    unlabelled = bounded(found.filter("doc_id is not null"), sample)
 
-    def matrix(df: DataFrame) -> np.ndarray:
-        return np.array([r.x for r in df.select("x").collect()], dtype=np.float32).reshape(-1, FEATURES)
+def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, remainder: int, sample: int):
+    """A function for tasks: Arrow texts to scores, after a model fitted on docs and labels."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = train(rows, labels, label_col, modulus, remainder, sample)
+    sent = docs.sparkSession.sparkContext.broadcast((model.edges, model.weights, model.offset))
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        own = Model(*sent.value)
+        return np.concatenate([np.zeros(0), *(own.scores(text_features(data, offsets)) for _, _, data, offsets in chunked(texts))])
 
-    return fit(matrix(positive), matrix(unlabelled), 0.5 if share is None else share)
+    return scores
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, remainder: int = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    Null texts are empty and scored like any other; null ids are scored, never learnt from; repeated rows stay. Without
-    labels every score is the prior. Extra columns are ignored and never inputs.
+    Null texts are empty and scored like any other; null ids are scored, never learnt from; repeated rows stay, and an id
+    teaches once (see one_text). Very long texts are scored whole. Without labels every score is 0.5. Extra columns are
+    ignored and never inputs.
     """
-    found = stored(features(docs, id_col, text_col), "quality")
-    model = train(found, labels, label_col, modulus, remainder, sample)
-    sent = docs.sparkSession.sparkContext.broadcast((model.edges, model.weights, model.offset))
+    scores = _scorer(docs, labels, id_col, text_col, label_col, modulus, remainder, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-            yield pa.record_batch([batch.column(0), pa.array(own.scores(x).astype(np.float64))], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1)))], names=["doc_id", "score"])
 
-    scored = mapped(found, run, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = mapped(rows, run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, remainder: int = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs whose score is at least the threshold, all columns as they are. See quality_scores()."""
-    model = train(stored(features(docs, id_col, text_col), "quality"), labels, label_col, sample=sample)
-    sent = docs.sparkSession.sparkContext.broadcast((model.edges, model.weights, model.offset))
-    place = docs.columns.index(text_col)
+    scores, place = _scorer(docs, labels, id_col, text_col, label_col, modulus, remainder, sample), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
         for batch in batches:
-            good = [own.scores(text_features(data, offsets)) >= threshold for _, _, data, offsets in chunked(batch.column(place))]
-            yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
+            yield batch.filter(pa.array(scores(batch.column(place)) >= threshold))
 
     return mapped(docs, run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER_NP, NOT_ALNUM, chunked, mapped, mix, prefix_sums, slice_hashes, stored, text_bytes, word_bounds
-from .learning import bounded, held_out, training_labels
+from .learning import bounded, held_out, one_text, training_labels
 
 #: Bytes of the word beginnings that count as features of their own, so that inflected forms share what is learnt.
 BEGINNINGS = (4, 5, 6, 7)
@@ -82,9 +82,9 @@ def fit_rows(features: np.ndarray, rows: np.ndarray, labels: np.ndarray, epochs:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, remainder: int = 2, sample: int = SAMPLE, shards: int = SHARDS) -> np.ndarray:
-    """Weights fitted on about `sample` labelled rows at most; docs has doc_id and text. Labels of held-out ids are never read."""
+    """Weights fitted on about `sample` labelled ids at most, one text each; docs has doc_id and text. Labels of held-out ids are never read."""
     known = bounded(training_labels(labels, label_col, modulus, remainder), sample)
-    rows = docs.join(known, "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("shard"))
+    rows = one_text(docs, known).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
@@ -117,7 +117,8 @@ def score_texts(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> n
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    Null texts are empty and get the model's offset alone; null ids are scored, never learnt from; repeated rows stay.
+    Null texts are empty and get the model's offset alone; null ids are scored, never learnt from; repeated rows stay, and
+    an id that is labelled teaches once (see one_text). Very long texts are scored whole, each feature counting once.
     Without labels every score is 0.5. Extra columns are ignored and never inputs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
