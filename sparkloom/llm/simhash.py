@@ -45,17 +45,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, th, fp) of every row, th a hash of the text; a null text counts as empty, repeated rows stay."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, fp) of every row, row the column `row_col` or null; a null text counts as empty, repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = (fingerprint(t.as_py(), words) for t in batch.column(1))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(values, pa.int64())], names=["doc_id", "th", "fp"])
+            values = (fingerprint(t.as_py(), words) for t in batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values, pa.int64())], names=["doc_id", "row", "fp"])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    return mapped(rows, run, "doc_id long, th long, fp long")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    return mapped(rows, run, "doc_id long, row long, fp long")
 
 
 def masks(radius: int = 2, bits: int = 64) -> list[int]:
@@ -120,9 +120,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return small.union(wide).distinct()
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """(fingerprints of all rows, (fp, first, root) of the distinct ones)."""
-    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
+    rows = stored(rows, "simhash")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected(stored(links(distinct.select("fp"), radius), "simhash-links"))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -130,13 +130,17 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, radius: int, words: int
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null ids last, ties by a hash of the text)."""
-    rows, placed = _placed(docs, id_col, text_col, radius, words)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    kept = rows.join(placed.select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
-    marked = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
-    found = marked.join(kept, marked[id_col].cast("long").eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_th"]), "left_semi")
-    return found.dropDuplicates([id_col, "_own"]).drop("_own")
+    """docs with one row of each component: that of the smallest id (null ids last, ties by where the row stands).
+
+    Null texts are empty. Repeated rows are one component, so one of them stays; all columns are passed on as they are.
+    Rows get a number and are written first; what is compared and chosen from then on are numbers, and texts move once.
+    """
+    whole = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), whole.alias("whole")), "simhash-rows")
+    rows, placed = _placed(fingerprints(kept.select("row", "doc_id", F.col(f"whole.c{docs.columns.index(text_col)}").alias("text")), words=words, row_col="row"), radius)
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    chosen = rows.join(placed.select("fp", "root"), "fp").groupBy("root").agg(place.alias("k")).select("k.row")
+    return kept.join(chosen, "row", "left_semi").select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
@@ -145,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty (fingerprint 0); a null doc_id stays and never is the smallest, except that a component of
     null ids only has a null component_id. Repeated rows are returned as often as they come. Other columns are ignored.
     """
-    rows, placed = _placed(docs, id_col, text_col, radius, words)
+    rows, placed = _placed(fingerprints(docs, id_col, text_col, words), radius)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")

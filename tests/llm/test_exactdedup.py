@@ -94,3 +94,16 @@ def test_odd_rows(spark):
     cut = exactdedup.trimmed(docs)
     assert cut.columns == docs.columns and sorted((r.doc_id or 0, len(r.text), r.n_bytes) for r in cut.collect())[:5] == [(0, 150, 1), (1, 0, 1), (2, 250, 1), (2, 250, 1), (3, 0, 1)]
     assert exactdedup.digests(docs.limit(0)).count() == 0 and exactdedup.trimmed(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rand = random.Random(9)
+    part = lambda n: "".join(rand.choice("abcdefgh é") for _ in range(n))
+    shared, run = part(5000), "xy" * 3000
+    rows = [(1, part(150_000) + shared + part(150_000)), (2, shared[100:4000] + part(200_000) + shared + run + part(99) + run), (3, run)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exactdedup.digests(docs).collect()}
+    assert list(got[i] for i, _ in rows) == plain(rows, 100)
+    kept = {r.doc_id: r.text for r in exactdedup.trimmed(docs).collect()}
+    assert kept[1] == rows[0][1] or got[1][1] > 0
+    assert all(len(kept[i].encode()) >= got[i][0] - got[i][1] for i in kept) and kept[3] == "" and len(kept[2]) < len(rows[1][1]) - 8000

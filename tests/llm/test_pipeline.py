@@ -1,8 +1,15 @@
-import re
+import zlib
+
+import numpy as np
+import pytest
+
+tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline
-from sparkloom.llm import exactdedup, pii, quality, simhash
+from sparkloom.llm import pii, quality, simhash
 from sparkloom.llm.common import stored
+from test_packing import check
+from test_simhash import chains, plain
 
 
 def test_stages(spark):
@@ -23,8 +30,8 @@ def test_stages(spark):
     assert after.exceptAll(before).count() == 0
 
     before, after = by["near_dedup"]
-    roots = {r.component_id for r in simhash.near_duplicates(before).collect()}
-    assert sorted(r.doc_id for r in after.collect()) == sorted(roots) and after.exceptAll(before).count() == 0
+    roots = chains([(r.doc_id, plain(r.text)) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(roots.values())) and after.exceptAll(before).count() == 0
 
     before, after = by["passage_dedup"]
     seen = set()
@@ -51,7 +58,14 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
     before, after = by["packing"]
-    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    library = tokenizers.Tokenizer.from_file(corpus_pipeline.tokenizer_path("word_bpe_49k.json"))
+    want = {}
+    for r in before.collect():
+        ids = library.encode(r.text, add_special_tokens=False).ids + [1]
+        want |= {(r.doc_id, k // 4096): (k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)}
+    rows = after.collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    assert check(rows, 4096) <= 1.02 * sum(r.length for r in rows) / 4096 + 1
 
 
 def test_odd_rows_pass_all_stages(spark, sf_dir):

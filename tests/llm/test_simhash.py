@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -74,3 +75,20 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or -1, r.fp == 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(-1, False, None), (1, True, 1), (2, True, 1), (2, True, 1), (3, True, 1), (4, False, 4), (5, False, 4), (7, False, 7)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts_are_read_whole(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(50)) for _ in range(60_000))
+    rows = [(1, long), (2, long + " x"), (3, long[::-1]), (4, long.upper())]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id").collect()}
+    want = [(i, plain(t)) for i, t in rows]
+    roots = chains(want)
+    assert got == {i: (f"{fp:016x}", roots[i]) for i, fp in want}
+
+
+def test_one_of_each_keeps_columns_and_one_row(spark):
+    rows = [(7, "a b c d", 1), (5, "A B C D", 2), (5, "A B C D", 2), (None, "a b c d", 3), (None, "other words stand here", 4), (9, None, 5), (8, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.row for r in got.collect()) == [2, 4, 6]
