@@ -22,8 +22,10 @@ DEAL_KEYWORDS = {
     "investment": ("invest", "investment", "investing", "stake", "equity", "funding", "capital"),
 }
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: How dates are written.
 DATE_PATTERNS = (rf"(?i)((?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}})", r"(\d{1,2}/\d{1,2}/\d{2,4})", r"(\d{4}-\d{2}-\d{2})", r"(?i)(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4})")
 _CAPS = r"[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*"
+#: Where names of companies and of advisors stand.
 COMPANY_PATTERNS = (
     rf"(?:^|\s)({_CAPS})\s+(?:Inc\.|LLC|Corp\.|Corporation|Limited|Ltd\.|Company|Co\.|Group|Holdings|Partners|LP|LLP)",
     rf"(?:acquires?|acquired by|merges? with|to acquire|will acquire|has acquired|buys?|bought by)\s+({_CAPS})",
@@ -50,7 +52,8 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
 
 def deal_values(c: Column) -> Column:
     """array<struct<normalized, raw>> of all amounts, by pattern and place; equal amounts once."""
-    raw = F.concat(*[_all(c, p) for p in VALUE_PATTERNS])
+    some = c.contains("$") | F.lower(c).contains("illion")  # every pattern holds one of them
+    raw = F.when(some, F.concat(*[_all(c, p) for p in VALUE_PATTERNS])).otherwise(F.array().cast("array<string>"))
 
     def struct(x: Column) -> Column:
         number = F.regexp_replace(F.regexp_extract(x, r"(?i)([\d,]+\.?\d*)\s*(?:billion|million|B|M)", 1), ",", "").try_cast("double")
@@ -72,7 +75,7 @@ def deal_value_raw(c: Column) -> Column:
 
 def occurrences(c: Column, word: str) -> Column:
     """How often `word` stands in the text, not overlapping."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return F.when(c.contains(word), ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")).otherwise(0)
 
 
 def transaction_type(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import companies as C, urls as U
 from ..functions.text import clean_phone, clean_website, filled, trimmed
-from .mapping import anything, column_by_synonyms, pick_columns
+from .mapping import column_by_synonyms, pick_columns
 
 
 def dedupe_companies(df: DataFrame, by: Sequence[str] = ("url",), name: str = "name", pos: str = "pos") -> DataFrame:
@@ -58,15 +58,22 @@ def with_summaries(sheet: DataFrame) -> DataFrame:
     return sheet.select(name.alias("Company Name"), F.coalesce(c["website"], F.lit("")).alias("Website"), summary.alias("Summary"))
 
 
+#: Fixed value: what is said of a company of which nothing is known.
+NO_DETAILS = "Provides industry-related services (details not specified)."
+
+
 def target_list(sheet: DataFrame, blank: str = "—") -> DataFrame:
-    """(Company, Website, Summary) of every row with a company or site; aggregator links are unwrapped or blanked."""
+    """(Company, Website, Summary) of every row; aggregator links are unwrapped or blanked.
+
+    The summary is the first that is filled of description, specialties, products, end markets and industries, else the
+    fixed sentence, so no row is without one. Companies without a name go by their site, then by `blank`.
+    """
     at = pick_columns(sheet)
     c = {f: F.col(f"`{h}`") if h else F.lit(None).cast("string") for f, h in at.items()}
     site = U.canonical_website(c["website"])
     name = F.coalesce(F.nullif(trimmed(c["company"]), F.lit("")), U.domain_name(site))
-    text = F.nullif(trimmed(c["description"]), F.lit(""))
-    rows = sheet.filter(anything(*[x for x in (c["company"], c["website"]) if x is not None]))
-    return rows.select(F.coalesce(name, F.lit(blank)).alias("Company"), F.coalesce(site, F.lit(blank)).alias("Website"), F.coalesce(text, F.lit(blank)).alias("Summary"))
+    texts = [F.nullif(trimmed(c[f]), F.lit("")) for f in ("description", "specialties", "products", "end_markets", "industries")]
+    return sheet.select(F.coalesce(name, F.lit(blank)).alias("Company"), F.coalesce(site, F.lit(blank)).alias("Website"), F.coalesce(*texts, F.lit(NO_DETAILS)).alias("Summary"))
 
 
 def supplier_directory(companies: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -122,10 +123,11 @@ def request_summary(events: DataFrame, by: str = "job_id") -> DataFrame:
 
 
 def url_pattern_stats(results: DataFrame, col: str = "url") -> DataFrame:
-    """(pattern, total, successful, failed) by path with page numbers as *."""
+    """(pattern, total, successful, failed) by path with page numbers as *; with a column canonicalized also canonical_pct of the rows."""
     ok = F.coalesce("success", F.lit(False))
     rows = results.filter(U.is_url(F.col(col))).withColumn("pattern", U.page_pattern(U.path(F.col(col))))
-    return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"))
+    more = [F.round(F.count_if(F.coalesce("canonicalized", F.lit(False))) * 100.0 / F.count(F.lit(1)), 4).alias("canonical_pct")] if "canonicalized" in results.columns else []
+    return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), *more)
 
 
 def most_common_error(results: DataFrame, col: str = "error") -> DataFrame:
@@ -134,6 +136,21 @@ def most_common_error(results: DataFrame, col: str = "error") -> DataFrame:
     return counts.orderBy(F.desc("n"), "category").limit(1)
 
 
+def errors_by_category(results: DataFrame, examples: int = 10) -> DataFrame:
+    """(category, n, examples) of the failed rows of (url, success, error): how many, and the first URLs in order."""
+    failed = results.filter(~F.coalesce("success", F.lit(False))).select(error_category(F.col("error")).alias("category"), "url")
+    nth = failed.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("url"))).filter(F.col("_n") <= examples)
+    some = nth.groupBy("category").agg(F.sort_array(F.collect_list("url")).alias("examples"))
+    return failed.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(some, "category")
+
+
+def companies_per_success(results: DataFrame) -> DataFrame:
+    """(urls, companies, average): companies found in all and for each successful URL of (success, n_companies)."""
+    ok = F.coalesce("success", F.lit(False))
+    n = F.coalesce(F.sum(F.when(ok, F.coalesce("n_companies", F.lit(0)))), F.lit(0))
+    return results.agg(F.count_if(ok).alias("urls"), n.alias("companies"), F.coalesce(F.try_divide(n.cast("double"), F.count_if(ok)), F.lit(0.0)).alias("average"))
+
+
 def companies_per_url(results: DataFrame) -> DataFrame:
     """(url, n_companies, has_contact, has_site) of (url, companies array<struct<name, contact, website>>)."""
     full = lambda f: F.exists("companies", lambda x: x[f].isNotNull() & (x[f] != ""))
@@ -217,11 +234,34 @@ def retry_schedule(failures: DataFrame, most_ms: int = 60_000) -> DataFrame:
 
 
 def crawl_report(results: DataFrame) -> DataFrame:
-    """(section, key, n, value): summary, categories, URL patterns and advice of (url, success, skipped, response_time, error)."""
+    """(section, key, n, value) of (url, success, skipped, response_time, error).
+
+    Sections: summary; category, advice; error_pattern (category and [NNN] status of failed rows); pattern (URL patterns,
+    value the failed ones); host, status, message (the failed rows' log, value in percent); time (least, most, mean and
+    upper median); with a column n_companies also companies; with error_type also retry (value the success rate).
+    """
+    none = F.lit(None)
+    parts: list[tuple[str, DataFrame, Column, Column, Column]] = []
     s = batch_summary(results)
-    total = s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in s.columns])).alias("x")).select(F.lit("summary").alias("section"), "x.key", F.lit(None).cast("long").alias("n"), "x.value")
-    kinds = error_categories(results)
-    cats = kinds.select(F.lit("category"), F.col("category"), F.col("n"), F.lit(None).cast("double"))
-    pats = url_pattern_stats(results).select(F.lit("pattern"), F.col("pattern"), F.col("total"), F.col("failed").cast("double"))
-    tips = recommendations(kinds).select(F.lit("advice"), F.col("type"), F.col("n"), F.lit(None).cast("double"))
-    return total.union(cats).union(pats).union(tips)
+    flat = s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in s.columns])).alias("x")).select("x.*")
+    parts.append(("summary", flat, F.col("key"), none, F.col("value")))
+    failed = results.filter(~F.coalesce("success", F.lit(False)))
+    code = F.nullif(F.regexp_extract(F.coalesce("error", F.lit("")), r"\[([0-9]+)\]", 1), F.lit(""))
+    kinds = failed.groupBy(error_category(F.col("error")).alias("category"), F.coalesce(code, F.lit("unknown")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    by_kind = kinds.groupBy("category").agg(F.sum("n").alias("n"))
+    every = results.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    parts.append(("category", every.join(by_kind, "category", "left"), F.col("category"), F.coalesce("n", F.lit(0)), none))
+    parts.append(("error_pattern", kinds, F.concat_ws(" ", "category", "code"), F.col("n"), none))
+    parts.append(("advice", recommendations(by_kind), F.col("type"), F.col("n"), none))
+    parts.append(("pattern", url_pattern_stats(results), F.col("pattern"), F.col("total"), F.col("failed").cast("double")))
+    log = error_log_report(failed.select(U.host(F.col("url")).alias("host"), F.col("error").alias("message"))).filter("dim <> 'total'")
+    times = results.agg(*[f("response_time").cast("double").alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))], F.expr("cast(percentile_disc(0.5) within group (order by response_time desc) as double)").alias("median"))
+    flat = times.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in times.columns])).alias("x")).select("x.*")
+    parts.append(("time", flat, F.col("key"), none, F.col("value")))
+    if "n_companies" in results.columns:
+        parts.append(("companies", companies_per_success(results), F.lit("average"), F.col("companies"), F.col("average")))
+    if "error_type" in results.columns:
+        parts.append(("retry", retry_metrics(results.filter("error_type is not null")), F.col("error_type"), F.col("retries"), F.col("success_rate")))
+    made = [df.select(F.lit(name).alias("section"), key.alias("key"), n.cast("long").alias("n"), value.cast("double").alias("value")) for name, df, key, n, value in parts]
+    made.append(log.select(F.col("dim").alias("section"), F.col("value").alias("key"), F.col("n"), F.col("pct").cast("double").alias("value")))
+    return reduce(DataFrame.union, made)

@@ -32,9 +32,10 @@ def rule_matches(path: Column, rule: Column) -> Column:
 
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (host, path, ...) with allowed: the longest matching rule of the first section with any match; ties allow, none allows."""
-    rows = urls.withColumn("_row", F.monotonically_increasing_id())
-    r = rules.select(F.col("host").alias("_h"), "section", "allow", F.col("path").alias("_rule"))
-    hits = rows.select("_row", "host", "path").join(r, F.col("host") == F.col("_h")).filter(rule_matches(F.col("path"), F.col("_rule")))
-    size = F.length(F.regexp_replace("_rule", r"\*", ""))
-    best = hits.groupBy("_row").agg(F.max_by("allow", F.struct(-F.col("section"), size, F.col("allow").cast("int"))).alias("_allow"))
-    return rows.join(best, "_row", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_row", "_allow")
+    size = F.length(F.regexp_replace("path", r"\*", ""))
+    each = F.struct((-F.col("section")).alias("section"), size.alias("size"), F.col("allow").cast("int").alias("allow"), "path")
+    of_host = rules.groupBy(F.col("host").alias("_h")).agg(F.collect_list(each).alias("_rules"))  # one robots.txt a host
+    hits = F.filter("_rules", lambda r: rule_matches(F.col("path"), r["path"]))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r["section"].alias("section"), r["size"].alias("size"), r["allow"].alias("allow"))))
+    rows = urls.join(of_host, F.col("host") == F.col("_h"), "left")
+    return rows.withColumn("allowed", F.coalesce(best["allow"] == 1, F.lit(True))).drop("_h", "_rules")

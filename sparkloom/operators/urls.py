@@ -127,16 +127,18 @@ def expand_pages(df: DataFrame, max_pages: int = 100, mode: str = "range", col:
     return out.withColumn("page_url", F.concat(F.regexp_replace(col, "/+$", ""), F.lit("/page/"), F.col("_n"))).drop("_n")
 
 
-def source_of_url(df: DataFrame, sources: DataFrame, col: str = "url", hint: str | None = None) -> DataFrame:
+def source_of_url(df: DataFrame, sources: DataFrame, col: str = "url", hint: str | None = None, most: int = 1_000) -> DataFrame:
     """df with source: the key of the first source (key, base_url, in order of pos) whose base URL the URL holds, else the hint, else custom.
 
-    sources is a small configuration table; it is joined by containment with the smaller side sent along if Spark finds it small.
+    sources is configuration: its rows become part of the expression; over `most` of them are refused. No row is joined or moved.
     """
-    base = sources.select("key", F.lower("base_url").alias("base_url"), "pos")
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    hits = rows.select("_row", F.lower(col).alias("_u")).join(base, F.expr("contains(_u, base_url)")).groupBy("_row").agg(F.min_by("key", "pos").alias("_key"))
+    base = sources.select("key", F.lower("base_url").alias("base_url"), "pos").filter("base_url is not null").orderBy("pos", "key").limit(most + 1).collect()
+    if len(base) > most:
+        raise ValueError(f"more than {most} sources")
+    known = F.array(*[F.struct(F.lit(r.key).alias("key"), F.lit(r.base_url).alias("base_url")) for r in base])
+    hit = F.try_element_at(F.filter(known, lambda s: F.lower(col).contains(s["base_url"])), F.lit(1))["key"] if base else F.lit(None)
     other = F.col(hint) if hint else F.lit(None)
-    return rows.join(hits, "_row", "left").withColumn("source", F.coalesce("_key", other, F.lit("custom"))).drop("_row", "_key")
+    return df.withColumn("source", F.coalesce(hit, other, F.lit("custom")))
 
 
 def validation_summary(df: DataFrame) -> DataFrame:

@@ -440,12 +440,12 @@ def agg5_error_log_report(spark, sf_dir):
     return L.error_log_report(rows).withColumn("pct", F.col("pct").cast("double"))
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%d') AS job_id, count(*) AS total_requests, count(*) FILTER (event_type <> 'error') AS successful_requests, count(*) FILTER (event_type = 'error') AS failed_requests, count(*) FILTER (event_id % 3 = 0) AS canonicalized_requests, min(nullif(value, 0)) AS min_ms, max(nullif(value, 0)) AS max_ms,
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS job_id, count(*) AS total_requests, count(*) FILTER (event_type <> 'error') AS successful_requests, count(*) FILTER (event_type = 'error') AS failed_requests, count(*) FILTER (event_id % 3 = 0) AS canonicalized_requests, CASE WHEN bool_or(event_type = 'error') THEN 'error=' || count(*) FILTER (event_type = 'error') END AS error_classes, min(nullif(value, 0)) AS min_ms, max(nullif(value, 0)) AS max_ms,
   round(avg(nullif(value, 0)), 4) AS avg_ms, quantile_disc(nullif(value, 0), 0.5 ORDER BY nullif(value, 0) DESC) AS median_ms FROM events GROUP BY 1""".replace("quantile_disc(nullif(value, 0), 0.5 ORDER BY nullif(value, 0) DESC)", "list_sort(list(value) FILTER (value <> 0))[1 + (count(*) FILTER (value <> 0)) // 2]"))
 def agg6_request_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select(F.date_format("ts", "yyyy-MM-dd").alias("job_id"), (F.col("event_type") != "error").alias("success"), (F.col("event_id") % 3 == 0).alias("canonicalized"), F.lit(False).alias("robots_blocked"), F.lit(False).alias("pagination_discovered"), F.col("value").alias("response_time_ms"), F.col("event_type").alias("error_class"))
-    return L.request_summary(rows).select("job_id", "total_requests", "successful_requests", "failed_requests", "canonicalized_requests", "min_ms", "max_ms", F.round("avg_ms", 4).alias("avg_ms"), "median_ms")
+    return L.request_summary(rows).select("job_id", "total_requests", "successful_requests", "failed_requests", "canonicalized_requests", F.array_join(F.transform(F.map_entries("error_classes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ").alias("error_classes"), "min_ms", "max_ms", F.round("avg_ms", 4).alias("avg_ms"), "median_ms")
 
 
 @query(f"WITH r AS ({_RESULT}) SELECT '/list/page/*' AS pattern, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM r")
@@ -473,10 +473,11 @@ def sessions(spark, sf_dir):
     return grouped.select(F.col("user_id").cast("string").alias("id"), F.when(F.col("user_id") % 2 == 0, "completed").otherwise("running").alias("status"), (F.col("n") * 2).alias("totalUrls"), "successCount", "failureCount", "createdAt", "updatedAt", (F.col("createdAt") + 1000 * (F.col("user_id") % 5)).alias("expiresAt"))
 
 
-@query(f"WITH s AS ({_SESSIONS}) SELECT user_id::VARCHAR AS id, round((good + bad) * 100.0 / (total * 2), 4)::DOUBLE AS progress, round(coalesce((good + bad)::DOUBLE / nullif((u - c) / 1000.0, 0), 0), 4)::DOUBLE AS urls_per_second, round(good * 100.0 / (good + bad), 4)::DOUBLE AS success_rate FROM s")
+@query(f"""WITH s AS ({_SESSIONS}) SELECT user_id::VARCHAR AS id, round((good + bad) * 100.0 / (total * 2), 4)::DOUBLE AS progress, round(coalesce((good + bad)::DOUBLE / nullif((u - c) / 1000.0, 0), 0), 4)::DOUBLE AS urls_per_second,
+  round(coalesce((total * 2 - good - bad) / nullif((good + bad)::DOUBLE / nullif((u - c) / 1000.0, 0), 0), 0), 4)::DOUBLE AS eta_seconds, round((u - c)::DOUBLE / (good + bad), 4) AS avg_ms, round(good * 100.0 / (good + bad), 4)::DOUBLE AS success_rate FROM s""")
 def agg19_session_stats(spark, sf_dir):
     out = L.session_stats(sessions(spark, sf_dir))
-    return out.select("id", *[F.col(c).cast("double").alias(c) for c in ("progress", "urls_per_second", "success_rate")])
+    return out.select("id", *[F.col(c).cast("double").alias(c) for c in ("progress", "urls_per_second", "eta_seconds", "avg_ms", "success_rate")])
 
 
 @query(f"WITH s AS ({_SESSIONS}) SELECT user_id::VARCHAR AS id, u AS updated FROM s WHERE user_id % 2 = 0 ORDER BY u DESC, user_id::VARCHAR LIMIT 10")
@@ -503,9 +504,121 @@ def str7_retry_schedule(spark, sf_dir):
     return L.retry_schedule(rows).select("event_id", "error_type", "delay_ms", "can_retry")
 
 
-@query()
+_CODE = "coalesce(nullif(regexp_extract(error, '\\[([0-9]+)\\]', 1), ''), 'unknown')"
+_SUMMED = """SELECT count(*) AS total, count(*) FILTER (NOT skipped) AS processed, count(*) FILTER (NOT skipped AND success) AS successful, count(*) FILTER (NOT skipped AND NOT success) AS failed, count(*) FILTER (skipped) AS skipped,
+  coalesce(count(*) FILTER (NOT skipped AND success) * 100.0 / nullif(count(*) FILTER (NOT skipped), 0), 0) AS success_rate, coalesce(avg(response_time), 0) AS avg_response_time, coalesce(avg(response_time) FILTER (success), 0) AS avg_success_time FROM r"""
+_NAMES = ("total", "processed", "successful", "failed", "skipped", "success_rate", "avg_response_time", "avg_success_time")
+
+
+@query(f"""WITH r AS ({_RESULT}), f AS (SELECT *, {_CAT} AS category, {_CODE} AS code FROM r WHERE NOT success), k AS (SELECT category, count(*) AS n FROM f GROUP BY 1), s AS ({_SUMMED}), g AS (
+  {" UNION ALL ".join(f"SELECT 'summary' AS section, '{c}' AS key, NULL::BIGINT AS n, {c}::DOUBLE AS value FROM s" for c in _NAMES)}
+  UNION ALL SELECT 'category', c, coalesce(n, 0), NULL FROM (SELECT unnest([{_ALL}]) AS c) LEFT JOIN k ON c = category
+  UNION ALL SELECT 'error_pattern', category || ' ' || code, count(*), NULL FROM f GROUP BY 2
+  UNION ALL SELECT 'advice', CASE category WHEN 'server_error' THEN 'server' ELSE category END, n, NULL FROM k WHERE category = 'timeout' AND n > 3 OR category = 'network' AND n > 5 OR category = 'rate_limit' OR category = 'server_error' AND n > 2
+  UNION ALL SELECT 'pattern', regexp_replace(regexp_extract(url, '^https://[^/]+(/.*)$', 1), '/page/[0-9]+', '/page/*'), count(*), count(*) FILTER (NOT success) FROM r GROUP BY 2
+  UNION ALL SELECT 'time', 'min', NULL, min(response_time) FROM r UNION ALL SELECT 'time', 'max', NULL, max(response_time) FROM r UNION ALL SELECT 'time', 'mean', NULL, avg(response_time) FROM r
+  UNION ALL SELECT 'time', 'median', NULL, list_sort(list(response_time))[1 + count(*) // 2] FROM r
+  UNION ALL SELECT 'host', regexp_extract(url, '^https://([^/]+)', 1), count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f GROUP BY 2
+  UNION ALL SELECT 'status', code, count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f WHERE code <> 'unknown' GROUP BY 2 UNION ALL SELECT 'message', error, count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f GROUP BY 2)
+  SELECT section, key, n, round(value, 4) AS value FROM g""")
 def job12_crawl_report(spark, sf_dir):
-    return L.crawl_report(results(spark, sf_dir))
+    return L.crawl_report(results(spark, sf_dir)).withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH r AS ({_RESULT}), f AS (SELECT {_CAT} AS category, url FROM r WHERE NOT success), k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY url) AS i FROM f)
+  SELECT category, count(*) AS n, string_agg(url, ' ' ORDER BY url) FILTER (i <= 10) AS examples FROM k GROUP BY 1""")
+def agg8_errors_by_category(spark, sf_dir):
+    return L.errors_by_category(results(spark, sf_dir)).withColumn("examples", F.array_join("examples", " "))
+
+
+@query("SELECT count(*) FILTER (p_partkey % 3 <> 0) AS urls, coalesce(sum(p_size) FILTER (p_partkey % 3 <> 0), 0)::BIGINT AS companies, round(coalesce(sum(p_size) FILTER (p_partkey % 3 <> 0)::DOUBLE / nullif(count(*) FILTER (p_partkey % 3 <> 0), 0), 0), 4) AS average FROM part")
+def agg8_companies_per_success(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3 != 0).alias("success"), F.col("p_size").alias("n_companies"))
+    return L.companies_per_success(rows).select("urls", F.col("companies").cast("long").alias("companies"), F.round("average", 4).alias("average"))
+
+
+@query(f"""WITH p AS ({_PARTS} FROM (SELECT page_id, url AS u FROM pages)) SELECT regexp_replace(pth, '/page/[0-9]+', '/page/*', 'g') AS pattern, count(*) AS total, count(*) FILTER (page_id % 7 <> 0) AS successful, count(*) FILTER (page_id % 7 = 0) AS failed,
+  round(count(*) FILTER (page_id % 3 = 0) * 100.0 / count(*), 4)::DOUBLE AS canonical_pct FROM p WHERE {_WEB} GROUP BY 1""")
+def agg7_page_patterns(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 7 != 0).alias("success"), (F.col("page_id") % 3 == 0).alias("canonicalized"))
+    return L.url_pattern_stats(rows).withColumn("canonical_pct", F.col("canonical_pct").cast("double"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents) SELECT doc_id, len(parts) AS sentences, parts[1] AS first, list_max(list_transform(parts, lambda x: length(x))) AS longest FROM s""")
+def scl11_split_sentences(spark, sf_dir):
+    parts = T.split_sentences(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("sentences"), F.try_element_at("parts", F.lit(1)).alias("first"), F.array_max(F.transform("parts", F.length)).cast("long").alias("longest"))
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '[<>"'';\\]', '', 'g'), '^\s+|\s+$', '', 'g')) AS clean FROM pages""")
+def scl29_sanitize_string(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.sanitize_string(F.col("html")).cast("binary")).alias("clean"))
+
+
+@query()
+def scl25_contract_context(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", K.contract_context(F.col("text")).alias("c")).select("doc_id", "c.*")
+
+
+@query()
+def scl26_sports_validation(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", H.keyword_score(F.col("text")).alias("keywords"), H.sports_validation(F.col("text")).alias("v")).select("doc_id", "keywords", "v.score", "v.valid", F.array_join("v.failed", " ").alias("failed"))
+
+
+@query()
+def htm8_pagination(spark, sf_dir):
+    return H.extract_pagination(H.parse_pages(table(spark, sf_dir, "pages")))
+
+
+def directory_pages(spark, sf_dir):
+    """One page for every 20 suppliers, each a row of its table."""
+    row = F.concat(F.lit("<tr><td> "), "s_name", F.lit("</td><td>Tel. "), "s_suppkey", F.lit("-555 (main)</td><td>www.s"), "s_suppkey", F.lit(".example.com</td></tr>"))
+    pages = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 20").alias("page_id"), F.struct("s_suppkey", row.alias("row")).alias("r")).groupBy("page_id").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    rows = F.array_join(F.transform("rows", lambda r: r["row"]), "")
+    return pages.select("page_id", F.concat(F.lit("https://d.example.com/"), "page_id").alias("url"), F.concat(F.lit("<table><tr><th>Company</th><th>Contact</th><th>Website</th></tr>"), rows, F.lit("</table>")).alias("html"))
+
+
+_DIRECTORY = "SELECT s_suppkey // 20 AS page_id, 'https://d.example.com/' || s_suppkey // 20 AS url, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) AS pos, s_name AS name, s_suppkey AS k FROM supplier"
+
+
+@query(f"SELECT page_id, url, pos, name, 'Tel. ' || k || '-555 (main)' AS contact, 'www.s' || k || '.example.com' AS website FROM ({_DIRECTORY})")
+def htm9_companies(spark, sf_dir):
+    return H.extract_companies(H.parse_pages(directory_pages(spark, sf_dir))).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"SELECT page_id, url, pos, name, k || '-555 ()' AS contact, 'https://www.s' || k || '.example.com' AS website FROM ({_DIRECTORY})")
+def job7_supplier_directory(spark, sf_dir):
+    return OC.supplier_directory(H.extract_companies(H.parse_pages(directory_pages(spark, sf_dir)))).withColumn("pos", F.col("pos").cast("long"))
+
+
+def player_pages(spark, sf_dir):
+    """One page for each customer with orders: a table of its orders by year."""
+    years = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    row = F.concat(F.lit("<tr><td>"), "year", F.lit("</td><td>"), "n", F.lit("</td></tr>"))
+    pages = years.select(F.col("o_custkey").alias("page_id"), F.struct("year", row.alias("row")).alias("r")).groupBy("page_id").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    rows = F.array_join(F.transform("rows", lambda r: r["row"]), "")
+    return pages.select("page_id", F.lit("https://p.example.com/").alias("url"), F.concat(F.lit("<h1>Player</h1><table><tr><th>Year</th><th>Games</th></tr>"), rows, F.lit("</table>")).alias("html"))
+
+
+_YEARS = "SELECT o_custkey AS page_id, year(o_orderdate) AS y, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate)) AS row_idx FROM orders GROUP BY 1, 2"
+
+
+@query(f"""SELECT page_id, 0::BIGINT AS table_idx, 'season' AS table_type, row_idx, '{{"Year":"' || y || '","Games":"' || n || '"}}' AS stats FROM ({_YEARS})""")
+def htm10_stat_tables(spark, sf_dir):
+    out = H.extract_stat_tables(H.parse_pages(player_pages(spark, sf_dir)))
+    return out.select("page_id", F.col("table_idx").cast("long").alias("table_idx"), "table_type", F.col("row_idx").cast("long").alias("row_idx"), F.to_json("stats").alias("stats"))
+
+
+@query(f"SELECT page_id, row_idx, 'Year' AS stat, y::VARCHAR AS value FROM ({_YEARS}) UNION ALL SELECT page_id, row_idx, 'Games', n::VARCHAR FROM ({_YEARS})")
+def job8_player_statistics(spark, sf_dir):
+    out = H.player_tables(H.parse_pages(player_pages(spark, sf_dir)))["statistics"]
+    return out.select("page_id", F.col("row_idx").cast("long").alias("row_idx"), "stat", "value")
+
+
+@query()
+def htm11_player_bio(spark, sf_dir):
+    return H.extract_player_bio(H.parse_pages(table(spark, sf_dir, "pages")))
 
 
 def host_events(spark, sf_dir):
@@ -610,9 +723,9 @@ def job5_standardize_description(spark, sf_dir):
     return sheet(spark, sf_dir).select(c[0].alias("company"), C.standardize_description(c[0], F.lit(""), c[1], c[2], c[3], c[4], c[5]).alias("sentence"))
 
 
-@query("""SELECT s_name AS company, 'https://www.s' || s_suppkey || '.example.com' AS website FROM supplier""")
+@query(f"""SELECT s_name AS company, 'https://www.s' || s_suppkey || '.example.com' AS website, CASE WHEN s_suppkey % 4 <> 0 THEN 'We develop innovative ' || {_WHAT} || ' and tools. Revenue is $5 million. Based in Ohio.' ELSE 'Energy, Mining; Oil' END AS summary FROM supplier""")
 def job3_target_list(spark, sf_dir):
-    return OC.target_list(sheet(spark, sf_dir)).select(F.col("Company").alias("company"), F.col("Website").alias("website"))
+    return OC.target_list(sheet(spark, sf_dir)).select(F.col("Company").alias("company"), F.col("Website").alias("website"), F.col("Summary").alias("summary"))
 
 
 @query("""WITH k AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part) SELECT p_name AS name, p_partkey AS pos FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p_partkey) AS n FROM k WHERE key <> '') WHERE n = 1""")
@@ -646,9 +759,17 @@ def jon4_auto_map_headers(spark, sf_dir):
     return M.auto_map_headers(headers, defs).select("header", "target_field", F.round("score", 4).alias("score"))
 
 
-@query()
+_ABOUT = f"CASE WHEN s_suppkey % 4 <> 0 THEN 'We develop innovative ' || {_WHAT} || ' and tools. Revenue is $5 million. Based in Ohio.' END"
+_CELLS = f"""SELECT 'Company Name' AS header, s_name AS v FROM supplier UNION ALL SELECT 'Website', 'https://www.s' || s_suppkey || '.example.com/about' FROM supplier UNION ALL SELECT 'Description', {_ABOUT} FROM supplier
+  UNION ALL SELECT 'Specialties', CASE WHEN s_suppkey % 8 = 0 THEN 'Welding; Repair, Paint' END FROM supplier UNION ALL SELECT 'End Markets', 'Energy, Mining; Oil' FROM supplier UNION ALL SELECT 'Industries', 'Industrial' FROM supplier"""
+
+
+@query(f"""WITH c AS (SELECT header, trim(v) AS v, regexp_matches(trim(v), '(?i)^(https?://)?([a-z0-9-]+\\.)+[a-z]{{2,}}(/.*)?$') AS u FROM ({_CELLS})), h AS (SELECT header, lower(regexp_extract(v, '^(?:https?://)?([^/]+)', 1)) AS host, count(*) AS n FROM c WHERE u GROUP BY 1, 2),
+  t AS (SELECT header, arg_max(host, n::VARCHAR || ' ' || host) AS top_host FROM h GROUP BY 1)
+  SELECT header, count(*) FILTER (v <> '') AS n, round(coalesce(count(*) FILTER (u) * 1.0 / nullif(count(*) FILTER (v <> ''), 0), 0), 4)::DOUBLE AS url_share, round(coalesce(count(*) FILTER (length(v) >= 40 AND regexp_matches(v, '\\s')) * 1.0 / nullif(count(*) FILTER (v <> ''), 0), 0), 4)::DOUBLE AS paragraph_share, any_value(top_host) AS top_host
+  FROM c LEFT JOIN t USING (header) GROUP BY 1""")
 def agg13_column_shape(spark, sf_dir):
-    return M.column_shape(sheet(spark, sf_dir))
+    return M.column_shape(sheet(spark, sf_dir)).select("header", "n", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("url_share", "paragraph_share")], "top_host")
 
 
 # ---- further operators

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +21,7 @@ def stream_results_to_table(spark: SparkSession, source: str, out: str, checkpoi
 
 
 def stream_request_counters(stream: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes", slide: str | None = None, ts: str = "ts", by: str = "job_id") -> DataFrame:
-    """Counters per job and time bucket (start, end): total, failed, by error class; late rows beyond the watermark are dropped by Spark."""
+    """Counters per job and time bucket (start, end): total, failed and response times; late rows beyond the watermark are dropped by Spark."""
     bucket = F.window(ts, window, slide) if slide else F.window(ts, window)
     ok = F.coalesce("success", F.lit(False))
     out = stream.withWatermark(ts, watermark).groupBy(bucket.alias("w"), by).agg(F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("failed"), F.min("response_time_ms").alias("min_ms"), F.max("response_time_ms").alias("max_ms"), F.avg("response_time_ms").alias("avg_ms"))
@@ -58,6 +60,17 @@ class _Window:
 PROFILE = {"start_rps": 5.0, "max_rps": 10.0, "min_rps": 0.5, "backoff": 0.6, "recovery": 1.1, "recovery_after": 15, "cooldown_ms": 30_000}
 
 
+def wait_of(retry_after: str, now: int) -> int:
+    """Milliseconds that a Retry-After header asks for: whole seconds it begins with, or until its date; neither: a minute."""
+    seconds = re.match(r"\s*([+-]?\d+)", retry_after)
+    if seconds:
+        return 1000 * int(seconds.group(1))
+    try:
+        return max(0, round(parsedate_to_datetime(retry_after).timestamp() * 1000) - now)
+    except (TypeError, ValueError):
+        return 60_000
+
+
 class _Rate:
     """A host's rate: cut on 429, raised after a run of successes and a cool-down, lowered a little by many server errors."""
 
@@ -69,11 +82,7 @@ class _Rate:
         p, reason = self.p, None
         if status == 429:
             self.last, self.good, self.bad = now, 0, self.bad + 1
-            try:
-                wait = int(float(retry_after) * 1000)
-            except (TypeError, ValueError):
-                wait = min(p["cooldown_ms"], 1000 * 2 ** min(self.bad, 6))
-            self.until = now + wait
+            self.until = now + (wait_of(retry_after, now) if isinstance(retry_after, str) and retry_after else min(p["cooldown_ms"], 1000 * 2 ** min(self.bad, 6)))
             self.rps, reason = max(p["min_rps"], self.rps * p["backoff"]), "backoff_429"
         elif 200 <= status < 300:
             self.good, self.bad = self.good + 1, max(0, self.bad - 1)

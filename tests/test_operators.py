@@ -262,3 +262,39 @@ def test_column_shape_counts_all_rows(spark):
     row = M.column_shape(sheet).first()
     assert (row.n, float(row.url_share), row.top_host) == (1000, 0.75, "a.example.com")
     assert M.column_shape(sheet, 200).first().n == 200
+
+
+def test_summaries_fall_back_in_order(spark):
+    rows = [("A", "a.com", "x" * 20 + " described at some length " * 2, "s", "p", "m", "i"), ("B", None, "", " s ", "p", "m", "i"), (None, "b.org", None, "", "p", "m", "i"), ("D", None, None, None, None, "", "i"), (None, None, None, None, None, None, None)]
+    sheet = spark.createDataFrame(rows, "`Company Name` string, Website string, Description string, Specialties string, Products string, `End Markets` string, Industry string")
+    got = [tuple(r) for r in OC.target_list(sheet).collect()]
+    assert got[0][2].startswith("xxx") and [g[0] for g in got if g[1] != "https://b.org"] == ["A", "B", "D", "—"]
+    assert got[3] == ("D", "—", "i") and got[4] == ("—", "—", OC.NO_DETAILS) and all(g[2] for g in got)
+
+
+def test_retry_after_is_seconds_or_a_date():
+    from sparkloom.streaming.stateful import wait_of
+
+    assert [wait_of(x, 0) for x in ("30", "30.7", " 5 s", "soon")] == [30_000, 30_000, 5_000, 60_000]
+    assert wait_of("Thu, 01 Jan 1970 00:01:00 GMT", 15_000) == 45_000 and wait_of("Thu, 01 Jan 1970 00:00:01 GMT", 15_000) == 0
+
+
+def test_source_of_url_keeps_every_row_once(spark):
+    from sparkloom.operators import urls as OU
+
+    df = spark.createDataFrame([("https://A.com/x",), ("https://A.com/x",), (None,), ("https://b.org",)], "url string").repartition(3)
+    sources = spark.createDataFrame([("b", "b.org", 1), ("a", "a.com/x", 0), ("late", "a.com", 2), ("none", None, 3)], "key string, base_url string, pos int")
+    assert sorted((r.url or "", r.source) for r in OU.source_of_url(df, sources).collect()) == [("", "custom"), ("https://A.com/x", "a"), ("https://A.com/x", "a"), ("https://b.org", "b")]
+    with pytest.raises(ValueError):
+        OU.source_of_url(df, sources, most=2)
+
+
+def test_crawl_report_has_the_optional_sections(spark):
+    from sparkloom.operators import crawl_logs as L
+
+    rows = [("https://a.com/1", True, False, 5.0, None, 3, None), ("https://a.com/page/2", False, False, 7.0, "[500] x", None, "HTTP_500"), ("https://b.com/", False, False, 9.0, "timeout", 0, "TIMEOUT")]
+    df = spark.createDataFrame(rows, "url string, success boolean, skipped boolean, response_time double, error string, n_companies int, error_type string")
+    got = {(r.section, r.key): (r.n, r.value) for r in L.crawl_report(df).collect()}
+    assert got["companies", "average"] == (3, 3.0) and got["retry", "TIMEOUT"] == (1, 0.0) and got["error_pattern", "server_error 500"] == (1, None)
+    assert got["host", "a.com"] == (1, 50.0) and got["status", "500"] == (1, 50.0) and got["time", "median"] == (None, 7.0) and got["pattern", "/page/*"] == (1, 1.0)
+    assert {r.category: (r.n, r.examples) for r in L.errors_by_category(df).collect()} == {"server_error": (1, ["https://a.com/page/2"]), "timeout": (1, ["https://b.com/"])}
