@@ -7,7 +7,8 @@ one space, then an end symbol. A unigram model over the same words with add-one
 
 Every training row and every symbol in context counts. The counts stay a table, dealt out by the last two symbols of the
 context, so that each bucket of it holds whole tries of all longer contexts; the counts in contexts of at most one symbol,
-SIZE * SIZE at most, are sent to the tasks. Groups of texts ask the buckets for the code lengths of their distinct symbols.
+SIZE * SIZE at most, are sent to the tasks. Groups of texts ask the buckets for the code lengths of their distinct symbols;
+the counts of buckets that are asked much are copied, so that no task answers more than its share.
 Word counts, by the words' bytes, stay a table too: the TOP most frequent are sent along, all others are joined.
 """
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, alike, chunked, mapped, stored, word_bounds
+from .common import LOWER_NP, alike, chunked, mapped, partitions, stored, word_bounds
 from .learning import held_out
 from .slices import distinct_slices
 
@@ -28,6 +29,8 @@ from .slices import distinct_slices
 ORDER, TOP, TOP_BYTES = 5, 100_000, 64
 #: Bytes of text that ask together, buckets of the counts at least, and counts in a bucket, about, where there are more.
 GROUP, BUCKETS, BUCKET_ROWS = 16 << 20, 509, 200_000
+#: Bytes of questions, about, that one copy of a bucket's counts answers; buckets that are asked more are copied.
+ANSWERS = 32 << 20
 #: Symbols are the bytes and the end, which also stands before a text's first byte in contexts.
 END, SIZE = 256, 257
 #: The token that ends a text; words are never empty.
@@ -221,10 +224,10 @@ def answered(asked: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, trie = None, [], None
         for batch in batches:
-            for lo, hi in alike(batch.column(0), batch.column(1).is_null().cast(pa.int8())):
-                _, grp, key, n, blob = batch.slice(lo, hi - lo).columns
-                if batch.column(0)[lo].as_py() != bucket:
-                    bucket, held, trie = batch.column(0)[lo].as_py(), [], None
+            for lo, hi in alike(batch.column(0), batch.column(1), batch.column(2).is_null().cast(pa.int8())):
+                own, copy, grp, key, n, blob = batch.slice(lo, hi - lo).columns
+                if (own[0].as_py(), copy[0].as_py()) != bucket:
+                    bucket, held, trie = (own[0].as_py(), copy[0].as_py()), [], None
                 if grp.null_count:  # counts come first
                     held.append((key.to_numpy(), n.to_numpy()))
                     continue
@@ -234,10 +237,14 @@ def answered(asked: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
                 logs = [packed(trie.log10(unpacked(x, np.int64))) for x in blob]
                 yield pa.record_batch([grp, blob, pa.array(logs, pa.binary())], names=["grp", "blob", "logs"])
 
+    copies = F.least(F.ceil(F.sum(F.octet_length("blob")) / ANSWERS), F.lit(1 << 20)).cast("int").alias("copies")
+    asked_of = F.broadcast(stored(asked.groupBy("bucket").agg(copies), "ppm-copies"))  # at most `buckets` rows
     bucket = F.expr(f"cast((key div {SIZE}) % {SIZE**2} % {buckets} as int)").alias("bucket")
-    counts = grams.select(bucket, F.lit(None).cast("long").alias("grp"), "key", "n", F.lit(None).cast("binary").alias("blob"))
-    both = counts.union(asked.select("bucket", "grp", F.lit(None).cast("long"), F.lit(None).cast("long"), "blob"))
-    return mapped(both.repartition("bucket").sortWithinPartitions("bucket", "grp"), run, "grp long, blob binary, logs binary")
+    counts = grams.select(bucket, "key", "n").join(asked_of, "bucket").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    asks = asked.join(asked_of, "bucket").withColumn("copy", F.pmod(F.xxhash64("grp"), F.col("copies")).cast("int"))
+    both = counts.select("bucket", "copy", F.lit(None).cast("long").alias("grp"), "key", "n", F.lit(None).cast("binary").alias("blob"))
+    both = both.union(asks.select("bucket", "copy", "grp", F.lit(None).cast("long"), F.lit(None).cast("long"), "blob"))
+    return mapped(both.repartition("bucket", "copy").sortWithinPartitions("bucket", "copy", "grp"), run, "grp long, blob binary, logs binary")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -304,7 +311,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     schema = "_row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<int>"
     none = [F.lit(None).cast(t) for t in ("long", "long", "string")]
     texts = asked.filter("part = 1").select("grp", "part", "blob", F.lit(None).cast("binary").alias("logs"), "_row", "doc_id", "text")
-    both = texts.union(prices.select("grp", F.lit(0), "blob", "logs", *none)).repartition("grp").sortWithinPartitions("grp", "part")
+    groups = asked.select("grp").distinct().count()
+    both = texts.union(prices.select("grp", F.lit(0), "blob", "logs", *none)).repartition(max(partitions(spark), 4 * groups), "grp").sortWithinPartitions("grp", "part")
     made = stored(mapped(both, run, schema), "ppm-scores")
     tail = made.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     rest = tail.join(words, "word").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))

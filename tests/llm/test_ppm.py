@@ -108,6 +108,6 @@ def test_rare_contexts_all_count(spark, sf_dir, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = Plain([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2])
     want = {r.doc_id: model.text(r.text) for r in rows}
-    for name, value in {"NODES": 1000, "GROUP": 5000, "BUCKETS": 3}.items():  # NODES was the number of symbols kept
+    for name, value in {"NODES": 1000, "GROUP": 5000, "BUCKETS": 3, "ANSWERS": 20_000}.items():  # NODES was the number of symbols kept
         monkeypatch.setattr(ppm, name, value, raising=False)
     assert {r.doc_id: r.score for r in ppm.scores(docs).collect()} == pytest.approx(want, rel=1e-9)
