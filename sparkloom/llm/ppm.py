@@ -29,8 +29,8 @@ from .slices import distinct_slices
 ORDER, TOP, TOP_BYTES = 5, 100_000, 64
 #: Bytes of text that ask together, buckets of the counts at least, and counts in a bucket, about, where there are more.
 GROUP, BUCKETS, BUCKET_ROWS = 16 << 20, 509, 200_000
-#: Bytes of questions, about, that one copy of a bucket's counts answers; buckets that are asked more are copied.
-ANSWERS = 32 << 20
+#: Bytes of questions (1 to 3 a symbol), about, that one copy of a bucket's counts answers; buckets that are asked more are copied.
+ANSWERS = 4 << 20
 #: Symbols are the bytes and the end, which also stands before a text's first byte in contexts.
 END, SIZE = 256, 257
 #: The token that ends a text; words are never empty.
@@ -170,32 +170,54 @@ class Trie:
         return out
 
 
-def packed(values: np.ndarray) -> bytes:
-    """8-byte numbers as bytes, all first bytes before all second ones: sorted keys compress well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+def packed(*columns: pa.Array) -> bytes:
+    """Columns of one length as compressed bytes: what travels between tasks."""
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch(list(columns), names=[str(i) for i in range(len(columns))])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def unpacked(blob: pa.Scalar, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob.as_buffer(), np.uint8).reshape(8, -1).T).view(kind).ravel()
+def unpacked(blob: pa.Scalar) -> list[pa.Array]:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch().columns
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys symbol by symbol: the last of a bucket's contexts are nearly constant and the first ones ascend."""
+    return packed(*[pa.array((keys // SIZE**k % SIZE).astype(np.uint16)) for k in range(ORDER + 1)])
+
+
+def unpacked_keys(blob: pa.Scalar) -> np.ndarray:
+    return sum(c.to_numpy().astype(np.int64) * SIZE**k for k, c in enumerate(unpacked(blob)))
+
+
+def packed_logs(logs: np.ndarray) -> bytes:
+    """Code lengths as they are, but equal ones once."""
+    return packed(pa.array(logs).dictionary_encode())
+
+
+def unpacked_logs(blob: pa.Scalar) -> np.ndarray:
+    coded = unpacked(blob)[0]
+    return coded.dictionary.to_numpy()[coded.indices.to_numpy()]
 
 
 def asking(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows (_row, doc_id, text) with a group each (part 1), and the groups' distinct symbols as a blob a bucket (part 0)."""
+    """(grp, part, bucket, blob): blocks of the rows (_row, doc_id, text) of each group (part 1), and its distinct symbols by bucket (part 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, group = [], 0, None
 
-        def made(part: int, n: int, **given: pa.Array) -> pa.RecordBatch:
-            given |= {"grp": pa.array(np.full(n, group)), "part": pa.array(np.full(n, part, np.int32))}
-            return pa.record_batch([given.get(f.name, pa.nulls(n, f.type)) for f in types], schema=types)
+        def made(part: int, found: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+            n = len(blobs)
+            return pa.record_batch([pa.array(np.full(n, group)), pa.array(np.full(n, part, np.int32)), pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], names=["grp", "part", "bucket", "blob"])
 
         def flush() -> pa.RecordBatch:
             keys = np.unique(np.concatenate(parts))
             bucket = keys // SIZE % SIZE**2 % buckets
             order = np.argsort(bucket, kind="stable")
             keys, (found, first) = keys[order], np.unique(bucket[order], return_index=True)
-            blobs = [packed(keys[lo:hi]) for lo, hi in pairwise([*first.tolist(), len(keys)])]
-            return made(0, len(found), bucket=pa.array(found.astype(np.int32)), blob=pa.array(blobs, pa.binary()))
+            return made(0, found, [packed_keys(keys[lo:hi]) for lo, hi in pairwise([*first.tolist(), len(keys)])])
 
         for batch in batches:
             for lo, hi, data, offsets in chunked(batch.column(2)):
@@ -204,15 +226,14 @@ def asking(rows: DataFrame, buckets: int) -> DataFrame:
                 data, bounds = tokens(data, offsets)
                 parts.append(np.unique(canonical(data, offsets, bounds)[0]))
                 held += len(data)
-                yield made(1, hi - lo, **{name: batch.column(i).slice(lo, hi - lo) for i, name in enumerate(("_row", "doc_id", "text"))})
+                yield made(1, np.full(1, -1), [packed(*batch.slice(lo, hi - lo).columns)])
                 if held > GROUP:
                     yield flush()
                     parts, held, group = [], 0, None
         if parts:
             yield flush()
 
-    types = pa.schema([("grp", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("_row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
-    return mapped(rows, run, "grp long, part int, bucket int, blob binary, _row long, doc_id long, text string")
+    return mapped(rows, run, "grp long, part int, bucket int, blob binary")
 
 
 def answered(asked: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
@@ -234,7 +255,7 @@ def answered(asked: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
                 if trie is None:
                     keys, counts = zip(*held) if held else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
                     trie, held = Trie(np.concatenate(keys), np.concatenate(counts), low.value), []
-                logs = [packed(trie.log10(unpacked(x, np.int64))) for x in blob]
+                logs = [packed_logs(trie.log10(unpacked_keys(x))) for x in blob]
                 yield pa.record_batch([grp, blob, pa.array(logs, pa.binary())], names=["grp", "blob", "logs"])
 
     copies = F.least(F.ceil(F.sum(F.octet_length("blob")) / ANSWERS), F.lit(1 << 20)).cast("int").alias("copies")
@@ -280,39 +301,39 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         group, held, keys, prices = None, [], None, None
         for batch in batches:
             for first, last in alike(batch.column(0), batch.column(1)):
-                grp, part, blobs, found, row_ids, ids, texts = batch.slice(first, last - first).columns
+                grp, part, blobs, found = batch.slice(first, last - first).columns
                 if grp[0].as_py() != group:
                     group, held, keys = grp[0].as_py(), [], None
                 if part[0].as_py() == 0:  # prices come first
-                    held += [(unpacked(k, np.int64), unpacked(p, np.float64)) for k, p in zip(blobs, found)]
+                    held += [(unpacked_keys(k), unpacked_logs(p)) for k, p in zip(blobs, found)]
                     continue
                 if keys is None:
                     keys, prices = (np.concatenate(x) for x in zip(*held))
                     by_key, held = np.argsort(keys), []
                     keys, prices = keys[by_key], prices[by_key]
-                for lo, hi, data, offsets in chunked(texts):
-                    data, bounds = tokens(data, offsets)
-                    row, n = bounds[2], hi - lo
-                    found, inverse = distinct_slices(data, bounds[0], bounds[1])
-                    logs = np.fromiter((top.get(w, unknown) for w in found), np.float64, len(found))
-                    known = ~np.isnan(logs)[inverse]
-                    base = np.bincount(row[known], logs[inverse[known]], n)
-                    seen = np.bincount(row[known], minlength=n)
-                    tail, times = np.unique(row[~known] * max(len(found), 1) + inverse[~known], return_counts=True)
-                    lists = pa.array(np.searchsorted(tail, np.arange(n + 1) * max(len(found), 1)).astype(np.int32))
-                    rare = pa.array(found, pa.binary()).take(pa.array(tail % max(len(found), 1)))
-                    symbols, owner = canonical(data, offsets, bounds)
-                    distinct_symbols, inverse = np.unique(symbols, return_inverse=True)
-                    score = np.bincount(owner, prices[np.searchsorted(keys, distinct_symbols)][inverse], n)
-                    arrays = [row_ids.slice(lo, n), ids.slice(lo, n), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(seen.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))]
-                    arrays += [pa.ListArray.from_arrays(lists, rare), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
-                    yield pa.record_batch(arrays, names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times"])
+                for row_ids, ids, texts in map(unpacked, blobs):
+                    for lo, hi, data, offsets in chunked(texts):
+                        data, bounds = tokens(data, offsets)
+                        row, n = bounds[2], hi - lo
+                        found, inverse = distinct_slices(data, bounds[0], bounds[1])
+                        logs = np.fromiter((top.get(w, unknown) for w in found), np.float64, len(found))
+                        known = ~np.isnan(logs)[inverse]
+                        base = np.bincount(row[known], logs[inverse[known]], n)
+                        seen = np.bincount(row[known], minlength=n)
+                        tail, times = np.unique(row[~known] * max(len(found), 1) + inverse[~known], return_counts=True)
+                        lists = pa.array(np.searchsorted(tail, np.arange(n + 1) * max(len(found), 1)).astype(np.int32))
+                        rare = pa.array(found, pa.binary()).take(pa.array(tail % max(len(found), 1)))
+                        symbols, owner = canonical(data, offsets, bounds)
+                        distinct_symbols, inverse = np.unique(symbols, return_inverse=True)
+                        score = np.bincount(owner, prices[np.searchsorted(keys, distinct_symbols)][inverse], n)
+                        arrays = [row_ids.slice(lo, n), ids.slice(lo, n), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(seen.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))]
+                        arrays += [pa.ListArray.from_arrays(lists, rare), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
+                        yield pa.record_batch(arrays, names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times"])
 
     schema = "_row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<int>"
-    none = [F.lit(None).cast(t) for t in ("long", "long", "string")]
-    texts = asked.filter("part = 1").select("grp", "part", "blob", F.lit(None).cast("binary").alias("logs"), "_row", "doc_id", "text")
+    texts = asked.filter("part = 1").select("grp", "part", "blob", F.lit(None).cast("binary").alias("logs"))
     groups = asked.select("grp").distinct().count()
-    both = texts.union(prices.select("grp", F.lit(0), "blob", "logs", *none)).repartition(max(partitions(spark), 4 * groups), "grp").sortWithinPartitions("grp", "part")
+    both = texts.union(prices.select("grp", F.lit(0), "blob", "logs")).repartition(max(partitions(spark), 4 * groups), "grp").sortWithinPartitions("grp", "part")
     made = stored(mapped(both, run, schema), "ppm-scores")
     tail = made.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     rest = tail.join(words, "word").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
