@@ -21,12 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, alike, chunked, mapped, partitions, stored, word_bounds
+from .common import LOWER_NP, alike, chunked, mapped, partitions, stored, text_bytes, word_bounds
 from .learning import held_out
-from .slices import distinct_slices
 
 #: Frequent words that are sent along, and their greatest length in bytes.
-ORDER, TOP, TOP_BYTES = 5, 100_000, 64
+ORDER, TOP, TOP_BYTES = 5, 100_000, 64  # canonical() takes an odd ORDER
 #: Bytes of text that ask together, buckets of the counts at least, and counts in a bucket, about, where there are more.
 GROUP, BUCKETS, BUCKET_ROWS = 16 << 20, 509, 200_000
 #: Bytes of questions (1 to 3 a symbol), about, that one copy of a bucket's counts answers; buckets that are asked more are copied.
@@ -36,6 +35,8 @@ END, SIZE = 256, 257
 #: The token that ends a text; words are never empty.
 END_TOKEN = b""
 _FLUSH = 2_000_000
+#: Rows of a block of texts at most: a key and a row's number share 63 bits.
+ROWS = 1 << 14
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +60,11 @@ def canonical(data: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, n
     stream = np.full(len(keep) + n * (ORDER + 1), END, np.int64)
     heads = np.cumsum(size + ORDER + 1) - (size + ORDER + 1)
     stream[np.arange(len(keep)) + ORDER + owner * (ORDER + 1)] = data[keep]
-    key = stream.copy()
-    for back in range(1, ORDER + 1):
-        key[back:] += stream[:-back] * SIZE**back
+    pair = stream.copy()  # the last two symbols as a number; three such pairs are a key
+    pair[1:] += stream[:-1] * SIZE
+    key = pair.copy()
+    for back in range(2, ORDER, 2):
+        key[back:] += pair[:-back] * SIZE**back
     pads = np.ones(len(stream), bool)
     for k in range(ORDER):
         pads[heads + k] = False
@@ -74,9 +77,39 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
     return data, word_bounds(data, offsets)
 
 
+def distinct_words(data: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """(the distinct words, the number of each word among them), by their bytes."""
+    start, end, _ = bounds
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[start] += 1
+    mark[end] -= 1
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    letters = data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+    letters, ends = text_bytes(words.dictionary)
+    raw = letters.tobytes()
+    return [raw[s:e] for s, e in pairwise(ends.tolist())], words.indices.to_numpy().astype(np.int64)
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order. Sorted numbers are much faster here than the hash table of np.unique."""
+    keys = np.sort(keys)
+    return keys[firsts(keys)]
+
+
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = firsts(keys)
+    return keys[first], np.add.reduceat(counts[order], first).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
 
 
 def count(rows: DataFrame) -> DataFrame:
@@ -99,7 +132,7 @@ def count(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in chunked(batch.column(0)):
                 data, bounds = tokens(data, offsets)
-                found, inverse = distinct_slices(data, bounds[0], bounds[1])
+                found, inverse = distinct_words(data, bounds)
                 for word, n in zip(found, np.bincount(inverse, minlength=len(found)).tolist()):
                     words[word] = words.get(word, 0) + n
                 words[END_TOKEN] = words.get(END_TOKEN, 0) + hi - lo
@@ -213,7 +246,7 @@ def asking(rows: DataFrame, buckets: int) -> DataFrame:
             return pa.record_batch([pa.array(np.full(n, group)), pa.array(np.full(n, part, np.int32)), pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], names=["grp", "part", "bucket", "blob"])
 
         def flush() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(parts))
+            keys = distinct(np.concatenate(parts))
             bucket = keys // SIZE % SIZE**2 % buckets
             order = np.argsort(bucket, kind="stable")
             keys, (found, first) = keys[order], np.unique(bucket[order], return_index=True)
@@ -224,9 +257,10 @@ def asking(rows: DataFrame, buckets: int) -> DataFrame:
                 if group is None:
                     group = batch.column(0)[lo].as_py()
                 data, bounds = tokens(data, offsets)
-                parts.append(np.unique(canonical(data, offsets, bounds)[0]))
+                parts.append(distinct(canonical(data, offsets, bounds)[0]))
                 held += len(data)
-                yield made(1, np.full(1, -1), [packed(*batch.slice(lo, hi - lo).columns)])
+                for at in range(lo, hi, ROWS):
+                    yield made(1, np.full(1, -1), [packed(*batch.slice(at, min(hi - at, ROWS)).columns)])
                 if held > GROUP:
                     yield flush()
                     parts, held, group = [], 0, None
@@ -315,7 +349,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                     for lo, hi, data, offsets in chunked(texts):
                         data, bounds = tokens(data, offsets)
                         row, n = bounds[2], hi - lo
-                        found, inverse = distinct_slices(data, bounds[0], bounds[1])
+                        found, inverse = distinct_words(data, bounds)
                         logs = np.fromiter((top.get(w, unknown) for w in found), np.float64, len(found))
                         known = ~np.isnan(logs)[inverse]
                         base = np.bincount(row[known], logs[inverse[known]], n)
@@ -324,8 +358,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                         lists = pa.array(np.searchsorted(tail, np.arange(n + 1) * max(len(found), 1)).astype(np.int32))
                         rare = pa.array(found, pa.binary()).take(pa.array(tail % max(len(found), 1)))
                         symbols, owner = canonical(data, offsets, bounds)
-                        distinct_symbols, inverse = np.unique(symbols, return_inverse=True)
-                        score = np.bincount(owner, prices[np.searchsorted(keys, distinct_symbols)][inverse], n)
+                        both = np.sort(symbols * ROWS + owner)
+                        symbols, owner = both // ROWS, both % ROWS
+                        runs = firsts(symbols)
+                        logs = prices[np.searchsorted(keys, symbols[runs])]
+                        score = np.bincount(owner, np.repeat(logs, np.diff(np.append(runs, len(symbols)))), n)
                         arrays = [row_ids.slice(lo, n), ids.slice(lo, n), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(seen.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))]
                         arrays += [pa.ListArray.from_arrays(lists, rare), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
                         yield pa.record_batch(arrays, names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times"])
