@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_NP, alike, chunked, mapped, partitions, stored, text_bytes, word_bounds
+from .common import LOWER_NP, SPACE, alike, chunked, mapped, partitions, stored, text_bytes, word_bounds
 from .learning import held_out
 
 #: Frequent words that are sent along, and their greatest length in bytes.
@@ -40,35 +40,30 @@ ROWS = 1 << 14
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every symbol in turn: ORDER symbols of context and itself as one number in base SIZE."""
+    """(the key of every symbol in turn: ORDER symbols of context and itself as one number in base SIZE, symbols of each row)."""
     start, end, row = bounds
-    n = len(offsets) - 1
-    if not len(start):
-        keep, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    else:
-        mark = np.zeros(len(data) + 1, np.int8)
-        later = np.zeros(len(start), bool)
-        later[1:] = row[1:] == row[:-1]
-        mark[start - later] += 1
-        mark[end] -= 1
-        inside = np.cumsum(mark[:-1]) > 0
-        keep = np.flatnonzero(inside)
-        owner = np.repeat(row, end - start + later)
-        data = data.copy()
-        data[start[later] - 1] = 0x20
-    size = np.bincount(owner, minlength=n)
-    stream = np.full(len(keep) + n * (ORDER + 1), END, np.int64)
-    heads = np.cumsum(size + ORDER + 1) - (size + ORDER + 1)
-    stream[np.arange(len(keep)) + ORDER + owner * (ORDER + 1)] = data[keep]
-    pair = stream.copy()  # the last two symbols as a number; three such pairs are a key
-    pair[1:] += stream[:-1] * SIZE
-    key = pair.copy()
-    for back in range(2, ORDER, 2):
-        key[back:] += pair[:-back] * SIZE**back
-    pads = np.ones(len(stream), bool)
+    later = np.zeros(len(start), bool)
+    later[1:] = row[1:] == row[:-1]
+    gaps = start[later] - 1  # of the blanks between two words one counts
+    inside = ~SPACE[data]
+    inside[gaps] = True
+    data = data.copy()
+    data[gaps] = 0x20
+    size = np.bincount(row, end - start + later, len(offsets) - 1).astype(np.int64)
+    ends = np.cumsum(size + ORDER + 1) - 1
+    own = np.ones(ends[-1] + 1 if len(ends) else 0, bool)
     for k in range(ORDER):
-        pads[heads + k] = False
-    return key[pads], np.repeat(np.arange(n), size + 1)
+        own[ends - size - ORDER + k] = False
+    letters = own.copy()
+    letters[ends] = False
+    stream = np.full(len(own), END, np.int32)
+    stream[letters] = data[inside]
+    pair = stream[1:] + stream[:-1] * SIZE  # two symbols as a number; three such pairs are a key
+    key = pair[:-4].astype(np.int64)
+    for later_pair in (pair[2:-2], pair[4:]):
+        key *= SIZE**2
+        key += later_pair
+    return key[own[ORDER:]], size + 1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -80,12 +75,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
 def distinct_words(data: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[list[bytes], np.ndarray]:
     """(the distinct words, the number of each word among them), by their bytes."""
     start, end, _ = bounds
-    mark = np.zeros(len(data) + 1, np.int8)
-    mark[start] += 1
-    mark[end] -= 1
     ends = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=ends[1:])
-    letters = data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
+    letters = data[~SPACE[data]]
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
     letters, ends = text_bytes(words.dictionary)
     raw = letters.tobytes()
@@ -99,14 +91,14 @@ def firsts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
+def distinct(keys: np.ndarray, kind: str | None = None) -> np.ndarray:
     """The distinct keys in order. Sorted numbers are much faster here than the hash table of np.unique."""
-    keys = np.sort(keys)
+    keys = np.sort(keys, kind=kind)
     return keys[firsts(keys)]
 
 
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # keys are sorted runs, one behind the other
     keys = keys[order]
     first = firsts(keys)
     return keys[first], np.add.reduceat(counts[order], first).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
@@ -246,7 +238,7 @@ def asking(rows: DataFrame, buckets: int) -> DataFrame:
             return pa.record_batch([pa.array(np.full(n, group)), pa.array(np.full(n, part, np.int32)), pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], names=["grp", "part", "bucket", "blob"])
 
         def flush() -> pa.RecordBatch:
-            keys = distinct(np.concatenate(parts))
+            keys = distinct(np.concatenate(parts), "stable")  # merges sorted parts
             bucket = keys // SIZE % SIZE**2 % buckets
             order = np.argsort(bucket, kind="stable")
             keys, (found, first) = keys[order], np.unique(bucket[order], return_index=True)
@@ -357,8 +349,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                         tail, times = np.unique(row[~known] * max(len(found), 1) + inverse[~known], return_counts=True)
                         lists = pa.array(np.searchsorted(tail, np.arange(n + 1) * max(len(found), 1)).astype(np.int32))
                         rare = pa.array(found, pa.binary()).take(pa.array(tail % max(len(found), 1)))
-                        symbols, owner = canonical(data, offsets, bounds)
-                        both = np.sort(symbols * ROWS + owner)
+                        symbols, sizes = canonical(data, offsets, bounds)
+                        both = np.sort(symbols * ROWS + np.repeat(np.arange(n), sizes))
                         symbols, owner = both // ROWS, both % ROWS
                         runs = firsts(symbols)
                         logs = prices[np.searchsorted(keys, symbols[runs])]
