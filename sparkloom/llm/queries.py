@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, exactdedup, hilbertsearch, imatch, packing, pii, ppm, quality, simhash, toxicity
+from . import bytebpe, centroids, exactdedup, hilbertsearch, imatch, packing, pii, ppm, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,11 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu)}
+def op13_walsh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu, op13_walsh_centroids)}
 #: Every byte and every 100-byte string as rows: fine for a small table.
 _REPEATS = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -75,4 +79,15 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(enc
   g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY 1)
   SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _REPEATS}
+#: Lloyd's rounds over exact integers, all distances of all pairs of vector and centroid.
+_NEAREST = "SELECT x.vec_id, x.n, x.v, c.k, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept x, c{0} c"
+_ROUND = """a{0} AS (SELECT n, v, arg_min(k, d * 16 + k) AS k FROM (""" + _NEAREST + """) GROUP BY n, v),
+  u{0} AS (SELECT k, i, (s - ((s % m) + m) % m) // m AS x FROM (SELECT k, i, sum(v[i]) AS s, count(*) AS m FROM a{0}, unnest(range(1, 65)) AS t(i) GROUP BY k, i)),
+  c{1} AS (SELECT c.k, coalesce(w.v, c.v) AS v FROM c{0} c LEFT JOIN (SELECT k, list(x::HUGEINT ORDER BY i) AS v FROM u{0} GROUP BY k) w ON c.k = w.k)"""
+_CENTROIDS = f"""WITH kept AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+  c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM kept QUALIFY k < 16),
+  {", ".join(_ROUND.format(i, i + 1) for i in range(3))},
+  f AS (SELECT n, vec_id, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM ({_NEAREST.format(3)}) GROUP BY n, vec_id)
+  SELECT vec_id, f.k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM f JOIN c3 c ON f.k = c.k"""
+ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _REPEATS, "op13_walsh_centroids": _CENTROIDS}
