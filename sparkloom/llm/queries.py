@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, centroids, exactdedup, hilbertsearch, imatch, packing, pii, ppm, quality, simhash, toxicity
+from . import bytebpe, centroids, exactdedup, hilbertsearch, imatch, packing, pii, ppm, quality, simhash, tokenfiles, toxicity
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +67,17 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_elias_fano_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
+    return tokenfiles.read_tokens(spark, path, ids=False)
+
+
 def op13_walsh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu, op13_walsh_centroids)}
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu, op12_elias_fano_files, op13_walsh_centroids)}
 #: Every byte and every 100-byte string as rows: fine for a small table.
 _REPEATS = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),

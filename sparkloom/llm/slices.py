@@ -77,11 +77,14 @@ class SliceCache:
         """(ids of all slices in turn, number of ids of each slice)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return self.ids_of(*distinct_slices(data, start, end))
+
+    def ids_of(self, slices: list[bytes], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for slices given as numbers of distinct ones; there must be some."""
         if self.held > self.limit:
             self.clear()
-        slices, inverse = distinct_slices(data, start, end)
         self._add([s for s in slices if s not in self.place])
-        where = np.fromiter(map(self.place.__getitem__, slices), np.int64, len(slices))[inverse]
+        where = np.fromiter(map(self.place.__getitem__, slices), np.int64, len(slices))[number]
         size = self.size[where]
         ends = np.cumsum(size)
         pick = np.arange(ends[-1]) + np.repeat(self.start[where] - (ends - size), size)
