@@ -4,8 +4,8 @@ Not every suffix is moved. Each window of LENGTH bytes has an anchor: the leftmo
 which equal windows have at the same offset, so only anchors (one in about 35 bytes) are shuffled, by gram. Windows
 with one anchor are neighbours; together they cover a span.
 
-1. Anchors whose whole spans are equal are a class: all but the first occurrence are repeats (per batch before the
-   shuffle, then per gram), so groups of copies of any size shrink to one row a batch.
+1. Anchors whose whole spans are equal (by a 128-bit BLAKE2b of their bytes) are a class: all but the first occurrence
+   are repeats (per batch before the shuffle, then per gram), so groups of copies of any size shrink to one row a batch.
 2. First occurrences of a gram with several classes agree in part at most. Their spans are fetched, their windows are
    sorted as suffixes by the deep-shallow scheme, and in each run of equal strings the first occurrence stays.
    A gram with more than HOT such spans is split: its windows are dealt by their own hash instead.
@@ -25,17 +25,33 @@ from .common import chunked, mapped, mix, prefix_sums, slice_hashes, stored, tex
 from .suffixes import sort_suffixes
 
 LENGTH, GRAM = 100, 32
+#: The greatest length of strings that is taken.
+LONGEST = 1 << 15
 #: Spans of one gram that one task sorts; grams with more are split by window.
 HOT = 2_000
 
-_ANCHORS = "kind int, h long, c long, doc long, th long, pack long"
+_ANCHORS = "kind int, h long, c long, c2 long, doc long, th long, pack long"
 _FOUND = "kind int, h long, doc long, th long, pack long"
 RANGE, REQUEST, ANCHOR = 0, 1, 2
 
 
+def digests_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 128-bit BLAKE2b of each slice as two numbers a row: what makes strings equal must not be open to made-up clashes."""
+    view, hashed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    made = b"".join([hashed(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
+
+
+def gram_size(length: int) -> int:
+    """Bytes of the grams that find strings of `length` bytes: a third, at most GRAM."""
+    if not 1 <= length <= LONGEST:
+        raise ValueError(f"length must be 1 to {LONGEST}")
+    return min(GRAM, max(1, length // 3))
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram hash, span hash, row, first window, last window, anchor) of every anchor, places relative to data."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64))
+    """(gram hash, span digest, its other half, row, first window, last window, anchor) of every anchor, places relative to data."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(7))
     n, width = len(data), length - gram + 1
     if n < length:
         return none
@@ -60,41 +76,50 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     first, last = window[heads], window[np.append(heads[1:], len(window)) - 1]
     anchor, row = place[heads], row[heads]
     h = slice_hashes(sums, anchor, anchor + gram)
-    c = mix(slice_hashes(sums, first, last + length) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return h.view(np.int64), c.view(np.int64), row, first, last, anchor
+    c = digests_of(data, first, last + length)
+    return h.view(np.int64), c[:, 0], c[:, 1], row, first, last, anchor
 
 
 def _pack(start, more, offset):
     """One number that sorts by start: start, windows after the first, offset of the anchor from start."""
-    return (start << 16) | (more << 8) | offset
+    return (start << 32) | (more << 16) | offset
+
+
+def _unpack(pack):
+    """(start, windows after the first, offset of the anchor)."""
+    return pack >> 32, (pack >> 16) & 0xFFFF, pack & 0xFFFF
+
+
+def _range(pack, length: int):
+    """The range that a span covers: start << 24 | size."""
+    start, more, _ = _unpack(pack)
+    return (start << 24) | (more + length)
 
 
-def _later(h, c, doc, th, pack) -> tuple[np.ndarray, np.ndarray]:
-    """(order, is first): rows sorted by (h, c) and place, and which is the first of its class."""
-    order = np.lexsort((pack, th, doc, c, h))
-    h, c = h[order], c[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    return order, first
+def _firsts(h, c, c2) -> np.ndarray:
+    """Which of the sorted rows is the first of its class."""
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
+    return first
 
 
 def _batch(columns, names) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x) for x in columns], names=names)
 
 
-def _anchor_rows(h, c, doc, th, pack, length: int) -> pa.RecordBatch:
+def _anchor_rows(h, c, c2, doc, th, pack, length: int) -> pa.RecordBatch:
     """Anchor rows of one batch: the first of each class, and the ranges that all others are."""
-    order, first = _later(h, c, doc, th, pack)
+    order = np.lexsort((pack, th, doc, c2, c, h))
+    first = _firsts(h[order], c[order], c2[order])
     owner = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
     again = order[~first & ((doc[order] != doc[owner]) | (th[order] != th[owner]) | (pack[order] != pack[owner]))]
     keep = order[first]
-    start = pack[again] >> 16
-    ranges = (start << 24) | (((pack[again] >> 8) & 255) + length)
+    ranges = _range(pack[again], length)
     one = lambda a, b: np.concatenate([a, b])
     zeros = np.zeros(len(again), np.int64)
     return _batch(
-        (one(np.full(len(keep), ANCHOR, np.int32), np.full(len(again), RANGE, np.int32)), one(h[keep], mix(doc[again].astype(np.uint64)).view(np.int64)), one(c[keep], zeros), one(doc[keep], doc[again]), one(th[keep], th[again]), one(pack[keep], ranges)),
-        ["kind", "h", "c", "doc", "th", "pack"],
+        (one(np.full(len(keep), ANCHOR, np.int32), np.full(len(again), RANGE, np.int32)), one(h[keep], mix(doc[again].astype(np.uint64)).view(np.int64)), one(c[keep], zeros), one(c2[keep], zeros), one(doc[keep], doc[again]), one(th[keep], th[again]), one(pack[keep], ranges)),
+        ["kind", "h", "c", "c2", "doc", "th", "pack"],
     )
 
 
@@ -105,22 +130,20 @@ def _classes(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the last first-of-class: its row and whether the class before has its gram
         for batch in batches:
-            kind, h, c, doc, th, pack = (batch.column(i).to_numpy() for i in range(6))
+            kind, h, c, c2, doc, th, pack = (batch.column(i).to_numpy() for i in range(7))
             passed = kind == RANGE
             if passed.any():
                 yield _batch([x[passed] for x in (kind, h, doc, th, pack)], names)
-                h, c, doc, th, pack = (x[~passed] for x in (h, c, doc, th, pack))
+                h, c, c2, doc, th, pack = (x[~passed] for x in (h, c, c2, doc, th, pack))
             if not len(h):
                 continue
             if last is not None:
-                h, c, doc, th, pack = (np.concatenate([[v], x]) for v, x in zip(last[0], (h, c, doc, th, pack)))
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                h, c, c2, doc, th, pack = (np.concatenate([[v], x]) for v, x in zip(last[0], (h, c, c2, doc, th, pack)))
+            first = _firsts(h, c, c2)
             owner = np.flatnonzero(first)[np.cumsum(first) - 1]
             again = np.flatnonzero(~first & ((doc != doc[owner]) | (th != th[owner]) | (pack != pack[owner])))
             if len(again):
-                ranges = ((pack[again] >> 16) << 24) | (((pack[again] >> 8) & 255) + length)
-                yield _batch((np.full(len(again), RANGE, np.int32), h[again], doc[again], th[again], ranges), names)
+                yield _batch((np.full(len(again), RANGE, np.int32), h[again], doc[again], th[again], _range(pack[again], length)), names)
             firsts = np.flatnonzero(first)
             before = np.zeros(len(firsts), bool)
             before[1:] = h[firsts[1:]] == h[firsts[:-1]]
@@ -130,12 +153,12 @@ def _classes(rows: DataFrame, length: int) -> DataFrame:
             if len(ask):
                 yield _batch((np.full(len(ask), REQUEST, np.int32), h[ask], doc[ask], th[ask], pack[ask]), names)
             i = firsts[-1]
-            last = (tuple(x[i] for x in (h, c, doc, th, pack)), bool(before[-1]))
+            last = (tuple(x[i] for x in (h, c, c2, doc, th, pack)), bool(before[-1]))
         if last is not None and last[1]:
-            h, _, doc, th, pack = last[0]
+            h, _, _, doc, th, pack = last[0]
             yield _batch([np.array([x]) for x in (np.int32(REQUEST), h, doc, th, pack)], names)
 
-    return mapped(rows.repartition("h").sortWithinPartitions("kind", "h", "c", "doc", "th", "pack"), run, _FOUND)
+    return mapped(rows.repartition("h").sortWithinPartitions("kind", "h", "c", "c2", "doc", "th", "pack"), run, _FOUND)
 
 
 def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -184,8 +207,8 @@ def _spans(texts: DataFrame, requests: DataFrame, length: int) -> DataFrame:
                 continue
             raw, doc, th = batch.column(5)[i].as_py(), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             for g, p in zip(h.tolist(), pack.tolist()):
-                start = p >> 16
-                out.append((g, doc, th, p, raw[start : start + ((p >> 8) & 255) + length]))
+                start, more, _ = _unpack(p)
+                out.append((g, doc, th, p, raw[start : start + more + length]))
             if len(out) > 20_000:
                 yield make()
                 out.clear()
@@ -198,11 +221,11 @@ def _spans(texts: DataFrame, requests: DataFrame, length: int) -> DataFrame:
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """(bytes, window starts in them, row, starts in the text, offsets of the anchor) of all windows of the spans."""
     data, offsets = text_bytes(batch.column(4))
-    pack = batch.column(3).to_numpy()
-    count = ((pack >> 8) & 255) + 1
-    row = np.repeat(np.arange(len(pack)), count)
+    start, more, offset = _unpack(batch.column(3).to_numpy())
+    count = more + 1
+    row = np.repeat(np.arange(len(count)), count)
     shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return data, offsets[row] + shift, row, (pack[row] >> 16) + shift, (pack[row] & 255) - shift
+    return data, offsets[row] + shift, row, start[row] + shift, offset[row] - shift
 
 
 def _sorted_ranges(spans: DataFrame, length: int) -> DataFrame:
@@ -252,31 +275,31 @@ def _sorted_ranges(spans: DataFrame, length: int) -> DataFrame:
 
 
 def _split_ranges(spans: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many spans: windows are dealt by their own 128-bit hash, firsts found as in step 1."""
+    """The same for grams with very many spans: windows are dealt by their own 128-bit digest, firsts found as in step 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
                 data, starts, row, own, _ = _windows(batch)
-                h = slice_hashes(prefix_sums(data), starts, starts + length)
-                c = slice_hashes(prefix_sums(data ^ np.uint8(0x5A)), starts, starts + length)
+                made = digests_of(data, starts, starts + length)
                 doc, th = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                yield _anchor_rows(h.view(np.int64), c.view(np.int64), doc[row], th[row], _pack(own, 0, 0), length)
+                yield _anchor_rows(made[:, 0], made[:, 1], np.zeros(len(row), np.int64), doc[row], th[row], _pack(own, 0, 0), length)
 
     return _classes(mapped(spans, run, _ANCHORS), length).filter(F.col("kind") == RANGE)
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, th, pack) ranges to remove from texts (doc long, th long, raw binary); pack is start << 24 | size, ranges may overlap."""
+    gram = gram_size(length)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, offsets in chunked(batch.column(2)):
-                h, c, row, first, last, anchor = anchors(data, offsets, length, gram)
+                h, c, c2, row, first, last, anchor = anchors(data, offsets, length, gram)
                 start = first - offsets[row]
-                yield _anchor_rows(h, c, doc[lo + row], th[lo + row], _pack(start, last - first, anchor - first), length)
+                yield _anchor_rows(h, c, c2, doc[lo + row], th[lo + row], _pack(start, last - first, anchor - first), length)
 
     found = stored(_classes(mapped(texts.select("doc", "th", "raw"), mark, _ANCHORS), length), "repeats-anchors")
     requests = found.filter(F.col("kind") == REQUEST)
@@ -312,7 +335,8 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> D
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row: what is left after repeats are removed.
 
-    A byte goes if a string of `length` bytes over it also starts earlier: in a smaller doc_id or before in the text.
+    A byte goes if a string of `length` bytes (1 to LONGEST, else an error) over it also starts earlier: in a smaller
+    doc_id or before in the text.
     Null texts are empty, null ids come before all others. Repeated rows (id and text) are one document and get equal
     results; rows of one id with different texts are ordered by a hash of the text. Extra columns are ignored.
     """

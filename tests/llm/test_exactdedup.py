@@ -107,3 +107,29 @@ def test_very_long_texts(spark):
     kept = {r.doc_id: r.text for r in exactdedup.trimmed(docs).collect()}
     assert kept[1] == rows[0][1] or got[1][1] > 0
     assert all(len(kept[i].encode()) >= got[i][0] - got[i][1] for i in kept) and kept[3] == "" and len(kept[2]) < len(rows[1][1]) - 8000
+
+
+def test_strings_whose_plain_hashes_clash(spark):
+    """Two texts for which a sum of byte codes times powers gave one hash: nothing repeats."""
+    texts = ["znrc jyi je z oeglxlrwlv i cgo qovlnnsxp trdtk    imz wbv wo ehjp hmmtk  esbtswsdsekpuq ilbil jqzzzz", "znrc jyi je z oeglxlrwlv i cgo qjmrxmdp y es ucbo cgaqvz fcjmlb nygtfg  eteuqwl qmxxpanrrcfdzuvyzzzz"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in exactdedup.digests(docs).collect()) == [(1, 100, 0, 0), (2, 100, 0, 0)]
+    assert [r.text for r in exactdedup.trimmed(docs).orderBy("doc_id").collect()] == texts
+
+
+@pytest.mark.parametrize("length, hot", [(1, 20_000), (2, 3), (8, 20_000), (20, 20_000), (20, 4), (40, 20_000), (100, 4), (300, 20_000), (400, 20_000), (400, 1), (1500, 20_000)])
+def test_other_lengths(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(exactdedup, "HOT", hot)
+    rand = random.Random(length)
+    text = lambda n: "".join(rand.choice("abcdé ") for _ in range(n))
+    shared = text(3 * length + 9)
+    rows = [(1, text(50) + shared), (2, shared[: length + length // 2] + text(40) + shared[length // 3 :]), (3, text(3 * length)), (4, shared), (5, "ab" * length), (6, shared[: length - 1]), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert results(exactdedup.digests(docs, length=length)) == {i: w for (i, _), w in zip(rows, plain(rows, length))}
+
+
+def test_lengths_that_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for length in (0, exactdedup.LONGEST + 1):
+        with pytest.raises(ValueError):
+            exactdedup.digests(docs, length=length)
