@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chunked, mapped
 
 ROUNDS = 8
+#: Characters of a long value that are permuted as one number.
+BLOCK = 64
 _SEP = r"[ .\-|!*&%#$]{1,6}"
 
 PATTERN = re.compile(
@@ -49,17 +51,20 @@ class Feistel:
     def __init__(self, key: bytes):
         self.key = key
 
-    def _round(self, tag: bytes, number: int, value: int) -> int:
-        made = hashlib.blake2b(b"%d|%d|" % (number, value) + tag, key=self.key, digest_size=16).digest()
-        return int.from_bytes(made, "big")
+    def _round(self, tag: bytes, number: int, value: int, size: int) -> int:
+        """A keyed number of `size` bytes; bytes() of the value, since decimal digits of long ones take long."""
+        seed = b"%d|" % number + value.to_bytes(-(-value.bit_length() // 8), "big") + b"|" + tag
+        made = hashlib.blake2b(seed, key=self.key, digest_size=min(size, 64)).digest()
+        return int.from_bytes(made if size <= 64 else hashlib.shake_256(made).digest(size), "big")
 
     def _pass(self, value: int, width: int, tag: bytes, back: bool) -> int:
         left, right = divmod(value, width)
+        size = 16 + width.bit_length() // 8  # of a round: 128 bits more than the half it is added to
         for number in reversed(range(ROUNDS)) if back else range(ROUNDS):
             if back:
-                left, right = (right - self._round(tag, number, left)) % width, left
+                left, right = (right - self._round(tag, number, left, size)) % width, left
             else:
-                left, right = right, (left + self._round(tag, number, right)) % width
+                left, right = right, (left + self._round(tag, number, right, size)) % width
         return left * width + right
 
     def permute(self, value: int, n: int, tag: bytes, back: bool = False, good: Callable[[int], bool] | None = None) -> int:
@@ -111,7 +116,32 @@ class Pseudonyms:
         return f"{self.feistel.permute(int(text), 10**n, f'{kind}{n}'.encode(), self.back, check):0{n}d}"
 
     def mixed(self, text: str, kind: str, sets: tuple[str, ...]) -> str:
-        """Permutes the characters that are in one of the sets, each within its set, all of them as one number."""
+        """Permutes the characters that are in one of the sets, each within its set.
+
+        Up to BLOCK characters are one number. Longer texts go block by block, each under a tag that also depends on the
+        blocks before it as they have become and on those behind it as they were, so that all blocks still depend on all.
+        """
+        if len(text) <= BLOCK:
+            return self._mixed(text, kind, sets)
+        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+        chain = lambda a, b: hashlib.blake2b(a.encode() + b, digest_size=16).digest()
+        order = range(len(blocks))
+        done, plain = ([b""] * (len(blocks) + 1) for _ in "ab")  # digests of the pseudonym's blocks before, of the original's from here
+        if self.back:
+            for i in order:
+                done[i + 1] = chain(blocks[i], done[i])
+        else:
+            for i in reversed(order):
+                plain[i] = chain(blocks[i], plain[i + 1])
+        for i in reversed(order) if self.back else order:
+            blocks[i] = self._mixed(blocks[i], f"{kind}#{i}.{(done[i] + plain[i + 1]).hex()}", sets)
+            if self.back:
+                plain[i] = chain(blocks[i], plain[i + 1])
+            else:
+                done[i + 1] = chain(blocks[i], done[i])
+        return "".join(blocks)
+
+    def _mixed(self, text: str, kind: str, sets: tuple[str, ...]) -> str:
         use = [next((s for s in sets if c in s), None) for c in text]
         value, n = 0, 1
         for c, s in zip(text, use):

@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -39,6 +40,37 @@ def test_formats_stay_valid_and_invert(kind, value):
     assert BACK.replace(made)[0] == text
 
 
+@pytest.mark.parametrize("kind, alphabet, sets", [("secret", 62, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), ("email", 36, ("0123456789", "abcdefghijklmnopqrstuvwxyz")), ("hex", 16, ("0123456789abcdef",))])
+def test_no_place_of_a_long_value_stays(kind, alphabet, sets):
+    """Places that keep their character are no more frequent than chance, wherever they stand and however long the value."""
+    rand = random.Random(kind)
+    symbols = "".join(sets)
+    same, ever = [0] * 300, [0] * 300
+    for n in [*range(1, 301), *[300] * 60]:
+        value = "".join(rand.choice(symbols) for _ in range(n))
+        made = NAMES.mixed(value, kind, sets)
+        assert BACK.mixed(made, kind, sets) == value and len(made) == n
+        for i, (a, b) in enumerate(zip(value, made)):
+            same[i] += a == b
+            ever[i] += 1
+    chance = sum(len(s) / alphabet / len(s) for s in sets)  # a character stays within its set
+    for lo in range(0, 300, 20):
+        n = sum(ever[lo : lo + 20])
+        assert sum(same[lo : lo + 20]) <= n * chance + 5 * (n * chance) ** 0.5 + 3
+    first, last = value[:-1] + ("a" if value[-1] != "a" else "b"), ("a" if value[0] != "a" else "b") + value[1:]
+    for other in (first, last):  # a change anywhere changes all blocks
+        if [next(s for s in sets if c in s) for c in other] == [next(s for s in sets if c in s) for c in value]:
+            assert all(a != b for a, b in zip(re.findall(".{60}", NAMES.mixed(other, kind, sets)), re.findall(".{60}", made)))
+
+
+def test_whole_keys_in_texts():
+    rand = random.Random(4)
+    for n in (64, 86, 120, 200, 4000):
+        key = "".join(rand.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+        made, found = NAMES.replace(f"api_key = {key} end")
+        assert found[0][2] == n and sum(a == b for a, b in zip(made[10:], key)) < n * 0.2 + 8 and BACK.replace(made)[0] == f"api_key = {key} end"
+
+
 def test_equal_values_stay_linked_and_secrets_go():
     digits = lambda s: re.sub("[^0-9]", "", NAMES.replace(s)[0])
     assert digits("4111 1111 1111 1111") == digits("x 4111111111111111 y") == digits("4111-1111-1111-1111")
