@@ -144,7 +144,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, key: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length") -> DataFrame:
     """pieces and their sequence_id and offset: every sequence holds at most `capacity` tokens, gapless from 0.
 
     Lengths must be 0 to capacity (a greater one fails; a null counts as 0). Ties and repeated rows are packed each on
@@ -153,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, key: tuple[str, ...] = ("doc_i
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     rows = stored(pieces.select(names), "pieces")
     groups = max(1, -(-rows.count() // GROUP))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(*key, length_col), F.lit(groups)))
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # by row: equal ones part, too
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         size = pdf[length_col].fillna(0).to_numpy(np.int64)

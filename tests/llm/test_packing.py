@@ -70,3 +70,9 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id or 0, r.piece, r.length) for r in got) == [(0, 0, 3), (1, 0, 1), (2, 0, 1), (2, 0, 1), (4, 0, 4096), (4, 1, 4096), (4, 2, 809)]
     check(got, 4096)
     assert packing.pack(packing.text_pieces(docs.limit(0), PATH)).count() == 0
+
+
+def test_equal_rows_go_to_many_groups(spark):
+    pieces = spark.range(40_000).selectExpr("cast(null as long) doc_id", "0 piece", "3L length")
+    got = packing.pack(pieces).groupBy((F.col("sequence_id").bitwiseAND(F.lit(-(1 << 32)))).alias("g")).count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 2 * packing.GROUP and sum(r["count"] for r in got) == 40_000
