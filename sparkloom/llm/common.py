@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -12,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shared import fresh_path, shared_dir, stored  # noqa: F401
+
 #: ASCII white space as the word contracts define it: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,25 +31,6 @@ BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it may be unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
-        spark.conf.set("sparkloom.shared.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors, computes Python work once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tidy() -> None:
     """Gives memory that was freed back to the system. Python workers serve one stage after the other."""
     pa.default_memory_pool().release_unused()

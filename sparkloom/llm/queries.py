@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, centroids, exactdedup, hilbertsearch, imatch, packing, pii, ppm, quality, simhash, tokenfiles, toxicity
-from .common import shared_dir
+from . import bytebpe, centroids, exactdedup, hilbertsearch, imatch, packing, pii, ppm, prefixtrie, quality, simhash, tokenfiles, toxicity
+from .common import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +65,12 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_rollup_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.spliced_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_elias_fano_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-tokens-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "tokens")
     tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
     return tokenfiles.read_tokens(spark, path, ids=False)
 
@@ -77,7 +79,7 @@ def op13_walsh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu, op12_elias_fano_files, op13_walsh_centroids)}
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprints, op2_pii_pseudonyms, op3_hilbert_neighbours, op4_toxicity_ftrl, op5_suffix_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash_near_dedup, op9_ppm_scores, op10_quality_pu, op11_rollup_trie, op12_elias_fano_files, op13_walsh_centroids)}
 #: Every byte and every 100-byte string as rows: fine for a small table.
 _REPEATS = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -99,4 +101,14 @@ _CENTROIDS = f"""WITH kept AS (SELECT vec_id, row_number() OVER () AS n, list_tr
   {", ".join(_ROUND.format(i, i + 1) for i in range(3))},
   f AS (SELECT n, vec_id, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM ({_NEAREST.format(3)}) GROUP BY n, vec_id)
   SELECT vec_id, f.k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM f JOIN c3 c ON f.k = c.k"""
-ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _REPEATS, "op13_walsh_centroids": _CENTROIDS}
+#: Every prefix as a list. SQL has no crc32: it is folded bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_TRIE = f"""WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  h AS (SELECT conv_id, s, {_CRC} % 6 AS h FROM o), b AS (SELECT h.conv_id, coalesce(list_slice(o.s, 1, h), []) || coalesce(list_slice(h.s, h + 1, len(h.s)), []) AS s FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100),
+  p AS (SELECT conv_id, s, d, list_slice(s, 1, d) AS x FROM b, unnest(range(0, len(s) + 1)) AS t(d)),
+  n AS (SELECT x, d, min(conv_id) AS conv_id, count(*) AS m, coalesce(string_agg(CASE WHEN len(s) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS e FROM p GROUP BY x, d),
+  c AS (SELECT list_slice(x, 1, d - 1) AS x, count(*) AS k FROM n WHERE d > 0 GROUP BY 1), w AS (SELECT n.*, coalesce(k, 0) AS k, CASE WHEN d > 0 THEN (m - 1) * length(n.x[d].t) ELSE 0 END AS v FROM n LEFT JOIN c ON n.x = c.x),
+  u AS (SELECT list_slice(x, 1, a) AS x, sum(v)::BIGINT AS saved, count(*) FILTER (k = 0) AS leaves FROM w, unnest(range(0, d + 1)) AS t(a) GROUP BY 1)
+  SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.m AS n_convs, w.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(w.e) AS ends_sha256
+  FROM w JOIN u ON w.x = u.x LEFT JOIN w q ON w.d > 0 AND q.x = list_slice(w.x, 1, w.d - 1)"""
+ORACLE_SQL: dict[str, str] = {"op11_rollup_trie": _TRIE, "op5_suffix_dedup": _REPEATS, "op13_walsh_centroids": _CENTROIDS}
