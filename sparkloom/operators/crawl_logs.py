@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
+from ..shared import stored
+from .ordered import joined, running, upper_median
 
 
 def batch_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -94,13 +96,26 @@ def recommendations(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(table), "category").filter("n > above").select("type", "severity", "message", "n")
 
 
+def _log_columns(message: Column, host: Column) -> dict[str, Column]:
+    """host, [NNN] status (null: none) and message of an error."""
+    text = F.coalesce(message, F.lit(""))
+    return {"host": F.coalesce(F.nullif(host, F.lit("")), F.lit("unknown")), "status": F.nullif(F.regexp_extract(text, r"\[([0-9]+)\]", 1), F.lit("")), "message": text}
+
+
+def _sets(df: DataFrame, sets: Sequence[Sequence[str]], **measures: Column) -> DataFrame:
+    """df's measures by each of the sets, from one pass; `dims` names the set's columns, joined by a blank. Stored, since it is read often."""
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(*[m.alias(k) for k, m in measures.items()], *[F.grouping(c).alias(f"_{c}") for c in names])
+    dims = F.concat_ws(" ", *[F.when(F.col(f"_{c}") == 0, c) for c in names])
+    return stored(out.select(dims.alias("dims"), *names, *measures), "grouped")
+
+
 def error_log_report(events: DataFrame) -> DataFrame:
-    """(dim, value, n, pct): events by host, by [NNN] status in the message, by message and in total, from one pass."""
-    status = F.regexp_extract(F.coalesce("message", F.lit("")), r"\[([0-9]+)\]", 1)
-    rows = events.select(F.coalesce(F.nullif(F.col("host"), F.lit("")), F.lit("unknown")).alias("host"), status.alias("status"), F.coalesce("message", F.lit("")).alias("message"))
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), v.alias("value")) for d, v in (("host", F.col("host")), ("status", F.col("status")), ("message", F.col("message")), ("total", F.lit("all")))]))
-    counts = rows.select(each.alias("x")).select("x.dim", "x.value").filter("not (dim = 'status' and value = '')").groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.filter("dim = 'total'").select(F.col("n").alias("_all"))
+    """(dim, value, n, pct): events by host, by [NNN] status in the message, by message and in total, from one scan."""
+    rows = events.select(*[c.alias(k) for k, c in _log_columns(F.col("message"), F.col("host")).items()])
+    counts = _sets(rows, [["host"], ["status"], ["message"], []], n=F.count(F.lit(1)))
+    counts = counts.select(F.when(F.col("dims") == "", "total").otherwise(F.col("dims")).alias("dim"), F.when(F.col("dims") == "", "all").otherwise(F.coalesce("host", "status", "message")).alias("value"), "n").filter("value is not null")
+    total = counts.filter("dim = 'total'").select(F.col("n").alias("_all"))  # one row
     return counts.join(F.broadcast(total)).select("dim", "value", "n", F.round(F.col("n") * 100.0 / F.col("_all"), 4).alias("pct"))
 
 
@@ -109,17 +124,22 @@ def time_window(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def request_summary(events: DataFrame, by: str = "job_id") -> DataFrame:
-    """Counters and response times per job; the median is the upper one. Error classes are a map of counts."""
-    ok, ms = F.coalesce("success", F.lit(False)), F.when(F.col("response_time_ms") != 0, F.col("response_time_ms"))
+    """Counters and response times per job; the median is the upper one. Error classes are a map of counts.
+
+    One scan counts by job, by job and response time and by job and error class; the median's rank is found in the counts.
+    """
+    ok = F.coalesce("success", F.lit(False))
+    rows = events.withColumns({"_ok": ok, "_ms": F.when(F.col("response_time_ms") != 0, F.col("response_time_ms"))}).withColumns({"ms": F.col("_ms"), "class": F.when(~F.col("_ok"), F.col("error_class"))})
     flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
-    main = events.withColumn("_ms", ms).groupBy(by).agg(
-        F.count(F.lit(1)).alias("total_requests"), F.count_if(ok).alias("successful_requests"), F.count_if(~ok).alias("failed_requests"), flag("canonicalized").alias("canonicalized_requests"),
-        flag("robots_blocked").alias("robots_blocked"), flag("pagination_discovered").alias("pagination_discovered"), F.min("_ms").alias("min_ms"), F.max("_ms").alias("max_ms"), F.avg("_ms").alias("avg_ms"),
-        F.expr("percentile_disc(0.5) within group (order by _ms desc)").alias("median_ms"),
+    counts = _sets(
+        rows, [[by], [by, "ms"], [by, "class"]], total_requests=F.count(F.lit(1)), successful_requests=F.count_if("_ok"), failed_requests=F.count_if(~F.col("_ok")), canonicalized_requests=flag("canonicalized"),
+        robots_blocked=flag("robots_blocked"), pagination_discovered=flag("pagination_discovered"), min_ms=F.min("_ms"), max_ms=F.max("_ms"), avg_ms=F.avg("_ms"),
     )
-    classes = events.filter(~ok & F.col("error_class").isNotNull()).groupBy(by, "error_class").agg(F.count(F.lit(1)).alias("n"))
-    maps = classes.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_class", "n")))).alias("error_classes"))
-    return main.join(maps, by, "left")
+    main = counts.filter(F.col("dims") == by).drop("dims", "ms", "class")
+    medians = upper_median(counts.filter(F.col("dims") == f"{by} ms"), [by], "ms", "total_requests").withColumnRenamed("ms", "median_ms")
+    classes = counts.filter((F.col("dims") == f"{by} class") & F.col("class").isNotNull())
+    maps = classes.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("class").alias("error_class"), F.col("total_requests").alias("n"))))).alias("error_classes"))
+    return joined(joined(main, medians, [by]), maps, [by])
 
 
 def url_pattern_stats(results: DataFrame, col: str = "url") -> DataFrame:
@@ -197,11 +217,11 @@ def keep_newest(sessions: DataFrame, n: int, now_ms: int) -> DataFrame:
 
 
 def progress(results: DataFrame, by: str, order: Sequence[str], total: str | None = None) -> DataFrame:
-    """results with completed, errors and percent so far within each batch or session."""
-    so_far = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.col(total) if total else F.count(F.lit(1)).over(Window.partitionBy(by))
-    out = results.withColumn("completed", F.count(F.lit(1)).over(so_far)).withColumn("errors", F.sum(F.when(F.coalesce("success", F.lit(False)), 0).otherwise(1)).over(so_far))
-    return out.withColumn("percent", F.round(F.col("completed") * 100.0 / whole).cast("int"))
+    """results with completed, errors and percent so far within each batch or session; a batch of any size is many tasks."""
+    sums = {"completed": F.lit(1), "errors": F.when(F.coalesce("success", F.lit(False)), 0).otherwise(1)}
+    out = running(results.drop(*({"completed", "errors", "percent"} - {total})), [by], order, sums)
+    whole = F.col(total) if total else F.col("completed_total")
+    return out.withColumn("percent", F.round(F.col("completed") * 100.0 / whole).cast("int")).drop("completed_total", "errors_total")
 
 
 #: Error type, attempts, multiplier, first delay in ms, kind of delay.
@@ -234,34 +254,51 @@ def retry_schedule(failures: DataFrame, most_ms: int = 60_000) -> DataFrame:
 
 
 def crawl_report(results: DataFrame) -> DataFrame:
-    """(section, key, n, value) of (url, success, skipped, response_time, error).
+    """(section, key, n, value) of (url, success, skipped, response_time, error), all from one scan by grouping sets.
 
     Sections: summary; category, advice; error_pattern (category and [NNN] status of failed rows); pattern (URL patterns,
     value the failed ones); host, status, message (the failed rows' log, value in percent); time (least, most, mean and
     upper median); with a column n_companies also companies; with error_type also retry (value the success rate).
     """
-    none = F.lit(None)
-    parts: list[tuple[str, DataFrame, Column, Column, Column]] = []
-    s = batch_summary(results)
-    flat = s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in s.columns])).alias("x")).select("x.*")
-    parts.append(("summary", flat, F.col("key"), none, F.col("value")))
-    failed = results.filter(~F.coalesce("success", F.lit(False)))
-    code = F.nullif(F.regexp_extract(F.coalesce("error", F.lit("")), r"\[([0-9]+)\]", 1), F.lit(""))
-    kinds = failed.groupBy(error_category(F.col("error")).alias("category"), F.coalesce(code, F.lit("unknown")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    columns, good, bad = set(results.columns), F.col("ok"), ~F.col("ok")
+    log = _log_columns(F.col("error"), U.host(F.col("url")))
+    rows = results.select(
+        F.coalesce("success", F.lit(False)).alias("ok"), (~F.coalesce("skipped", F.lit(False))).alias("done"), F.col("response_time").cast("double").alias("rt"), "url",
+        *[c.alias(k) for k, c in log.items()], error_category(F.col("error")).alias("category"), *[F.col(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in (("n_companies", "long"), ("error_type", "string"))],
+    )
+    failed = {k: F.when(bad, F.col(k)) for k in ("category", "status", "host", "message")}
+    rows = rows.withColumns({**failed, "pattern": F.when(U.is_url(F.col("url")), U.page_pattern(U.path(F.col("url")))), "time": F.col("rt")})
+    optional = [["error_type"]] if "error_type" in columns else []
+    one = _sets(
+        rows, [[], ["category", "status"], ["host"], ["message"], ["pattern"], ["time"], *optional], n=F.count(F.lit(1)), good=F.count_if(good), bad=F.count_if(bad), processed=F.count_if("done"),
+        successful=F.count_if(F.col("done") & good), lost=F.count_if(F.col("done") & bad), mean=F.avg("rt"), mean_good=F.avg(F.when(good, F.col("rt"))), least=F.min("rt"), most=F.max("rt"), companies=F.sum(F.when(good, F.coalesce("n_companies", F.lit(0)))),
+    )
+    of = lambda *dims: one.filter(F.col("dims") == " ".join(dims))
+    pairs = lambda frame, items: frame.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in items])).alias("x")).select("x.*")
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    n, none = F.col("n"), F.lit(None)
+    counted = ("n", "good", "bad", "processed", "successful", "lost", "companies")
+    whole = results.sparkSession.range(1).join(of(), how="left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counted})  # one row, also for no results
+    parts: list[tuple[Column, DataFrame, Column, Column, Column]] = []
+    add = lambda name, frame, key, count, value: parts.append((F.lit(name), frame, key, count, value))
+    summary = (("total", n), ("processed", F.col("processed")), ("successful", F.col("successful")), ("failed", F.col("lost")), ("skipped", n - F.col("processed")), ("success_rate", share(F.col("successful") * 100.0, F.col("processed"))), ("avg_response_time", F.coalesce("mean", F.lit(0.0))), ("avg_success_time", F.coalesce("mean_good", F.lit(0.0))))
+    add("summary", pairs(whole, summary), F.col("key"), none, F.col("value"))
+    kinds = of("category", "status").filter("category is not null")
     by_kind = kinds.groupBy("category").agg(F.sum("n").alias("n"))
     every = results.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    parts.append(("category", every.join(by_kind, "category", "left"), F.col("category"), F.coalesce("n", F.lit(0)), none))
-    parts.append(("error_pattern", kinds, F.concat_ws(" ", "category", "code"), F.col("n"), none))
-    parts.append(("advice", recommendations(by_kind), F.col("type"), F.col("n"), none))
-    parts.append(("pattern", url_pattern_stats(results), F.col("pattern"), F.col("total"), F.col("failed").cast("double")))
-    log = error_log_report(failed.select(U.host(F.col("url")).alias("host"), F.col("error").alias("message"))).filter("dim <> 'total'")
-    times = results.agg(*[f("response_time").cast("double").alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))], F.expr("cast(percentile_disc(0.5) within group (order by response_time desc) as double)").alias("median"))
-    flat = times.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in times.columns])).alias("x")).select("x.*")
-    parts.append(("time", flat, F.col("key"), none, F.col("value")))
-    if "n_companies" in results.columns:
-        parts.append(("companies", companies_per_success(results), F.lit("average"), F.col("companies"), F.col("average")))
-    if "error_type" in results.columns:
-        parts.append(("retry", retry_metrics(results.filter("error_type is not null")), F.col("error_type"), F.col("retries"), F.col("success_rate")))
-    made = [df.select(F.lit(name).alias("section"), key.alias("key"), n.cast("long").alias("n"), value.cast("double").alias("value")) for name, df, key, n, value in parts]
-    made.append(log.select(F.col("dim").alias("section"), F.col("value").alias("key"), F.col("n"), F.col("pct").cast("double").alias("value")))
-    return reduce(DataFrame.union, made)
+    add("category", every.join(by_kind, "category", "left"), F.col("category"), F.coalesce("n", F.lit(0)), none)
+    add("error_pattern", kinds, F.concat_ws(" ", "category", F.coalesce("status", F.lit("unknown"))), n, none)
+    add("advice", recommendations(by_kind), F.col("type"), n, none)
+    add("pattern", of("pattern").filter("pattern is not null"), F.col("pattern"), n, F.col("bad"))
+    median = upper_median(of("time"), [], "time", "n")
+    add("time", pairs(whole, (("min", F.col("least")), ("max", F.col("most")), ("mean", F.col("mean")))), F.col("key"), none, F.col("value"))
+    add("time", results.sparkSession.range(1).join(median, how="left"), F.lit("median"), none, F.col("time"))
+    if "n_companies" in columns:
+        add("companies", whole, F.lit("average"), F.col("companies"), share(F.col("companies"), F.col("good")))
+    if optional:
+        add("retry", of("error_type").filter("error_type is not null").orderBy(F.desc("n"), "error_type").limit(5), F.col("error_type"), n, F.col("good") * 100.0 / n)
+    all_bad = whole.select(F.col("bad").alias("_all"))  # one row
+    lines = of("host").filter("host is not null").select("dims", F.col("host").alias("key"), "n")
+    lines = lines.union(of("message").filter("message is not null").select("dims", "message", "n")).union(kinds.filter("status is not null").groupBy("status").agg(F.sum("n").alias("n")).select(F.lit("status"), "status", "n"))
+    parts.append((F.col("dims"), lines.join(F.broadcast(all_bad)), F.col("key"), n, F.round(n * 100.0 / F.col("_all"), 4)))
+    return reduce(DataFrame.union, [frame.select(section.alias("section"), key.alias("key"), count.cast("long").alias("n"), value.cast("double").alias("value")) for section, frame, key, count, value in parts])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
+from .ordered import running, trailing
 
 
 def validate_urls(df: DataFrame, col: str = "url") -> DataFrame:
@@ -179,9 +180,18 @@ def url_intake(df: DataFrame, col: str = "url", idx: str = "idx") -> DataFrame:
 
 
 def requests_in_window(events: DataFrame, key: str = "host", ts: str = "ts", window_ms: int = 60_000, burst_ms: int = 1_000) -> DataFrame:
-    """events with n_window and n_burst: requests of the key in the trailing window and second."""
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    over = lambda span: Window.partitionBy(key).orderBy("_ms").rangeBetween(-(span - 1), 0)
-    out = events.withColumn("_ms", ms)
-    return out.withColumn("n_window", F.count(F.lit(1)).over(over(window_ms))).withColumn("n_burst", F.count(F.lit(1)).over(over(burst_ms))).drop("_ms")
+    """events with n_window and n_burst: requests of the key in the trailing window and second; a hot key is many tasks."""
+    return trailing(events, key, F.unix_millis(F.col(ts).cast("timestamp")), {"n_window": window_ms, "n_burst": burst_ms})
 
+
+def fixed_window_limit(df: DataFrame, key: str, limit: int = 60, window_ms: int = 60_000, order: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:
+    """df (ts, key) with allowed, remaining and retry_after_s: the first `limit` rows of a key in each window of the clock pass.
+
+    Rows go by ts and `order`; the others wait for the window's end, in whole seconds. Windows are those of the clock, not
+    opened by a key's first row. A hot key or window is many tasks. Null keys are a key, rows without ts share one window.
+    """
+    rows = df.withColumn("_ms", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("_w", F.floor(F.col("_ms") / window_ms))
+    n, passes = F.col("_n"), F.col("_n") <= limit
+    wait = F.ceil(((F.col("_w") + 1) * window_ms - F.col("_ms")) / 1000)
+    out = running(rows, [key, "_w"], ["_ms", *order], {"_n": F.lit(1)})
+    return out.withColumns({"allowed": passes, "remaining": F.greatest(limit - n, F.lit(0)), "retry_after_s": F.when(passes, 0).otherwise(wait)}).drop("_ms", "_w", "_n", "_n_total")

@@ -519,10 +519,13 @@ _NAMES = ("total", "processed", "successful", "failed", "skipped", "success_rate
   UNION ALL SELECT 'time', 'min', NULL, min(response_time) FROM r UNION ALL SELECT 'time', 'max', NULL, max(response_time) FROM r UNION ALL SELECT 'time', 'mean', NULL, avg(response_time) FROM r
   UNION ALL SELECT 'time', 'median', NULL, list_sort(list(response_time))[1 + count(*) // 2] FROM r
   UNION ALL SELECT 'host', regexp_extract(url, '^https://([^/]+)', 1), count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f GROUP BY 2
-  UNION ALL SELECT 'status', code, count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f WHERE code <> 'unknown' GROUP BY 2 UNION ALL SELECT 'message', error, count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f GROUP BY 2)
+  UNION ALL SELECT 'status', code, count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f WHERE code <> 'unknown' GROUP BY 2 UNION ALL SELECT 'message', error, count(*), count(*) * 100.0 / (SELECT count(*) FROM f) FROM f GROUP BY 2
+  UNION ALL SELECT 'companies', 'average', coalesce(sum(CASE WHEN event_id % 4 <> 0 THEN event_id % 9 END) FILTER (success), 0)::BIGINT, coalesce(sum(CASE WHEN event_id % 4 <> 0 THEN event_id % 9 END) FILTER (success)::DOUBLE / nullif(count(*) FILTER (success), 0), 0) FROM r
+  UNION ALL SELECT * FROM (SELECT 'retry', 'TYPE_' || event_id % 7 AS k, count(*) AS c, count(*) FILTER (success) * 100.0 / count(*) FROM r WHERE event_id % 10 < 7 GROUP BY 2 ORDER BY c DESC, k LIMIT 5))
   SELECT section, key, n, round(value, 4) AS value FROM g""")
 def job12_crawl_report(spark, sf_dir):
-    return L.crawl_report(results(spark, sf_dir)).withColumn("value", F.round("value", 4))
+    rows = results(spark, sf_dir).withColumn("n_companies", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 9)).withColumn("error_type", F.when(F.col("event_id") % 10 < 7, F.concat(F.lit("TYPE_"), F.col("event_id") % 7)))
+    return L.crawl_report(rows).withColumn("value", F.round("value", 4))
 
 
 @query(f"""WITH r AS ({_RESULT}), f AS (SELECT {_CAT} AS category, url FROM r WHERE NOT success), k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY url) AS i FROM f)
@@ -621,20 +624,11 @@ def htm11_player_bio(spark, sf_dir):
     return H.extract_player_bio(H.parse_pages(table(spark, sf_dir, "pages")))
 
 
-def host_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    status = F.expr("CASE event_type WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 429 ELSE 503 END ELSE 200 END")
-    return e.select("event_id", F.concat(F.lit("host"), F.col("user_id") % 20).alias("host"), "ts", status.alias("status"), F.expr("CASE WHEN event_id % 6 = 0 THEN '30' END").alias("retry_after"))
-
-
-@query()
+@query("""WITH e AS (SELECT event_id, 'host' || (user_id % 20) AS host, epoch_ms(ts) AS ms FROM events), b AS (SELECT *, ms // 3600000 AS w FROM e), p AS (SELECT *, row_number() OVER (PARTITION BY host, w ORDER BY ms, event_id) AS n FROM b)
+  SELECT event_id, n <= 5 AS allowed, greatest(5 - n, 0)::BIGINT AS remaining, CASE WHEN n > 5 THEN ((w + 1) * 3600000 - ms + 999) // 1000 ELSE 0 END AS retry_after_s FROM p""")
 def str4_fixed_window(spark, sf_dir):
-    return S.fixed_window_limit(host_events(spark, sf_dir), "host", 5, 3_600_000, ("event_id",)).select("event_id", "allowed", "remaining", "retry_after_s")
-
-
-@query()
-def str5_adaptive_rate(spark, sf_dir):
-    return S.adaptive_rate(host_events(spark, sf_dir), order=("event_id",)).select("event_id", "rps", "paused_until", "reason")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("host"), F.col("user_id") % 20).alias("host"), "ts")
+    return OU.fixed_window_limit(rows, "host", 5, 3_600_000, ("event_id",)).select("event_id", "allowed", "remaining", "retry_after_s")
 
 
 # ---- players over customer and orders
@@ -838,11 +832,15 @@ def snk2_sanitize_formulas(spark, sf_dir):
     return sanitize_formulas(rows)
 
 
-@query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS "start", user_id AS job_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, min(value) AS min_ms, max(value) AS max_ms FROM events GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS s, user_id AS job_id, event_type = 'error' AS bad, CASE WHEN event_id % 5 <> 0 THEN 'class' || event_id % 3 ELSE 'unknown' END AS kind, value FROM events),
+  k AS (SELECT s, job_id, string_agg(kind || '=' || n, ' ' ORDER BY kind) AS error_classes FROM (SELECT s, job_id, kind, count(*) AS n FROM e WHERE bad GROUP BY ALL) GROUP BY ALL)
+  SELECT s AS "start", job_id, count(*) AS total, count(*) FILTER (bad) AS failed, min(value) AS min_ms, max(value) AS max_ms, coalesce(any_value(error_classes), '') AS error_classes FROM e LEFT JOIN k USING (s, job_id) GROUP BY s, job_id""")
 def str2_request_counters(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    rows = e.select("ts", F.col("user_id").alias("job_id"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("response_time_ms"))
-    return S.stream_request_counters(rows, window="1 hour").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "job_id", "total", "failed", "min_ms", "max_ms")
+    rows = e.select("ts", F.col("user_id").alias("job_id"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("response_time_ms"), F.expr("CASE WHEN event_id % 5 <> 0 THEN concat('class', event_id % 3) END").alias("class"))
+    out = S.stream_request_counters(rows, window="1 hour", error_class="class")
+    text = F.array_join(F.transform(F.map_entries("error_classes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return out.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "job_id", "total", "failed", "min_ms", "max_ms", text.alias("error_classes"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)

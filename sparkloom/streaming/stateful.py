@@ -1,14 +1,12 @@
-"""Keyed state over time: streaming jobs and their batch replays."""
+"""Keyed state over time as Structured Streaming jobs."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.urls import normalize_url
 from ..sources.io import read_results_jsonl
@@ -20,12 +18,46 @@ def stream_results_to_table(spark: SparkSession, source: str, out: str, checkpoi
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_request_counters(stream: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes", slide: str | None = None, ts: str = "ts", by: str = "job_id") -> DataFrame:
-    """Counters per job and time bucket (start, end): total, failed and response times; late rows beyond the watermark are dropped by Spark."""
+def stream_results_by_session(stream: DataFrame, out: str, checkpoint: str, run: str = "main", by: str = "sessionId") -> StreamingQuery:
+    """JSON lines of a stream in folders run=<run>/batch_id=<n>/<by>=<session>, written once however often a batch is tried.
+
+    A micro-batch owns the folder of its number and replaces it as a whole, so a batch that is run again after a failure
+    leaves the same lines. A stream that starts over without its checkpoint counts from 0: give it another `run`. Null
+    sessions go to Spark's default partition; a batch without rows leaves an empty folder. Read with read_sessions().
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.partitionBy(by).mode("overwrite").json(f"{out}/run={run}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_sessions(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
+    """What stream_results_by_session() wrote, with run, batch_id and the session column."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("basePath", out).json(f"{out}/run=*/batch_id=*")
+
+
+def stream_request_counters(stream: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes", slide: str | None = None, ts: str = "ts", by: str = "job_id", error_class: str | None = None) -> DataFrame:
+    """Counters per job and time bucket (start, end): total, failed and response times; late rows beyond the watermark are dropped by Spark.
+
+    With `error_class`, the column of the class, also error_classes: a map of the failed rows by class. Two stateful
+    aggregates then stand in a row, by bucket, job and class and by bucket and job, which streams write in append mode:
+    a bucket appears once the watermark has passed its end. Failed rows of no class count under 'unknown'.
+    """
     bucket = F.window(ts, window, slide) if slide else F.window(ts, window)
     ok = F.coalesce("success", F.lit(False))
-    out = stream.withWatermark(ts, watermark).groupBy(bucket.alias("w"), by).agg(F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("failed"), F.min("response_time_ms").alias("min_ms"), F.max("response_time_ms").alias("max_ms"), F.avg("response_time_ms").alias("avg_ms"))
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "total", "failed", "min_ms", "max_ms", "avg_ms")
+    rows, measures = stream.withWatermark(ts, watermark), [F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("failed"), F.min("response_time_ms").alias("min_ms"), F.max("response_time_ms").alias("max_ms")]
+    names = [F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "total", "failed", "min_ms", "max_ms", "avg_ms"]
+    if error_class is None:
+        return rows.groupBy(bucket.alias("w"), by).agg(*measures, F.avg("response_time_ms").alias("avg_ms")).select(*names)
+    kind = F.when(~ok, F.coalesce(F.col(error_class), F.lit("unknown")))
+    parts = rows.groupBy(bucket.alias("w"), by, kind.alias("_class")).agg(*measures, F.sum("response_time_ms").alias("_sum"), F.count("response_time_ms").alias("_n"))
+    counts = F.sort_array(F.collect_list(F.when(F.col("_class").isNotNull(), F.struct("_class", "failed"))))
+    out = parts.groupBy("w", by).agg(
+        F.sum("total").alias("total"), F.sum("failed").alias("failed"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"), F.try_divide(F.sum("_sum"), F.sum("_n")).alias("avg_ms"), F.map_from_entries(counts).alias("error_classes")
+    )
+    return out.select(*names, "error_classes")
 
 
 def stream_dedupe_urls(stream: DataFrame, watermark: str = "1 hour", ts: str = "ts", col: str = "url") -> DataFrame:
@@ -40,91 +72,63 @@ def stream_session_progress(stream: DataFrame, ttl: str = "24 hours", ts: str =
     return stream.withWatermark(ts, ttl).groupBy(F.session_window(ts, ttl).alias("w"), "sessionId").agg(F.count(F.lit(1)).alias("processed"), F.count_if(~ok).alias("failed"), F.max("idx").alias("last_index"), F.max(ts).alias("updated_at")).drop("w")
 
 
-class _Window:
-    """A window that opens at a key's first event and lets `limit` events through."""
-
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms, self.start, self.count = limit, window_ms, None, 0
-
-    def step(self, now: int, *_):
-        if self.start is None or now - self.start >= self.window_ms:
-            self.start, self.count = now, 1
-            return True, self.limit - 1, 0
-        if self.count >= self.limit:
-            return False, 0, max(1, -(-(self.start + self.window_ms - now) // 1000))
-        self.count += 1
-        return True, max(0, self.limit - self.count), 0
-
-
-#: Rates of a host unless its profile says otherwise.
-PROFILE = {"start_rps": 5.0, "max_rps": 10.0, "min_rps": 0.5, "backoff": 0.6, "recovery": 1.1, "recovery_after": 15, "cooldown_ms": 30_000}
-
-
-def wait_of(retry_after: str, now: int) -> int:
-    """Milliseconds that a Retry-After header asks for: whole seconds it begins with, or until its date; neither: a minute."""
-    seconds = re.match(r"\s*([+-]?\d+)", retry_after)
-    if seconds:
-        return 1000 * int(seconds.group(1))
-    try:
-        return max(0, round(parsedate_to_datetime(retry_after).timestamp() * 1000) - now)
-    except (TypeError, ValueError):
-        return 60_000
-
-
-class _Rate:
-    """A host's rate: cut on 429, raised after a run of successes and a cool-down, lowered a little by many server errors."""
-
-    def __init__(self, profile: dict):
-        self.p = profile
-        self.rps, self.good, self.bad, self.last, self.until = profile["start_rps"], 0, 0, None, None
-
-    def step(self, now: int, status: int, retry_after):
-        p, reason = self.p, None
-        if status == 429:
-            self.last, self.good, self.bad = now, 0, self.bad + 1
-            self.until = now + (wait_of(retry_after, now) if isinstance(retry_after, str) and retry_after else min(p["cooldown_ms"], 1000 * 2 ** min(self.bad, 6)))
-            self.rps, reason = max(p["min_rps"], self.rps * p["backoff"]), "backoff_429"
-        elif 200 <= status < 300:
-            self.good, self.bad = self.good + 1, max(0, self.bad - 1)
-            if self.good >= p["recovery_after"] and (self.last is None or now - self.last > p["cooldown_ms"]):
-                rate = min(p["max_rps"], self.rps * p["recovery"])
-                if rate > self.rps:
-                    self.rps, self.good, reason = rate, 0, "recovery"
-        elif status >= 500:
-            self.bad += 1
-            if self.bad > 3:
-                self.rps, reason = max(p["min_rps"], self.rps * 0.9), "server_error"
-        return self.rps, self.until, reason
-
-
-def _replay(df: DataFrame, key: str, order: list[str], make, names: list[str], extra: str) -> DataFrame:
-    """Runs a state machine over each key's rows in order, a stream of batches at a time: no key is ever held whole."""
-    columns = df.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, machine = object(), None
-        for pdf in batches:
-            out = []
-            for row in pdf[[key, "_ms", "_a", "_b"]].itertuples(index=False):
-                if row[0] != at:
-                    at, machine = row[0], make()
-                out.append(machine.step(row[1], row[2], row[3]))
-            yield pd.concat([pdf[columns].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    a = F.col("status").cast("int") if "status" in columns else F.lit(0)
-    b = F.col("retry_after").cast("string") if "retry_after" in columns else F.lit(None).cast("string")
-    rows = df.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("_a", F.coalesce(a, F.lit(0))).withColumn("_b", b)
-    return rows.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "_ms", *order).mapInPandas(run, f"{fields}, {extra}")
-
-
-def fixed_window_limit(df: DataFrame, key: str, limit: int = 60, window_ms: int = 60_000, order: tuple[str, ...] = ()) -> DataFrame:
-    """df (ts, key) with allowed, remaining, retry_after (seconds); rows of a key go in order of ts and `order`; null keys are left out."""
-    return _replay(df, key, list(order), lambda: _Window(limit, window_ms), ["allowed", "remaining", "retry_after_s"], "allowed boolean, remaining int, retry_after_s int")
-
-
-def adaptive_rate(df: DataFrame, profile: dict | None = None, key: str = "host", order: tuple[str, ...] = ()) -> DataFrame:
-    """df (host, ts, status, retry_after) with rps, paused_until (epoch ms) and reason after each response."""
-    own = PROFILE | (profile or {})
-    out = _replay(df, key, list(order), lambda: _Rate(own), ["rps", "paused_until", "reason"], "rps double, paused_until double, reason string")
-    return out.withColumn("paused_until", F.col("paused_until").cast("long"))
+class SessionProgress(StatefulProcessor):
+    """Counts of one session while it lives: from its first event until the watermark passes its time to live."""
+
+    STATE = "created long, updated long, last_index long, success long, failed long"
+    FIELDS = ("sessionId", "status", "processed", "success", "failed", "current_index", "updated_ms", "expires_ms")
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("progress", self.STATE)
+
+    def _row(self, key, status: str) -> pd.DataFrame:
+        created, updated, last, success, failed = self.state.get()
+        return pd.DataFrame([(key[0], status, success + failed, success, failed, last + 1, updated, created + self.ttl_ms)], columns=self.FIELDS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists():  # timers run after rows: what has expired by now ends before them
+            ends = self.state.get()[0] + self.ttl_ms
+            if timerValues.getCurrentWatermarkInMs() >= ends:
+                yield self._row(key, "expired")
+                self.state.clear()
+                self.handle.deleteTimer(ends)
+        new = not self.state.exists()
+        created, updated, last, success, failed = (1 << 62, -1, -1, 0, 0) if new else self.state.get()
+        for frame in rows:
+            good = int(frame["success"].sum())
+            success, failed = success + good, failed + len(frame) - good
+            created = min(created, int(frame["ms"].min())) if new else created
+            newest, index = max(zip(frame["ms"].tolist(), frame["idx"].tolist()))
+            updated, last = max((updated, last), (newest, index))
+        self.state.update((created, updated, last, success, failed))
+        if new:
+            self.handle.registerTimer(created + self.ttl_ms)
+        yield self._row(key, "active")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, "expired")
+        self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(stream: DataFrame, ttl_ms: int = 24 * 3_600_000, watermark: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """(sessionId, status, processed, success, failed, current_index, updated_ms, expires_ms) of a stream (sessionId, success, idx, ts).
+
+    A session that got rows in a micro-batch gives an 'active' row of its counts so far; current_index follows the index
+    of its latest row. Once the watermark is past its first row's time and the time to live, it gives an 'expired' row and
+    its state goes; a row that comes later begins a new session of that name. State holds five numbers a session. Rows
+    without session or time are dropped; null success is a failure, a null index counts as -1. Needs
+    spark.sql.streaming.stateStore.providerClass set to the RocksDB provider; write in update mode.
+    """
+    if "RocksDB" not in stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        raise ValueError("set spark.sql.streaming.stateStore.providerClass to Spark's RocksDBStateStoreProvider")
+    rows = stream.withWatermark(ts, watermark).filter(F.col("sessionId").isNotNull() & F.col(ts).isNotNull())
+    rows = rows.select("sessionId", F.coalesce("success", F.lit(False)).alias("success"), F.coalesce(F.col("idx").cast("long"), F.lit(-1)).alias("idx"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), ts)
+    fields = "sessionId string, status string, processed long, success long, failed long, current_index long, updated_ms long, expires_ms long"
+    return rows.groupBy("sessionId").transformWithStateInPandas(SessionProgress(ttl_ms), fields, "Update", "EventTime")

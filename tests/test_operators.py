@@ -144,39 +144,17 @@ def test_error_report(spark):
     assert got[("message", "[500] Upstream 429")] == (28, 80.0) and got[("host", "h")] == (35, 100.0) and got[("status", "500")] == (35, 100.0)
 
 
-def test_window_limit_and_rate_equal_a_plain_replay(spark):
+def test_window_limit(spark):
     base = pd.Timestamp("2024-01-01")
-    rows = [(f"h{i % 3}", (base + pd.Timedelta(milliseconds=137 * i * (1 + i % 7))).to_pydatetime(), [200, 200, 429, 503, 200][i * i % 5], "2" if i % 4 == 0 else None, i) for i in range(400)]
-    df = spark.createDataFrame(rows, "host string, ts timestamp, status int, retry_after string, i int").repartition(5)
-    got = {r.i: (r.allowed, r.remaining, r.retry_after_s) for r in S.fixed_window_limit(df, "host", 5, 10_000, ("i",)).collect()}
-    rates = {r.i: (round(r.rps, 9), r.paused_until, r.reason) for r in S.adaptive_rate(df, dict(min_rps=0.1, max_rps=2.0, start_rps=0.5, backoff=0.5, recovery=1.1, cooldown_ms=60_000, recovery_after=10), order=("i",)).collect()}
-    assert len(got) == len(rates) == 400
-    opened, state = {}, {}
-    for host, ts, status, after, i in sorted(rows, key=lambda r: (r[0], r[1], r[4])):
-        now = int(pd.Timestamp(ts).value // 10**6)
-        start, n = opened.get(host, (None, 0))
-        if start is None or now - start >= 10_000:
-            opened[host], want = (now, 1), (True, 4, 0)
-        elif n >= 5:
-            want = (False, 0, max(1, -(-(start + 10_000 - now) // 1000)))
-        else:
-            opened[host], want = (start, n + 1), (True, 4 - n, 0)
-        assert got[i] == want
-        s = state.setdefault(host, dict(rps=0.5, good=0, bad=0, last=None, until=None))
-        reason = None
-        if status == 429:
-            s["last"], s["good"], s["bad"] = now, 0, s["bad"] + 1
-            s["until"] = now + (2000 if after else min(60_000, 1000 * 2 ** min(s["bad"], 6)))
-            s["rps"], reason = max(0.1, s["rps"] * 0.5), "backoff_429"
-        elif status == 200:
-            s["good"], s["bad"] = s["good"] + 1, max(0, s["bad"] - 1)
-            if s["good"] >= 10 and (s["last"] is None or now - s["last"] > 60_000) and min(2.0, s["rps"] * 1.1) > s["rps"]:
-                s["rps"], s["good"], reason = min(2.0, s["rps"] * 1.1), 0, "recovery"
-        else:
-            s["bad"] += 1
-            if s["bad"] > 3:
-                s["rps"], reason = max(0.1, s["rps"] * 0.9), "server_error"
-        assert rates[i] == (round(s["rps"], 9), s["until"], reason)
+    rows = [(f"h{i % 3}" if i % 7 else "hot", (base + pd.Timedelta(milliseconds=137 * i * (1 + i % 7))).to_pydatetime(), i) for i in range(400)] + [(None, base.to_pydatetime(), 400 + i) for i in range(8)]
+    df = spark.createDataFrame(rows, "host string, ts timestamp, i int").repartition(5)
+    got = {r.i: (r.allowed, r.remaining, r.retry_after_s) for r in OU.fixed_window_limit(df, "host", 5, 10_000, ("i",)).collect()}
+    seen, want = {}, {}
+    for host, ts, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        ms = int(pd.Timestamp(ts).value // 10**6)
+        n = seen[host, ms // 10_000] = seen.get((host, ms // 10_000), 0) + 1
+        want[i] = (n <= 5, max(5 - n, 0), 0 if n <= 5 else -(-((ms // 10_000 + 1) * 10_000 - ms) // 1000))
+    assert got == want
 
 
 def test_sources_and_sinks(spark):
@@ -272,13 +250,6 @@ def test_summaries_fall_back_in_order(spark):
     assert got[3] == ("D", "—", "i") and got[4] == ("—", "—", OC.NO_DETAILS) and all(g[2] for g in got)
 
 
-def test_retry_after_is_seconds_or_a_date():
-    from sparkloom.streaming.stateful import wait_of
-
-    assert [wait_of(x, 0) for x in ("30", "30.7", " 5 s", "soon")] == [30_000, 30_000, 5_000, 60_000]
-    assert wait_of("Thu, 01 Jan 1970 00:01:00 GMT", 15_000) == 45_000 and wait_of("Thu, 01 Jan 1970 00:00:01 GMT", 15_000) == 0
-
-
 def test_source_of_url_keeps_every_row_once(spark):
     from sparkloom.operators import urls as OU
 
@@ -297,4 +268,48 @@ def test_crawl_report_has_the_optional_sections(spark):
     got = {(r.section, r.key): (r.n, r.value) for r in L.crawl_report(df).collect()}
     assert got["companies", "average"] == (3, 3.0) and got["retry", "TIMEOUT"] == (1, 0.0) and got["error_pattern", "server_error 500"] == (1, None)
     assert got["host", "a.com"] == (1, 50.0) and got["status", "500"] == (1, 50.0) and got["time", "median"] == (None, 7.0) and got["pattern", "/page/*"] == (1, 1.0)
+    empty = {(r.section, r.key): (r.n, r.value) for r in L.crawl_report(df.limit(0)).collect()}
+    assert empty["summary", "total"] == (None, 0.0) and empty["category", "timeout"] == (0, None) and empty["time", "median"] == (None, None) and empty["companies", "average"] == (0, 0.0)
     assert {r.category: (r.n, r.examples) for r in L.errors_by_category(df).collect()} == {"server_error": (1, ["https://a.com/page/2"]), "timeout": (1, ["https://b.com/"])}
+
+
+def test_crawl_report_scans_once(spark, monkeypatch):
+    """All sections come from what one aggregate over the results stored."""
+    frames, stored = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: frames.append(df) or stored(df, name))
+    df = spark.createDataFrame([("https://a.com/1", True, False, 5.0, None)], "url string, success boolean, skipped boolean, response_time double, error string")
+    L.crawl_report(df)
+    assert len(frames) == 1 and "Expand" in frames[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upper_median(spark):
+    import random
+
+    from sparkloom.operators import ordered
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice("aaaaaabc") if rnd.random() < 0.9 else None, rnd.choice([None, 1.5, 2.0, rnd.random()])) for _ in range(4001)] + [("none", None)]
+    got = {r.k: r.v for r in ordered.upper_median(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v").collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
+    assert ordered.upper_median(spark.createDataFrame(rows, "k string, v double"), [], "v").first().v == sorted(v for _, v in rows if v is not None)[sum(len(v) for v in groups.values()) // 2]
+
+
+def test_trailing_counts_of_a_hot_key(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [("hot" if rnd.random() < 0.8 else rnd.choice(["a", None]), rnd.choice([rnd.randint(-5000, 5000), 77, 78, None]), i) for i in range(2500)]
+    df = spark.createDataFrame(rows, "host string, ms long, i int").withColumn("ts", F.timestamp_millis("ms")).repartition(6)
+    got = {r.i: (r.n_window, r.n_burst) for r in OU.requests_in_window(df, "host", "ts", 600, 50).collect()}
+    near = lambda h, t, span: sum(k == h and (u is None if t is None else u is not None and t - span < u <= t) for k, u, _ in rows)
+    assert got == {i: (near(h, t, 600), near(h, t, 50)) for h, t, i in rows}
+
+
+def test_progress_of_a_hot_batch(spark):
+    df = spark.range(3000).select(F.lit("b").alias("batch"), F.col("id").alias("i"), (F.col("id") % 3 != 0).alias("success")).repartition(7)
+    got = sorted((r.i, r.completed, r.errors, r.percent) for r in L.progress(df, "batch", ["i"]).collect())
+    assert got == [(i, i + 1, i // 3 + 1, int((i + 1) / 30 + 0.5)) for i in range(3000)]
