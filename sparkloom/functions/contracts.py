@@ -6,49 +6,68 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import STATE_CODES, lookup
+from .text import STATE_CODES, let, lookup
 
 #: Fixed values of the checklist: preferred states and words that burden.
 PREFERRED = ("illinois", "new york", "delaware")
 MARKERS = ("best efforts", "shall immediately", "all employees", "any employee", "all affiliates", "portfolio companies", "perpetual", "in perpetuity", "exclusive jurisdiction")
 
 
+#: What the ends of a text are cleared of.
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _swap(c: Column, old: str, new: str) -> Column:
+    return F.replace(c, F.lit(old), F.lit(new))
+
+
 def normal(c: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\r", ""), r"[ \t]+", " "), " ", " ")
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    """No carriage returns, runs of blanks and tabs as one blank, ends trimmed. Texts without such runs skip the pattern."""
+    runs = let(_swap(c, "\r", ""), lambda s: F.when(s.contains("\t") | s.contains("  "), F.regexp_replace(s, r"[ \t]+", " ")).otherwise(s))
+    return F.btrim(_swap(runs, "\u00a0", " "), F.lit(_BLANK))
 
 
 def low(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(normal(F.lower(c)), "[“”]", '"'), "’", "'")
+    s = normal(F.lower(c))
+    for old, new in (("\u201c", '"'), ("\u201d", '"'), ("\u2019", "'")):
+        s = _swap(s, old, new)
+    return s
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(normal(c), r"\n{2,}"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.filter(F.transform(F.split(normal(c), r"\n{2,}"), lambda p: F.btrim(p, F.lit(_BLANK))), lambda p: p != "")
 
 
-def _any(c: Column, words: tuple[str, ...]) -> Column:
+def has(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
+def _months(t: Column) -> Column:
+    found = F.regexp_extract(t, r"\d+\s*(?:months|month|mo\.?|years|year|yr\.?)", 0)
+    n = F.regexp_extract(found, r"^\d+", 0).try_cast("int")
+    return F.when(has(t, ("mo", "year", "yr")), n * F.when(found.contains("y"), 12).otherwise(1))
+
+
 def term_months(c: Column) -> Column:
     """Months of the first 'N months' or 'N years'; none: null."""
-    p = r"(\d+)\s*(months|month|mo\.?|years|year|yr\.?)"
-    n = F.regexp_extract(low(c), p, 1).try_cast("int")
-    return n * F.when(F.regexp_extract(low(c), p, 2).startswith("y"), 12).otherwise(1)
+    return let(low(c), _months)
 
 
-_CARVED = "publicly available|independently developed|nonconfidential basis"
-_LAW = "governing law|jurisdiction|venue"
+#: What carves information out, and what a clause about law speaks of.
+_CARVED = ("publicly available", "independently developed", "nonconfidential basis")
+_LAW = ("governing law", "jurisdiction", "venue")
 
 
 def burden_score(c: Column) -> Column:
-    t, months = low(c), term_months(c)
-    score = F.when(months > 24, F.least(F.lit(40), months - 24)).otherwise(0)
-    for m in MARKERS:
-        score = score + F.when(t.contains(m), 10).otherwise(0)
-    score = score + F.when(t.contains("confidential information") & ~t.rlike(_CARVED), 25).otherwise(0)
-    score = score + F.when(t.rlike(_LAW) & ~_any(t, PREFERRED), 20).otherwise(0)
-    return F.greatest(F.lit(0), F.least(score, F.lit(100)))
+    def score(t: Column) -> Column:
+        out = let(_months(t), lambda months: F.when(months > 24, F.least(F.lit(40), months - 24)).otherwise(0))
+        for m in MARKERS:
+            out = out + F.when(t.contains(m), 10).otherwise(0)
+        out = out + F.when(t.contains("confidential information") & ~has(t, _CARVED), 25).otherwise(0)
+        out = out + F.when(has(t, _LAW) & ~has(t, PREFERRED), 20).otherwise(0)
+        return F.greatest(F.lit(0), F.least(out, F.lit(100)))
+
+    return let(low(c), score)
 
 
 _STATES = {code.lower(): name.title() for name, code in STATE_CODES.items()} | {name: name.title() for name in STATE_CODES}
@@ -58,24 +77,42 @@ def full_state(c: Column) -> Column:
     return lookup(_STATES, F.lower(c))
 
 
-def contract_context(c: Column) -> Column:
-    """struct<parties, party_states, governing_law, venue_city, venue_state>."""
+#: Patterns of parties, laws, seats and courts.
+_BETWEEN = r"(?i)between\s+([^,]+?),\s+a\s+[^,]+?,\s+and\s+([^,]+?),\s+a\s+[^,]+?\s"
+_CAPITALS = r"(\b[A-Z][A-Z&\-\s]{2,}\b)"
+_LAWS_OF = r"(?i)laws?\s+of\s+(?:the\s+state\s+of\s+)?([A-Z][a-zA-Z]+)\b"
+_SEAT = r"(?i)\b(?:a|an)\s+(?:\w+\s+){0,3}(?:corporation|company|limited|llc|inc\.)\s+(?:organized|incorporated)\s+in\s+([A-Z][a-zA-Z]+)\b"
+_GOVERNING = r"(?is)govern(?:ed|ing)\s+law.*?(?:laws?\s+of\s+)?(?:the\s+state\s+of\s+)?([A-Z][a-zA-Z]+)"
+_SHALL_GOVERN = r"(?is)laws?\s+of\s+(?:the\s+state\s+of\s+)?([A-Z][a-zA-Z]+)\s+shall\s+govern"
+_COURTS = r"(?i)(?:exclusive\s+jurisdiction|venue)\s+(?:in|for)\s+([^,]+),\s+([A-Z][a-zA-Z]+)"
+
+
+def contract_context(c: Column, head: int | None = 1200) -> Column:
+    """struct<parties, party_states, governing_law, venue_city, venue_state>.
+
+    Without a 'between' clause, parties are names in capitals among the first `head` characters (None: all). Each pattern
+    runs only on texts that hold the words without which it can't match.
+    """
+    clean = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, "[\"\u201c\u201d\u2019']", "")), r"\s+", " ")
+
+    def found(s: Column) -> Column:
+        text, t = s["text"], s["low"]
+        every = lambda guard, pattern: F.when(guard, F.regexp_extract_all(text, F.lit(pattern))).otherwise(F.array().cast("array<string>"))
+        pair = F.array(clean(F.regexp_extract(text, _BETWEEN, 1)), clean(F.regexp_extract(text, _BETWEEN, 2)))
+        caps = F.filter(F.transform(F.regexp_extract_all(text if head is None else F.substring(text, 1, head), F.lit(_CAPITALS)), clean), lambda n: F.length(n) <= 80)
+        parties = F.slice(F.filter(F.array_distinct(F.when(t.contains("between") & text.rlike(_BETWEEN), pair).otherwise(caps)), lambda n: n != ""), 1, 4)
+        laws = every(t.contains("law"), _LAWS_OF)
+        seats = every(has(t, ("organized", "incorporated")) & has(t, ("corporation", "company", "limited", "llc", "inc.")), _SEAT)
+        states = F.array_distinct(F.array_compact(F.transform(F.concat(laws, seats), full_state)))
+        govern = t.contains("law") & t.contains("govern")
+        law = F.try_element_at(F.array_compact(F.transform(F.concat(every(govern, _GOVERNING), every(govern, _SHALL_GOVERN)), full_state)), F.lit(1))
+        courts = has(t, ("jurisdiction", "venue"))
+        where = full_state(F.nullif(F.when(courts, F.regexp_extract(text, _COURTS, 2)), F.lit("")))
+        city = F.when(where.isNotNull(), F.trim(F.regexp_extract(text, _COURTS, 1)))
+        return F.struct(parties.alias("parties"), states.alias("party_states"), law.alias("governing_law"), city.alias("venue_city"), where.alias("venue_state"))
+
     text = F.concat(F.lit(" "), F.coalesce(c, F.lit("")), F.lit(" "))
-    pattern = r"(?i)between\s+([^,]+?),\s+a\s+[^,]+?,\s+and\s+([^,]+?),\s+a\s+[^,]+?\s"
-    clean = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, "[\"“”’']", "")), r"\s+", " ")
-    pair = F.array(clean(F.regexp_extract(text, pattern, 1)), clean(F.regexp_extract(text, pattern, 2)))
-    caps = F.filter(F.transform(F.regexp_extract_all(F.substring(text, 1, 1200), F.lit(r"(\b[A-Z][A-Z&\-\s]{2,}\b)")), clean), lambda n: F.length(n) <= 80)
-    parties = F.slice(F.filter(F.array_distinct(F.when(text.rlike(pattern), pair).otherwise(caps)), lambda n: n != ""), 1, 4)
-    laws = F.regexp_extract_all(text, F.lit(r"(?i)laws?\s+of\s+(?:the\s+state\s+of\s+)?([A-Z][a-zA-Z]+)\b"))
-    seats = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:a|an)\s+(?:\w+\s+){0,3}(?:corporation|company|limited|llc|inc\.)\s+(?:organized|incorporated)\s+in\s+([A-Z][a-zA-Z]+)\b"))
-    states = F.array_distinct(F.array_compact(F.transform(F.concat(laws, seats), full_state)))
-    a = F.regexp_extract_all(text, F.lit(r"(?is)govern(?:ed|ing)\s+law.*?(?:laws?\s+of\s+)?(?:the\s+state\s+of\s+)?([A-Z][a-zA-Z]+)"))
-    b = F.regexp_extract_all(text, F.lit(r"(?is)laws?\s+of\s+(?:the\s+state\s+of\s+)?([A-Z][a-zA-Z]+)\s+shall\s+govern"))
-    law = F.try_element_at(F.array_compact(F.transform(F.concat(a, b), full_state)), F.lit(1))
-    seat = r"(?i)(?:exclusive\s+jurisdiction|venue)\s+(?:in|for)\s+([^,]+),\s+([A-Z][a-zA-Z]+)"
-    where = full_state(F.nullif(F.regexp_extract(text, seat, 2), F.lit("")))
-    city = F.when(where.isNotNull(), F.trim(F.regexp_extract(text, seat, 1)))
-    return F.struct(parties.alias("parties"), states.alias("party_states"), law.alias("governing_law"), city.alias("venue_city"), where.alias("venue_state"))
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), found)
 
 
 #: Wording of the checklist's insertions.
@@ -88,9 +125,26 @@ COMPETE = "\n\nNotwithstanding anything herein, receipt and possession of Evalua
 CARVE = "\n\nFor clarity, Confidential Information excludes information that (i) was publicly available prior to disclosure, (ii) was known to us without obligation, (iii) was independently developed by us, or (iv) becomes available on a nonconfidential basis from a source not bound by confidentiality."
 
 
+#: Words without one of which no clause rule fires.
+TRIGGERS = (
+    "solicit", "term", "this agreement shall remain", "return", "best efforts", "shall", "immediate", "affiliate", "governing law", "jurisdiction", "venue", "representative", "competitor", "competition", "bid", "quote", "confidential",
+)
+#: Patterns of the clause rules' conditions and rewrites.
+_ABOUT_TERM, _KNOWN, _RETURN, _CONFIDENTIAL = r"term\b|this agreement shall remain", "known to us prior|known.*prior", "return.*(documents|materials)", r"confidential( information)?\b"
+_LENGTH, _LAW_OF, _COURT_OF = r"(?is)^(.*?)(?<!\d)\d+\s*(?:years?|yr\.?|months?)", r"(?is)^(.*?)(governed by|laws? of)\s+[^.,;]+", r"(?is)^(.*?)(venue|jurisdiction)\s+[^.,;]+"
+_WHO = ("directors", "officers", "advisors", "employees", "financing sources", "consultants", "accountants", "attorneys")
+
+
 def suggestions(p: Column) -> Column:
-    """array<struct<clause_type, operation, target, replacement>>: what the clause rules propose for one paragraph, in rule order."""
-    t, months = low(p), term_months(p)
+    """array<struct<clause_type, operation, target, replacement>>: what the clause rules propose for one paragraph, in rule order.
+
+    The paragraph's lower-case form and term are computed once; rewrites are built for rules that fire.
+    """
+    none = F.array().cast("array<struct<clause_type: string, operation: string, target: string, replacement: string>>")
+    return let(low(p), lambda t: F.when(has(t, TRIGGERS), let(_months(t), lambda months: _fired(p, t, months))).otherwise(none))
+
+
+def _fired(p: Column, t: Column, months: Column) -> Column:
     first = lambda pattern, to: F.regexp_replace(p, pattern, to)
     calmer = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "(?i)best efforts", "commercially reasonable efforts"), r"(?i)\bshall\b", "will"), r"(?i)\bimmediate(ly)?\b", "prompt")
     plus = lambda text: F.concat(p, F.lit(text))
@@ -98,27 +152,27 @@ def suggestions(p: Column) -> Column:
     def made(when: Column, clause: str, operation: str, replacement: Column, target: Column = p) -> Column:
         return F.when(when, F.struct(F.lit(clause).alias("clause_type"), F.lit(operation).alias("operation"), target.alias("target"), replacement.alias("replacement")))
 
-    solicit, about_term = t.rlike("non-?solicit"), t.rlike(r"term\b|this agreement shall remain")
-    carved = t.contains("publicly available") & t.rlike("known to us prior|known.*prior") & t.contains("independently developed") & t.contains("nonconfidential basis")
-    confidential = t.rlike(r"confidential( information)?\b")
-    elsewhere = t.rlike(_LAW) & ~_any(t, PREFERRED)
+    def calm(when: Column, clause: str) -> Column:
+        return F.when(when, let(calmer, lambda c: made(c != p, clause, "replace", c)))
+
+    solicit, about_term = has(t, ("non-solicit", "nonsolicit")), t.contains("this agreement shall remain") | t.contains("term") & t.rlike(_ABOUT_TERM)
+    carved = t.contains("publicly available") & t.rlike(_KNOWN) & t.contains("independently developed") & t.contains("nonconfidential basis")
+    confidential, hard = t.contains("confidential") & t.rlike(_CONFIDENTIAL), has(t, ("best efforts", "shall", "immediate"))
     # only the first match of these three changes: what stands before it is kept by a reluctant group
-    cut = F.regexp_replace(p, r"(?is)^(.*?)(?<!\d)\d+\s*(?:years?|yr\.?|months?)", "$1@@")
-    cut = F.replace(cut, F.lit("@@"), F.lit("24 months"))
-    moved = F.regexp_replace(p, r"(?is)^(.*?)(governed by|laws? of)\s+[^.,;]+", "$1$2 Illinois")
-    moved = F.regexp_replace(moved, r"(?is)^(.*?)(venue|jurisdiction)\s+[^.,;]+", "$1$2 Illinois")
+    cut = F.replace(F.regexp_replace(p, _LENGTH, "$1@@"), F.lit("@@"), F.lit("24 months"))
+    moved = F.regexp_replace(F.regexp_replace(p, _LAW_OF, "$1$2 Illinois"), _COURT_OF, "$1$2 Illinois")
     return F.array_compact(F.array(
-        made(solicit & t.rlike("customer|supplier"), "Customer/Supplier Non-Solicit", "delete", F.lit("")),
-        made(solicit & t.rlike("employee|personnel|staff"), "Employee Non-Solicit", "replace", F.concat(first("(?i)all employees|any employee", "key executives"), F.lit(HIRING))),
-        made(about_term & months.isNull() | about_term & (months == 0), "Term", "insert", F.lit(TERM), F.lit("")),
+        made(solicit & has(t, ("customer", "supplier")), "Customer/Supplier Non-Solicit", "delete", F.lit("")),
+        made(solicit & has(t, ("employee", "personnel", "staff")), "Employee Non-Solicit", "replace", F.concat(first("(?i)all employees|any employee", "key executives"), F.lit(HIRING))),
+        made(about_term & (F.coalesce(months, F.lit(0)) == 0), "Term", "insert", F.lit(TERM), F.lit("")),
         made(about_term & (months > 24), "Term", "replace", cut),
-        made(t.rlike("return.*(documents|materials)") & ~t.contains("destroy"), "Return or Destroy Documents", "replace", F.concat(first("(?i)return", "return or destroy"), F.lit(COPIES))),
-        made(t.rlike("best efforts|shall|immediate") & (calmer != p), "Legal modifiers", "replace", calmer),
+        made(t.contains("return") & ~t.contains("destroy") & t.rlike(_RETURN), "Return or Destroy Documents", "replace", F.concat(first("(?i)return", "return or destroy"), F.lit(COPIES))),
+        calm(hard, "Legal modifiers"),
         made(t.contains("affiliate"), "Affiliate Language", "replace", plus(AFFILIATES)),
-        made(elsewhere, "State of Jurisdiction", "replace", moved),
-        made(t.contains("representative") & ~t.rlike("directors|officers|advisors|employees|financing sources|consultants|accountants|attorneys"), "Representative Language", "replace", plus(WHO)),
-        made(t.rlike("competitor|competition|bid|quote") & ~t.rlike("will not.*prevent|restrict.*ordinary course"), "Competition Disclaimer", "replace", plus(COMPETE)),
-        made(confidential & carved & t.rlike("immediate|best efforts|shall") & (calmer != p), "Confidential Information Carve-Out", "replace", calmer),
+        made(has(t, _LAW) & ~has(t, PREFERRED), "State of Jurisdiction", "replace", moved),
+        made(t.contains("representative") & ~has(t, _WHO), "Representative Language", "replace", plus(WHO)),
+        made(has(t, ("competitor", "competition", "bid", "quote")) & ~t.rlike("will not.*prevent|restrict.*ordinary course"), "Competition Disclaimer", "replace", plus(COMPETE)),
+        calm(confidential & carved & hard, "Confidential Information Carve-Out"),
         made(confidential & ~carved, "Confidential Information Carve-Out", "replace", plus(CARVE)),
     ))
 
@@ -126,8 +180,8 @@ def suggestions(p: Column) -> Column:
 def contract_review(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, para_idx, pos, clause_type, operation, target, replacement, severity): all suggestions for all paragraphs."""
     paras = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(paragraphs(F.col(text_col))).alias("para_idx", "p"))
-    found = paras.select("doc_id", "para_idx", burden_score(F.col("p")).alias("severity"), F.posexplode(suggestions(F.col("p"))).alias("pos", "s"))
-    return found.select("doc_id", "para_idx", "pos", "s.clause_type", "s.operation", "s.target", "s.replacement", "severity")
+    found = paras.select("doc_id", "para_idx", "p", F.posexplode(suggestions(F.col("p"))).alias("pos", "s"))  # most paragraphs have none
+    return found.select("doc_id", "para_idx", "pos", "s.clause_type", "s.operation", "s.target", "s.replacement", burden_score(F.col("p")).alias("severity"))
 
 
 def checklist_coverage(found: DataFrame) -> DataFrame:
@@ -138,6 +192,31 @@ def checklist_coverage(found: DataFrame) -> DataFrame:
     )
 
 
+#: Sections and the words that show them; and what counts as an issue of a text, with its clause and severity.
+SECTIONS = (
+    ("Confidentiality", r"(?i)\b(confidential|proprietary|non-disclosure)\b"),
+    ("Term", r"(?i)\b(term|duration|period|expires?|years?)\b"),
+    ("Governing Law", r"(?i)\b(governing law|jurisdiction|venue|courts?)\b"),
+    ("Indemnification", r"(?i)\b(indemnif|hold harmless|defend)\b"),
+    ("Limitation of Liability", r"(?i)\b(limitation|liability|damages|consequential)\b"),
+)
+ISSUES = (("fb-best-efforts", "Obligations", 60, r"(?i)best\s+efforts"), ("fb-term-perpetual", "Term", 80, r"(?i)perpetual|indefinite"))
+
+
+def section_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score, sections map<string, boolean>, issues array<struct<id, clause_type, severity, context>>) of whole texts.
+
+    The second form of the checklist: which sections a text has, and 100 less 10 for each issue found. An issue's context
+    is 40 characters on either side of where its first match begins. Null texts are empty.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), *[F.regexp_instr(t, F.lit(p)).alias(f"_at{i}") for i, (*_, p) in enumerate(ISSUES)])
+    around = lambda at: F.btrim(F.substr("t", F.greatest(at - 40, F.lit(1)), F.least(at - 1, F.lit(40)) + 40), F.lit(_BLANK))
+    issues = [F.when(F.col(f"_at{i}") > 0, F.struct(F.lit(n).alias("id"), F.lit(k).alias("clause_type"), F.lit(v).alias("severity"), around(F.col(f"_at{i}")).alias("context"))) for i, (n, k, v, _) in enumerate(ISSUES)]
+    found = rows.withColumn("issues", F.array_compact(F.array(*issues)))
+    return found.select("doc_id", F.greatest(F.lit(0), 100 - 10 * F.size("issues")).alias("score"), F.create_map(*[x for n, p in SECTIONS for x in (F.lit(n), F.col("t").rlike(p))]).alias("sections"), "issues")
+
+
 def replace_first(c: Column, target: Column, replacement: Column) -> Column:
     at = F.position(target, c)
     return F.when((target != "") & (at > 0), F.concat(F.left(c, at - 1), replacement, F.substr(c, at + F.length(target)))).when(target == "", F.concat(replacement, c)).otherwise(c)
@@ -200,31 +279,47 @@ def _logic(node, context: dict[str, Column]) -> Column:
     return F.lit(False)
 
 
-def evaluate_playbook(docs: DataFrame, rules: list[dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Characters in which an evidence and what stands around it are looked for.
+_NEAR = 4096
+
+
+def _place(t: Column, lowered: Column, p: str) -> Column:
+    """Where the rule's pattern or phrase first stands, from 1; nowhere: 0. Phrases are searched in the lower-case text."""
+    return F.regexp_instr(t, F.lit(_pattern(p))) if p.startswith("/") else F.position(F.lit(p.lower()), lowered)
+
+
+def evaluate_playbook(docs: DataFrame, rules: list[dict], id_col: str = "doc_id", text_col: str = "text", head: int | None = 1200) -> DataFrame:
     """(doc_id, rule_id, clause, level, severity, status, evidence): every rule on every text, in one projection.
 
     Fails if a required pattern is missing, a forbidden one is there, or failIf holds; review if `when` doesn't hold or
-    nothing is checked. Evidence is the first match with 160 characters on either side.
+    nothing is checked. Evidence is the first match with 160 characters on either side: each pattern is located once, and
+    the evidence cut from around that place. `head` is contract_context()'s.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), contract_context(F.col(text_col)).alias("c"))
     context = {"context.parties": F.col("c.parties"), "context.partyStates": F.col("c.party_states"), "context.governingLaw.state": F.col("c.governing_law"), "context.venue.state": F.col("c.venue_state"), "context.venue.city": F.col("c.venue_city")}
+    patterns = list(dict.fromkeys(p for r in rules for p in (*r.get("require", []), *r.get("forbid", []))))
+    at = {p: F.col("at")[i] for i, p in enumerate(patterns)}
+    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.lower(t).alias("low"), contract_context(F.col(text_col), head).alias("c"))
+    places = F.array(*[_place(F.col("t"), F.col("low"), p) for p in patterns]) if patterns else F.array().cast("array<int>")
+    rows = rows.select("doc_id", "t", "c", places.alias("at"))
     made = []
     for r in rules:
-        need, ban = [_pattern(p) for p in r.get("require", [])], [_pattern(p) for p in r.get("forbid", [])]
-        missing = reduce(lambda a, b: a | b, [~F.col("t").rlike(p) for p in need], F.lit(False))
-        banned = reduce(lambda a, b: a | b, [F.col("t").rlike(p) for p in ban], F.lit(False))
+        need, ban = r.get("require", []), r.get("forbid", [])
+        missing = reduce(lambda a, b: a | b, [at[p] == 0 for p in need], F.lit(False))
+        banned = reduce(lambda a, b: a | b, [at[p] > 0 for p in ban], F.lit(False))
         failing = F.coalesce(_logic(r["failIf"], context), F.lit(False)) if r.get("failIf") else F.lit(False)
         status = F.when(missing | banned | failing, "fail").otherwise("pass")
         if r.get("when"):
             status = F.when(~F.coalesce(_logic(r["when"], context), F.lit(False)), "review").otherwise(status)
         elif not need and not ban and not r.get("failIf"):
             status = F.lit("review")
-        seen = need[:1] or ban[:1]
-        around = F.regexp_extract("t", "(?is)(.{0,160}(?:" + seen[0].removeprefix("(?i)") + ").{0,160})", 1) if seen else F.lit("")
+        around = F.lit("")
+        for p in (need[:1] or ban[:1]):
+            near = F.substr("t", F.greatest(at[p] - 320, F.lit(1)), F.lit(_NEAR))
+            around = F.when(at[p] > 0, F.regexp_extract(near, "(?is)(.{0,160}(?:" + _pattern(p).removeprefix("(?i)") + ").{0,160})", 1)).otherwise("")
         made.append(F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("clause", "")).alias("clause"), F.lit(r.get("level", "")).alias("level"), F.lit(int(r.get("severity", 0))).alias("severity"), status.alias("status"), F.nullif(F.trim(F.regexp_replace(around, r"\s+", " ")), F.lit("")).alias("evidence")))
     return rows.select("doc_id", F.explode(F.array(*made)).alias("r")).select("doc_id", "r.*")
 
 
-def playbook_review(docs: DataFrame, rules: list[dict]) -> DataFrame:
-    return risk_rollup(evaluate_playbook(docs, rules))
+def playbook_review(docs: DataFrame, rules: list[dict], head: int | None = 1200) -> DataFrame:
+    return risk_rollup(evaluate_playbook(docs, rules, head=head))

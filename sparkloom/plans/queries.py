@@ -355,16 +355,39 @@ def clause_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(_CLAUSE), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 12 + doc_id % 36 ELSE -1 END::INT AS months, CASE doc_id % 6 WHEN 0 THEN greatest(0, least(40, 12 + doc_id % 36 - 24)) WHEN 1 THEN 20 WHEN 2 THEN 25 WHEN 3 THEN 20 WHEN 4 THEN 20 ELSE 0 END::INT AS burden FROM documents""")
+#: The SQL reads the clause and the whole text: lower case, runs of blanks as one, quotes made plain.
+_BARE = "trim(replace(regexp_replace(replace({0}, chr(13), ''), '[ \\t]+', ' ', 'g'), chr(160), ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_PLAIN = f"replace(replace(replace({_BARE}, chr(8220), chr(34)), chr(8221), chr(34)), chr(8217), chr(39))"
+_MONTHS = "(TRY_CAST(regexp_extract(t, '([0-9]+)\\s*(months|month|mo\\.?|years|year|yr\\.?)', 1) AS INT) * CASE WHEN regexp_extract(t, '([0-9]+)\\s*(months|month|mo\\.?|years|year|yr\\.?)', 2)[1] = 'y' THEN 12 ELSE 1 END)"
+_BURDENS = " + ".join(f"contains(t, '{m}')::INT * 10" for m in ("best efforts", "shall immediately", "all employees", "any employee", "all affiliates", "portfolio companies", "perpetual", "in perpetuity", "exclusive jurisdiction"))
+_ELSEWHERE = "(regexp_matches(t, 'governing law|jurisdiction|venue') AND NOT regexp_matches(t, 'illinois|new york|delaware'))"
+_BURDEN = f"""greatest(0, least(100, CASE WHEN {_MONTHS} > 24 THEN least(40, {_MONTHS} - 24) ELSE 0 END + {_BURDENS} + {_ELSEWHERE}::INT * 20
+  + (contains(t, 'confidential information') AND NOT regexp_matches(t, 'publicly available|independently developed|nonconfidential basis'))::INT * 25))"""
+_CONTRACTS = f"SELECT doc_id, {_CLAUSE} || chr(10) || chr(10) || coalesce(text, '') AS x FROM documents"
+_CARVED_OUT = "(contains(t, 'publicly available') AND regexp_matches(t, 'known to us prior|known.*prior') AND contains(t, 'independently developed') AND contains(t, 'nonconfidential basis'))"
+_HARD = "(regexp_matches(t, 'best efforts|shall|immediate') AND regexp_matches(p, '(?i)best efforts|\\bshall\\b|\\bimmediate(ly)?\\b'))"
+_ABOUT = "regexp_matches(t, 'term\\b|this agreement shall remain')"
+_CLAUSES = (
+    ("Customer/Supplier Non-Solicit:delete", "regexp_matches(t, 'non-?solicit') AND regexp_matches(t, 'customer|supplier')"), ("Employee Non-Solicit:replace", "regexp_matches(t, 'non-?solicit') AND regexp_matches(t, 'employee|personnel|staff')"),
+    ("Term:insert", f"{_ABOUT} AND coalesce({_MONTHS}, 0) = 0"), ("Term:replace", f"{_ABOUT} AND {_MONTHS} > 24"), ("Return or Destroy Documents:replace", "regexp_matches(t, 'return.*(documents|materials)') AND NOT contains(t, 'destroy')"),
+    ("Legal modifiers:replace", _HARD), ("Affiliate Language:replace", "contains(t, 'affiliate')"), ("State of Jurisdiction:replace", _ELSEWHERE),
+    ("Representative Language:replace", "contains(t, 'representative') AND NOT regexp_matches(t, 'directors|officers|advisors|employees|financing sources|consultants|accountants|attorneys')"),
+    ("Competition Disclaimer:replace", "regexp_matches(t, 'competitor|competition|bid|quote') AND NOT regexp_matches(t, 'will not.*prevent|restrict.*ordinary course')"),
+    ("Confidential Information Carve-Out:replace", f"regexp_matches(t, 'confidential( information)?\\b') AND {_CARVED_OUT} AND {_HARD}"), ("Confidential Information Carve-Out:replace", f"regexp_matches(t, 'confidential( information)?\\b') AND NOT {_CARVED_OUT}"),
+)
+_REVIEWED = f"""WITH d AS ({_CONTRACTS}), a AS (SELECT doc_id, unnest(regexp_split_to_array({_BARE.format("x")}, '\\n{{2,}}')) AS p FROM d), b AS (SELECT doc_id, p, {_PLAIN.format("lower(p)")} AS t FROM a WHERE {_BARE.format("p")} <> ''),
+  s AS (SELECT doc_id, {_BURDEN} AS severity, unnest(list_filter([{", ".join(f"CASE WHEN {w} THEN '{n}' END" for n, w in _CLAUSES)}], lambda y: y IS NOT NULL)) AS y FROM b), r AS (SELECT doc_id, string_split(y, ':')[1] AS clause_type, string_split(y, ':')[2] AS operation, severity FROM s)"""
+
+
+@query(f"WITH d AS ({_CONTRACTS}), l AS (SELECT doc_id, {_PLAIN.format('lower(x)')} AS t FROM d) SELECT doc_id, coalesce({_MONTHS}, -1)::INT AS months, ({_BURDEN})::INT AS burden FROM l")
 def scl23_term_and_burden(spark, sf_dir):
     t = F.col("text")
     return clause_docs(spark, sf_dir).select("doc_id", F.coalesce(K.term_months(t), F.lit(-1)).alias("months"), K.burden_score(t).alias("burden"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(CASE doc_id % 6 WHEN 0 THEN CASE WHEN 12 + doc_id % 36 > 24 THEN ['Term:replace'] ELSE [] END WHEN 1 THEN ['Term:insert', 'Legal modifiers:replace'] WHEN 2 THEN ['Confidential Information Carve-Out:replace'] WHEN 3 THEN ['Affiliate Language:replace', 'State of Jurisdiction:replace'] ELSE [] END) AS x FROM documents)
-  SELECT doc_id, string_split(x, ':')[1] AS clause_type, string_split(x, ':')[2] AS operation FROM s""")
+@query(f"{_REVIEWED} SELECT doc_id, clause_type, operation, severity::INT AS severity FROM r")
 def job9_contract_review(spark, sf_dir):
-    return K.contract_review(clause_docs(spark, sf_dir)).select("doc_id", "clause_type", "operation")
+    return K.contract_review(clause_docs(spark, sf_dir)).select("doc_id", "clause_type", "operation", "severity")
 
 
 @query()
@@ -379,14 +402,26 @@ _RULES = [
 ]
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 = 2 THEN 17 WHEN doc_id % 6 = 3 THEN 18 ELSE 12 END::BIGINT AS score, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 1 END::BIGINT AS blockers, CASE WHEN doc_id % 6 IN (2, 3) THEN 1 ELSE 0 END::BIGINT AS warns, CASE WHEN doc_id % 6 = 0 THEN 'LOW' ELSE 'HIGH' END AS risk FROM documents""")
+@query(f"""WITH d AS ({_CONTRACTS}), f AS (SELECT doc_id, (NOT regexp_matches(x, '(?i)\\bterm\\b') OR contains(lower(x), 'perpetual'))::INT AS a, contains(lower(x), 'texas')::INT AS b, contains(lower(x), 'confidential information')::INT AS c FROM d),
+  s AS (SELECT doc_id, 12 * a + 6 * b + 5 * c AS score, a AS blockers, b + c AS warns FROM f) SELECT doc_id, score::BIGINT AS score, blockers::BIGINT AS blockers, warns::BIGINT AS warns, CASE WHEN score >= 20 OR blockers >= 1 THEN 'HIGH' WHEN score >= 10 OR warns >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM s""")
 def job11_playbook_review(spark, sf_dir):
-    return K.playbook_review(clause_docs(spark, sf_dir), _RULES)
+    return K.playbook_review(clause_docs(spark, sf_dir), _RULES, head=None)
 
 
-@query("""SELECT doc_id, s AS term_ok FROM (SELECT doc_id, true AS s FROM documents WHERE doc_id % 6 IN (1, 2, 3) OR doc_id % 6 = 0 AND 12 + doc_id % 36 > 24)""")
+@query(f"{_REVIEWED} SELECT doc_id, bool_and(clause_type <> 'Confidential Information Carve-Out' OR severity < 60) AS carve_out_ok, bool_and(clause_type <> 'Term' OR severity <= 60) AS term_ok, bool_and(clause_type <> 'Affiliate Language' OR severity < 70) AS affiliate_ok FROM r GROUP BY 1")
 def agg16_checklist_coverage(spark, sf_dir):
-    return K.checklist_coverage(K.contract_review(clause_docs(spark, sf_dir))).select("doc_id", "term_ok")
+    return K.checklist_coverage(K.contract_review(clause_docs(spark, sf_dir)))
+
+
+_SECTION_SQL = (("Confidentiality", "confidential|proprietary|non-disclosure"), ("Term", "term|duration|period|expires?|years?"), ("Governing Law", "governing law|jurisdiction|venue|courts?"), ("Indemnification", "indemnif|hold harmless|defend"), ("Limitation of Liability", "limitation|liability|damages|consequential"))
+
+
+@query(f"""WITH d AS ({_CONTRACTS}), l AS (SELECT doc_id, x, {", ".join(f"CASE WHEN regexp_matches(x, '(?i)(^|[^0-9A-Za-z_])({w})([^0-9A-Za-z_]|$)') THEN '{n}' END AS s{i}" for i, (n, w) in enumerate(_SECTION_SQL))}, regexp_matches(x, '(?i)best\\s+efforts')::INT AS a, regexp_matches(x, '(?i)perpetual|indefinite')::INT AS b FROM d)
+  SELECT doc_id, 100 - 10 * (a + b) AS score, concat_ws(',', {", ".join(f"s{i}" for i in range(5))}) AS sections, CASE WHEN a + b = 2 THEN 'fb-best-efforts,fb-term-perpetual' WHEN a = 1 THEN 'fb-best-efforts' WHEN b = 1 THEN 'fb-term-perpetual' ELSE '' END AS issues FROM l""")
+def agg16_section_coverage(spark, sf_dir):
+    out = K.section_coverage(clause_docs(spark, sf_dir))
+    there = F.concat_ws(",", *[F.when(F.col("sections")[n], n) for n, _ in K.SECTIONS])
+    return out.select("doc_id", "score", there.alias("sections"), F.array_join(F.transform("issues", lambda x: x["id"]), ",").alias("issues"))
 
 
 # ---- logs over events: host = user, failure = error, response time = value, job = day
@@ -561,7 +596,7 @@ def scl29_sanitize_string(spark, sf_dir):
 
 @query()
 def scl25_contract_context(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", K.contract_context(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return table(spark, sf_dir, "documents").select("doc_id", K.contract_context(F.col("text"), head=None).alias("c")).select("doc_id", "c.*")
 
 
 @query()

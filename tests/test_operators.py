@@ -228,11 +228,11 @@ def test_contract_queries_read_the_whole_texts(spark, tmp_path):
     rows = [(5, "Plain words.\n\nBoth parties keep it.\n\nThe term is 60 months, perpetual."), (11, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in Q.scl23_term_and_burden(spark, tmp_path).collect()) == [(5, 60, 46), (11, -1, 0)]
-    assert [tuple(r) for r in Q.job9_contract_review(spark, tmp_path).collect()] == [(5, "Term", "replace")]
+    assert [tuple(r) for r in Q.job9_contract_review(spark, tmp_path).select("doc_id", "clause_type", "operation").collect()] == [(5, "Term", "replace")]
     texts = {r.doc_id: r.text for r in Q.job10_apply_suggestions(spark, tmp_path).collect()}
     assert texts == {5: "Nothing here.\n\nPlain words.\n\nBoth parties keep it.\n\nThe term is 24 months, perpetual.", 11: "Nothing here."}
     assert {r.doc_id: r.score for r in Q.job11_playbook_review(spark, tmp_path).collect()} == {5: 12, 11: 12}
-    assert [tuple(r) for r in Q.agg16_checklist_coverage(spark, tmp_path).collect()] == [(5, True)]
+    assert [tuple(r) for r in Q.agg16_checklist_coverage(spark, tmp_path).select("doc_id", "term_ok").collect()] == [(5, True)]
 
 
 def test_column_shape_counts_all_rows(spark):
@@ -313,3 +313,34 @@ def test_progress_of_a_hot_batch(spark):
     df = spark.range(3000).select(F.lit("b").alias("batch"), F.col("id").alias("i"), (F.col("id") % 3 != 0).alias("success")).repartition(7)
     got = sorted((r.i, r.completed, r.errors, r.percent) for r in L.progress(df, "batch", ["i"]).collect())
     assert got == [(i, i + 1, i // 3 + 1, int((i + 1) / 30 + 0.5)) for i in range(3000)]
+
+
+def test_evidence_is_cut_from_around_the_first_match(spark):
+    """The same as one pattern with 160 characters on either side, which is slow on long texts."""
+    import random
+    import re
+
+    from sparkloom.functions import contracts as K
+
+    rnd = random.Random(8)
+    words = ["Term", "perpetual", "alpha", "beta.", "line\n", "PERPETUAL"]
+    texts = [" ".join(rnd.choice(words if i % 3 else words[2:5]) for _ in range(rnd.choice([5, 60, 400]))) for i in range(60)] + [None, "", "x" * 5000 + "term" + "y" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = [{"id": "a", "require": ["/\\bterm\\b/i"], "forbid": ["perpetual"]}, {"id": "b", "forbid": ["Perpetual"]}, {"id": "c"}]
+    got = {(r.doc_id, r.rule_id): (r.status, r.evidence) for r in K.evaluate_playbook(docs, rules).collect()}
+    for i, text in enumerate(texts):
+        text = text or ""
+        term, gone = re.search(r"(?i)\bterm\b", text), re.search("(?i)perpetual", text)
+        near = lambda p: (m := re.search(f"(?is)(.{{0,160}}(?:{p}).{{0,160}})", text)) and re.sub(r"\s+", " ", m[1]).strip() or None
+        assert got[i, "a"] == ("pass" if term and not gone else "fail", near(r"\bterm\b") if len(text) < 9000 else None)
+        assert got[i, "b"] == ("fail" if gone else "pass", near("perpetual")) and got[i, "c"] == ("review", None)
+
+
+def test_section_coverage(spark):
+    from sparkloom.functions import contracts as K
+
+    docs = spark.createDataFrame([(1, "Both use best  efforts; the liability is perpetual. " + "z" * 100), (2, None), (3, "Courts of a proprietary kind; terms, indemnif")], "doc_id long, text string")
+    got = {r.doc_id: (r.score, {k for k, v in r.sections.items() if v}, [(i.id, i.severity, i.context) for i in r.issues]) for r in K.section_coverage(docs).collect()}
+    whole = docs.first().text
+    assert got[1] == (80, {"Limitation of Liability"}, [("fb-best-efforts", 60, whole[:49].strip()), ("fb-term-perpetual", 80, whole[1:81].strip())])
+    assert got[2] == (100, set(), []) and got[3] == (100, {"Confidentiality", "Governing Law", "Indemnification"}, [])
