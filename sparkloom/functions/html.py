@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import filled, lookup, squeezed, weighted
+from .text import filled, lookup, squeezed, trimmed, weighted
 from .urls import resolve_link
 
 PAGE = (
     "title string, h1 string, lang string, body string, article string, "
     "meta map<string, string>, marks map<string, int>, headings array<struct<level: int, text: string>>, "
-    "links array<struct<href: string, text: string, rel: string>>, images array<struct<src: string, alt: string>>, paragraphs array<string>, "
+    "links array<struct<href: string, text: string, rel: string>>, images array<struct<src: string, alt: string, title: string, caption: string, width: int, height: int, inside: boolean>>, paragraphs array<string>, "
     "times array<string>, authors array<string>, items array<struct<title: string, href: string, text: string>>, "
     "tables array<struct<id: string, rows: array<array<string>>, head: boolean>>, "
-    "blocks array<struct<tag: string, text: string, p: int, h: int, lists: int, tables: int, links: int>>, error string"
+    "blocks array<struct<tag: string, text: string, p: int, h: int, lists: int, tables: int, links: int>>, found map<string, array<struct<text: string, value: string>>>, error string"
 )
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p section table td th tr ul".split())
@@ -28,15 +30,93 @@ def _clean(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+#: Ordered selectors of article fields; the first whose first element is not blank counts.
+ARTICLE_SELECTORS = {
+    "title": ('h1[class*="title"]', 'h1[class*="headline"]', ".article-title", ".entry-title", "article h1"),
+    "byline": (".byline", ".author-byline", ".article-byline", '[class*="byline"]', ".author-info", ".article-meta .author"),
+    "author": ('[rel="author"]', ".author", ".article-author", '[class*="author"]', '[property="article:author"]', '[name="author"]'),
+    "published": ('[property="article:published_time"]', '[name="article:published_time"]', "time[datetime]", ".publish-date", ".article-date", '[class*="publish"]', '[class*="date"]'),
+    "modified": ('[property="article:modified_time"]', '[name="article:modified_time"]', ".modified-date", ".updated-date"),
+    "excerpt": ('[property="og:description"]', '[name="description"]', ".article-excerpt", ".excerpt", ".summary", ".lead"),
+    "category": (".category", ".article-category", '[class*="category"]', ".breadcrumb a"),
+}
+#: Selectors all of whose elements count.
+TAG_SELECTORS = (".tags a", ".tag", '[class*="tag"]')
+BIO_SELECTORS = (".player-info", ".bio", ".profile-header", ".player-details", '[class*="player"][class*="info"]', '[class*="player"][class*="bio"]', ".stats-header", ".necro-jersey", ".player-summary", ".player-header", ".bio-info", '[id*="player-info"]')
+FACT_SELECTORS = (".question", ".faq", ".bio-section", ".personal-info", '[class*="question"]', '[class*="faq"]', ".player-facts", ".vital-stats", ".biographical", ".profile-data")
+AWARD_SELECTORS = (".awards", ".honors", ".achievements", ".accolades", '[class*="award"]', '[class*="honor"]', '[class*="achievement"]', ".pro-bowl", ".all-pro", ".hall-of-fame", ".records")
+JERSEY_SELECTORS = (".necro-jersey", ".player-position")
+SELECTORS = tuple(dict.fromkeys([x for xs in ARTICLE_SELECTORS.values() for x in xs] + [*TAG_SELECTORS, *BIO_SELECTORS, *FACT_SELECTORS, *AWARD_SELECTORS, *JERSEY_SELECTORS]))
+_SIMPLE = re.compile(r"""^([a-z][a-z0-9]*)?|\.([\w-]+)|\[([\w-]+)(?:(\*?=)"([^"]*)")?\]""")
+
+
+class _Test:
+    """One step of a selector: a tag, class names and attributes that are there, equal a value or hold it."""
+
+    def __init__(self, step: str):
+        parts = list(_SIMPLE.finditer(step))
+        self.tag = parts[0][1]
+        self.classes = frozenset(m[2] for m in parts if m[2])
+        self.attributes = [(m[3], m[4], m[5]) for m in parts if m[3]]
+
+    def __call__(self, tag: str, attrs: dict, classes: frozenset) -> bool:
+        if self.tag and self.tag != tag or not self.classes <= classes:
+            return False
+        return all(name in attrs and (how is None or (value == attrs[name] if how == "=" else value in attrs[name])) for name, how, value in self.attributes)
+
+
+class _Finder:
+    """Which selectors an element meets. Selectors are indexed by what an element must have, so few are tried on each."""
+
+    def __init__(self, selectors: tuple[str, ...]):
+        self.by_tag: dict[str, list] = {}
+        self.by_class: dict[str, list] = {}
+        self.by_attribute: dict[str, list] = {}
+        for s in selectors:
+            steps = [_Test(x) for x in s.split()]
+            last = steps[-1]
+            if last.classes:
+                self.by_class.setdefault(min(last.classes), []).append((s, steps))
+            elif last.attributes:
+                self.by_attribute.setdefault(last.attributes[0][0], []).append((s, steps))
+            else:
+                self.by_tag.setdefault(last.tag, []).append((s, steps))
+
+    def met(self, tag: str, attrs: dict, stack: list) -> list[str]:
+        classes = frozenset(attrs.get("class", "").split())
+        tried = [*self.by_tag.get(tag, ()), *(x for c in classes for x in self.by_class.get(c, ())), *(x for a in attrs for x in self.by_attribute.get(a, ()))]
+        out = []
+        for s, steps in tried:
+            if not steps[-1](tag, attrs, classes):
+                continue
+            left = len(steps) - 2
+            for name, a in reversed(stack):  # ancestors, nearest first
+                if left < 0:
+                    break
+                left -= steps[left](name, a, frozenset(a.get("class", "").split()))
+            if left < 0:
+                out.append(s)
+        return out
+
+
+_FINDER = _Finder(SELECTORS)
+
+
+def _number(text: str | None) -> int | None:
+    m = re.match(r"\s*\d{1,9}", text or "")
+    return int(m[0]) if m else None
+
+
 class _Parts(HTMLParser):
     """Collects a page's parts; a <p> ends where the next block begins, unclosed tags end with their parent."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, dict]] = []
-        self.out: dict = {"title": [], "body": [], "article": [], "meta": {}, "marks": {}, "headings": [], "links": [], "images": [], "paragraphs": [], "times": [], "authors": [], "items": [], "tables": [], "blocks": [], "lang": None}
+        self.out: dict = {"title": [], "body": [], "article": [], "meta": {}, "marks": {}, "headings": [], "links": [], "images": [], "paragraphs": [], "times": [], "authors": [], "items": [], "tables": [], "blocks": [], "found": {}, "lang": None}
         self.open: list[tuple[str, list[str], dict]] = []  # texts being collected: kind, parts, data
         self.table: list[dict] = []
+        self.count = 0
 
     def _mark(self, name: str) -> None:
         self.out["marks"][name] = self.out["marks"].get(name, 0) + 1
@@ -54,6 +134,8 @@ class _Parts(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == kind:
                 _, parts, data = self.open.pop(i)
+                if kind == "found":
+                    data["raw"] = "".join(parts).strip()
                 self._done(kind, _clean(parts), data)
                 return
 
@@ -63,12 +145,19 @@ class _Parts(HTMLParser):
             if text:
                 out["paragraphs"].append(text)
         elif kind == "heading":
-            out["headings"].append({"level": data["level"], "text": text[:200]})
+            out["headings"].append({"level": data["level"], "text": text})
         elif kind == "a":
             out["links"].append({"href": data["href"], "text": text, "rel": data["rel"]})
             for k, parts, d in self.open:
                 if k == "item" and d["href"] is None:
                     d["href"], d["title"] = data["href"], d["title"] or text
+        elif kind == "found":
+            data["at"]["text"] = data["raw"]
+        elif kind == "caption":
+            inside = {a["_n"] for _, a in self.stack} | data["own"]
+            for image in out["images"]:
+                if image["_in"] in inside and not image["caption"]:
+                    image["caption"] = text
         elif kind == "author":
             out["authors"].append(text)
         elif kind == "time":
@@ -83,6 +172,8 @@ class _Parts(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
         words = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        self.count += 1
+        a["_n"] = self.count
         self._mark(tag)
         for w in set(a.get("class", "").lower().split()):
             self._mark("." + w)
@@ -96,7 +187,9 @@ class _Parts(HTMLParser):
         if tag == "meta" and (name := a.get("name") or a.get("property")):
             self.out["meta"].setdefault(name.lower(), a.get("content", ""))
         elif tag == "img" and a.get("src"):
-            self.out["images"].append({"src": a["src"], "alt": a.get("alt", "")})
+            inside = any(t == "article" or {"article-content", "content"} & set(x.get("class", "").split()) for t, x in self.stack)
+            parent = self.stack[-1][1]["_n"] if self.stack else 0
+            self.out["images"].append({"src": a["src"], "alt": a.get("alt", ""), "title": a.get("title") or None, "caption": None, "width": _number(a.get("width")), "height": _number(a.get("height")), "inside": inside, "_in": parent})
         elif tag == "table":
             self.table.append({"id": words.strip(), "rows": [], "head": False})
         elif tag == "tr" and self.table:
@@ -116,8 +209,19 @@ class _Parts(HTMLParser):
                 data["lists"] += tag in ("ul", "ol")
                 data["tables"] += tag == "table"
                 data["links"] += tag == "a"
+        met = _FINDER.met(tag, a, self.stack)
+        places = []
+        for selector in met:
+            places.append({"text": "", "value": a.get("content") or a.get("datetime")})
+            self.out["found"].setdefault(selector, []).append(places[-1])
         if tag in _VOID:
             return
+        for place in places:
+            self._begin("found", at=place)
+        a["_found"] = len(places)
+        if tag == "figcaption" or "caption" in a.get("class", "").split():
+            self._begin("caption", own={a["_n"]})
+            a["_caption"] = "1"
         if tag == "p":
             self._begin("p")
         elif tag in ("h1", "h2", "h3"):
@@ -142,7 +246,9 @@ class _Parts(HTMLParser):
             return
         while self.stack:
             name, a = self.stack.pop()
-            for kind in ("block", "author", "item"):
+            for _ in range(a.get("_found", 0)):
+                self._end("found")
+            for kind in ("block", "author", "item", "caption"):
                 if f"_{kind}" in a:
                     self._end(kind)
             closes = {"p": "p", "h1": "heading", "h2": "heading", "h3": "heading", "a": "a", "time": "time", "td": "cell", "th": "cell", "tr": "cell"}.get(name)
@@ -178,6 +284,7 @@ class _Parts(HTMLParser):
         out = dict(self.out)
         for name in ("title", "body", "article"):
             out[name] = _clean(out[name])
+        out["images"] = [{k: v for k, v in i.items() if k != "_in"} | {"caption": i["caption"] or i["title"]} for i in out["images"]]
         out["h1"] = next((h["text"] for h in out["headings"] if h["level"] == 1), None)
         return out
 
@@ -252,32 +359,77 @@ def _meta(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(F.col("meta"), F.lit(n)), F.lit("")) for n in names])
 
 
-def extract_article(parsed: DataFrame, max_len: int = 5000) -> DataFrame:
-    """(page_id, url, title, author, published, excerpt, content, tags, category, language) by ordered fallbacks."""
+def _selected(field: str, text: bool = True) -> Column:
+    """The first of the field's selectors whose first element has a value (content or datetime) or a text."""
+    firsts = [F.try_element_at(F.try_element_at(F.col("found"), F.lit(s)), F.lit(1)) for s in ARTICLE_SELECTORS[field]]
+    return F.coalesce(*[F.nullif(trimmed(F.coalesce(F.nullif(x["value"], F.lit("")), x["text"]) if not text else x["text"]), F.lit("")) for x in firsts])
+
+
+def _all_found(selectors: tuple[str, ...]) -> Column:
+    """Texts of all elements that meet the selectors, by selector and place."""
+    none = F.array().cast("array<struct<text: string, value: string>>")
+    return F.transform(F.concat(*[F.coalesce(F.try_element_at(F.col("found"), F.lit(s)), none) for s in selectors]), lambda x: x["text"])
+
+
+#: Formats of dates in pages besides ISO's.
+_DATES = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "M/d/yyyy", "yyyy/M/d", "d MMM yyyy HH:mm:ss z")
+
+
+def iso_date(c: Column) -> Column:
+    """A date or time of a page in UTC as 2024-01-31T00:00:00.000Z; null if it can't be read."""
+    bare = F.regexp_replace(F.trim(c), "^[A-Za-z]{3,9}, +(?=[0-9])", "")  # without the day of the week
+    at = F.coalesce(F.try_to_timestamp(bare), *[F.try_to_timestamp(bare, F.lit(f)) for f in _DATES])
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _dated(field: str) -> Column:
+    """The first of the field's selectors whose first element can be read as a date."""
+    firsts = [F.try_element_at(F.try_element_at(F.col("found"), F.lit(s)), F.lit(1)) for s in ARTICLE_SELECTORS[field]]
+    return F.coalesce(*[iso_date(F.coalesce(F.nullif(x["value"], F.lit("")), x["text"])) for x in firsts])
+
+
+def word_count(c: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""))
+
+
+def extract_article(parsed: DataFrame, max_len: int | None = 5000, tags: int | None = 10, images: int | None = 5) -> DataFrame:
+    """(page_id, url, title, byline, author, published, modified, excerpt, content, word_count, tags, category, language, images) by ordered fallbacks.
+
+    Selectors of class names and attributes come first, then what the page's parts say. published and modified are ISO
+    times, or null where no candidate is a date; words are counted on the whole content, before it is cut to `max_len`
+    characters. Limits that are None keep all. Images are those inside the article, with their captions.
+    """
     content = F.coalesce(F.nullif(F.col("article"), F.lit("")), F.nullif(F.array_join("paragraphs", " "), F.lit("")), F.col("body"))
-    tags = F.slice(F.filter(F.transform(F.split(F.coalesce(_meta("keywords", "news_keywords"), F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != ""), 1, 10)
+    words = F.transform(F.split(F.coalesce(_meta("keywords", "news_keywords"), F.lit("")), ","), lambda t: F.trim(t))
+    labels = F.array_distinct(F.filter(F.concat(words, F.transform(_all_found(TAG_SELECTORS), trimmed)), lambda t: t != ""))
+    shown = F.transform(F.filter("images", lambda i: i["inside"]), lambda i: F.struct(resolve_link(i["src"], F.col("url")).alias("src"), F.nullif(i["alt"], F.lit("")).alias("alt"), i["caption"].alias("caption"), i["width"].alias("width"), i["height"].alias("height")))
+    when = _meta("article:published_time", "date", "pubdate")
     return parsed.select(
-        "page_id", "url", F.coalesce(_meta("og:title"), F.nullif(F.col("h1"), F.lit("")), F.nullif(F.col("title"), F.lit(""))).alias("title"), F.coalesce(_meta("author", "article:author"), F.try_element_at("authors", F.lit(1))).alias("author"),
-        F.coalesce(_meta("article:published_time", "date", "pubdate"), F.try_element_at("times", F.lit(1))).alias("published"), F.coalesce(_meta("description", "og:description"), F.substring(F.try_element_at("paragraphs", F.lit(1)), 1, 200)).alias("excerpt"),
-        F.substring(content, 1, max_len).alias("content"), tags.alias("tags"), _meta("article:section", "section").alias("category"), F.coalesce("lang", F.lit("en")).alias("language"),
+        "page_id", "url", F.coalesce(_selected("title"), _meta("og:title"), F.nullif(F.col("h1"), F.lit("")), F.nullif(F.col("title"), F.lit(""))).alias("title"), _selected("byline").alias("byline"),
+        F.coalesce(_selected("author", text=False), _meta("author", "article:author"), F.try_element_at("authors", F.lit(1))).alias("author"),
+        F.coalesce(_dated("published"), iso_date(when), iso_date(F.try_element_at("times", F.lit(1)))).alias("published"), _dated("modified").alias("modified"),
+        F.coalesce(_selected("excerpt", text=False), _meta("description", "og:description"), F.substring(F.try_element_at("paragraphs", F.lit(1)), 1, 200)).alias("excerpt"),
+        (content if max_len is None else F.substring(content, 1, max_len)).alias("content"), word_count(content).alias("word_count"), _first(labels, tags).alias("tags"), F.coalesce(_selected("category"), _meta("article:section", "section")).alias("category"),
+        F.coalesce("lang", _meta("og:locale"), F.lit("en")).alias("language"), _first(shown, images).alias("images"),
     )
 
 
 def article_confidence(df: DataFrame) -> DataFrame:
-    """df with confidence, word_count, reading_time (200 words a minute)."""
+    """df with confidence, word_count (kept if df has it) and reading_time (200 words a minute)."""
     c = F.coalesce("content", F.lit(""))
-    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    score = weighted((filled(F.col("title")), 0.3), (filled(F.col("author")), 0.2), (filled(F.col("published")), 0.2), (F.length(c) > 500, 0.2), (filled(F.col("excerpt")), 0.1))
-    return df.withColumn("confidence", F.round(score, 4)).withColumn("word_count", words).withColumn("reading_time", F.ceil(words / 200).cast("int"))
+    who = filled(F.col("author")) | filled(F.col("byline")) if "byline" in df.columns else filled(F.col("author"))
+    score = weighted((filled(F.col("title")), 0.3), (who, 0.2), (filled(F.col("published")), 0.2), (F.length(c) > 500, 0.2), (filled(F.col("excerpt")), 0.1))
+    counted = df if "word_count" in df.columns else df.withColumn("word_count", word_count(c))
+    return counted.withColumn("confidence", F.round(score, 4)).withColumn("reading_time", F.ceil(F.col("word_count") / 200).cast("int"))
 
 
-def extract_links(parsed: DataFrame, cap: int = 20) -> DataFrame:
-    """(page_id, pos, href, text): the first `cap` different absolute links of each page; no fragments or scripts."""
+def extract_links(parsed: DataFrame, cap: int | None = 20) -> DataFrame:
+    """(page_id, pos, href, text): the first `cap` (None: all) different absolute links of each page; no fragments or scripts."""
     good = F.filter("links", lambda x: ~x["href"].rlike(r"(?i)^(#|javascript:|mailto:|tel:|$)"))
     full = F.transform(good, lambda x: F.struct(resolve_link(x["href"], F.col("url")).alias("href"), x["text"].alias("text")))
     heads = F.transform(full, lambda x: x["href"])
     once = F.filter(F.transform(full, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: F.array_position(heads, y["x"]["href"]) == y["i"] + 1)
-    return parsed.select("page_id", F.posexplode(F.slice(once, 1, cap)).alias("pos", "l")).select("page_id", "pos", "l.x.href", "l.x.text")
+    return parsed.select("page_id", F.posexplode(_first(once, cap)).alias("pos", "l")).select("page_id", "pos", "l.x.href", "l.x.text")
 
 
 def extract_images(parsed: DataFrame, cap: int = 10) -> DataFrame:
@@ -285,8 +437,14 @@ def extract_images(parsed: DataFrame, cap: int = 10) -> DataFrame:
     return parsed.select("page_id", "url", F.posexplode(F.slice(good, 1, cap)).alias("pos", "i")).select("page_id", "pos", resolve_link(F.col("i.src"), F.col("url")).alias("src"), "i.alt")
 
 
-def extract_headings(parsed: DataFrame, cap: int = 20) -> DataFrame:
-    return parsed.select("page_id", F.posexplode(F.slice("headings", 1, cap)).alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
+def _first(items: Column | str, cap: int | None) -> Column:
+    return F.slice(items, 1, cap) if cap is not None else F.col(items) if isinstance(items, str) else items
+
+
+def extract_headings(parsed: DataFrame, cap: int | None = 20, longest: int | None = 200) -> DataFrame:
+    """(page_id, pos, level, text): the first `cap` headings of levels 1 to 3, `longest` characters of each; None: all."""
+    text = F.col("h.text") if longest is None else F.substring("h.text", 1, longest)
+    return parsed.select("page_id", F.posexplode(_first("headings", cap)).alias("pos", "h")).select("page_id", "pos", "h.level", text.alias("text"))
 
 
 def extract_meta(parsed: DataFrame) -> DataFrame:
@@ -309,39 +467,94 @@ def extract_pagination(parsed: DataFrame) -> DataFrame:
 _HEADER_WORDS = r"(?i)^(company|name|company name|supplier|contact|contact information|website|phone|url)$"
 
 
-def extract_companies(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, pos, name, contact, website): table rows of two cells or more, a header-like first row skipped; without a table, cards."""
+#: By host, the columns of a directory's tables: their numbers, or words of the cell that holds them.
+_NAMES, _CONTACTS, _WEBSITES = ("name", "company", "supplier"), ("contact", "address", "location", "info"), ("website", "url", "web", "site")
+SITES = {"d2pbuyersguide.com": (0, 1, 2), "thomasnet.com": (_NAMES, _CONTACTS, _WEBSITES), "globalspec.com": (_NAMES, _CONTACTS, _WEBSITES)}
+ANY_SITE = (0, 1, 2)
+
+
+def _cell(plan: int | tuple[str, ...]) -> Column:
+    """A row's cell by number, or the first that holds one of the words; none: null."""
+    if isinstance(plan, int):
+        return F.try_element_at("cells", F.lit(plan + 1))
+    holds = lambda c: reduce(lambda a, b: a | b, [F.lower(c).contains(w) for w in plan])
+    return F.try_element_at(F.filter("cells", holds), F.lit(1))
+
+
+def extract_companies(parsed: DataFrame, sites: dict[str, tuple] = SITES, other: tuple = ANY_SITE) -> DataFrame:
+    """(page_id, url, pos, name, contact, website): table rows of two cells or more, a header-like first row skipped; without a table, cards.
+
+    `sites` says which columns a host's tables have (its subdomains' too): numbers, or words that the cell holds. The plans
+    are compiled into one expression. pos orders a page's rows: the table's number times 2^32 and the row's.
+    """
     tables = parsed.select("page_id", "url", "items", F.posexplode_outer("tables").alias("t", "table"))
     rows = tables.filter("table is not null").select("page_id", "url", "t", F.posexplode("table.rows").alias("r", "cells")).filter(F.size("cells") >= 2)
     rows = rows.filter(~((F.col("r") == 0) & F.exists("cells", lambda c: F.trim(c).rlike(_HEADER_WORDS))))
-    pos = F.col("t") * 100000 + F.col("r")
-    site = F.try_element_at("cells", F.lit(3))
-    found = rows.select("page_id", "url", pos.alias("pos"), F.trim(F.col("cells")[0]).alias("name"), F.trim(F.col("cells")[1]).alias("contact"), F.nullif(F.trim(site), F.lit("")).alias("website")).filter("name != ''")
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
+    picked = []
+    for i in range(3):
+        c = _cell(other[i])
+        for site, plan in sites.items():
+            c = F.when((host == site) | host.endswith("." + site), _cell(plan[i])).otherwise(c)
+        picked.append(F.trim(c))
+    pos = F.col("t").cast("long") * (1 << 32) + F.col("r")
+    found = rows.select("page_id", "url", pos.alias("pos"), picked[0].alias("name"), picked[1].alias("contact"), F.nullif(picked[2], F.lit("")).alias("website")).filter("name != ''")
     cards = parsed.filter(F.size("tables") == 0).select("page_id", "url", F.posexplode("items").alias("pos", "i"))
-    return found.unionByName(cards.select("page_id", "url", "pos", F.col("i.title").alias("name"), F.col("i.text").alias("contact"), F.col("i.href").alias("website")))
+    return found.unionByName(cards.select("page_id", "url", F.col("pos").cast("long").alias("pos"), F.col("i.title").alias("name"), F.col("i.text").alias("contact"), F.col("i.href").alias("website")))
+
+
+def _numeric(c: Column) -> Column:
+    """The number that the whole text is, as double; else null."""
+    t = trimmed(c)
+    return F.when(t.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), t.try_cast("double"))
 
 
 def extract_stat_tables(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, table_idx, table_type, row_idx, stats): header to value of each row; type career > playoffs > season > general."""
+    """(page_id, url, table_idx, table_type, row_idx, stats, numbers): header to value of each row, numbers those that are numeric.
+
+    A table is career, playoffs, season or general, in this order: by words in its text, id or class, then by a header
+    with a year or season.
+    """
     t = parsed.select("page_id", "url", F.posexplode("tables").alias("table_idx", "t")).filter(F.size("t.rows") >= 2)
     head = F.col("t.rows")[0]
-    kind = F.when(F.col("t.id").contains("career"), "career").when(F.col("t.id").contains("playoff"), "playoffs").when(F.exists(head, lambda h: F.lower(F.trim(h)).isin("year", "season")), "season").otherwise("general")
+    text = F.lower(F.concat_ws(" ", F.col("t.id"), F.flatten("t.rows")))
+    says = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    kind = F.when(says("career", "total"), "career").when(says("playoff", "postseason"), "playoffs").when(F.exists(head, lambda h: h.rlike(r"(?i)year|season|[0-9]{4}")), "season").otherwise("general")
     rows = t.select("page_id", "url", "table_idx", kind.alias("table_type"), head.alias("head"), F.posexplode("t.rows").alias("row_idx", "cells")).filter("row_idx > 0")
     names = F.transform("head", lambda h, i: F.when(F.trim(h) == "", F.concat(F.lit("col"), i)).otherwise(F.trim(h)))
     pairs = F.filter(F.arrays_zip(names.alias("k"), F.col("cells").alias("v")), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
     keys = F.transform(pairs, lambda p: p["k"])
     once = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: F.array_position(keys, p["k"]) == p["i"] + 1)
-    return rows.select("page_id", "url", "table_idx", "table_type", "row_idx", F.map_from_entries(F.transform(once, lambda p: F.struct(p["k"], p["v"]))).alias("stats"))
+    made = rows.select("page_id", "url", "table_idx", "table_type", "row_idx", F.map_from_entries(F.transform(once, lambda p: F.struct(p["k"], p["v"]))).alias("stats"))
+    return made.withColumn("numbers", F.map_filter(F.transform_values("stats", lambda k, v: _numeric(v)), lambda k, v: v.isNotNull()))
+
+
+_PLACE, _DRAFT = r"(?i)Born:\s*([^,]+),?\s*(.+)", r"(?i)Draft:\s*([0-9]{4}).*?(\w+).*?([0-9]+).*?([0-9]+)"
 
 
 def extract_player_bio(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, name, position, jersey, height, weight, born, college, draft) by patterns in the page's text."""
-    body = F.col("body")
+    """(page_id, url, name, position, jersey, height, weight, born, birth_place, college, draft, draft_info, achievements, answers).
+
+    Patterns run on the page's elements for players and facts, of several the last that fits, then on its whole text.
+    achievements are the parts (at commas, semicolons and line ends) of award elements, each once; answers map the
+    questions of fact elements to what follows them; draft_info is (year, team, round, pick).
+    """
+    body, own = F.col("body"), _all_found((*BIO_SELECTORS, *FACT_SELECTORS))
     get = lambda p, i=1: F.nullif(F.trim(F.regexp_extract(body, p, i)), F.lit(""))
+    last = lambda p, i=1: F.try_element_at(F.filter(F.transform(own, lambda x: F.trim(F.regexp_extract(x, p, i))), lambda x: x != ""), F.lit(-1))
+    jersey = F.try_element_at(F.transform(_all_found(JERSEY_SELECTORS), lambda x: F.struct(F.regexp_extract(x, r"([A-Z]{1,3})\s*(?:#([0-9]+))?", 1).alias("p"), F.regexp_extract(x, r"([A-Z]{1,3})\s*(?:#([0-9]+))?", 2).alias("n"))), F.lit(1))
+    parts = F.flatten(F.transform(F.filter(_all_found(AWARD_SELECTORS), lambda x: F.length(x) > 5), lambda x: F.split(x, r"[,;]|\n")))
+    awards = F.array_distinct(F.filter(F.transform(parts, trimmed), lambda x: F.length(x) > 3))
+    asked = F.flatten(F.transform(_all_found(FACT_SELECTORS), lambda x: F.regexp_extract_all(x, F.lit(r"([^?]+\?\s*[^?]+?)(?=\s*[^?]*\?|$)"), F.lit(1))))
+    pairs = F.filter(F.transform(asked, lambda x: F.struct(trimmed(F.element_at(F.split(x, r"\?"), 1)).alias("q"), trimmed(F.try_element_at(F.split(x, r"\?"), F.lit(2))).alias("a"))), lambda p: (p["q"] != "") & (p["a"] != ""))
+    keys = F.transform(pairs, lambda p: p["q"])
+    answers = F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["q"]) == 0))  # of equal questions the last
+    draft = F.when(last(_DRAFT).isNotNull(), F.struct(*[(c if n == "team" else c.try_cast("int")).alias(n) for n, c in zip(("year", "team", "round", "pick"), (last(_DRAFT, i) for i in range(1, 5)))]))
     return parsed.select(
-        "page_id", "url", F.coalesce(F.nullif(F.col("h1"), F.lit("")), F.col("title")).alias("name"), get(r"Position:?\s*([A-Z]{1,3}(?:[-/][A-Z]{1,3})?)").alias("position"), get(r"#([0-9]{1,2})\b").alias("jersey"),
-        get(r"\b([4-7]-[0-9]{1,2})\b").alias("height"), get(r"\b([0-9]{2,3})\s?lbs?\b").alias("weight"), get(r"Born:?\s*([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})").alias("born"), get(r"College:?\s*([A-Z][A-Za-z .&']+?)(?=\s+(?:Draft|Born|High|Weight|Career)|$|[.,;])").alias("college"),
-        get(r"Draft:?\s*([^.]+?round[^.]*)").alias("draft"),
+        "page_id", "url", F.coalesce(F.nullif(F.col("h1"), F.lit("")), F.col("title")).alias("name"), F.coalesce(F.nullif(jersey["p"], F.lit("")), get(r"Position:?\s*([A-Z]{1,3}(?:[-/][A-Z]{1,3})?)")).alias("position"), F.coalesce(F.nullif(jersey["n"], F.lit("")), get(r"#([0-9]{1,2})\b")).alias("jersey"),
+        F.coalesce(last(r"(?i)(?:Height|Ht):\s*([0-9]+'\s*[0-9]+\"?)"), get(r"\b([4-7]-[0-9]{1,2})\b")).alias("height"), F.coalesce(last(r"(?i)(?:Weight|Wt):\s*([0-9]+)\s*lbs?"), get(r"\b([0-9]{2,3})\s?lbs?\b")).alias("weight"),
+        F.coalesce(last(_PLACE), get(r"Born:?\s*([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})")).alias("born"), last(_PLACE, 2).alias("birth_place"), get(r"College:?\s*([A-Z][A-Za-z .&']+?)(?=\s+(?:Draft|Born|High|Weight|Career)|$|[.,;])").alias("college"),
+        get(r"Draft:?\s*([^.]+?round[^.]*)").alias("draft"), draft.alias("draft_info"), awards.alias("achievements"), answers.alias("answers"),
     )
 
 
@@ -398,10 +611,14 @@ def main_content_score(parsed: DataFrame) -> DataFrame:
 
 
 def player_tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """players, statistics (long: one row a value) and the rows by kind of table."""
-    stats = extract_stat_tables(parsed)
+    """players, draft_info, achievements, answers, statistics (long: one row a value) and the rows by kind of table."""
+    stats, bio = extract_stat_tables(parsed), extract_player_bio(parsed)
     long = stats.select("page_id", "table_type", "table_idx", "row_idx", F.explode("stats").alias("stat", "value"))
-    return {"players": extract_player_bio(parsed), "statistics": long, "career": stats.filter("table_type = 'career'"), "seasons": stats.filter("table_type = 'season'"), "playoffs": stats.filter("table_type = 'playoffs'")}
+    return {
+        "players": bio.drop("draft_info", "achievements", "answers"), "draft_info": bio.filter("draft_info is not null").select("page_id", "url", "name", "draft_info.*"),
+        "achievements": bio.select("page_id", "url", "name", F.posexplode("achievements").alias("pos", "achievement")), "answers": bio.select("page_id", F.explode("answers").alias("question", "answer")),
+        "statistics": long, "career": stats.filter("table_type = 'career'"), "seasons": stats.filter("table_type = 'season'"), "playoffs": stats.filter("table_type = 'playoffs'"),
+    }
 
 
 def wide_statistics(long: DataFrame, names: list[str]) -> DataFrame:
@@ -409,9 +626,16 @@ def wide_statistics(long: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("page_id", "table_idx", "row_idx").pivot("stat", names).agg(F.first("value"))
 
 
-def ma_news(pages: DataFrame, min_conf: int = 0) -> DataFrame:
-    """Deal facts of stored pages (page_id, url, html) at the given confidence or above."""
+def ma_news(pages: DataFrame, min_conf: int = 0, found: DataFrame | None = None, max_len: int | None = 5000) -> DataFrame:
+    """Deal facts of stored pages (page_id, url, html) at the given confidence or above; with success and, from `found`, source.
+
+    `found` (url, source) is what discovery merged; pages of other URLs then take no part, and URLs without a page give a
+    row that failed.
+    """
     from .news import deal_facts
 
-    text = extract_article(parse_pages(pages))
-    return deal_facts(text.withColumn("success", F.lit(True)), "content").filter(F.col("confidence") >= min_conf)
+    text = extract_article(parse_pages(pages), max_len).select("page_id", "url", "title", "published", "content")
+    if found is not None:
+        text = found.select("url", "source").join(text, "url", "left")
+    facts = deal_facts(text.withColumn("success", F.length("content") > 0), "content")
+    return facts.withColumn("success", F.coalesce("success", F.lit(False))).filter(~F.col("success") | (F.col("confidence") >= min_conf))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import companies as C, urls as U
 from ..functions.text import clean_phone, clean_website, filled, trimmed
+from ..sources.io import write_csv
+from .crawl_logs import companies_per_url
 from .mapping import column_by_synonyms, pick_columns
 
 
@@ -80,3 +82,18 @@ def supplier_directory(companies: DataFrame) -> DataFrame:
     """Companies (url, pos, name, contact, website) with cleaned phones and sites, one of each name a page."""
     clean = companies.withColumn("contact", clean_phone(F.col("contact"))).withColumn("website", clean_website(F.col("website")))
     return dedupe_companies(clean)
+
+
+def directory_report(companies: DataFrame, meta: DataFrame) -> DataFrame:
+    """(url, n_companies, has_contact, has_site, n, complete, empty, score, valid) per page: what was found and how good it is.
+
+    companies is supplier_directory()'s; meta (url, title, description) has the pages, those without companies included.
+    """
+    lists = companies.groupBy("url").agg(F.collect_list(F.struct("name", "contact", "website")).alias("companies"))  # a page's rows
+    counts = companies_per_url(meta.select("url").join(lists, "url", "left"))
+    return counts.join(directory_score(companies, meta), "url")
+
+
+def export_directory(companies: DataFrame, path: str) -> None:
+    """supplier_directory()'s companies as CSV: name, contact, website, url; cells that a spreadsheet would run are made safe."""
+    write_csv(companies.select("name", "contact", "website", "url"), path)

@@ -10,11 +10,27 @@ from ..functions import urls as U
 from ..functions.text import apply_transforms, header_similarity, trimmed
 
 
-def _scores(headers: DataFrame, defs: DataFrame) -> DataFrame:
-    """(header, pos, target, score): best similarity of each header and target field; both tables are small configuration."""
-    names = defs.select("target_field", F.explode("source_headers").alias("name"))
-    pairs = headers.join(F.broadcast(names), header_similarity(F.col("header"), F.col("name")) > 0)
-    return pairs.groupBy("header", "pos", "target_field").agg(F.max(header_similarity(F.col("header"), F.col("name"))).alias("score"))
+#: Names of target fields that are compared with every header, at most: they travel with each task.
+MOST_NAMES = 10_000
+
+
+def _scored(headers: DataFrame, defs: DataFrame) -> DataFrame:
+    """headers with near: array<struct<cost, target>> of the targets' best similarities (as negative cost), best first, ties by target.
+
+    The targets' names are configuration: they are collected, their number is checked, and each header is compared with
+    them where it stands. Nothing is joined or shuffled.
+    """
+    rows = defs.select("target_field", F.explode("source_headers").alias("name")).limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names of target fields")
+    names: dict[str, list[str]] = {}
+    for r in rows:
+        names.setdefault(r.target_field, []).append(r.name)
+    if not names:
+        return headers.withColumn("near", F.array().cast("array<struct<cost: double, target: string>>"))
+    targets = F.array(*[F.struct(F.lit(t).alias("target"), F.array(*[F.lit(n) for n in ns]).alias("names")) for t, ns in names.items()])
+    score = lambda t: F.array_max(F.transform(t["names"], lambda n: header_similarity(F.col("header"), n)))
+    return headers.withColumn("near", F.array_sort(F.transform(targets, lambda t: F.struct((-score(t)).alias("cost"), t["target"].alias("target")))))
 
 
 def auto_map_headers(headers: DataFrame, defs: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -22,10 +38,11 @@ def auto_map_headers(headers: DataFrame, defs: DataFrame, threshold: float = 0.6
 
     headers (header, pos); defs (target_field, source_headers, ...). Ties go to the target's name. Others have null.
     """
-    best = _scores(headers, defs).filter(F.col("score") >= threshold)
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("header", "pos").orderBy(F.desc("score"), "target_field"))).filter("_n = 1")
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("target_field").orderBy("pos"))).filter("_n = 1").drop("_n")
-    return headers.join(best, ["header", "pos"], "left")
+    best = _scored(headers, defs).withColumn("best", F.try_element_at("near", F.lit(1)))
+    best = best.withColumn("_target", F.when(-F.col("best.cost") >= threshold, F.col("best.target")))
+    first = best.filter("_target is not null").groupBy("_target").agg(F.min("pos").alias("_first"))  # one row a target
+    mine = best.join(F.broadcast(first), "_target", "left").withColumn("_mine", F.col("pos") == F.col("_first"))
+    return mine.select(*headers.columns, F.when(F.col("_mine"), F.col("_target")).alias("target_field"), F.when(F.col("_mine"), -F.col("best.cost")).alias("score"))
 
 
 def mapping_summary(mapped: DataFrame, defs: DataFrame) -> DataFrame:
@@ -38,9 +55,9 @@ def mapping_summary(mapped: DataFrame, defs: DataFrame) -> DataFrame:
 def suggest_mappings(unmapped: DataFrame, defs: DataFrame, used: DataFrame, threshold: float = 0.3, most: int = 3) -> DataFrame:
     """(header, target_field, score, rank): the best unused targets of each unmapped header."""
     free = defs.join(used.select("target_field").distinct(), "target_field", "left_anti")
-    near = _scores(unmapped, free).filter(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("header", "pos").orderBy(F.desc("score"), "target_field"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= most).select("header", "target_field", "score", "rank")
+    near = F.slice(F.filter("near", lambda n: -n["cost"] >= threshold), 1, most)
+    out = _scored(unmapped, free).select("header", F.posexplode(near).alias("at", "n"))
+    return out.select("header", F.col("n.target").alias("target_field"), (-F.col("n.cost")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def validate_mapping(mapping: DataFrame, defs: DataFrame) -> DataFrame:
@@ -128,12 +145,14 @@ def pick_columns(sheet: DataFrame, patterns: dict = FIELD_PATTERNS, aggregators:
 
 
 def column_by_synonyms(headers: list[str], names: tuple[str, ...]) -> str | None:
-    """The first header equal to one of the names, else the first that holds one; case and punctuation don't count."""
+    """The header of least rank: those equal to a name before those that hold one, then by the header's or the name's place."""
     import re
 
-    norm = lambda s: re.sub("[^a-z0-9]+", " ", s.strip().lower())
-    want = [norm(n) for n in names]
-    return next((h for h in headers if norm(h) in want), None) or next((h for h in headers for w in want if w and w in norm(h)), None)
+    words = lambda s: " ".join(re.findall("[a-z0-9]+", s.lower()))
+    sought = [words(n) for n in names]
+    ranks = [((0, at), h) for at, h in enumerate(headers) if words(h) in sought]
+    ranks += [((1, at, i), h) for at, h in enumerate(headers) for i, w in enumerate(sought) if w and w in words(h)]
+    return min(ranks, default=(None, None), key=lambda r: r[0])[1]
 
 
 def anything(*columns: Column) -> Column:

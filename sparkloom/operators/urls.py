@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
+from ..shared import stored
 from .ordered import running, trailing
 
 
@@ -179,6 +180,19 @@ def url_intake(df: DataFrame, col: str = "url", idx: str = "idx") -> DataFrame:
     return dedupe_urls(checked, "normalized", idx)
 
 
+def intake_report(df: DataFrame, valid_domains: tuple[str, ...], col: str = "url", idx: str = "idx") -> DataFrame:
+    """(section, key, n) of a URL list (idx, url): repaired, checked, told apart from its duplicates, and counted.
+
+    Sections: repair (total, changed, unsupported), category and status of the repaired URLs.
+    """
+    repaired = stored(repair_urls(df.select(F.col(idx).alias("idx"), F.col(col).alias("url")), valid_domains), "repaired")
+    rows = stored(url_intake(repaired.select("idx", F.col("cleaned").alias("url"))).select("category", "status"), "checked")
+    fixed = repaired.agg(F.count(F.lit(1)).alias("total"), F.count_if("was_changed").alias("changed"), F.count_if(F.col("error").isNotNull()).alias("unsupported"))
+    counts = fixed.select(F.lit("repair").alias("section"), F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in fixed.columns])).alias("x")).select("section", "x.key", "x.n")
+    kinds = rows.groupingSets([[F.col("category")], [F.col("status")]], "category", "status").agg(F.count(F.lit(1)).alias("n"))
+    return counts.union(kinds.select(F.when(F.col("category").isNotNull(), "category").otherwise("status"), F.coalesce("category", "status"), "n"))
+
+
 def requests_in_window(events: DataFrame, key: str = "host", ts: str = "ts", window_ms: int = 60_000, burst_ms: int = 1_000) -> DataFrame:
     """events with n_window and n_burst: requests of the key in the trailing window and second; a hot key is many tasks."""
     return trailing(events, key, F.unix_millis(F.col(ts).cast("timestamp")), {"n_window": window_ms, "n_burst": burst_ms})

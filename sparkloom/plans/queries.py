@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -171,6 +172,15 @@ def job1_url_intake(spark, sf_dir):
     return OU.url_intake(rows).select("idx", "category", "normalized", F.coalesce("first_idx", F.lit(-1).cast("long")).alias("first_idx"), "status")
 
 
+@query("""WITH s AS (SELECT page_id AS idx, url, CASE page_id % 4 WHEN 0 THEN replace(replace(url, 'https://', 'https://https://'), 'http://', 'http://http://') WHEN 1 THEN url || '//' WHEN 2 THEN replace(url, '://', '://www.www.') ELSE url END AS original FROM pages),
+  a AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN idx % 4 = 2 THEN regexp_replace(replace(url, '://', '://www.'), '(www\\.)+', 'www.', 'g') ELSE url END, '^https?://', 'https://'), '/+$', '') AS cleaned FROM s),
+  n AS (SELECT *, regexp_matches(cleaned, '^https://([^/?#]*\\.)?example\\.com([/?#]|$)') AS fits FROM a) SELECT 'repair' AS section, 'total' AS key, count(*) AS n FROM n UNION ALL SELECT 'repair', 'changed', count(*) FILTER (original <> cleaned) FROM n UNION ALL SELECT 'repair', 'unsupported', count(*) FILTER (NOT fits) FROM n
+  UNION ALL SELECT 'category', 'valid', count(*) FROM n UNION ALL SELECT 'status', CASE WHEN first THEN 'valid' ELSE 'duplicate' END, count(*) FROM (SELECT idx = min(idx) OVER (PARTITION BY regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(cleaned, '^https://[^/?#]+')) || substr(cleaned, length(regexp_extract(cleaned, '^https://[^/?#]+')) + 1), '#.*$', ''), '([?&])(utm_source|ref)=[^&#]*', '\\1'), '[?&]+$', '')) AS first FROM n) GROUP BY 2""")
+def job1_intake_report(spark, sf_dir):
+    bad = """CASE page_id % 4 WHEN 0 THEN replace(replace(url, 'https://', 'https://https://'), 'http://', 'http://http://') WHEN 1 THEN concat(url, '//') WHEN 2 THEN replace(url, '://', '://www.www.') ELSE url END"""
+    return OU.intake_report(table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), F.expr(bad).alias("url")), ("example.com",))
+
+
 @query(f"""WITH p AS ({_PARTS} FROM ({_TWINS})), n AS (SELECT DISTINCT hst AS host, {_NORM} AS normalized FROM p) SELECT host, count(*) AS unique_pages FROM n GROUP BY 1""")
 def url_host_summary(spark, sf_dir):
     rows = twin_urls(spark, sf_dir).select(U.host(F.col("url")).alias("host"), U.normalize_url(F.col("url")).alias("normalized"))
@@ -218,17 +228,18 @@ def htm2_content_type(spark, sf_dir):
 
 @query()
 def htm3_extract_article(spark, sf_dir):
-    return H.article_confidence(H.extract_article(H.parse_pages(table(spark, sf_dir, "pages"))))
+    out = H.article_confidence(H.extract_article(H.parse_pages(table(spark, sf_dir, "pages")), max_len=None, tags=None, images=None))
+    return out.withColumn("tags", F.array_join("tags", "|")).withColumn("images", F.to_json("images"))
 
 
 @query()
 def htm5_extract_links(spark, sf_dir):
-    return H.extract_links(H.parse_pages(table(spark, sf_dir, "pages")))
+    return H.extract_links(H.parse_pages(table(spark, sf_dir, "pages")), cap=None)
 
 
 @query()
 def htm6_extract_headings(spark, sf_dir):
-    return H.extract_headings(H.parse_pages(table(spark, sf_dir, "pages")))
+    return H.extract_headings(H.parse_pages(table(spark, sf_dir, "pages")), cap=None, longest=None)
 
 
 @query()
@@ -319,6 +330,21 @@ def scl14_extract_dates(spark, sf_dir):
     return deal_docs(spark, sf_dir).select("doc_id", F.try_element_at(N.extract_dates(F.col("text")), F.lit(1))["parsed"].cast("string").alias("newest"))
 
 
+_FOUND = "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0"
+
+
+@query(f"""WITH f AS ({_FOUND}) SELECT count(*) AS total, count(*) FILTER (doc_id % 7 <> 0) AS successful, count(*) FILTER (doc_id % 7 = 0) AS failed, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 4 IN (0, 1)) AS deals_with_value FROM f""")
+def job6_ma_news(spark, sf_dir):
+    """From discovered URLs by way of stored pages to the statistics: two feeds and a list, merged; one page in seven is missing."""
+    docs = deal_docs(spark, sf_dir)
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    url = F.concat(F.lit("https://news.example.com/"), "doc_id")
+    rows = lambda tag, when: docs.filter(when).select(F.col("doc_id").alias("idx"), url.alias("url"), F.lit(tag).alias("title"), F.lit("").alias("date"), F.lit("").alias("description"), F.lit(tag).alias("source"))
+    found = OU.merge_discovered(rows("list", "doc_id % 5 = 0"), rows("feed", "doc_id % 2 = 0"), rows("site", "doc_id % 3 = 0"))
+    pages = docs.filter("doc_id % 7 != 0").select(F.col("doc_id").alias("page_id"), url.alias("url"), F.concat(F.lit("<article><h1>News</h1><p>"), safe, F.lit("</p></article>")).alias("html"))
+    return L.ma_stats(H.ma_news(pages, found=found, max_len=None)).select("total", "successful", "failed", "deals_with_value")
+
+
 @query()
 def job6_deal_facts(spark, sf_dir):
     return N.deal_facts(deal_docs(spark, sf_dir)).drop("text")
@@ -625,6 +651,31 @@ def htm9_companies(spark, sf_dir):
     return H.extract_companies(H.parse_pages(directory_pages(spark, sf_dir))).withColumn("pos", F.col("pos").cast("long"))
 
 
+_PLANS = "SELECT s_suppkey // 20 AS page_id, s_suppkey AS k, s_suppkey // 20 % 2 = 0 AS plain, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) AS pos FROM supplier"
+
+
+@query(f"""SELECT page_id, pos, CASE WHEN plain THEN 'Maker ' || k ELSE 'Company ' || k || ' Inc' END AS name, CASE WHEN plain THEN 'Tel. ' || k ELSE 'Address ' || k || ' Main St' END AS contact, CASE WHEN plain THEN 'www.s' || k || '.example.com' ELSE 'Website s' || k || '.example.org' END AS website FROM ({_PLANS})""")
+def htm9_site_plans(spark, sf_dir):
+    """Two sites whose tables have their columns in another order, one of them found by words in the cells."""
+    s = table(spark, sf_dir, "supplier").withColumn("page_id", F.floor(F.col("s_suppkey") / 20))
+    plain = F.col("page_id") % 2 == 0
+    cells = lambda *parts: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.concat(*p), F.lit("</td>")) for p in parts], F.lit("</tr>"))
+    k, t = F.col("s_suppkey"), F.lit
+    row = F.when(plain, cells((t("Maker "), k), (t("Tel. "), k), (t("www.s"), k, t(".example.com")))).otherwise(cells((t("Address "), k, t(" Main St")), (t("Website s"), k, t(".example.org")), (t("Company "), k, t(" Inc"))))
+    rows = s.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("rows"))  # twenty a page
+    host = F.when(plain, "https://www.d2pbuyersguide.com/").otherwise("https://thomasnet.com/")
+    html = F.concat(F.lit("<table><tr><th>Company</th><th>Contact</th><th>Website</th></tr>"), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table>"))
+    return H.extract_companies(H.parse_pages(rows.select("page_id", F.concat(host, "page_id").alias("url"), html.alias("html")))).select("page_id", "pos", "name", "contact", "website")
+
+
+@query(f"""SELECT url, count(*) AS n_companies, true AS has_contact, true AS has_site, count(*) AS n, count(*) AS complete, 0::BIGINT AS empty, greatest(0, least(200, least(10 * count(*), 100) + 20 * count(*) + 10)) AS score, true AS valid FROM ({_DIRECTORY}) GROUP BY url""")
+def job7_directory_report(spark, sf_dir):
+    parsed = H.parse_pages(directory_pages(spark, sf_dir).withColumn("html", F.concat(F.lit("<title>Makers</title>"), "html")))
+    kept = OC.supplier_directory(H.extract_companies(parsed)).select("url", "name", "contact", "website")
+    out = OC.directory_report(kept, parsed.select("url", "title", F.lit("").alias("description")))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n_companies", "n", "complete", "empty", "score")})
+
+
 @query(f"SELECT page_id, url, pos, name, k || '-555 ()' AS contact, 'https://www.s' || k || '.example.com' AS website FROM ({_DIRECTORY})")
 def job7_supplier_directory(spark, sf_dir):
     return OC.supplier_directory(H.extract_companies(H.parse_pages(directory_pages(spark, sf_dir)))).withColumn("pos", F.col("pos").cast("long"))
@@ -642,10 +693,10 @@ def player_pages(spark, sf_dir):
 _YEARS = "SELECT o_custkey AS page_id, year(o_orderdate) AS y, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate)) AS row_idx FROM orders GROUP BY 1, 2"
 
 
-@query(f"""SELECT page_id, 0::BIGINT AS table_idx, 'season' AS table_type, row_idx, '{{"Year":"' || y || '","Games":"' || n || '"}}' AS stats FROM ({_YEARS})""")
+@query(f"""SELECT page_id, 0::BIGINT AS table_idx, 'season' AS table_type, row_idx, '{{"Year":"' || y || '","Games":"' || n || '"}}' AS stats, n::DOUBLE AS games FROM ({_YEARS})""")
 def htm10_stat_tables(spark, sf_dir):
     out = H.extract_stat_tables(H.parse_pages(player_pages(spark, sf_dir)))
-    return out.select("page_id", F.col("table_idx").cast("long").alias("table_idx"), "table_type", F.col("row_idx").cast("long").alias("row_idx"), F.to_json("stats").alias("stats"))
+    return out.select("page_id", F.col("table_idx").cast("long").alias("table_idx"), "table_type", F.col("row_idx").cast("long").alias("row_idx"), F.to_json("stats").alias("stats"), F.col("numbers")["Games"].alias("games"))
 
 
 @query(f"SELECT page_id, row_idx, 'Year' AS stat, y::VARCHAR AS value FROM ({_YEARS}) UNION ALL SELECT page_id, row_idx, 'Games', n::VARCHAR FROM ({_YEARS})")
@@ -654,9 +705,37 @@ def job8_player_statistics(spark, sf_dir):
     return out.select("page_id", F.col("row_idx").cast("long").alias("row_idx"), "stat", "value")
 
 
+_ROOKIES = "SELECT c_custkey AS k, 1980 + c_custkey % 30 AS y, 'T' || c_custkey % 32 AS team, 1 + c_custkey % 7 AS r, 1 + c_custkey % 250 AS p FROM customer"
+
+
+def rookie_pages(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    html = F.expr("""concat('<h1>', c_name, '</h1><div class="player-info">Height: 6\\'2"; Draft: ', 1980 + c_custkey % 30, ' T', c_custkey % 32, ' ', 1 + c_custkey % 7, ' ', 1 + c_custkey % 250,
+      '</div><ul class="awards"><li>Rookie ', 1980 + c_custkey % 30, '; All-Star</li></ul><div class="faq">How old? ', 20 + c_custkey % 20, '</div>')""")
+    return c.select(F.col("c_custkey").alias("page_id"), F.lit("https://p.example.com/").alias("url"), html.alias("html"))
+
+
+@query(f"""SELECT k AS page_id, 'draft' AS kind, y || ' ' || team || ' ' || r || ' ' || p AS value FROM ({_ROOKIES}) UNION ALL SELECT k, 'achievement', 'Rookie ' || y FROM ({_ROOKIES}) UNION ALL SELECT k, 'achievement', 'All-Star' FROM ({_ROOKIES})
+  UNION ALL SELECT k, 'answer', 'How old=' || 20 + k % 20 FROM ({_ROOKIES}) UNION ALL SELECT k, 'height', '6''2"' FROM ({_ROOKIES})""")
+def job8_player_details(spark, sf_dir):
+    t = H.player_tables(H.parse_pages(rookie_pages(spark, sf_dir)))
+    part = lambda name, kind, value: t[name].select("page_id", F.lit(kind).alias("kind"), value.alias("value"))
+    out = part("draft_info", "draft", F.concat_ws(" ", "year", "team", "round", "pick")).union(part("achievements", "achievement", F.col("achievement")))
+    return out.union(part("answers", "answer", F.concat_ws("=", "question", "answer"))).union(part("players", "height", F.col("height")))
+
+
+@query("SELECT page_id, 0::BIGINT AS pos, 'Page ' || page_id AS title, 'https://l.example.com/item/' || page_id AS link, 'Page ' || page_id || ' about ' || length(url) AS description FROM pages")
+def htm7_listings(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    html = F.concat(F.lit('<ul><li class="listing-item"><a href="/item/'), "page_id", F.lit('">Page '), "page_id", F.lit("</a> about "), F.length("url"), F.lit("</li></ul>"))
+    out = H.extract_listings(H.parse_pages(p.select("page_id", F.lit("https://l.example.com/").alias("url"), html.alias("html"))))
+    return out.withColumn("pos", F.col("pos").cast("long"))
+
+
 @query()
 def htm11_player_bio(spark, sf_dir):
-    return H.extract_player_bio(H.parse_pages(table(spark, sf_dir, "pages")))
+    out = H.extract_player_bio(H.parse_pages(table(spark, sf_dir, "pages")))
+    return out.withColumns({"draft_info": F.to_json("draft_info"), "achievements": F.array_join("achievements", "|"), "answers": F.to_json("answers")})
 
 
 @query("""WITH e AS (SELECT event_id, 'host' || (user_id % 20) AS host, epoch_ms(ts) AS ms FROM events), b AS (SELECT *, ms // 3600000 AS w FROM e), p AS (SELECT *, row_number() OVER (PARTITION BY host, w ORDER BY ms, event_id) AS n FROM b)
@@ -723,11 +802,17 @@ def raw_players(spark, sf_dir):
     return rows.select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("name"), F.lit("March 5").alias("birth_date"), (1960 + F.col("c_custkey") % 30).cast("string").alias("birth_place"), F.col("c_mktsegment").alias("college"), F.transform("l", lambda x: x["v"]).alias("seasons"))
 
 
-@query()
-def job2_trivia_dataset(spark, sf_dir):
+def _trivia(spark, sf_dir):
     history = P.team_history(spark, [("T0", 1990, "Old Town", "OLD"), ("T0", 1995, "New Town", "NEW")])
     static = spark.createDataFrame([("T2", "Static Bay", "STA")], "code string, team_full string, team_abbrs string")
-    return P.trivia_dataset(raw_players(spark, sf_dir), history, static, season_min=1992)["qb_seasons"].drop("awards")
+    return P.trivia_dataset(raw_players(spark, sf_dir), history, static, season_min=1992)
+
+
+@query()
+def job2_trivia_dataset(spark, sf_dir):
+    """All tables of the dataset, a row each as JSON."""
+    parts = [t.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row")) for name, t in _trivia(spark, sf_dir).items()]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 # ---- sheets over customer and supplier
@@ -781,11 +866,38 @@ def agg8_companies_per_url(spark, sf_dir):
 _FIELDS = [("brand", ["Brand", "Make"], True), ("kind", ["Economy", "Standard", "Type"], False), ("size", ["Size"], True)]
 
 
-@query()
+_BARE_NAME = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_SIMILAR = """CASE WHEN a = b THEN 1.0::DOUBLE ELSE greatest(CASE WHEN (contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) > 0 THEN 0.8 * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0 END,
+  (greatest(length(a), length(b)) - levenshtein(a, b))::DOUBLE / greatest(length(a), length(b))) END"""
+_NAMED = ", ".join(f"('{t}', '{n}')" for t, names, _ in _FIELDS for n in names)
+_NEAREST = f"""WITH h AS (SELECT p_type AS header, min(p_partkey) AS pos FROM part GROUP BY 1), d AS (SELECT * FROM (VALUES {_NAMED}) v(target_field, name)),
+  s AS (SELECT header, pos, target_field, max({_SIMILAR}) AS score FROM (SELECT header, pos, target_field, {_BARE_NAME.format("header")} AS a, {_BARE_NAME.format("name")} AS b FROM h, d) GROUP BY ALL)"""
+
+
+def _headers(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("header")).agg(F.min("p_partkey").alias("pos"))
+
+
+@query(f"""{_NEAREST}, b AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, target_field) AS k FROM s), m AS (SELECT *, row_number() OVER (PARTITION BY target_field ORDER BY pos) AS i FROM b WHERE k = 1 AND score >= 0.6)
+  SELECT h.header, m.target_field, round(m.score, 4) AS score FROM h LEFT JOIN m ON h.header = m.header AND m.i = 1""")
 def jon4_auto_map_headers(spark, sf_dir):
-    headers = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("header")).agg(F.min("p_partkey").alias("pos"))
     defs = spark.createDataFrame(_FIELDS, "target_field string, source_headers array<string>, required boolean")
-    return M.auto_map_headers(headers, defs).select("header", "target_field", F.round("score", 4).alias("score"))
+    return M.auto_map_headers(_headers(spark, sf_dir), defs).select("header", "target_field", F.round("score", 4).alias("score"))
+
+
+@query(f"""{_NEAREST}, b AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, target_field) AS rank FROM s WHERE target_field <> 'size' AND score >= 0.3) SELECT header, target_field, round(score, 4) AS score, rank FROM b WHERE rank <= 3""")
+def jon5_suggest_mappings(spark, sf_dir):
+    defs = spark.createDataFrame(_FIELDS, "target_field string, source_headers array<string>, required boolean")
+    used = spark.createDataFrame([("size",)], "target_field string")
+    return M.suggest_mappings(_headers(spark, sf_dir), defs, used).select("header", "target_field", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH c AS (SELECT 'p_brand' AS c, 0 AS o, count(*) FILTER (p_brand <> '') AS n FROM part UNION ALL SELECT 'p_name', 1, count(*) FILTER (p_name <> '') FROM part UNION ALL SELECT 'p_type', 0, count(*) FILTER (p_type <> '') FROM part)
+  SELECT (row_number() OVER (ORDER BY o, c) - 1)::INT AS pos, c AS column_name FROM c WHERE n > 0""")
+def top4_report_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", F.lit("").alias("blank"), F.lit(None).cast("string").alias("none"))
+    names = M.report_columns(rows, [{"target_field": c, "required": c in ("p_type", "p_brand", "none")} for c in rows.columns])
+    return spark.createDataFrame(list(enumerate(names)), "pos int, column_name string")
 
 
 _ABOUT = f"CASE WHEN s_suppkey % 4 <> 0 THEN 'We develop innovative ' || {_WHAT} || ' and tools. Revenue is $5 million. Based in Ohio.' END"
