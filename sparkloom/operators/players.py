@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import coerce_number, is_summary_row, parse_birthdate, slugify
+from ..shared import stored
+from .ordered import running
 
 #: Award names by what their text holds.
 AWARDS = (("pro bowl", "Pro Bowl"), ("all-pro", "1st Team All-Pro"), ("mvp", "MVP"), ("opoy", "OPOY"), ("dpoy", "DPOY"), ("roy", "ROY"), ("comeback", "Comeback Player"))
@@ -60,34 +64,77 @@ def primary_position(seasons: DataFrame, player: str = "player", pos: str = "pos
     return counts.groupBy("player").agg(F.max_by("position", F.struct("n", -F.col("first"))).alias("position"))
 
 
+def _numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(_rid, _slug, number) of rows (_slug, at, natural, t, _rid) sorted by slug, at and natural: row number `at` of a slug asks for a number.
+
+    A merge of two ascending sequences: the rows' own numbers, and the numbers that names end in. A row takes the next number
+    unless a name with it came before the row. Rows wait in a queue no longer than the numbers passed over so far.
+    """
+    slug, after, waiting = None, 1, deque()
+    for pdf in batches:
+        out: list[tuple] = []
+
+        def give(upto: float) -> None:
+            nonlocal after
+            while waiting and after < upto:
+                out.append((waiting.popleft()[1], slug, after))
+                after += 1
+
+        for own, at, natural, t, rid in pdf.itertuples(index=False):
+            if own != slug:
+                give(float("inf"))
+                slug, after = own, 1
+            give(at)
+            if not natural:
+                waiting.append((t, rid))
+            elif waiting and after == at:
+                if t < waiting[0][0]:
+                    after += 1  # the name is taken
+                else:
+                    give(at + 1)
+        yield pd.DataFrame(out, columns=["_rid", "_slug", "number"])
+    tail = [(rid, slug, after + k) for k, (_, rid) in enumerate(waiting)]
+    if tail:
+        yield pd.DataFrame(tail, columns=["_rid", "_slug", "number"])
+
+
 def unique_slug(df: DataFrame, name: str, order: str) -> DataFrame:
-    """df with player_id: the name's slug, in order with _1, _2 ... where it is taken, also by slugs that end so themselves.
+    """df with player_id: the name's slug, in `order` with _1, _2 ... where it is taken, also by slugs that end so themselves.
 
-    Slugs without a number at the end, and those whose numbered forms occur nowhere, are numbered by a window. Only
-    families with natural numbers (smith and smith_1) are replayed in order, one family at a time.
+    A slug's rows are numbered by a prefix scan, so a name that most rows have is many tasks. Where names end in numbers
+    (smith and smith_1), the free numbers are merged with the rows in order, streaming, from the shortest names on. `order`
+    is a number; rows that tie in it follow in the order they are read. A null name is the empty slug.
     """
-    rows = df.withColumn("_slug", slugify(F.col(name))).withColumn("_family", F.regexp_replace("_slug", "(_[0-9]+)+$", ""))
-    mixed = rows.groupBy("_family").agg(F.max(F.col("_slug") != F.col("_family")).alias("_mixed"))
-    rows = rows.join(mixed, "_family")
-    nth = F.row_number().over(Window.partitionBy("_slug").orderBy(order)) - 1
-    simple = rows.filter("not _mixed").withColumn("player_id", F.when(nth == 0, F.col("_slug")).otherwise(F.concat("_slug", F.lit("_"), nth)))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, ids, following = set(), [], {}
-        pdf = pdf.sort_values(order, kind="stable")
-        for slug in pdf["_slug"]:
-            out, n = slug, following.get(slug, 1)
-            while out in taken:
-                out, n = f"{slug}_{n}", n + 1
-            following[slug] = n if out != slug else 1
-            taken.add(out)
-            ids.append(out)
-        return pdf.assign(player_id=ids)[columns]
-
-    columns = [*df.columns, "player_id"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", player_id string"
-    odd = rows.filter("_mixed").groupBy("_family").applyInPandas(replay, fields)
-    return simple.select(columns).unionByName(odd)
+    columns = [c for c in df.columns if c != "player_id"]
+    slug = F.coalesce(slugify(F.col(name)), F.lit(""))
+    rows = running(df.select(*columns, slug.alias("_slug"), F.monotonically_increasing_id().alias("_rid")), ["_slug"], [order, "_rid"], {"_nth": F.lit(1)}).drop("_nth_total")
+    rows = stored(rows, "slugs")
+    firsts = rows.groupBy("_slug").agg(F.min(F.col(order).cast("double")).alias("t"))
+    ends = r"^(.*)_([1-9][0-9]{0,17})$"
+    named = firsts.select(F.col("_slug").alias("child"), "t", F.regexp_extract("_slug", ends, 1).alias("_slug"), F.regexp_extract("_slug", ends, 2).try_cast("long").alias("at")).filter("at is not null")
+    named = stored(named.join(firsts.select("_slug"), "_slug"), "numbered")  # names whose shorter form is a name, too
+    whole = rows.withColumn("player_id", F.when(F.col("_nth") == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("_"), F.col("_nth") - 1)))
+    if named.isEmpty():
+        return whole.select(*columns, "player_id")
+    family = named.select("_slug").union(named.select("child")).distinct()
+    simple = whole.join(family, "_slug", "left_anti").select(*columns, "player_id")
+    members = stored(rows.join(family, "_slug"), "families")
+    level = stored(family.join(named.select(F.col("child").alias("_slug")), "_slug", "left_anti").withColumn("lost", F.lit(0)), "level")
+    done = []
+    while not level.isEmpty():
+        own = members.join(level, "_slug").withColumn("at", F.col("_nth") - 1 + F.col("lost"))  # 0: the slug itself
+        done.append(own.filter("at = 0").select("_rid", F.lit(0).cast("long").alias("number")))
+        asked = own.filter("at > 0").select("_slug", "at", F.lit(False).alias("natural"), F.col(order).cast("double").alias("t"), "_rid")
+        names = named.join(level.select("_slug"), "_slug").select("_slug", "at", F.lit(True).alias("natural"), "t", F.lit(-1).cast("long").alias("_rid"))
+        made = asked.union(names).repartition("_slug").sortWithinPartitions("_slug", "at", "natural").mapInPandas(_numbers, "_rid long, _slug string, number long")
+        made = stored(made, "numbers")
+        done.append(made.select("_rid", "number"))
+        gone = made.select("_slug", F.col("number").alias("at"), F.lit(1).alias("gone"))
+        below = named.join(level.select("_slug"), "_slug").join(gone, ["_slug", "at"], "left")
+        level = stored(below.select(F.col("child").alias("_slug"), F.coalesce("gone", F.lit(0)).alias("lost")), "level")
+    numbered = members.join(reduce(DataFrame.union, done), "_rid")
+    numbered = numbered.withColumn("player_id", F.when(F.col("number") == 0, F.col("_slug")).otherwise(F.concat("_slug", F.lit("_"), "number")))
+    return simple.unionByName(numbered.select(*columns, "player_id"))
 
 
 def eligible_seasons(df: DataFrame, season_min: int = 1997, season_max: int = 2024, min_games: int = 1, positions: Sequence[str] = ("QB", "RB", "WR", "TE")) -> DataFrame:

@@ -776,6 +776,19 @@ def agg11_eligibility(spark, sf_dir):
     return P.eligibility(o, 2).select("player_id", "rookie_year", F.col("seasons_with_G_ge_1").alias("played"), "eligible_flag")
 
 
+_FORMS = "'Kin ' || chr((65 + c_custkey % 26)::INT) || chr((65 + c_custkey % 7)::INT) || CASE c_custkey // 182 % 5 WHEN 0 THEN ' 1' WHEN 3 THEN ' 2' WHEN 4 THEN ' 1 1' ELSE '' END"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT c_custkey, c_custkey % 182 AS kin, row_number() OVER (PARTITION BY c_custkey % 182 ORDER BY c_custkey) AS i, replace(lower({_FORMS}), ' ', '_') AS slug FROM customer),
+  r AS (SELECT DISTINCT kin, 0::BIGINT AS i, 0::BIGINT AS c_custkey, '' AS player_id, []::VARCHAR[] AS taken FROM n UNION ALL
+    SELECT x.kin, x.i, x.c_custkey, x.id, list_append(x.taken, x.id) FROM (SELECT n.kin, n.i, n.c_custkey, r.taken, CASE WHEN list_contains(r.taken, n.slug) THEN n.slug || '_' || list_filter(range(1, 200), lambda k: NOT list_contains(r.taken, n.slug || '_' || k))[1] ELSE n.slug END AS id FROM r JOIN n ON n.kin = r.kin AND n.i = r.i + 1) x)
+  SELECT c_custkey, player_id FROM r WHERE i > 0""")
+def win1_slug_families(spark, sf_dir):
+    """Names that end in numbers next to names that get some."""
+    form = F.expr("concat('Kin ', chr(65 + c_custkey % 26), chr(65 + c_custkey % 7), CASE floor(c_custkey / 182) % 5 WHEN 0 THEN ' 1' WHEN 3 THEN ' 2' WHEN 4 THEN ' 1 1' ELSE '' END)")
+    return P.unique_slug(table(spark, sf_dir, "customer").select("c_custkey", form.alias("name")), "name", "c_custkey").select("c_custkey", "player_id")
+
+
 @query("""SELECT c_custkey, lower(c_mktsegment) || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END AS player_id FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer)""")
 def win1_unique_slug(spark, sf_dir):
     return P.unique_slug(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey").select("c_custkey", "player_id")

@@ -53,6 +53,37 @@ def test_unique_slugs_with_natural_numbers(spark):
     assert got == want and len(set(got.values())) == len(names)
 
 
+def plain_slugs(names):
+    taken, out = set(), []
+    for n in names:
+        slug = "".join(c for c in (n or "").lower() if c.isascii() and c.isalnum() or c == " ").strip().replace(" ", "_")
+        own, k = slug, 1
+        while own in taken:
+            own, k = f"{slug}_{k}", k + 1
+        taken.add(own)
+        out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unique_slugs_of_families(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    shapes = ["smith", "smith 1", "smith 2", "smith 1 1", "smith 1 2", "smith 3", "jones", "jones 5", "lee 2", "lee 02", "smith 12"]
+    names = [rnd.choice(["smith"] * rnd.choice([1, 12]) + shapes) for _ in range(150)] + [None, "", "lee"]
+    rnd.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string").repartition(4)
+    got = [r.player_id for r in P.unique_slug(df, "name", "i").orderBy("i").collect()]
+    assert got == plain_slugs([(n or "") for n in names]) and len(set(got)) == len(names)
+
+
+def test_unique_slugs_of_one_name(spark):
+    df = spark.range(4000).select(F.col("id").alias("i"), F.lit("Pat Doe").alias("name"))
+    got = [r.player_id for r in P.unique_slug(df, "name", "i").orderBy("i").collect()]
+    assert got == ["pat_doe", *[f"pat_doe_{k}" for k in range(1, 4000)]] and P.unique_slug(df.limit(0), "name", "i").count() == 0
+
+
 def test_season_team(spark):
     seasons = spark.createDataFrame([("OAK", 1990), ("OAK", 1996), ("OAK", 2021), ("TEN", 1990), ("SEA", 2001), ("2TM", 2001), (None, 2001), ("XXX", 2001)], "team string, season int")
     static = spark.createDataFrame([("SEA", "Seattle Seahawks", "SEA")], "code string, team_full string, team_abbrs string")
