@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .text import let, trimmed, weighted
 
 _NUM = r"[\d,]+\.?\d*\s*"
-#: Where amounts of money stand in deal news.
-VALUE_PATTERNS = [rf"(?i)(\${_NUM}(?:billion|million|M|B))", rf"(?i)(USD\s*{_NUM}(?:billion|million))"] + [
-    rf"(?i)({lead}\s*\$?{_NUM}(?:billion|million))" for lead in ("valued at", "consideration of", "worth", "for", "approximately", "transaction valued at")
-]
+#: Where amounts of money stand in deal news, and what a text in lower case must hold for each.
+VALUE_PATTERNS = (
+    (rf"(?i)(\${_NUM}(?:billion|million|M|B))", ("$",)),
+    (rf"(?i)(USD\s*{_NUM}(?:billion|million))", ("usd", "illion")),
+    (rf"(?i)(valued at\s*\$?{_NUM}(?:billion|million))", ("valued at", "illion")),
+    (rf"(?i)(consideration of\s*\$?{_NUM}(?:billion|million))", ("consideration of", "illion")),
+    (rf"(?i)(worth\s*\$?{_NUM}(?:billion|million))", ("worth", "illion")),
+    (rf"(?i)(for\s*\$?{_NUM}(?:billion|million))", ("for", "illion")),
+    (rf"(?i)(approximately\s*\$?{_NUM}(?:billion|million))", ("approximately", "illion")),
+    (rf"(?i)(transaction valued at\s*\$?{_NUM}(?:billion|million))", ("transaction valued at", "illion")),
+)
 #: Keywords by kind of deal, in order of preference.
 DEAL_KEYWORDS = {
     "merger": ("merge", "merging", "merged", "merger", "combination", "combine"),
@@ -52,8 +59,14 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
 
 def deal_values(c: Column) -> Column:
     """array<struct<normalized, raw>> of all amounts, by pattern and place; equal amounts once."""
-    some = c.contains("$") | F.lower(c).contains("illion")  # every pattern holds one of them
-    raw = F.when(some, F.concat(*[_all(c, p) for p in VALUE_PATTERNS])).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def found(low: Column) -> Column:
+        """Each pattern runs only on texts that hold its words."""
+        tried = [F.when(reduce(lambda a, b: a & b, [low.contains(w) for w in words]), _all(c, p)).otherwise(none) for p, words in VALUE_PATTERNS]
+        return F.when(low.contains("$") | low.contains("illion"), F.concat(*tried)).otherwise(none)
+
+    raw = let(F.lower(F.coalesce(c, F.lit(""))), found)
 
     def struct(x: Column) -> Column:
         number = F.regexp_replace(F.regexp_extract(x, r"(?i)([\d,]+\.?\d*)\s*(?:billion|million|B|M)", 1), ",", "").try_cast("double")
@@ -128,8 +141,7 @@ def extractive_summary(c: Column) -> Column:
 
 
 def ma_related(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return reduce(lambda a, b: a | b, [low.contains(w) for w in MA_WORDS])
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in MA_WORDS]))
 
 
 def ma_confidence(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ LINE_RULES = (
 
 
 #: What a line must hold for a rule's pattern to be tried at all.
-GUARDS = {"email": lambda t: t.contains("@"), "ip_address": lambda t: t.contains("."), "base64": lambda t: F.length(t) >= 220}
+GUARDS = {"secret": lambda t: t.contains("=") | t.contains(":"), "license": lambda t: F.lower(t).contains("licensed under"), "email": lambda t: t.contains("@"), "ip_address": lambda t: t.contains("."), "base64": lambda t: F.length(t) >= 220}
 
 
 def line_pattern_scan(docs: DataFrame, rules: Sequence[tuple[str, str]] = LINE_RULES, cap: int | None = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

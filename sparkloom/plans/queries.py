@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import companies as C, contracts as K, html as H, news as N, text as T, urls as U
+from ..shared import fresh_path
+from ..sources import io as IO
 from ..operators import companies as OC, crawl_logs as L, lines as LN, mapping as M, players as P, robots as R, urls as OU
 from ..streaming import stateful as S
 
@@ -1008,3 +1010,117 @@ def str2_request_counters(spark, sf_dir):
 def str6_session_progress(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("ts", F.col("user_id").cast("string").alias("sessionId"), (F.col("event_type") != "error").alias("success"), F.col("event_id").alias("idx"))
     return S.stream_session_progress(rows, "30 minutes").select(F.col("sessionId").alias("session_id"), "processed", "failed", "last_index")
+
+
+# ---- files: given tables written in each format and read back
+
+def _run(query) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+@query("SELECT url, page_id FROM (SELECT page_id, url FROM pages) WHERE url <> ''")
+def src1_url_list(spark, sf_dir):
+    """Lines of a file: URLs between blanks, empty lines and comments."""
+    path = fresh_path(spark, "urls")
+    p = table(spark, sf_dir, "pages")
+    lines = p.select(F.explode(F.array(F.concat(F.lit("# page "), "page_id"), F.lit("  "), F.concat(F.lit(" "), "url", F.lit("#id="), "page_id", F.lit(" ")))).alias("value"))
+    lines.write.text(path)
+    return IO.read_url_list(spark, path).select(F.regexp_extract("url", "^(.*)#id=[0-9]+$", 1).alias("url"), F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"))
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN chr(39) || '=' ELSE '' END || c_name AS name, 'a, \"b\"' || chr(10) || c_mktsegment AS note FROM customer")
+def src2_company_csv(spark, sf_dir):
+    path = fresh_path(spark, "csv")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "=").otherwise(""), "c_name").alias("name"), F.concat(F.lit('a, "b"\n'), "c_mktsegment").alias("note"))
+    IO.write_csv(c, path)
+    return IO.read_company_csv(spark, path)
+
+
+def _lines(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("https://h"), "user_id", F.lit(".example.com/"), F.col("event_id") % 50, F.lit("?utm_source=x"), "event_id").alias("url"), (F.col("event_type") != "error").alias("success"), F.col("event_id").alias("processingTime"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.concat(F.lit("s"), F.col("user_id") % 10).alias("sessionId"))
+
+
+_PER_SESSION = "SELECT 's' || user_id % 10 AS session_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS good, sum(event_id)::BIGINT AS total FROM events GROUP BY 1"
+
+
+def _per_session(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("sessionId").alias("session_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("good"), F.sum("processingTime").alias("total"))
+
+
+@query(_PER_SESSION)
+def src4_results_jsonl(spark, sf_dir):
+    path = fresh_path(spark, "jsonl")
+    IO.write_jsonl(_lines(spark, sf_dir), path)
+    return _per_session(IO.read_results_jsonl(spark, path))
+
+
+@query(_PER_SESSION)
+def str1_results_to_table(spark, sf_dir):
+    """A stream of result files into a table, then into folders by session and batch; what is read back is the latter."""
+    path = fresh_path(spark, "stream")
+    IO.write_jsonl(_lines(spark, sf_dir), f"{path}/in")
+    _run(S.stream_results_to_table(spark, f"{path}/in", f"{path}/table", f"{path}/table-log"))
+    rows = spark.readStream.schema(spark.read.parquet(f"{path}/table").schema).parquet(f"{path}/table")
+    _run(S.stream_results_by_session(rows, f"{path}/sessions", f"{path}/sessions-log"))
+    return _per_session(S.read_sessions(spark, f"{path}/sessions", IO.RESULTS))
+
+
+@query("SELECT 'https://h' || user_id || '.example.com/' || event_id % 50 AS normalized FROM events GROUP BY 1")
+def str3_dedupe_urls(spark, sf_dir):
+    path = fresh_path(spark, "stream")
+    IO.write_jsonl(_lines(spark, sf_dir), f"{path}/in")
+    rows = IO.read_results_jsonl(spark, f"{path}/in", streaming=True).withColumn("ts", F.timestamp_millis("timestamp"))
+    seen = S.stream_dedupe_urls(rows, "3650 days").select("normalized")
+    _run(seen.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{path}/out")
+
+
+def _documents_of(pages: DataFrame, item, root: str, path: str) -> None:
+    """XML files of up to a hundred items each under one root."""
+    files = pages.groupBy(F.floor(F.col("page_id") / 100)).agg(F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list(item), "\n"), F.lit(f"</{root}>")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("SELECT url, 'Page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'About <b>' || page_id || '</b>' ELSE 'Sum ' || page_id END AS description, 'feed' AS source FROM pages")
+def src5_feeds(spark, sf_dir):
+    path = fresh_path(spark, "feed")
+    p = table(spark, sf_dir, "pages").withColumn("u", F.replace("url", F.lit("&"), F.lit("&amp;")))
+    item = F.concat(F.lit("<item><title>Page "), "page_id", F.lit("</title><link>"), "u", F.lit("</link><description><![CDATA[About <b>"), "page_id", F.lit("</b>]]></description></item>"))
+    entry = F.concat(F.lit("<entry><title>Page "), "page_id", F.lit('</title><link href="'), "u", F.lit('"/><updated>2024</updated><summary>Sum '), "page_id", F.lit("</summary></entry>"))
+    _documents_of(p, F.when(F.col("page_id") % 2 == 0, item).otherwise(entry), "rss", path)
+    return IO.read_feeds(spark, path, "feed").select("url", "title", "description", "source")
+
+
+@query("SELECT url, 'map' AS source FROM pages")
+def src6_sitemaps(spark, sf_dir):
+    path = fresh_path(spark, "sitemap")
+    p = table(spark, sf_dir, "pages").withColumn("u", F.replace("url", F.lit("&"), F.lit("&amp;")))
+    _documents_of(p, F.concat(F.lit("<url><loc> "), "u", F.lit(" </loc><priority>1</priority></url>")), "urlset", path)
+    return IO.read_sitemaps(spark, path, "map")
+
+
+@query("SELECT 'nation' AS name, n_nationkey AS k FROM nation UNION ALL SELECT 'supplier', s_suppkey FROM supplier")
+def snk4_tables(spark, sf_dir):
+    path = fresh_path(spark, "tables")
+    IO.write_tables({n: table(spark, sf_dir, n) for n in ("nation", "supplier")}, path)
+    part = lambda n, k: spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("name"), F.col(k).cast("long").alias("k"))
+    return part("nation", "n_nationkey").union(part("supplier", "s_suppkey"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'QB' WHEN 1 THEN 'RB' WHEN 2 THEN 'OLB' ELSE 'XY' END AS position, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'GBP' WHEN 1 THEN 'JAX' ELSE 'DAL' END AS team FROM customer""")
+def scl21_normalizers(spark, sf_dir):
+    pos, team = F.expr("CASE c_custkey % 4 WHEN 0 THEN ' Quarterback ' WHEN 1 THEN 'HALFBACK' WHEN 2 THEN 'outside linebacker' ELSE 'xy' END"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'GB' WHEN 1 THEN 'JAC' ELSE 'DAL' END")
+    return table(spark, sf_dir, "customer").select("c_custkey", P.normalize_position(pos).alias("position"), P.normalize_name(F.concat(F.lit("  "), "c_name", F.lit("   (old)"))).alias("name"), P.normalize_team_code(team).alias("team"))
+
+
+@query("""SELECT c_custkey, (20 + 15 * (c_custkey % 2) + 10 * (c_custkey % 3 = 0)::INT + 10 + 15 * (c_custkey % 5 = 0)::INT + 10 * (c_custkey % 7 = 0)::INT + 5 * (c_custkey % 11 = 0)::INT)::DOUBLE AS quality FROM customer""")
+def scl27_structured_quality(spark, sf_dir):
+    when = lambda k, value: F.when(F.col("c_custkey") % k == 0, value)
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 1, "QB").otherwise("").alias("position"), when(3, F.lit("6-2")).alias("height"), F.lit("200").alias("weight"), F.col("c_mktsegment").alias("college"), F.lit("").alias("birth_date"), when(5, F.lit("r1")).alias("draft"),
+        when(7, F.create_map(F.lit("a"), F.lit("b"))).alias("career"), F.array().cast("array<string>").alias("seasons"), F.create_map().cast("map<string, string>").alias("playoffs"), when(11, F.array(F.lit("MVP"))).alias("achievements"),
+    )
+    return H.structured_quality(rows).select("c_custkey", F.col("quality").cast("double").alias("quality"))
