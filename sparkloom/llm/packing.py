@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER_NP, chunked, mapped, stored, word_bounds
-from .slices import SliceCache
+from .slices import Joined, SliceCache
 
 #: Pieces in a group, on average.
 GROUP = 4096
@@ -32,12 +32,7 @@ def word_cache(path: str) -> SliceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-
-    return SliceCache(encode)
+    return SliceCache(Joined(Tokenizer.from_file(path), "<|endoftext|>"))
 
 
 #: ASCII bytes by kind: 1 letters and digits, 2 other printable ones but the apostrophe, 0 all else.

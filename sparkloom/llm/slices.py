@@ -44,13 +44,54 @@ def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit:
     return list(numbers), inverse
 
 
+def flattened(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids in turn, how many each slice has) of a list of ids for each slice."""
+    return np.fromiter((i for own in ids for i in own), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+class Joined:
+    """Ids of many slices by a library's tokenizer, several hundred slices in one text with a special token between them.
+
+    A tokenizer cuts texts at special tokens before anything else, so each slice is encoded as if it stood alone, without
+    a call and an object of its own. Slices that hold the token's beginning are encoded alone.
+    """
+
+    TOGETHER = 512
+
+    def __init__(self, tokenizer, special: str):
+        self.tokenizer, self.special, self.id = tokenizer, special, tokenizer.token_to_id(special)
+
+    def __call__(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lead = self.special[:2].encode()
+        apart = [i for i, s in enumerate(slices) if lead in s]
+        if apart:
+            sizes, parts = np.zeros(len(slices), np.int64), {}
+            plain = [i for i in range(len(slices)) if lead not in slices[i]]
+            flat, sizes[plain] = self(list(map(slices.__getitem__, plain))) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            for i, e in zip(apart, self.tokenizer.encode_batch_fast([slices[i].decode("utf-8") for i in apart], add_special_tokens=False)):
+                parts[i], sizes[i] = np.array(e.ids, np.uint32), len(e.ids)
+            ends = np.cumsum(sizes)
+            out = np.zeros(int(ends[-1]), np.uint32)
+            mask = np.ones(len(out), bool)
+            for i, own in parts.items():
+                out[ends[i] - len(own) : ends[i]], mask[ends[i] - len(own) : ends[i]] = own, False
+            out[mask] = flat
+            return out, sizes
+        joiner = self.special.encode()
+        texts = [joiner.join(slices[i : i + self.TOGETHER]).decode("utf-8") + self.special for i in range(0, len(slices), self.TOGETHER)]
+        made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(made)
+        ends = np.flatnonzero(ids == self.id)
+        return ids[ids != self.id], np.diff(ends, prepend=-1) - 1
+
+
 class SliceCache:
     """Keeps the ids of distinct slices, by their bytes, in one flat array; starts anew beyond `limit` bytes of memory, about."""
 
     #: Bytes that a slice takes besides its own bytes and ids: object headers, its entry, its place.
     EACH = 180
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 48 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], list | tuple[np.ndarray, np.ndarray]], limit: int = 48 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -61,17 +102,18 @@ class SliceCache:
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _add(self, slices: list[bytes]) -> None:
-        for key, ids in zip(slices, self.encode(slices)):
-            n, k = len(ids), len(self.place)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.uint32)])
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + n] = ids
-            self.start[k], self.size[k] = self.used, n
-            self.used += n
-            self.held += len(key) + 4 * n + self.EACH
-            self.place[key] = k
+        made = self.encode(slices)
+        flat, sizes = flattened(made) if isinstance(made, list) else made
+        n, k = len(slices), len(self.place)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[k : k + n], self.size[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(flat)
+        self.held += sum(map(len, slices)) + 4 * len(flat) + self.EACH * n
+        self.place.update(zip(slices, range(k, k + n)))
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all slices in turn, number of ids of each slice)."""
@@ -83,7 +125,9 @@ class SliceCache:
         """The same for slices given as numbers of distinct ones; there must be some."""
         if self.held > self.limit:
             self.clear()
-        self._add([s for s in slices if s not in self.place])
+        new = [s for s in slices if s not in self.place]
+        if new:
+            self._add(new)
         where = np.fromiter(map(self.place.__getitem__, slices), np.int64, len(slices))[number]
         size = self.size[where]
         ends = np.cumsum(size)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import chunked, mapped, stored
 from .eliasfano import EliasFano, encode
-from .slices import SliceCache
+from .slices import Joined, SliceCache
 
 _HEAD = struct.Struct("<4sBxxxIIQq")
 #: Ids in a block, about; a longer document stands in one of its own. Blocks in a file.
@@ -97,9 +97,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = SliceCache(lambda slices: [e.ids for e in self.tokenizer.encode_batch_fast([s.decode("utf-8") for s in slices], add_special_tokens=False)])
+        self.cache = SliceCache(Joined(self.tokenizer, self.special[0].decode()) if self.special else self._plain)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
+    def _plain(self, slices: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([s.decode("utf-8") for s in slices], add_special_tokens=False)]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, their bounds)."""
         start = units(data, offsets, self.special)
@@ -184,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in chunked(batch.column(1), 1 << 22):
+            for lo, hi, data, offsets in chunked(batch.column(1)):
                 ids, at = encoder.encode(data, offsets)
                 ids = np.insert(ids, at[1:], end_id).astype(kind)
                 at = at + np.arange(len(at))
