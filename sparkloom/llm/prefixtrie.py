@@ -115,19 +115,21 @@ def blocks(turns: DataFrame, lengths: DataFrame, width: int = WIDTH) -> DataFram
 
 def _rolled(rows: DataFrame, width: int, totals: str) -> DataFrame:
     """(node, parent, depth, len, <totals>) of all prefixes of all blocks, from one ROLLUP."""
+    # the last column also carries the name of the node it leads to: what is aggregated are numbers alone
+    rows = rows.withColumn(f"t{width}", F.concat(f"t{width}", "next_key"))
     spark, columns = rows.sparkSession, ", ".join(f"t{j + 1}" for j in range(width))
     level = f"{width} - bit_count(grouping_id())"
     grouped = spark.sql(
-        f"SELECT blk, key, {columns}, {level} AS level, max(next_key) AS next_key, {totals} FROM {{rows}} WHERE blk = 0 OR t1 IS NOT NULL GROUP BY blk, key, ROLLUP({columns})", rows=rows
+        f"SELECT blk, key, {columns}, {level} AS level, {totals} FROM {{rows}} WHERE blk = 0 OR t1 IS NOT NULL GROUP BY blk, key, ROLLUP({columns})", rows=rows
     )
     slot = lambda j: F.col(f"t{j + 1}")
     reached = F.coalesce(*[F.when(F.col("level") == j + 1, slot(j)) for j in range(width)])
     path = lambda upto: F.concat("key", *[F.when(upto > j, slot(j)).otherwise(_bytes(0)) for j in range(width)])
     grouped = grouped.withColumn("_last", reached).filter("_last is not null or (level = 0 and blk = 0)")
-    node = F.when(F.col("level") == 0, F.col("key")).when(F.col("level") == width, F.col("next_key")).otherwise(_digest(path(F.col("level"))))
+    node = F.when(F.col("level") == 0, F.col("key")).when(F.col("level") == width, F.substring(slot(width - 1), 25, 16)).otherwise(_digest(path(F.col("level"))))
     parent = F.when(F.col("level") == 1, F.col("key")).when(F.col("level") > 1, _digest(path(F.col("level") - 1)))
     size = F.coalesce(F.conv(F.hex(F.substring("_last", 17, 8)), 16, 10).cast("long"), F.lit(0))
-    names = [c for c in grouped.columns if c not in {"blk", "key", "level", "next_key", "_last", *columns.split(", ")}]
+    names = [c for c in grouped.columns if c not in {"blk", "key", "level", "_last", *columns.split(", ")}]
     return grouped.select(node.alias("node"), parent.alias("parent"), (F.col("blk") * width + F.col("level")).alias("depth"), size.alias("len"), *names)
 
 
