@@ -34,6 +34,7 @@ INDUSTRIES = {
     "energy": "energy|oil|gas|renewable|solar|wind|utility|power|electric",
     "realestate": "real estate|property|reit|commercial|residential|development|leasing",
 }
+#: How each industry is described.
 DESCRIBED = {
     "insurance": "insurance and risk management solutions", "healthcare": "healthcare services and solutions", "technology": "technology solutions and services", "manufacturing": "manufacturing and production services",
     "construction": "construction and engineering services", "finance": "financial services and solutions", "logistics": "logistics and supply chain services", "retail": "retail and consumer products",
@@ -135,6 +136,7 @@ VERBS = (
     ("install|implement|deploy|integrat", ("installs", "implements", "deploys", "integrates")), ("platform|automat|streamlin|enabl", ("enables", "facilitates", "automates", "streamlines")),
     ("software|application|app|system|tool", ("develops", "builds", "creates")), ("specializ|focus|expert|dedicat", ("specializes in", "focuses on")),
 )
+#: Verbs where none of those fits.
 SERVICE = ("provides", "delivers", "offers", "supplies")
 REMOVED = (
     r"(?i)\b(leading|premier|best-in-class|top|innovative|cutting-edge|revolutionary|award-winning|world-class|industry-leading|state-of-the-art|exceptional|unparalleled)\b",

@@ -208,10 +208,10 @@ def trivia_dataset(raw: DataFrame, history: DataFrame, static: DataFrame, **opti
     rows = raw.select("idx", F.posexplode("seasons").alias("_pos", "s"))
     pos = primary_position(rows.select(F.col("idx").alias("player"), F.col("s.Pos").alias("pos"), F.col("_pos").alias("idx")))
     known = raw.join(pos.withColumnRenamed("player", "idx"), "idx").filter(F.col("position").isin(*STATS))
-    named = unique_slug(known.select("idx", "name", "birth_date", "birth_place", "college", "position"), "name", "idx")
+    named = stored(unique_slug(known.select("idx", "name", "birth_date", "birth_place", "college", "position"), "name", "idx"), "players")
     flat = rows.select("idx", F.col("s.Season").alias("season_text"), F.col("s.G").alias("games_text"), F.col("s.*")).join(named.select("idx", "player_id", "position"), "idx")
     good = eligible_seasons(flat, **options).withColumn("age", coerce_number(F.col("Age"))).withColumn("games_started", coerce_number(F.col("GS"))).withColumn("awards", parse_awards(F.col("Awards")))
-    seasons = season_team(good.withColumn("team", F.coalesce("Team", F.lit(""))), history, static)
+    seasons = stored(season_team(good.withColumn("team", F.coalesce("Team", F.lit(""))), history, static), "seasons")  # all other tables read it
     players = named.join(seasons.select("player_id").distinct(), "player_id", "left_semi").select("player_id", F.col("name").alias("full_name"), F.col("position").alias("pos"), "college", parse_birthdate(F.col("birth_date"), F.col("birth_place")).alias("birthdate"))
     out = {"players": players, "eligibility": eligibility(seasons), "seasons": seasons}
     out |= {f"{p.lower()}_seasons": position_stats(seasons, p) for p in STATS}

@@ -83,7 +83,10 @@ def url3_validate_enhanced(spark, sf_dir):
     return OU.validate_urls_enhanced(odd_urls(spark, sf_dir)).select("page_id", "formatted", "domain", "category")
 
 
-@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid_slug' WHEN 2 THEN 'non_player' WHEN 3 THEN 'wrong_domain' ELSE 'malformed' END AS category FROM pages""")
+@query(f"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.pro-football-reference.com/players/M/MahoPa' || lpad((page_id % 100)::VARCHAR, 2, '0') || '.htm' WHEN 1 THEN 'https://www.pro-football-reference.com/players/S/SpilC.00.htm'
+    WHEN 2 THEN 'https://www.pro-football-reference.com/teams/kan/' WHEN 3 THEN url ELSE 'x ' || url END AS u FROM pages), p AS ({_PARTS} FROM u)
+  SELECT page_id, CASE WHEN NOT ok OR sch NOT IN ('http', 'https') THEN 'malformed' WHEN NOT regexp_matches(hst, '(^|\\.)(pro-football|basketball|baseball|hockey|sports)-reference\\.com$') THEN 'wrong_domain'
+    WHEN regexp_matches(pth, '^/players/[A-Z]/[A-Za-z]{{4}}[A-Z][a-z][0-9]{{2}}\\.htm$') THEN 'valid' WHEN regexp_matches(pth, '/(teams|years|coaches|officials)/') THEN 'non_player' ELSE 'invalid_slug' END AS category FROM p""")
 def url4_player_urls(spark, sf_dir):
     shaped = """CASE page_id % 5 WHEN 0 THEN concat('https://www.pro-football-reference.com/players/M/MahoPa', lpad(cast(page_id % 100 as string), 2, '0'), '.htm')
       WHEN 1 THEN 'https://www.pro-football-reference.com/players/S/SpilC.00.htm' WHEN 2 THEN 'https://www.pro-football-reference.com/teams/kan/' WHEN 3 THEN url ELSE concat('x ', url) END"""
@@ -129,7 +132,7 @@ def url9_blocked_host(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", U.blocked_host(host).alias("blocked"))
 
 
-@query("SELECT page_id, url || '/page/*' AS pattern FROM pages")
+@query("SELECT page_id, regexp_replace(url || '/page/' || page_id, '/page/[0-9]+', '/page/*', 'g') AS pattern FROM pages")
 def url10_page_pattern(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.page_pattern(F.concat("url", F.lit("/page/"), "page_id")).alias("pattern"))
 
@@ -290,7 +293,8 @@ def scl10_parse_listlike(spark, sf_dir):
 _FIELD = "CASE p_partkey % 6 WHEN 0 THEN 'cloud software' WHEN 1 THEN 'freight and shipping' WHEN 2 THEN 'solar power' WHEN 3 THEN 'claims handling' WHEN 4 THEN 'real estate leasing' ELSE p_name END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'technology' WHEN 1 THEN 'logistics' WHEN 2 THEN 'energy' WHEN 3 THEN 'insurance' WHEN 4 THEN 'realestate' ELSE 'general' END AS industry FROM part")
+@query(f"""WITH t AS (SELECT p_partkey, lower({_FIELD}) AS t FROM part) SELECT p_partkey, CASE WHEN regexp_matches(t, 'claims|insurance|underwriting|premium|policy') THEN 'insurance' WHEN regexp_matches(t, 'software|technology|digital|saas|cloud') THEN 'technology'
+  WHEN regexp_matches(t, 'logistics|transportation|shipping|freight') THEN 'logistics' WHEN regexp_matches(t, 'solar|energy|wind|electric') THEN 'energy' WHEN regexp_matches(t, 'real estate|property|leasing') THEN 'realestate' ELSE 'general' END AS industry FROM t""")
 def scl19_detect_industry(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.detect_industry(F.expr(_FIELD)).alias("industry"))
 
@@ -321,13 +325,18 @@ _TYPE = "list_max([" + ", ".join(f"{{'n': {_occurs(w)}, 'at': {-i}, 'kind': '{ki
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_DEAL} || coalesce(text, '') AS x, lower({_DEAL} || coalesce(text, '')) AS t FROM documents), k AS (SELECT *, {_TYPE} AS b FROM d)
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (1 + doc_id % 9 + 0.5) * 1e6 WHEN 1 THEN (1 + doc_id % 9) * 1e9 END::DOUBLE AS deal_value, CASE WHEN b.n > 0 THEN b.kind ELSE 'unknown' END AS transaction_type, {" OR ".join(f"contains(t, '{w}')" for w in N.MA_WORDS)} AS related FROM k""")
+  SELECT doc_id, list_max(list_transform(regexp_extract_all(x, '(?i)(?:\\$|(?:USD|valued at|consideration of|worth|for|approximately)\\s*\\$?)([0-9,]+\\.?[0-9]*\\s*(?:billion|million|[MB]))', 1), lambda a: TRY_CAST(replace(regexp_extract(a, '^[0-9,]+\\.?[0-9]*'), ',', '') AS DOUBLE) * CASE WHEN regexp_matches(a, '(?i)b[a-z]*$') THEN 1e9 ELSE 1e6 END)) AS deal_value, CASE WHEN b.n > 0 THEN b.kind ELSE 'unknown' END AS transaction_type, {" OR ".join(f"contains(t, '{w}')" for w in N.MA_WORDS)} AS related FROM k""")
 def scl12_deal_values(spark, sf_dir):
     t = F.col("text")
     return deal_docs(spark, sf_dir).select("doc_id", N.deal_value(t).alias("deal_value"), N.transaction_type(t).alias("transaction_type"), N.ma_related(t).alias("related"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN strftime(make_date(2024, 3, (1 + doc_id % 28)::INT), '%Y-%m-%d') END AS newest FROM documents")
+_MONTH_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December"
+_SAID_DATES = f"""list_transform(regexp_extract_all(x, '((?:{_MONTH_NAMES}) +[0-9]{{1,2}},? +[0-9]{{4}})', 1), lambda d: coalesce(try_strptime(d, '%B %d, %Y'), try_strptime(d, '%B %d %Y'))) || list_transform(regexp_extract_all(x, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), lambda d: try_strptime(d, '%Y-%m-%d'))
+  || list_transform(regexp_extract_all(x, '([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}})', 1), lambda d: coalesce(try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%m/%d/%y')))"""
+
+
+@query(f"SELECT doc_id, strftime(list_max({_SAID_DATES}), '%Y-%m-%d') AS newest FROM (SELECT doc_id, {_DEAL} || coalesce(text, '') AS x FROM documents)")
 def scl14_extract_dates(spark, sf_dir):
     return deal_docs(spark, sf_dir).select("doc_id", F.try_element_at(N.extract_dates(F.col("text")), F.lit(1))["parsed"].cast("string").alias("newest"))
 
@@ -971,7 +980,8 @@ def scl20_hash_pick(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", C.hash_pick(C.SERVICE, F.col("c_name")).alias("verb"))
 
 
-@query("""SELECT s_suppkey, '(' || (200 + s_suppkey % 700) || ') 555-0100' AS phone, CASE WHEN s_suppkey % 2 = 0 THEN 'https://' ELSE 'http://' END || 's' || s_suppkey || '.com' AS website FROM supplier""")
+@query("""WITH r AS (SELECT s_suppkey, 'tel: (' || (200 + s_suppkey % 700) || ') 555-0100 ext' AS p, CASE WHEN s_suppkey % 2 = 0 THEN ' ' ELSE 'http://' END || 's' || s_suppkey || '.com' AS w FROM supplier)
+  SELECT s_suppkey, trim(regexp_replace(p, '[^0-9()+ -]', '', 'g')) AS phone, CASE WHEN regexp_matches(w, '^https?://') THEN w ELSE 'https://' || trim(w) END AS website FROM r""")
 def scl22_clean_contacts(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     phone = F.concat(F.lit("tel: ("), 200 + F.col("s_suppkey") % 700, F.lit(") 555-0100 ext"))
@@ -979,7 +989,8 @@ def scl22_clean_contacts(spark, sf_dir):
     return s.select("s_suppkey", T.clean_phone(phone).alias("phone"), T.clean_website(site).alias("website"))
 
 
-@query("""SELECT p_partkey, round(0.3 + CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.2 ELSE 0 END, 4)::DOUBLE AS confidence FROM part""")
+@query("""WITH r AS (SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'x' END AS contact, CASE WHEN p_partkey % 3 = 0 THEN 'y' ELSE '' END AS website FROM part)
+  SELECT p_partkey, round(0.3 * (coalesce(name, '') <> '')::INT + 0.2 * (coalesce(contact, '') <> '')::INT + 0.2 * (website <> '')::INT, 4)::DOUBLE AS confidence FROM r""")
 def scl28_record_confidence(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "x").alias("contact"), F.when(F.col("p_partkey") % 3 == 0, "y").otherwise("").alias("website"))
     return T.record_confidence(rows, "company").select("p_partkey", "confidence")
