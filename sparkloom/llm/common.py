@@ -23,8 +23,6 @@ LOWER_NP = np.frombuffer(LOWER, dtype=np.uint8)
 _rng = np.random.default_rng(20240607)
 #: One random odd-ish 64-bit value for each byte, and the base of the polynomial hashes.
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Random odd multipliers of the bytes of a slice by their place in it (taken modulo 4096).
-PLACE_CODE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 

@@ -5,43 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-from .common import BYTE_CODE, PLACE_CODE, mix
 
-
-def _sums(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each (non-empty) slice, equal for equal bytes; unequal slices may share one."""
-    ends = np.cumsum(size)
-    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    terms = BYTE_CODE[data[place + np.repeat(start, size)]]
-    terms *= PLACE_CODE[place & (len(PLACE_CODE) - 1)]
-    return mix(np.add.reduceat(terms, ends - size) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
-    """Whether every slice of `size` bytes at a equals the one at b."""
-    ends = np.cumsum(size)
-    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    return bool((data[place + np.repeat(a, size)] == data[place + np.repeat(b, size)]).all())
-
-
-def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = 1 << 20) -> tuple[list[bytes], np.ndarray]:
-    """(the distinct slices, the number of each slice among them), by their bytes; slices must not be empty.
-
-    Hashes only sort them: slices of one hash are compared byte by byte, and where two differ, all are told apart by a
-    dictionary of their bytes. Slices longer than `limit` bytes go to the dictionary at once.
-    """
+def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(the distinct slices, the number of each slice among them), by their bytes; slices ascend and do not overlap."""
     if not len(start):
         return [], np.zeros(0, np.int64)
-    size = end - start
-    if size.max() <= limit:
-        _, first, inverse = np.unique(_sums(data, start, size), return_index=True, return_inverse=True)
-        if (size == size[first][inverse]).all() and _same(data, start, start[first][inverse], size):
-            raw = data.tobytes()
-            return [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())], inverse
-    raw, numbers = data.tobytes(), {}
-    inverse = np.fromiter((numbers.setdefault(raw[s:e], len(numbers)) for s, e in zip(start.tolist(), end.tolist())), np.int64, len(start))
-    return list(numbers), inverse
+    kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+    edges = np.empty(2 * len(start), width)
+    edges[0::2], edges[1::2] = start, end
+    apart = (start[1:] != end[:-1]).any()  # else they are all of the data between the first and the last
+    if not apart:
+        edges = np.append(edges[0::2], edges[-1])
+    found = pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    if apart:
+        found = found.take(pa.array(np.arange(0, len(edges) - 1, 2)))  # not what stands between them
+    coded = found.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
 def flattened(ids: list) -> tuple[np.ndarray, np.ndarray]:

@@ -108,9 +108,7 @@ class Encoder:
         start = units(data, offsets, self.special)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        ends = np.append(start, len(data)).astype(np.int32)
-        slices = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        ids, size = self.cache.ids_of(slices.dictionary.to_pylist(), slices.indices.to_numpy())
+        ids, size = self.cache.ids(data, start, np.append(start[1:], len(data)))
         return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]
 
 

@@ -26,15 +26,13 @@ def docs(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.binary(min_size=1, max_size=6), max_size=30), st.booleans(), st.sampled_from([1, 4, 1 << 20]))
-def test_distinct_slices(words, clash, limit):
-    size = np.array([len(w) for w in words], np.int64)
-    end = np.cumsum(size)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    with pytest.MonkeyPatch.context() as patch:
-        if clash:
-            patch.setattr(slices, "_sums", lambda data, start, size: np.zeros(len(start), np.uint64))
-        found, inverse = slices.distinct_slices(data, end - size, end, limit)
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.binary(max_size=3)), max_size=30), st.booleans())
+def test_distinct_slices(parts, tiles):
+    """Slices with and without bytes between them."""
+    words = [w for w, _ in parts]
+    data = np.frombuffer(b"".join(w if tiles else w + gap for w, gap in parts), np.uint8)
+    start = np.cumsum([0, *(len(w) + len(gap) * (not tiles) for w, gap in parts)])[:-1].astype(np.int64)
+    found, inverse = slices.distinct_slices(data, start, start + [len(w) for w in words] if words else start)
     assert [found[i] for i in inverse] == words and len(set(found)) == len(found) == len(set(words))
 
 
