@@ -94,3 +94,11 @@ def test_one_long_conversation_and_many_copies(spark):
     convs = ordered(rows)
     assert rows_of(prefixtrie.prefix_trie(made(spark, rows))) == plain(convs)
     assert rows_of(prefixtrie.spliced_trie(made(spark, rows))) == plain(rebuilt(convs))
+
+
+def test_parents_with_very_many_children(spark):
+    """Sent to all tasks or joined: the same parents."""
+    rows = [("r", None, 1, 40), *[(f"c{i}", "r", 100 + i, 0) for i in range(39)], ("d", "r", 1, 3), *[(f"e{i}", "d", 200 + i, 0) for i in range(3)]]
+    nodes = spark.createDataFrame(rows, "node string, parent string, conv_id long, n_children long")
+    both = [sorted((r.node, r.parent_conv_id) for r in prefixtrie._with_parents(nodes, nodes, share).collect()) for share in (2, 10**6)]
+    assert both[0] == both[1] == sorted((n, {None: None, "r": 1, "d": 1}[p]) for n, p, _, _ in rows)
