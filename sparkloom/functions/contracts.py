@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import spread
 from .text import STATE_CODES, let, lookup
 
 #: Fixed values of the checklist: preferred states and words that burden.
@@ -179,7 +180,7 @@ def _fired(p: Column, t: Column, months: Column) -> Column:
 
 def contract_review(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, para_idx, pos, clause_type, operation, target, replacement, severity): all suggestions for all paragraphs."""
-    paras = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(paragraphs(F.col(text_col))).alias("para_idx", "p"))
+    paras = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(paragraphs(F.col(text_col))).alias("para_idx", "p"))
     found = paras.select("doc_id", "para_idx", "p", F.posexplode(suggestions(F.col("p"))).alias("pos", "s"))  # most paragraphs have none
     return found.select("doc_id", "para_idx", "pos", "s.clause_type", "s.operation", "s.target", "s.replacement", burden_score(F.col("p")).alias("severity"))
 
@@ -299,7 +300,7 @@ def evaluate_playbook(docs: DataFrame, rules: list[dict], id_col: str = "doc_id"
     context = {"context.parties": F.col("c.parties"), "context.partyStates": F.col("c.party_states"), "context.governingLaw.state": F.col("c.governing_law"), "context.venue.state": F.col("c.venue_state"), "context.venue.city": F.col("c.venue_city")}
     patterns = list(dict.fromkeys(p for r in rules for p in (*r.get("require", []), *r.get("forbid", []))))
     at = {p: F.col("at")[i] for i, p in enumerate(patterns)}
-    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.lower(t).alias("low"), contract_context(F.col(text_col), head).alias("c"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), t.alias("t"), F.lower(t).alias("low"), contract_context(F.col(text_col), head).alias("c"))
     places = F.array(*[_place(F.col("t"), F.col("low"), p) for p in patterns]) if patterns else F.array().cast("array<int>")
     rows = rows.select("doc_id", "t", "c", places.alias("at"))
     made = []

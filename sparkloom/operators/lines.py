@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..shared import spread
+
 #: Rules in order: name, pattern of a line. The last one only for long runs of base64.
 LINE_RULES = (
     ("secret", r"(?i)(token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{12,}"), ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("license", r"(?i)licensed under"),
@@ -19,7 +21,7 @@ GUARDS = {"secret": lambda t: t.contains("=") | t.contains(":"), "license": lamb
 
 def line_pattern_scan(docs: DataFrame, rules: Sequence[tuple[str, str]] = LINE_RULES, cap: int | None = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rule, doc_id, line, text): lines that match, by the first rule that does, as 200 characters; at most `cap` a rule (the report's size)."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "t"))
+    lines = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "t"))
     rule = F.lit(None).cast("string")
     for name, pattern in reversed(rules):
         hit = F.col("t").rlike(pattern)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import companies as C, contracts as K, html as H, news as N, text as T, urls as U
-from ..shared import fresh_path
+from ..shared import fresh_path, spread
 from ..sources import io as IO
 from ..operators import companies as OC, crawl_logs as L, lines as LN, mapping as M, players as P, robots as R, urls as OU
 from ..streaming import stateful as S
@@ -313,7 +313,8 @@ _DEAL = """CASE doc_id % 4 WHEN 0 THEN 'Acme Corp. acquired Beta Holdings for $'
 
 
 def deal_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.expr(_DEAL), F.coalesce("text", F.lit(""))).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select("doc_id", "source", F.concat(F.expr(_DEAL), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _occurs(word: str) -> str:
@@ -633,7 +634,7 @@ def scl29_sanitize_string(spark, sf_dir):
 
 @query()
 def scl25_contract_context(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", K.contract_context(F.col("text"), head=None).alias("c")).select("doc_id", "c.*")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", K.contract_context(F.col("text"), head=None).alias("c")).select("doc_id", "c.*")
 
 
 @query()
