@@ -49,6 +49,7 @@ CASES = [
     (C.clean_company_name, {"Acme, Inc. (US)": "Acme", "Acme dba Beta": "Acme", "Beta Partners": "Beta"}),
     (lambda c: C.hash_pick(["a", "b", "c"], c), {"": "a", "x": "a", "Acme Corporation International": None}),
     (N.deal_value, {"sold for $5 million and $1.5 billion": 1.5e9, "USD 20 million": 2e7, "nothing": None}),
+    (lambda c: N.deal_value(c, letters=True), {"Of for 4150595018729177 ble as": 4150595018729177e9, "USD 20 M": 2e7, "$5 million, worth 7b": 7e9, "of 5 million": None, None: None}),
     (N.transaction_type, {"They acquire and acquired it": "acquisition", "a merger": "merger", "hello": "unknown", None: "unknown"}),
     (N.ma_related, {"A Takeover looms": True, "quiet day": False}),
     (N.extractive_summary, {"Nice. A deal was made. Bye.": " A deal was made.", "One. Two.": "One.  Two."}),
