@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import stored
 from .text import filled, lookup, squeezed, trimmed, weighted
 from .urls import resolve_link
 
@@ -102,16 +103,24 @@ class _Finder:
 _FINDER = _Finder(SELECTORS)
 
 
+#: Texts that are collected, and the parts of a page that need them.
+_MADE_OF = {
+    "p": {"paragraphs"}, "heading": {"headings", "h1"}, "a": {"links", "items"}, "item": {"items"}, "found": {"found"}, "caption": {"images"}, "author": {"authors"}, "time": {"times"}, "cell": {"tables"}, "block": {"blocks"},
+}
+
+
 def _number(text: str | None) -> int | None:
     m = re.match(r"\s*\d{1,9}", text or "")
     return int(m[0]) if m else None
 
 
 class _Parts(HTMLParser):
-    """Collects a page's parts; a <p> ends where the next block begins, unclosed tags end with their parent."""
+    """Collects a page's parts, those in `want`; a <p> ends where the next block begins, unclosed tags end with their parent."""
 
-    def __init__(self) -> None:
+    def __init__(self, want: frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
+        self.want = want
+        self.kinds = frozenset(kind for kind, parts in _MADE_OF.items() if want & parts)
         self.stack: list[tuple[str, dict]] = []
         self.out: dict = {"title": [], "body": [], "article": [], "meta": {}, "marks": {}, "headings": [], "links": [], "images": [], "paragraphs": [], "times": [], "authors": [], "items": [], "tables": [], "blocks": [], "found": {}, "lang": None}
         self.open: list[tuple[str, list[str], dict]] = []  # texts being collected: kind, parts, data
@@ -128,7 +137,8 @@ class _Parts(HTMLParser):
                 parts.append(" ")
 
     def _begin(self, kind: str, **data) -> None:
-        self.open.append((kind, [], data))
+        if kind in self.kinds:
+            self.open.append((kind, [], data))
 
     def _end(self, kind: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -174,19 +184,20 @@ class _Parts(HTMLParser):
         words = f"{a.get('class', '')} {a.get('id', '')}".lower()
         self.count += 1
         a["_n"] = self.count
-        self._mark(tag)
-        for w in set(a.get("class", "").lower().split()):
-            self._mark("." + w)
-        for sign, name in (("#", "id"), ("@", "itemprop"), ("=", "role")):
-            if a.get(name):
-                self._mark(sign + a[name])
-        if "data-stat" in a:
-            self._mark("data-stat")
+        if "marks" in self.want:
+            self._mark(tag)
+            for w in set(a.get("class", "").lower().split()):
+                self._mark("." + w)
+            for sign, name in (("#", "id"), ("@", "itemprop"), ("=", "role")):
+                if a.get(name):
+                    self._mark(sign + a[name])
+            if "data-stat" in a:
+                self._mark("data-stat")
         if tag == "html" and a.get("lang"):
             self.out["lang"] = a["lang"]
         if tag == "meta" and (name := a.get("name") or a.get("property")):
             self.out["meta"].setdefault(name.lower(), a.get("content", ""))
-        elif tag == "img" and a.get("src"):
+        elif tag == "img" and a.get("src") and "images" in self.want:
             inside = any(t == "article" or {"article-content", "content"} & set(x.get("class", "").split()) for t, x in self.stack)
             parent = self.stack[-1][1]["_n"] if self.stack else 0
             self.out["images"].append({"src": a["src"], "alt": a.get("alt", ""), "title": a.get("title") or None, "caption": None, "width": _number(a.get("width")), "height": _number(a.get("height")), "inside": inside, "_in": parent})
@@ -209,7 +220,7 @@ class _Parts(HTMLParser):
                 data["lists"] += tag in ("ul", "ol")
                 data["tables"] += tag == "table"
                 data["links"] += tag == "a"
-        met = _FINDER.met(tag, a, self.stack)
+        met = _FINDER.met(tag, a, self.stack) if "found" in self.want else ()
         places = []
         for selector in met:
             places.append({"text": "", "value": a.get("content") or a.get("datetime")})
@@ -271,7 +282,8 @@ class _Parts(HTMLParser):
         if "title" in names:
             self.out["title"].append(data)
             return
-        self.out["body"].append(data)
+        if "body" in self.want:
+            self.out["body"].append(data)
         if "article" in names:
             self.out["article"].append(data)
         for _, parts, _ in self.open:
@@ -281,35 +293,68 @@ class _Parts(HTMLParser):
         self.close()
         while self.stack:
             self.handle_endtag(self.stack[-1][0])
-        out = dict(self.out)
-        for name in ("title", "body", "article"):
+        out = {k: v for k, v in self.out.items() if k in self.want}
+        for name in {"title", "body", "article"} & self.want:
             out[name] = _clean(out[name])
-        out["images"] = [{k: v for k, v in i.items() if k != "_in"} | {"caption": i["caption"] or i["title"]} for i in out["images"]]
-        out["h1"] = next((h["text"] for h in out["headings"] if h["level"] == 1), None)
+        if "images" in out:
+            out["images"] = [{k: v for k, v in i.items() if k != "_in"} | {"caption": i["caption"] or i["title"]} for i in out["images"]]
+        if "h1" in self.want:
+            out["h1"] = next((h["text"] for h in self.out["headings"] if h["level"] == 1), None)
         return out
 
 
-def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
-    """The kept columns and the parts of every page; null or broken html gives a row with an error instead of failing."""
-    names = [c.split()[0] for c in _split_schema(PAGE)]
+#: Characters of html, and pages, that are parsed before their parts leave the worker; parts take up to a hundred times the room.
+BLOCK, ROWS = 1 << 20, 500
+
+#: The parts of a page that each of the functions below reads; parse_pages() need not give others.
+FOR_ARTICLES = ("title", "h1", "lang", "body", "article", "meta", "images", "paragraphs", "times", "authors", "found")
+FOR_BIOS, FOR_TABLES, FOR_COMPANIES = ("title", "h1", "body", "found"), ("tables",), ("tables", "items")
+
+
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of successive rows that have BLOCK characters together and are ROWS at most; a larger page stands alone."""
+    lo = total = 0
+    for i, size in enumerate(sizes):
+        if i > lo and (total + size > BLOCK or i - lo == ROWS):
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", parts: Sequence[str] | None = None) -> DataFrame:
+    """The kept columns and the parts of every page; null or broken html gives a row with an error instead of failing.
+
+    `parts` are those of PAGE that are wanted (None: all), `error` is always there. Pages are parsed in blocks of bounded
+    size, so a task holds the parts of one block however many pages it has.
+    """
+    given = {c.split()[0]: c for c in _split_schema(PAGE)}
+    names = [n for n in given if parts is None or n in (*parts, "error")]
+    if unknown := set(parts or ()) - set(given):
+        raise ValueError(f"no parts of a page: {sorted(unknown)}")
+    want = frozenset(names)
+
+    def parsed(texts: Iterator[str | None]) -> Iterator[dict]:
+        for text in texts:
+            if text is None:
+                yield dict.fromkeys(names) | {"error": "no html"}
+                continue
+            parser = _Parts(want)
+            try:
+                parser.feed(text)
+                yield dict.fromkeys(names) | parser.result()
+            except Exception as bad:  # one bad page must not end the job
+                yield dict.fromkeys(names) | {"error": f"{type(bad).__name__}: {bad}"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for text in pdf[html]:
-                if text is None:
-                    rows.append(dict.fromkeys(names) | {"error": "no html"})
-                    continue
-                parser = _Parts()
-                try:
-                    parser.feed(text)
-                    rows.append(dict.fromkeys(names) | parser.result())
-                except Exception as bad:  # one bad page must not end the job
-                    rows.append(dict.fromkeys(names) | {"error": f"{type(bad).__name__}: {bad}"})
-            yield pd.concat([pdf[list(keep)].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            for lo, hi in _blocks([len(t or "") for t in pdf[html]]):
+                block = pdf.iloc[lo:hi].reset_index(drop=True)
+                yield pd.concat([block[list(keep)], pd.DataFrame(list(parsed(block[html])), columns=names)], axis=1)
 
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, html).mapInPandas(run, f"{kept}, {PAGE}")
+    return pages.select(*keep, html).mapInPandas(run, f"{kept}, {', '.join(given[n] for n in names)}")
 
 
 def _split_schema(schema: str) -> list[str]:
@@ -611,7 +656,11 @@ def main_content_score(parsed: DataFrame) -> DataFrame:
 
 
 def player_tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """players, draft_info, achievements, answers, statistics (long: one row a value) and the rows by kind of table."""
+    """players, draft_info, achievements, answers, statistics (long: one row a value) and the rows by kind of table.
+
+    What the tables need of the pages is stored first, so each page is parsed once however many tables are read.
+    """
+    parsed = stored(parsed.select("page_id", "url", *FOR_BIOS, *FOR_TABLES), "players")
     stats, bio = extract_stat_tables(parsed), extract_player_bio(parsed)
     long = stats.select("page_id", "table_type", "table_idx", "row_idx", F.explode("stats").alias("stat", "value"))
     return {
@@ -634,7 +683,7 @@ def ma_news(pages: DataFrame, min_conf: int = 0, found: DataFrame | None = None,
     """
     from .news import deal_facts
 
-    text = extract_article(parse_pages(pages), max_len).select("page_id", "url", "title", "published", "content")
+    text = extract_article(parse_pages(pages, parts=FOR_ARTICLES), max_len).select("page_id", "url", "title", "published", "content")
     if found is not None:
         text = found.select("url", "source").join(text, "url", "left")
     facts = deal_facts(text.withColumn("success", F.length("content") > 0), "content")

@@ -166,3 +166,23 @@ def test_mapping_suggestions(spark, monkeypatch):
     with pytest.raises(ValueError):
         M.auto_map_headers(headers, defs)
     assert M.column_by_synonyms(["My Firm", "Company"], ("Firm", "Company")) == "Company" and M.column_by_synonyms(["x", "The Firm"], ("Firm",)) == "The Firm"
+
+
+def test_pages_are_parsed_in_bounded_blocks(spark):
+    """A task gives the parts of one block at a time, and those that were asked for are the same as all."""
+    assert list(H._blocks([10] * 1200)) == [(0, 500), (500, 1000), (1000, 1200)] and list(H._blocks([])) == []
+    assert list(H._blocks([1, 3 << 20, 1, 700_000, 700_000])) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    html = '<title>T</title><article class="content post"><h1>A <a href="/b">b</a></h1><p class="tag">one<p>two</article><table><tr><th>x<td>y</table><li class="card"><a href="c">d</a></li>'
+    rows = spark.createDataFrame([(i, "http://x.com/", html if i % 9 else None) for i in range(1100)], "page_id long, url string, html string").coalesce(1)
+    whole = {r.page_id: r for r in H.parse_pages(rows).collect()}
+    assert len(whole) == 1100 and whole[1].links and whole[1].tables and whole[0].error == "no html"
+    for parts in (("links",), ("headings",), ("blocks",), ("marks",), ("links", "body"), H.FOR_ARTICLES, H.FOR_BIOS, H.FOR_TABLES, H.FOR_COMPANIES):
+        some = H.parse_pages(rows, parts=parts)
+        assert set(some.columns) == {"page_id", "url", "error", *parts}
+        assert all(r[c] == whole[r.page_id][c] for r in some.filter("page_id < 3").collect() for c in some.columns)
+
+
+def test_players_are_parsed_once(spark):
+    """The tables of players share one parse, which is stored."""
+    tables = H.player_tables(H.parse_pages(spark.createDataFrame([(1, "http://x.com/", "<h1>P</h1>")], "page_id long, url string, html string")))
+    assert not any("MapInPandas" in t._jdf.queryExecution().toString() for t in tables.values())
