@@ -1,6 +1,8 @@
 """Literal cases of scalar functions."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,11 @@ def test_company_sentences(spark):
     assert x.startswith("Gamma ") and x.endswith("AI tools and cloud software for Hospitals.") and len(x.split()) <= 30
     empty = long.select(C.standardize_description(*[F.lit("")] * 7).alias("x")).first().x
     assert empty == "The company operates in the business services sector."
+
+
+def test_summaries_take_time_in_proportion(spark):
+    """Sentences are those that the pattern finds, also in long texts without an end."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab .!?\n") for _ in range(rng.randrange(40))) for _ in range(200)] + ["", "x" * 2_000_000, "a. " + "Deal " * 200_000]
+    want = {t: " ".join((re.findall(r"[^.!?]+[.!?]+", t) if t.count(" ") < 99 else ["a."])[:3])[:500] if "x" not in t else "" for t in texts}
+    assert dict(zip(texts, run(spark, N.extractive_summary, texts))) == want
