@@ -8,7 +8,9 @@ with one anchor are neighbours; together they cover a span.
    are repeats (per batch before the shuffle, then per gram), so groups of copies of any size shrink to one row a batch.
 2. First occurrences of a gram with several classes agree in part at most. Their spans are fetched, their windows are
    sorted as suffixes by the deep-shallow scheme, and in each run of equal strings the first occurrence stays.
-   A gram with more than HOT such spans is split: its windows are dealt by their own hash instead.
+   A gram with more than HOT such spans is split: each span becomes two parts, dealt by the bytes that all windows of such
+   a part have in common, and equal parts are told as in step 1. Where more than HOT different parts still agree in those
+   bytes, their windows are dealt by their own hash.
 3. The removed ranges meet their texts.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,8 +110,8 @@ def _batch(columns, names) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x) for x in columns], names=names)
 
 
-def _anchor_rows(h, c, c2, doc, th, pack, length: int) -> pa.RecordBatch:
-    """Anchor rows of one batch: the first of each class, and the ranges that all others are."""
+def _anchor_rows(h, c, c2, doc, th, pack, length: int, spans: list[bytes] | None = None) -> pa.RecordBatch:
+    """Anchor rows of one batch: the first of each class, and the ranges that all others are; with the firsts' spans, if given."""
     order = np.lexsort((pack, th, doc, c2, c, h))
     first = _firsts(h[order], c[order], c2[order])
     owner = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
@@ -117,9 +120,10 @@ def _anchor_rows(h, c, c2, doc, th, pack, length: int) -> pa.RecordBatch:
     ranges = _range(pack[again], length)
     one = lambda a, b: np.concatenate([a, b])
     zeros = np.zeros(len(again), np.int64)
+    bytes_of = [] if spans is None else [pa.array([spans[i] for i in keep.tolist()] + [None] * len(again), pa.binary())]
     return _batch(
-        (one(np.full(len(keep), ANCHOR, np.int32), np.full(len(again), RANGE, np.int32)), one(h[keep], mix(doc[again].astype(np.uint64)).view(np.int64)), one(c[keep], zeros), one(c2[keep], zeros), one(doc[keep], doc[again]), one(th[keep], th[again]), one(pack[keep], ranges)),
-        ["kind", "h", "c", "c2", "doc", "th", "pack"],
+        (one(np.full(len(keep), ANCHOR, np.int32), np.full(len(again), RANGE, np.int32)), one(h[keep], mix(doc[again].astype(np.uint64)).view(np.int64)), one(c[keep], zeros), one(c2[keep], zeros), one(doc[keep], doc[again]), one(th[keep], th[again]), one(pack[keep], ranges), *bytes_of),
+        ["kind", "h", "c", "c2", "doc", "th", "pack", *["span" for _ in bytes_of]],
     )
 
 
@@ -274,6 +278,37 @@ def _sorted_ranges(spans: DataFrame, length: int) -> DataFrame:
     return mapped(spans.repartition("h").sortWithinPartitions("h", "doc", "th", "pack"), run, _FOUND)
 
 
+def _parts(spans: DataFrame, length: int) -> DataFrame:
+    """Anchor rows with bytes: each span as the part whose anchor is far into its windows, and the rest.
+
+    Equal windows have their anchor at one offset, so they are in parts of one kind, and all windows of a part have bytes
+    around the anchor in common, by whose hash it is dealt: more than the gram has, so parts of one hot gram go apart.
+    """
+    gram = gram_size(length)
+    half = (length - gram + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, th = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            start, more, offset = _unpack(batch.column(3).to_numpy())
+            for lo, hi, data, offsets in chunked(batch.column(4)):
+                own, count, off, base = start[lo:hi], more[lo:hi] + 1, offset[lo:hi], offsets[:-1]
+                turn = np.clip(off - half, 0, count)  # how many windows have the anchor behind `half`
+                far, near = np.flatnonzero(turn > 0), np.flatnonzero(turn < count)
+                row = np.concatenate([far, near])
+                first = np.concatenate([np.zeros(len(far), np.int64), turn[near]])
+                last = np.concatenate([turn[far], count[near]]) - 1
+                at = base + off
+                common = prefix_sums(data), np.concatenate([at[far] - half - 1, at[near]]), np.concatenate([at[far] + gram, at[near] + length - half])
+                begin, end = base[row] + first, base[row] + last + length
+                c = digests_of(data, begin, end)
+                whole = data.tobytes()
+                cut = [whole[b:e] for b, e in zip(begin.tolist(), end.tolist())]
+                yield _anchor_rows(slice_hashes(*common).view(np.int64), c[:, 0], c[:, 1], doc[lo + row], th[lo + row], _pack(own[row] + first, last - first, off[row] - first), length, cut)
+
+    return mapped(spans, run, f"{_ANCHORS}, span binary")
+
+
 def _split_ranges(spans: DataFrame, length: int) -> DataFrame:
     """The same for grams with very many spans: windows are dealt by their own 128-bit digest, firsts found as in step 1."""
 
@@ -304,12 +339,21 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(_classes(mapped(texts.select("doc", "th", "raw"), mark, _ANCHORS), length), "repeats-anchors")
     requests = found.filter(F.col("kind") == REQUEST)
     spans = stored(_spans(texts, requests, length), "repeats-spans")
+    few, many = _by_size(spans, "hot")
+    parts = stored(_parts(many, length), "repeats-parts")
+    told = stored(_classes(parts.drop("span"), length), "repeats-classes")
+    asked = told.filter(F.col("kind") == REQUEST).select("h", "doc", "th", "pack")
+    fewer, most = _by_size(parts.filter(F.col("kind") == ANCHOR).join(asked, ["h", "doc", "th", "pack"], "left_semi").select(spans.columns), "hot-parts")
+    part = stored(_sorted_ranges(few.union(fewer), length).union(_split_ranges(most, length)), "repeats-sorted")
+    ranges = [found.filter(F.col("kind") == RANGE), told.filter(F.col("kind") == RANGE), part]
+    return reduce(DataFrame.union, ranges).select("doc", "th", "h", "pack")
+
+
+def _by_size(spans: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of the hashes that have up to HOT, and the others."""
     sizes = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    hot = stored(sizes.filter(F.col("n") > HOT).select("h"), "repeats-hot")  # a table of its own: Spark can split the joins' hot keys
-    few = _sorted_ranges(spans.join(hot, "h", "left_anti").select(spans.columns), length)
-    many = _split_ranges(spans.join(hot, "h", "left_semi").select(spans.columns), length)
-    part = stored(few.union(many), "repeats-sorted")
-    return found.filter(F.col("kind") == RANGE).union(part).select("doc", "th", "h", "pack")
+    hot = stored(sizes.filter(F.col("n") > HOT).select("h"), f"repeats-{name}")  # a table of its own: Spark can split the joins' hot keys
+    return spans.join(hot, "h", "left_anti").select(spans.columns), spans.join(hot, "h", "left_semi").select(spans.columns)
 
 
 def merged(pack: np.ndarray) -> list[tuple[int, int]]:

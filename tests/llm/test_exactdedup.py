@@ -133,3 +133,23 @@ def test_lengths_that_are_refused(spark):
     for length in (0, exactdedup.LONGEST + 1):
         with pytest.raises(ValueError):
             exactdedup.digests(docs, length=length)
+
+
+def test_spans_of_a_hot_gram_make_two_rows_each(spark, monkeypatch):
+    """A passage with other text around it in every document: rows grow with the documents, not with their windows."""
+    monkeypatch.setattr(exactdedup, "HOT", 30)
+    rand = random.Random(12)
+    text = lambda n: "".join(rand.choice("abcdefghij ") for _ in range(n))
+    shared = text(80)
+    rows = [(i, text(60) + shared + text(60)) for i in range(150)] + [(200 + i, rows_of[5:]) for i, rows_of in enumerate([text(20) + shared + "z" * 40] * 3)]
+    made, parts = [], exactdedup._parts
+
+    def counted(spans, length):
+        out = parts(spans, length)
+        made.append((spans.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(exactdedup, "_parts", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert results(exactdedup.digests(docs)) == {i: w for (i, _), w in zip(rows, plain(rows, 100))}
+    assert made[0][0] > 100 and made[0][1] <= 2 * made[0][0]
