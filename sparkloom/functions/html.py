@@ -577,29 +577,32 @@ def extract_stat_tables(parsed: DataFrame) -> DataFrame:
 _PLACE, _DRAFT = r"(?i)Born:\s*([^,]+),?\s*(.+)", r"(?i)Draft:\s*([0-9]{4}).*?(\w+).*?([0-9]+).*?([0-9]+)"
 
 
-def extract_player_bio(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, name, position, jersey, height, weight, born, birth_place, college, draft, draft_info, achievements, answers).
+def extract_player_bio(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, name, position, jersey, height, weight, born, birth_place, college, draft, draft_info, achievements, answers) and the parts to keep.
 
     Patterns run on the page's elements for players and facts, of several the last that fits, then on its whole text.
     achievements are the parts (at commas, semicolons and line ends) of award elements, each once; answers map the
     questions of fact elements to what follows them; draft_info is (year, team, round, pick).
     """
-    body, own = F.col("body"), _all_found((*BIO_SELECTORS, *FACT_SELECTORS))
+    found = {"_own": (*BIO_SELECTORS, *FACT_SELECTORS), "_facts": FACT_SELECTORS, "_awards": AWARD_SELECTORS, "_jerseys": JERSEY_SELECTORS}
+    parsed = parsed.withColumns({name: _all_found(selectors) for name, selectors in found.items()})  # each is read often
+    body, own = F.col("body"), F.col("_own")
     get = lambda p, i=1: F.nullif(F.trim(F.regexp_extract(body, p, i)), F.lit(""))
     last = lambda p, i=1: F.try_element_at(F.filter(F.transform(own, lambda x: F.trim(F.regexp_extract(x, p, i))), lambda x: x != ""), F.lit(-1))
-    jersey = F.try_element_at(F.transform(_all_found(JERSEY_SELECTORS), lambda x: F.struct(F.regexp_extract(x, r"([A-Z]{1,3})\s*(?:#([0-9]+))?", 1).alias("p"), F.regexp_extract(x, r"([A-Z]{1,3})\s*(?:#([0-9]+))?", 2).alias("n"))), F.lit(1))
-    parts = F.flatten(F.transform(F.filter(_all_found(AWARD_SELECTORS), lambda x: F.length(x) > 5), lambda x: F.split(x, r"[,;]|\n")))
+    jersey = F.try_element_at(F.transform("_jerseys", lambda x: F.struct(F.regexp_extract(x, r"([A-Z]{1,3})\s*(?:#([0-9]+))?", 1).alias("p"), F.regexp_extract(x, r"([A-Z]{1,3})\s*(?:#([0-9]+))?", 2).alias("n"))), F.lit(1))
+    parts = F.flatten(F.transform(F.filter("_awards", lambda x: F.length(x) > 5), lambda x: F.split(x, r"[,;]|\n")))
     awards = F.array_distinct(F.filter(F.transform(parts, trimmed), lambda x: F.length(x) > 3))
-    asked = F.flatten(F.transform(_all_found(FACT_SELECTORS), lambda x: F.regexp_extract_all(x, F.lit(r"([^?]+\?\s*[^?]+?)(?=\s*[^?]*\?|$)"), F.lit(1))))
+    asked = F.flatten(F.transform("_facts", lambda x: F.regexp_extract_all(x, F.lit(r"([^?]+\?\s*[^?]+?)(?=\s*[^?]*\?|$)"), F.lit(1))))
     pairs = F.filter(F.transform(asked, lambda x: F.struct(trimmed(F.element_at(F.split(x, r"\?"), 1)).alias("q"), trimmed(F.try_element_at(F.split(x, r"\?"), F.lit(2))).alias("a"))), lambda p: (p["q"] != "") & (p["a"] != ""))
     keys = F.transform(pairs, lambda p: p["q"])
     answers = F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["q"]) == 0))  # of equal questions the last
-    draft = F.when(last(_DRAFT).isNotNull(), F.struct(*[(c if n == "team" else c.try_cast("int")).alias(n) for n, c in zip(("year", "team", "round", "pick"), (last(_DRAFT, i) for i in range(1, 5)))]))
+    picks = F.filter(F.transform(own, lambda x: F.struct(*[F.regexp_extract(x, _DRAFT, i).alias(n) for i, n in enumerate(("year", "team", "round", "pick"), 1)])), lambda p: p["year"] != "")
+    draft = F.try_element_at(F.transform(picks, lambda p: F.struct(*[(p[n] if n == "team" else p[n].try_cast("int")).alias(n) for n in ("year", "team", "round", "pick")])), F.lit(-1))
     return parsed.select(
         "page_id", "url", F.coalesce(F.nullif(F.col("h1"), F.lit("")), F.col("title")).alias("name"), F.coalesce(F.nullif(jersey["p"], F.lit("")), get(r"Position:?\s*([A-Z]{1,3}(?:[-/][A-Z]{1,3})?)")).alias("position"), F.coalesce(F.nullif(jersey["n"], F.lit("")), get(r"#([0-9]{1,2})\b")).alias("jersey"),
         F.coalesce(last(r"(?i)(?:Height|Ht):\s*([0-9]+'\s*[0-9]+\"?)"), get(r"\b([4-7]-[0-9]{1,2})\b")).alias("height"), F.coalesce(last(r"(?i)(?:Weight|Wt):\s*([0-9]+)\s*lbs?"), get(r"\b([0-9]{2,3})\s?lbs?\b")).alias("weight"),
         F.coalesce(last(_PLACE), get(r"Born:?\s*([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})")).alias("born"), last(_PLACE, 2).alias("birth_place"), get(r"College:?\s*([A-Z][A-Za-z .&']+?)(?=\s+(?:Draft|Born|High|Weight|Career)|$|[.,;])").alias("college"),
-        get(r"Draft:?\s*([^.]+?round[^.]*)").alias("draft"), draft.alias("draft_info"), awards.alias("achievements"), answers.alias("answers"),
+        get(r"Draft:?\s*([^.]+?round[^.]*)").alias("draft"), draft.alias("draft_info"), awards.alias("achievements"), answers.alias("answers"), *keep,
     )
 
 
@@ -658,10 +661,11 @@ def main_content_score(parsed: DataFrame) -> DataFrame:
 def player_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """players, draft_info, achievements, answers, statistics (long: one row a value) and the rows by kind of table.
 
-    What the tables need of the pages is stored first, so each page is parsed once however many tables are read.
+    Biographies and what else the tables need are stored first, so each page is parsed and each pattern tried once however
+    many tables are read, and neither the pages' text nor their elements are written.
     """
-    parsed = stored(parsed.select("page_id", "url", *FOR_BIOS, *FOR_TABLES), "players")
-    stats, bio = extract_stat_tables(parsed), extract_player_bio(parsed)
+    known = stored(extract_player_bio(parsed, keep=FOR_TABLES), "players")
+    stats, bio = extract_stat_tables(known), known.drop(*FOR_TABLES)
     long = stats.select("page_id", "table_type", "table_idx", "row_idx", F.explode("stats").alias("stat", "value"))
     return {
         "players": bio.drop("draft_info", "achievements", "answers"), "draft_info": bio.filter("draft_info is not null").select("page_id", "url", "name", "draft_info.*"),

@@ -186,3 +186,11 @@ def test_players_are_parsed_once(spark):
     """The tables of players share one parse, which is stored."""
     tables = H.player_tables(H.parse_pages(spark.createDataFrame([(1, "http://x.com/", "<h1>P</h1>")], "page_id long, url string, html string")))
     assert not any("MapInPandas" in t._jdf.queryExecution().toString() for t in tables.values())
+
+
+def test_patterns_of_players_run_once(spark):
+    """What is stored are the biographies: no table tries the patterns on the pages' elements again."""
+    tables = H.player_tables(frame(spark, PLAYER, PLAYER.replace("2001 SEA 2 40", "2001 none"), None))
+    assert not any("regexp_extract" in tables[name]._jdf.queryExecution().toString() for name in ("players", "draft_info", "achievements", "answers"))
+    assert [tuple(r)[3:] for r in tables["draft_info"].collect()] == [(2001, "SEA", 2, 40)]
+    assert {r.page_id: r.name for r in tables["players"].collect()} == {0: "Pat Doe", 1: "Pat Doe", 2: None} and tables["statistics"].count() == 2 * 6
