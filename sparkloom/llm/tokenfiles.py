@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import chunked, mapped, stored
 from .eliasfano import EliasFano, encode
-from .slices import Joined, SliceCache
+from .slices import Joined, SliceCache, Words
 
 _HEAD = struct.Struct("<4sBxxxIIQq")
 #: Ids in a block, about; a longer document stands in one of its own. Blocks in a file.
 BLOCK, FILE_BLOCKS = 1 << 20, 16
+#: Bytes of distinct slices and their ids that a worker keeps: half a million slices, about.
+CACHE = 128 << 20
 
 INK, WHITE, LETTER, DIGIT, APOSTROPHE, HIGH = 0, 1, 2, 3, 4, 5
 _KIND = np.zeros(256, np.uint8)
@@ -97,7 +99,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = SliceCache(Joined(self.tokenizer, self.special[0].decode()) if self.special else self._plain)
+        encode = Joined(self.tokenizer, self.special[0].decode()) if self.special else self._plain
+        self.cache = SliceCache(Words(self.tokenizer, encode) if Words.fits(self.tokenizer) else encode, CACHE)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def _plain(self, slices: list[bytes]) -> list[list[int]]:

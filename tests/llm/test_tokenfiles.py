@@ -123,3 +123,17 @@ def test_same_row_in_many_ranges(spark):
     got = tokenfiles.read_tokens(spark, path, ids=False)
     each = got.first().n_tokens
     assert [r.start for r in got.orderBy("start").collect()] == [each * i for i in range(4000)]
+
+
+def test_words_go_straight_to_the_model(library):
+    """Slices of one piece take the library's model alone, with the same ids; whatever the pattern may part does not."""
+    encoder = tokenfiles.Encoder(PATH)
+    plain = ["word", " Word", "7", " 2024", "größe", " ÈONAI", " Привет"]
+    odd = [" 12a", "don't", " x1", "e\u0301", "\u0660", "\u2160", " ", "  a", "\n", "\u1c89", "\U00010570", "a\u00b2", "<|endoftext|>", "'s", "\u00a0a", "…", "中文"]
+    seen, rest = [], encoder.cache.encode.rest
+    encoder.cache.encode.rest = lambda slices: seen.extend(slices) or rest(slices)
+    mixed = [s.encode() for pair in zip(plain * 3, odd) for s in pair]
+    flat, size = encoder.cache.encode(mixed)
+    want = [library.encode(s.decode(), add_special_tokens=False).ids for s in mixed]
+    assert flat.tolist() == [i for ids in want for i in ids] and size.tolist() == list(map(len, want))
+    assert seen == [s.encode() for s in odd]
