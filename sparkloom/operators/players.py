@@ -162,11 +162,12 @@ def position_stats(seasons: DataFrame, position: str) -> DataFrame:
     out = []
     for name in STATS[position]:
         bare = name.rstrip("?")
-        raw = F.try_element_at(F.col("stats"), F.lit(rename.get(bare, bare)))
-        value = coerce_number(raw)
+        key = F.lit(rename.get(bare, bare))
+        raw, value = F.try_element_at("stats", key), F.coalesce(F.try_element_at("_numbers", key), F.lit(0.0))
         out.append((F.when(raw.isNotNull() & (raw != ""), value) if name.endswith("?") else value).alias(bare))
     base = ["player_id", "season", "age", "team_full", "team_abbrs", "position", "games", "games_started", "awards", "multi_team"]
-    return seasons.filter(F.col("position") == position).select(*base, *out)
+    numbers = F.transform_values("stats", lambda k, v: coerce_number(v))  # of what is there, not for each of the names
+    return seasons.filter(F.col("position") == position).withColumn("_numbers", numbers).select(*base, *out)
 
 
 #: (table, column, check, argument) rules of the finished dataset.
@@ -175,7 +176,7 @@ RULES = (("players", "player_id", "pattern", "^[a-z0-9_]+$"), ("players", "playe
 
 def dataset_checks(tables: dict[str, DataFrame], rules: Sequence[tuple] = RULES) -> DataFrame:
     """(table, check, key, message) of every row that breaks a rule, and of references that lead nowhere."""
-    found = []
+    found, broken = [], {}
     for table, column, check, argument in rules:
         df = tables.get(table)
         if df is None or column not in df.columns:
@@ -183,13 +184,15 @@ def dataset_checks(tables: dict[str, DataFrame], rules: Sequence[tuple] = RULES)
         c, text = F.col(column), F.col(column).cast("string")
         if check == "unique":
             bad = df.groupBy(column).count().filter("count > 1").select(text.alias("key"), F.lit("occurs more than once").alias("message"))
+            found.append(bad.select(F.lit(table).alias("table"), F.lit(check).alias("check"), "key", "message"))
+            continue
+        if check == "required":
+            test = c.isNull() | (text == "")
         else:
-            if check == "required":
-                test = c.isNull() | (text == "")
-            else:
-                test = ~F.coalesce(text.rlike(argument) if check == "pattern" else c.between(*argument), F.lit(False))
-            bad = df.filter(test).select(text.alias("key"), F.lit(f"{column} breaks {check}").alias("message"))
-        found.append(bad.select(F.lit(table).alias("table"), F.lit(check).alias("check"), "key", "message"))
+            test = ~F.coalesce(text.rlike(argument) if check == "pattern" else c.between(*argument), F.lit(False))
+        row = F.struct(F.lit(table).alias("table"), F.lit(check).alias("check"), text.alias("key"), F.lit(f"{column} breaks {check}").alias("message"))
+        broken.setdefault(table, []).append(F.when(test, row))
+    found += [tables[table].select(F.inline(F.array_compact(F.array(*rows)))) for table, rows in broken.items()]  # a table's rules in one scan
     if "players" in tables and "seasons" in tables:
         lost = check_references(tables["seasons"], tables["players"], "player_id")
         found.append(lost.select(F.lit("seasons").alias("table"), F.lit("reference").alias("check"), F.col("player_id").alias("key"), F.col("error").alias("message")))
@@ -203,8 +206,10 @@ def trivia_dataset(raw: DataFrame, history: DataFrame, static: DataFrame, **opti
     """players, one season table for each position, eligibility and checks from raw players.
 
     raw: idx, name, birth_date, birth_place, college, seasons array<struct<Season, Age, Team, Pos, G, GS, Awards, stats map>>
-    (all texts). Ids are given after the position filter and before that of seasons, in order of idx.
+    (all texts). Ids are given after the position filter and before that of seasons, in order of idx. `raw` is stored, as it
+    is read three times.
     """
+    raw = stored(raw, "raw")
     rows = raw.select("idx", F.posexplode("seasons").alias("_pos", "s"))
     pos = primary_position(rows.select(F.col("idx").alias("player"), F.col("s.Pos").alias("pos"), F.col("_pos").alias("idx")))
     known = raw.join(pos.withColumnRenamed("player", "idx"), "idx").filter(F.col("position").isin(*STATS))

@@ -253,6 +253,34 @@ def test_trivia_dataset(spark, sf_dir):
     assert {r.check for r in tables["checks"].collect()} <= {"range"}
 
 
+def test_rules_of_a_table_are_one_scan(spark):
+    players = spark.createDataFrame([("a_1", "A"), ("a_1", ""), ("B", None)], "player_id string, full_name string")
+    seasons = spark.createDataFrame([("a_1", 1996, 20.0, 3.0), ("c", 2000, None, 22.0), (None, 2000, 20.0, 3.0)], "player_id string, season int, age double, games double")
+    checks = P.dataset_checks({"players": players, "seasons": seasons})
+    assert checks._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 5
+    assert sorted(tuple(map(str, r[:3])) for r in checks.collect()) == sorted([
+        ("players", "pattern", "B"), ("players", "unique", "a_1"), ("players", "required", ""), ("players", "required", "None"), ("seasons", "range", "1996"), ("seasons", "range", "None"), ("seasons", "range", "22.0"),
+        ("seasons", "required", "None"), ("seasons", "reference", "c"), ("seasons", "reference", "None"),
+    ])
+
+
+def test_statistics_that_are_there_are_read_once(spark):
+    columns = ["player_id", "season", "age", "team_full", "team_abbrs", "games", "games_started", "awards", "multi_team"]
+    rows = spark.createDataFrame([("WR", {"Yds": "1,234", "Rec": "x", "Att": ""}), ("WR", None)], "position string, stats map<string, string>").withColumns({c: F.lit(1) for c in columns})
+    made = P.position_stats(rows, "WR")
+    assert {(r.Yds, r.Rec, r.Att, r.Tgt) for r in made.collect()} == {(1234.0, 0.0, None, 0.0), (None, 0.0, None, 0.0)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
+
+
+def test_seasons_of_far_keys_stay_in_order(spark, tmp_path):
+    from sparkloom.plans import queries as Q
+
+    spark.sql("SELECT 1L AS c_custkey, 'A' AS c_name, 'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = "SELECT id AS o_orderkey, 1L AS o_custkey, DATE'1995-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority, 5.0D AS o_totalprice FROM VALUES (6000000002L), (1L), (3000000000L) AS t(id)"
+    spark.sql(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [s.Age for s in Q.raw_players(spark, tmp_path).first().seasons] == ["21", "20", "22"]
+
+
 def test_results_do_not_depend_on_partitions(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("idx"), "url")
     one, seven = (sorted(map(str, OU.url_intake(pages.repartition(n)).collect())) for n in (1, 7))
